@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, line_dedup, simhash
+from . import chat, langid, line_dedup, packing, quality, secret_scan, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1,
+    "op2_secrets": secret_scan.op2,
+    "op3_packing": packing.op3,
+    "op4_language": langid.op4,
     "op5_line_dedup": line_dedup.op5,
+    "op6_quality": quality.op6,
+    "op7_toxicity": toxicity.op7,
     "op10_chat_format": chat.op10,
 }
 
