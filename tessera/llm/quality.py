@@ -7,13 +7,13 @@ order never changes a verdict.
 
 from __future__ import annotations
 
-import re
 import time
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +22,7 @@ SPACE = b" \t\n\x0b\x0c\r"
 CONTINUATION = bytes(range(0x80, 0xC0))
 LARGE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SMALL = LARGE.lower()
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 class Facts:
@@ -75,19 +75,18 @@ class Facts:
         return int(covered.sum())
 
     @cached_property
-    def decoded(self) -> str:
-        return self.text.decode("utf-8", "replace")
+    def capitals(self) -> int:
+        return len(self.text) - len(self.text.translate(None, LARGE))
 
     @cached_property
-    def capital_share(self) -> float:
-        """Of the letters A-Z and a-z."""
-        small = len(self.text) - len(self.text.translate(None, SMALL))
-        large = len(self.text) - len(self.text.translate(None, LARGE))
-        return large / max(1, small + large)
+    def latin(self) -> int:
+        """Letters A-Z and a-z."""
+        return self.capitals + len(self.text) - len(self.text.translate(None, SMALL))
 
     @cached_property
-    def lettered_share(self) -> float:
-        return sum(1 for w in self.decoded.split() if LETTER.search(w)) / max(1, len(self.decoded.split()))
+    def n_lettered(self) -> int:
+        """Words with a letter of any script."""
+        return sum(1 for w in self.words if w.isalpha() or LETTER.search(w.decode("utf-8", "replace")))
 
 
 #: name -> does the rule reject? The first two are the base.
@@ -95,11 +94,11 @@ RULES: dict[str, Callable[[Facts], bool]] = {
     "few_words": lambda f: f.n_words < 50,
     "repeated_words": lambda f: 100 * f.n_repeat_words > 50 * f.n_words,
     "symbols": lambda f: 10 * f.n_symbols > 3 * f.n_words,
-    "duplicate_lines": lambda f: 10 * f.n_dup_lines > 3 * len(f.lines),
+    "duplicate_lines": lambda f: 2 * f.n_dup_lines > len(f.lines),
     "word_length": lambda f: not 2 * f.n_words <= f.word_chars <= 20 * f.n_words,
-    "capitals": lambda f: f.capital_share > 0.6,
+    "capitals": lambda f: 10 * f.capitals > 6 * f.latin,
     "exclamation": lambda f: 2 * f.text.count(b"!!") > f.n_words,
-    "letters": lambda f: f.lettered_share < 0.5,
+    "letters": lambda f: 2 * f.n_lettered < f.n_words,
 }
 BASE = ("few_words", "repeated_words")
 
@@ -173,3 +172,28 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def op6(spark, sf_dir: str) -> DataFrame:
     return quality_facts(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+f AS (
+  SELECT rid, doc_id, text, words, lines, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin,
+         (length(text) - length(replace(text, '!!', ''))) // 2 AS bangs, len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) AS n_lettered
+  FROM w),
+t AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+      FROM (SELECT rid, words, unnest(range(1, n_words - 1)) AS i FROM f WHERE n_words >= 3)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM t) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
+b AS (SELECT f.*, coalesce(n_repeat_words, 0) AS n_repeat_words FROM f LEFT JOIN covered USING (rid)),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (10 * n_symbols > 3 * n_words) AND NOT (2 * n_dup_lines > len(lines))
+         AND word_chars BETWEEN 2 * n_words AND 20 * n_words AND NOT (10 * capitals > 6 * latin)
+         AND NOT (2 * bangs > n_words) AND NOT (2 * n_lettered < n_words) AS kept
+FROM j
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, line_dedup, packing, quality, secret_scan, simhash, toxicity
+from . import chat, langid, line_dedup, packing, quality, secret_scan, simhash, toxicity, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1,
@@ -16,7 +16,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": line_dedup.op5,
     "op6_quality": quality.op6,
     "op7_toxicity": toxicity.op7,
+    "op9_topk": vafile.op9,
     "op10_chat_format": chat.op10,
 }
 
-ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.OP5_SQL, "op10_chat_format": chat.OP10_SQL}
+ORACLES: dict[str, str] = {
+    "op5_line_dedup": line_dedup.OP5_SQL,
+    "op6_quality": quality.OP6_SQL,
+    "op9_topk": vafile.OP9_SQL,
+    "op10_chat_format": chat.OP10_SQL,
+}
