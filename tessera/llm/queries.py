@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, line_dedup, packing, quality, secret_scan, simhash, toxicity, vafile
+from . import chat, langid, line_dedup, packing, piece_codec, quality, secret_scan, simhash, toxicity, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": line_dedup.op5,
     "op6_quality": quality.op6,
     "op7_toxicity": toxicity.op7,
+    "op8_sentencepiece": piece_codec.op8,
     "op9_topk": vafile.op9,
     "op10_chat_format": chat.op10,
 }
