@@ -23,7 +23,7 @@ def plain(v):
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
     if type(v).__name__ == "Decimal":
-        return float(f"{float(v):.10g}")
+        return float(f"{float(v):.10g}") + 0.0
     if hasattr(v, "asDict"):
         return plain(v.asDict())
     return v
@@ -46,6 +46,6 @@ def differences(spark, query, sql, sf_dir, con=None):
         return f"rows {len(got)} / {len(want)}"
     a, b = rows_of(got_cols, got), rows_of(want_cols, want)
     for x, y in zip(a, b, strict=True):
-        if x != y:
+        if x != y or any(type(p) is not type(q) for p, q in zip(x, y, strict=True)):
             return f"{sorted(got_cols)}: {x} / {y}"
     return None
