@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-MEMO, MEMO_CHARS = 400_000, 64
+MEMO, MEMO_CHARS = 300_000, 64
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 
@@ -79,14 +79,16 @@ class Codec:
         self.by_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         words = [v for p, v in self.score.items() if p.strip(SPACE)]
         self.by_words &= self.kind == UNIGRAM or max((v for p, v in self.score.items() if len(p) > 1 and not p.strip(SPACE)), default=-np.inf) < min(words, default=0)
-        self.known = {c for p in self.ids for c in p}
+        self.known = {c for p in self.ids for c in p if self.kind == UNIGRAM or c in self.ids}
         self.least = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             self.automaton.add_word(p, (i, len(p), self.score[p], p))
         self.automaton.make_automaton()
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
+        self.edges: dict[str, tuple[list, list] | None] = {}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces = [bytes([int(r[0][3:5], 16)]) if r[2] == 6 else b" \xe2\x81\x87 " if r[2] == 2 else b"" if r[2] == 3 else r[0].replace(SPACE, " ").encode() for r in rows]
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -112,48 +114,115 @@ class Codec:
                 offer(i, right[i])
         return [s for s in symbols if s]
 
+    def _edges(self, piece: str) -> tuple[list, list] | None:
+        """How a piece's first and last symbol grow while it is merged: (symbol, score of the merge that ends it) in order.
+
+        None if the scores of its merges don't fall throughout, as the reasoning of _stay_apart() asks for.
+        """
+        symbols, first, last, latest = list(piece), [], [], np.inf
+        while len(symbols) > 1:
+            best, i = max(((self.score[x + y], -k) for k, (x, y) in enumerate(zip(symbols, symbols[1:], strict=False)) if x + y in self.score), default=(None, 0))
+            if best is None or best > latest:
+                return None
+            latest, i = best, -i
+            if i == 0:
+                first.append((symbols[0], best))
+            if i == len(symbols) - 2:
+                last.append((symbols[-1], best))
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+        return [*first, (piece, -np.inf)], [*last, (piece, -np.inf)]
+
     def _stay_apart(self, a: tuple, b: tuple) -> bool:
-        key = (a[0], b[0])
-        found = self.apart.get(key)
-        if found is None:
-            if len(self.apart) >= 4 * MEMO:
-                self.apart.clear()
-            found = self.apart[key] = self.merged(list(a[3] + b[3])) == [a[3], b[3]]
+        """Are two pieces the encoding of their joint text? Remembered by both ids.
+
+        They are unless some symbol at the end of the one and some at the start of the other, there at the same time, make
+        a piece of a better score than those of the merges that end either symbol.
+        """
+        if len(self.apart) >= 4 * MEMO:
+            self.apart.clear()
+        left, right = (self.edges.get(x[3], 0) for x in (a, b))
+        if left == 0:
+            left = self.edges[a[3]] = self._edges(a[3])
+        if right == 0:
+            right = self.edges[b[3]] = self._edges(b[3])
+        if left is None or right is None:
+            found = self.merged(list(a[3] + b[3])) == [a[3], b[3]]
+        else:
+            found, i, j, score = True, 0, 0, self.score.get
+            while True:
+                (x, ends_x), (y, ends_y) = left[1][i], right[0][j]
+                joint = score(x + y)
+                if joint is not None and joint > ends_x and joint >= ends_y:
+                    found = False
+                    break
+                if ends_x == ends_y == -np.inf:
+                    break
+                if ends_x >= ends_y:
+                    i += 1
+                else:
+                    j += 1
+        self.apart[a[0] << 32 | b[0]] = found
         return found
 
     def _known_span(self, span: str) -> list[int]:
-        """Ids of a text all of whose characters are pieces or parts of them."""
-        last: list[tuple | None] = [None] * (len(span) + 1)
-        best = [-np.inf] * (len(span) + 1)
-        best[0] = 0.0
-        for end, piece in self.automaton.iter(span):
-            end += 1
-            start = end - piece[1]
-            if self.kind == UNIGRAM:
-                if best[start] + piece[2] > best[end]:
-                    best[end], last[end] = best[start] + piece[2], piece
-            elif start == 0 or (last[start] is not None and last[end] is None and self._stay_apart(last[start], piece)):
-                last[end] = piece
+        """Ids of a text all of whose characters are pieces."""
+        last = self._relaxed_by_score(span) if self.kind == UNIGRAM else self._relaxed_by_merges(span)
         out, at = [], len(span)
         while at:
-            if last[at] is None:
+            piece = last[at]
+            if piece is None:
                 return [self.ids[s] for s in self.merged(list(span))]
-            out.append(last[at][0])
-            at -= last[at][1]
-        return out[::-1]
+            out.append(piece[0])
+            at -= piece[1]
+        out.reverse()
+        return out
+
+    def _relaxed_by_score(self, span: str) -> list[tuple | None]:
+        """The last piece of the best encoding up to each position."""
+        last: list[tuple | None] = [None] * (len(span) + 1)
+        best = [0.0] + [-np.inf] * len(span)
+        for end, piece in self.automaton.iter(span):
+            total = best[end + 1 - piece[1]] + piece[2]
+            if total > best[end + 1]:
+                best[end + 1], last[end + 1] = total, piece
+        return last
+
+    def _relaxed_by_merges(self, span: str) -> list[tuple | None]:
+        """The last piece of the merged encoding up to each position; output links give the longest pieces first."""
+        last: list[tuple | None] = [None] * (len(span) + 1)
+        apart, done = self.apart.get, -1
+        for end, piece in self.automaton.iter(span):
+            if end == done:
+                continue
+            start = end + 1 - piece[1]
+            if start:
+                before = last[start]
+                if before is None:
+                    continue
+                fits = apart(before[0] << 32 | piece[0])
+                if fits is None:
+                    fits = self._stay_apart(before, piece)
+                if not fits:
+                    continue
+            last[end + 1], done = piece, end
+        return last
 
     def _fallback(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "replace")] if len(self.byte_ids) == 256 else [self.unknown]
 
     def _span(self, text: str) -> list[int]:
+        if self.known.issuperset(text):
+            return self._known_span(text)
         out, at = [], 0
         for i, c in enumerate(text):
-            if c not in self.known or (c not in self.ids and self.kind == BPE):
+            if c not in self.known:
                 out += (self._known_span(text[at:i]) if i > at else []) + self._fallback(c)
                 at = i + 1
         return out + (self._known_span(text[at:]) if at < len(text) else [])
 
     def _segment(self, text: str) -> bytes:
+        if text[0] == SPACE and text[1:2] not in ("", SPACE):
+            return array("i", self._span(text)).tobytes()
         spaces = len(text) - len(text.lstrip(SPACE))
         word = self._span(text[max(0, spaces - 1) :]) if spaces < len(text) else []
         lone = self.ids.get(SPACE)
@@ -174,10 +243,11 @@ class Codec:
         for s in SEGMENT.findall(text):
             ids = memo.get(s)
             if ids is None:
-                ids = self._segment(s)
+                ids = self.older.get(s) or self._segment(s)
                 if len(s) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
+                    if len(memo) >= MEMO:  # words met since the last turn stay for another
+                        self.older, self.memo = memo, {}
+                        memo = self.memo
                     memo[s] = ids
             out.append(ids)
         return np.frombuffer(b"".join(out), dtype=np.int32)
