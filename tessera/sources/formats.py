@@ -36,6 +36,10 @@ def type_by_extension(path: Column) -> Column:
     return F.coalesce(F.get(F.array(F.element_at(kinds, extension(path))), 0), F.lit("unknown"))
 
 
+def _lacks(part: str):
+    return lambda x: ~F.contains(x, F.lit(part))
+
+
 def type_by_content(path: Column, content: Column) -> Column:
     """Struct (kind, subtype, confidence): by extension, first bytes and marks in the first ten thousand characters."""
     head = F.substring(content, 1, 10_000)
@@ -49,7 +53,7 @@ def type_by_content(path: Column, content: Column) -> Column:
     full = F.filter(lines, lambda x: T.strip(x) != "")
     rows = F.lit(False)
     for d in (",", "\t", ";", "|"):
-        rows |= F.forall(full, lambda x, d=d: F.contains(x, F.lit(d)))
+        rows |= F.size(F.filter(full, _lacks(d))) == 0
     structured = (F.size(lines) > 1) & head.rlike("[\t,]") & rows
     markup = low.rlike(r"<html|<xml|<\?xml|<body")
     code = ~markup & head.rlike("def |function |class |import ")
