@@ -58,20 +58,20 @@ def dedup_lines(
         occurrences.join(common, "h")
         .where(F.col("id").isNull() | (F.col("id") != F.col("last")))
         .groupBy("id", "body")
-        .agg(F.collect_set("pos").alias("_lost"))
-        .select(F.col("id").alias("_id"), F.col("body").alias("_body"), "_lost")
+        .agg(F.collect_set("pos").alias("__tessera_lost"))
+        .select(F.col("id").alias("__tessera_id"), F.col("body").alias("__tessera_body"), "__tessera_lost")
     )
     text = F.col(text_col).cast("string")
-    joined = docs.join(lost, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_body")), "left")
+    joined = docs.join(lost, F.col(id_col).eqNullSafe(F.col("__tessera_id")) & (F.xxhash64(text) == F.col("__tessera_body")), "left")
     lines = _lines(text)
-    positions = F.sequence(F.lit(0), F.size("_all") - 1)
-    stay = F.transform(F.array_except(positions, F.col("_lost")), lambda i: F.get("_all", i))
+    positions = F.sequence(F.lit(0), F.size("__tessera_all") - 1)
+    stay = F.transform(F.array_except(positions, F.col("__tessera_lost")), lambda i: F.get("__tessera_all", i))
     return (
-        joined.withColumn("_all", lines)
-        .withColumn("n_lines", F.size("_all").cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_lost"), F.lit(0)).cast("long"))
-        .withColumn("kept_text", F.when(F.col("_lost").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(stay, "\n")))
-        .drop("_id", "_body", "_lost", "_all")
+        joined.withColumn("__tessera_all", lines)
+        .withColumn("n_lines", F.size("__tessera_all").cast("long"))
+        .withColumn("n_dropped", F.coalesce(F.size("__tessera_lost"), F.lit(0)).cast("long"))
+        .withColumn("kept_text", F.when(F.col("__tessera_lost").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(stay, "\n")))
+        .drop("__tessera_id", "__tessera_body", "__tessera_lost", "__tessera_all")
     )
 
 

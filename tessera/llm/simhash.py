@@ -199,8 +199,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     as one row.
     """
     groups = near_duplicates(docs, id_col, text_col, shingle)
-    gone = groups.where(F.col("id") != F.col("component")).select(F.col("id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = groups.where(F.col("id") != F.col("component")).select(F.col("id").alias("__tessera_gone")).distinct()
+    left = docs.join(gone, F.col(id_col).cast("long") == F.col("__tessera_gone"), "left_anti")
     return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
 
 
