@@ -7,24 +7,33 @@ from pyspark.sql import functions as F
 
 from .usage import at, percent
 
-N = F.count(F.lit(1))
-APPROVED, ACTIVE = F.col("status") == "approved", F.col("status") == "active"
+
+def rows_():
+    return F.count(F.lit(1))
+
+
+def approved():
+    return F.col("status") == "approved"
+
+
+def active():
+    return F.col("status") == "active"
 
 
 def feedback_totals(feedbacks: DataFrame) -> DataFrame:
     positive = F.count_if(F.col("rating") == 1)
-    return feedbacks.agg(N.alias("total"), positive.alias("positive"), F.count_if(F.col("rating") == -1).alias("negative"), percent(positive, N).alias("satisfaction"))
+    return feedbacks.agg(rows_().alias("total"), positive.alias("positive"), F.count_if(F.col("rating") == -1).alias("negative"), percent(positive, rows_()).alias("satisfaction"))
 
 
 def rated(feedbacks: DataFrame, key: str, least: int, n: int, best: bool = True) -> DataFrame:
     """The n best or worst keys by mean rating, of those with at least `least` ratings; ties by key."""
-    groups = feedbacks.where(F.col(key).isNotNull()).groupBy(key).agg(F.avg("rating").alias("_avg"), N.alias("count")).where(F.col("count") >= least)
+    groups = feedbacks.where(F.col(key).isNotNull()).groupBy(key).agg(F.avg("rating").alias("_avg"), rows_().alias("count")).where(F.col("count") >= least)
     return groups.orderBy(F.desc("_avg") if best else F.asc("_avg"), key).limit(n).select(key, F.round("_avg", 6).alias("avg_rating"), "count")
 
 
 def feedback_trend(feedbacks: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     recent = feedbacks.where(F.col("created_at") >= at(as_of) - F.make_dt_interval(F.lit(days)))
-    return recent.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(N.alias("total"), F.count_if(F.col("rating") == 1).alias("positive"), F.count_if(F.col("rating") == -1).alias("negative"))
+    return recent.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(rows_().alias("total"), F.count_if(F.col("rating") == 1).alias("positive"), F.count_if(F.col("rating") == -1).alias("negative"))
 
 
 def valid_feedback(feedbacks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -48,7 +57,7 @@ def monthly_chart(df: DataFrame, ts: str, value: Column, as_of: str, months: int
 
 
 def is_active(as_of: str) -> Column:
-    return ACTIVE & (F.col("ends_at") > at(as_of))
+    return active() & (F.col("ends_at") > at(as_of))
 
 
 def days_left(as_of: str) -> Column:
@@ -61,18 +70,18 @@ def renewed() -> Column:
 
 def recurring_revenue() -> Column:
     amount = F.col("amount").cast("double")
-    return F.round(F.sum(F.when(ACTIVE, F.when(F.col("billing_cycle") == "monthly", amount).otherwise(amount / 12))), 2)
+    return F.round(F.sum(F.when(active(), F.when(F.col("billing_cycle") == "monthly", amount).otherwise(amount / 12))), 2)
 
 
 def churn(subscriptions: DataFrame, as_of: str) -> DataFrame:
     cancelled = F.count_if((F.col("status") == "cancelled") & in_month("cancelled_at", as_of))
-    return subscriptions.agg(percent(cancelled, F.count_if(ACTIVE), digits=6).alias("churn"))
+    return subscriptions.agg(percent(cancelled, F.count_if(active()), digits=6).alias("churn"))
 
 
 def conversion(users: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Users with an active subscription, in percent of all."""
-    paying = users.join(subscriptions.where(ACTIVE).select(F.col("user_id").alias("id")), "id", "left_semi")
-    return users.agg(N.alias("users")).crossJoin(paying.agg(N.alias("paying"))).select("users", "paying", percent(F.col("paying"), F.col("users"), digits=6).alias("conversion"))
+    paying = users.join(subscriptions.where(active()).select(F.col("user_id").alias("id")), "id", "left_semi")
+    return users.agg(rows_().alias("users")).crossJoin(paying.agg(rows_().alias("paying"))).select("users", "paying", percent(F.col("paying"), F.col("users"), digits=6).alias("conversion"))
 
 
 def costed(usage: DataFrame, providers: DataFrame, multiplier: float = 1.0, markup: Column | None = None) -> DataFrame:
@@ -105,7 +114,7 @@ def charge_in_order(charges: DataFrame, limit: int, keys: tuple[str, ...], order
 
     Charges of one key are folded in one place; a key is one user's month, which bounds it.
     """
-    one = F.struct(*order, F.col(id_col).alias("id"), F.col(amount).cast("long").alias("amount"))
+    one = F.struct(F.struct(*order).alias("order"), F.col(id_col).alias("id"), F.col(amount).cast("long").alias("amount"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id:bigint,accepted:boolean>>").alias("done"))
 
     def step(acc, x):
@@ -119,8 +128,7 @@ def charge_in_order(charges: DataFrame, limit: int, keys: tuple[str, ...], order
 
 def current_subscription(payments: DataFrame) -> DataFrame:
     """What approvals in order leave each user with: the last approved payment's, with the number of replaced ones."""
-    approved = payments.where(APPROVED)
-    return approved.groupBy("user_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("payment_id"), (N - 1).alias("replaced"))
+    return payments.where(approved()).groupBy("user_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("payment_id"), (rows_() - 1).alias("replaced"))
 
 
 #: Percentage done after each step of a job.
@@ -160,7 +168,7 @@ def masked(key: Column) -> Column:
 
 
 def with_chunk_counts(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    counts = chunks.groupBy(F.col("document_id").alias("id")).agg(N.alias("chunks"))
+    counts = chunks.groupBy(F.col("document_id").alias("id")).agg(rows_().alias("chunks"))
     return docs.join(counts, "id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0).cast("long")))
 
 

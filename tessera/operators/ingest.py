@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
-N = F.count(F.lit(1))
+
+def rows_():
+    return F.count(F.lit(1))
 #: Names that Windows reserves.
 RESERVED = ("CON", "PRN", "AUX", "NUL", *(f"{p}{i}" for p in ("COM", "LPT") for i in range(1, 10)))
 #: MIME types that uploads may have.
@@ -59,7 +61,7 @@ def stored(frame: DataFrame, path: str, partitions: list[str] | None = None) ->
 def batch_summary(results: DataFrame, key: str) -> DataFrame:
     """(key, total, succeeded, failed, chunks, percent). results: key, ok, chunks."""
     ok = F.count_if("ok")
-    return results.groupBy(key).agg(N.alias("total"), ok.alias("succeeded"), (N - ok).alias("failed"), F.sum("chunks").alias("chunks"), F.round(ok * 100.0 / N, 2).alias("percent"))
+    return results.groupBy(key).agg(rows_().alias("total"), ok.alias("succeeded"), (rows_() - ok).alias("failed"), F.sum("chunks").alias("chunks"), F.round(ok * 100.0 / rows_(), 2).alias("percent"))
 
 
 def merged_text(files: DataFrame, key: str, order: str, name: str, text: str) -> DataFrame:
@@ -71,7 +73,7 @@ def merged_text(files: DataFrame, key: str, order: str, name: str, text: str) ->
 
 def upload_status(docs: DataFrame, chunks: DataFrame, expected: Column) -> DataFrame:
     """(id, chunks, status, progress)."""
-    counts = chunks.groupBy(F.col("document_id").alias("id")).agg(N.alias("chunks"))
+    counts = chunks.groupBy(F.col("document_id").alias("id")).agg(rows_().alias("chunks"))
     joined = docs.join(counts, "id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0).cast("long")))
     return joined.select("id", "chunks", F.when(F.col("chunks") > 0, "completed").otherwise("processing").alias("status"), F.round(F.least(F.lit(100.0), F.coalesce(F.try_divide(F.col("chunks") * 100.0, expected), F.lit(0.0))), 2).alias("progress"))
 

@@ -45,10 +45,15 @@ def phrase_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top_per(hits, ["query_id"], k, F.col("id")).select("query_id", "rank", "id", F.lit(1.0).alias("score"))
 
 
-def inverted_index(chunks: DataFrame) -> DataFrame:
-    """(token, id, tf, len): postings of the chunks' tokens, to be kept bucketed by token where searches repeat."""
+def inverted_index(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(token, id, tf, len): postings of the chunks' tokens, to be kept bucketed by token where searches repeat.
+
+    With a small frame `only` of tokens, other tokens go before anything is counted or moved.
+    """
     words = chunks.select("id", T.query_tokens(F.col("content"), ("",)).alias("w"))
-    return words.select("id", F.size("w").alias("len"), F.explode("w").alias("token")).groupBy("token", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    tokens = words.select("id", F.size("w").alias("len"), F.explode("w").alias("token"))
+    tokens = tokens if only is None else tokens.join(F.broadcast(only), "token", "left_semi")
+    return tokens.groupBy("token", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def full_text(chunks: DataFrame, queries: DataFrame, k: int, all_and: bool = False) -> DataFrame:
@@ -64,7 +69,7 @@ def full_text(chunks: DataFrame, queries: DataFrame, k: int, all_and: bool = Fal
     short = F.size("tokens") <= 3
     asked = asked.withColumn("strict", F.when(short, F.col("tokens")).otherwise(F.col("important"))).withColumn("two", F.when(short, F.array().cast("array<string>")).otherwise(F.slice("important", 1, 2)))
     wanted = asked.select("query_id", "strict", "two", F.explode("tokens").alias("token"))
-    hits = inverted_index(chunks).join(F.broadcast(wanted), "token").groupBy("query_id", "id").agg(
+    hits = inverted_index(chunks, wanted.select("token")).join(F.broadcast(wanted), "token").groupBy("query_id", "id").agg(
         F.sum(F.log1p("tf")).alias("s"), F.first("len").alias("len"), F.first("strict").alias("strict"), F.first("two").alias("two"),
         F.count_if(F.array_contains("strict", F.col("token"))).alias("n_strict"), F.count_if(F.array_contains("two", F.col("token"))).alias("n_two"),
     )

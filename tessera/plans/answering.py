@@ -10,8 +10,13 @@ from .lexical import of
 from .registry import register
 from .vectors import search_sql
 
-N = F.count(F.lit(1))
-CONTENT = F.col("content")
+
+def rows_():
+    return F.count(F.lit(1))
+
+
+def content():
+    return F.col("content")
 #: Four short documents, one for each answer mode: summary, list, quote, table.
 FIXTURES = [
     (9001, 0, "The first plan covers storage and retrieval. It was approved in March. Costs stay flat."), (9001, 1, "The second plan adds search. It starts in June."), (9002, 0, "1. Collect\n2. Clean\n3. Split\n4. Embed\n5. Store"),
@@ -44,10 +49,15 @@ register("F04_sentences", lambda t: t.load("documents").select("doc_id", F.size(
 register("F04b_loose_sentences", lambda t: t.load("documents").select("doc_id", F.posexplode(A.loose_sentences(F.col("text"))).alias("pos", "sentence")).select("doc_id", "pos", F.md5("sentence").alias("digest")))
 register("F05_best_sentence", lambda t: A.best_sentence(A.combined(window(t, "direct"), ["query_id"]).join(t.queries, "query_id")))
 register("F06_extractive_summary", lambda t: A.combined(t.chunks, ["document_id"]).select("document_id", *(F.md5(A.summary(F.col("text"), n)).alias(n) for n in A.SUMMARY_SENTENCES)), rf"WITH c AS (SELECT document_id, regexp_replace(string_agg({of(FIX, 'content')}, chr(10) ORDER BY ord), '^\s+|\s+$', '', 'g') AS text FROM chunks GROUP BY 1), s AS (SELECT document_id, {of(SENT, 'text')} AS s FROM c) SELECT document_id, " + ", ".join(f"md5(CASE WHEN len(s) > 0 THEN array_to_string(s[1:{n}], ' ') ELSE '{A.NOTHING}' END) AS {k}" for k, n in A.SUMMARY_SENTENCES.items()) + " FROM s")
-numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((i % 7 + 1).cast("string"), F.lit(") "), F.substring(x, 1, 60))), "\n")
+
+
+def numbered():
+    return F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((i % 7 + 1).cast("string"), F.lit(") "), F.substring(x, 1, 60))), "\n")
+
+
 TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 LINES = "SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)"
-register("F07_numbered_lines", lambda t: A.numbered_lines(t.load("documents").withColumn("text", numbered), "doc_id", "text"), rf"WITH l AS (SELECT doc_id, pos, (pos % 7 + 1)::INT AS number, {of(TRIM, 'substring(line, 1, 60)')} AS v FROM ({LINES})), m AS (SELECT doc_id, number, trim(regexp_replace(arg_max(v, pos), '\s+', ' ', 'g'), ' -–—') AS item FROM l WHERE v <> '' GROUP BY 1, 2) SELECT * FROM m WHERE item <> ''")
+register("F07_numbered_lines", lambda t: A.numbered_lines(t.load("documents").withColumn("text", numbered()), "doc_id", "text"), rf"WITH l AS (SELECT doc_id, pos, (pos % 7 + 1)::INT AS number, {of(TRIM, 'substring(line, 1, 60)')} AS v FROM ({LINES})), m AS (SELECT doc_id, number, trim(regexp_replace(arg_max(v, pos), '\s+', ' ', 'g'), ' -–—') AS item FROM l WHERE v <> '' GROUP BY 1, 2) SELECT * FROM m WHERE item <> ''")
 
 
 def inline(t):
@@ -56,11 +66,21 @@ def inline(t):
 
 
 register("F07b_inline_numbers", inline)
-pairs = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("Key "), (i % 5).cast("string"), F.lit(": "), F.substring(x, 1, 40))), "\n")
+
+
+def pairs():
+    return F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("Key "), (i % 5).cast("string"), F.lit(": "), F.substring(x, 1, 40))), "\n")
+
+
 KV = rf"SELECT doc_id, 'Key ' || pos % 5 AS name, arg_max({of(TRIM, 'substring(line, 1, 40)')}, pos) AS value, max(pos)::INT AS pos FROM ({LINES}) WHERE {of(TRIM, 'substring(line, 1, 40)')} <> '' GROUP BY 1, 2"
-register("F08_key_values", lambda t: A.key_values(t.load("documents").withColumn("text", pairs), "doc_id", "text"), KV)
-SAID = F.when(F.col("document_id") % 3 == 0, F.concat(F.lit("a “"), F.substring("content", 1, 30), F.lit("” b"))).when(F.col("document_id") % 3 == 1, CONTENT).otherwise("")
-register("F09_quote", lambda t: t.chunks.where("ord = 0").select("id", F.md5(A.quote(SAID)).alias("digest")))
+register("F08_key_values", lambda t: A.key_values(t.load("documents").withColumn("text", pairs()), "doc_id", "text"), KV)
+
+
+def said():
+    return F.when(F.col("document_id") % 3 == 0, F.concat(F.lit("a “"), F.substring("content", 1, 30), F.lit("” b"))).when(F.col("document_id") % 3 == 1, content()).otherwise("")
+
+
+register("F09_quote", lambda t: t.chunks.where("ord = 0").select("id", F.md5(A.quote(said())).alias("digest")))
 register("F10_best_chunk", best, BEST)
 register("F11_list_cut", lambda t: t.load("documents").select("doc_id", *(F.size(F.slice(F.split("text", "\n"), 1, n)).alias(k) for k, n in A.LIST_ITEMS.items())), "SELECT doc_id, least(6, n)::INT AS short, least(15, n)::INT AS medium FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents)")
 
@@ -85,8 +105,8 @@ bulleted = lambda t: t.load("documents").where("doc_id < 300").select(F.col("doc
 register("F15_bullet_candidates", lambda t: A.bullet_candidates(bulleted(t)).select("document_id", "ord", F.md5("text").alias("digest"), "score"))
 STOP = ", ".join(f"'{w}'" for w in sorted(A.BULLET_STOP))
 TOK = rf"list_filter(regexp_split_to_array(regexp_replace(lower(content), '[^\p{{L}}\p{{N}}\s]+', ' ', 'g'), '\s+'), lambda w: w <> '' AND w NOT IN ({STOP}))"
-register("F16_sentence_score", lambda t: t.chunks.select("id", F.round(A.sentence_score(CONTENT), 6).alias("score")), f"SELECT id, round(len(list_filter(t, lambda w: " + " OR ".join(f"contains(w, '{k}')" for k in A.SCORE_WORDS) + f")) + least(len(t), 30) / 30.0::DOUBLE, 6) AS score FROM (SELECT id, {TOK} AS t FROM chunks)")
-register("F17_topic", lambda t: t.chunks.select("id", A.topic(CONTENT).alias("topic")).groupBy("topic").agg(N.alias("n")))
+register("F16_sentence_score", lambda t: t.chunks.select("id", F.round(A.sentence_score(content()), 6).alias("score")), f"SELECT id, round(len(list_filter(t, lambda w: " + " OR ".join(f"contains(w, '{k}')" for k in A.SCORE_WORDS) + f")) + least(len(t), 30) / 30.0::DOUBLE, 6) AS score FROM (SELECT id, {TOK} AS t FROM chunks)")
+register("F17_topic", lambda t: t.chunks.select("id", A.topic(content()).alias("topic")).groupBy("topic").agg(rows_().alias("n")))
 
 
 def answered(t):
@@ -111,6 +131,6 @@ def answered(t):
 
 
 register("F18_answers", answered)
-register("F19_video_context", lambda t: t.chunks.withColumn("all", F.sum(F.octet_length("content")).over(Window.partitionBy("document_id"))).where("all <= 20000 OR ord < 15").groupBy("document_id").agg(N.alias("chunks"), F.sum(F.octet_length("content")).alias("bytes")), "SELECT document_id, count(*) AS chunks, sum(strlen(content))::BIGINT AS bytes FROM (SELECT *, sum(strlen(content)) OVER (PARTITION BY document_id) AS a FROM chunks) WHERE a <= 20000 OR ord < 15 GROUP BY 1")
+register("F19_video_context", lambda t: t.chunks.withColumn("all", F.sum(F.octet_length("content")).over(Window.partitionBy("document_id"))).where("all <= 20000 OR ord < 15").groupBy("document_id").agg(rows_().alias("chunks"), F.sum(F.octet_length("content")).alias("bytes")), "SELECT document_id, count(*) AS chunks, sum(strlen(content))::BIGINT AS bytes FROM (SELECT *, sum(strlen(content)) OVER (PARTITION BY document_id) AS a FROM chunks) WHERE a <= 20000 OR ord < 15 GROUP BY 1")
 register("F20_hints", lambda t: A.hints(t.chunks), r"WITH f AS (SELECT document_id, ord, list_filter(regexp_split_to_array(content, '\s+'), lambda w: w <> '') AS a, list_filter(regexp_split_to_array(substring(content, 1, 200), '\s+'), lambda w: length(w) > 4) AS w FROM chunks WHERE ord < 5), u AS (SELECT document_id, w, min((ord, i)) AS first FROM (SELECT document_id, ord, unnest(range(len(w))) AS i, unnest(w) AS w FROM f) GROUP BY 1, 2), h AS (SELECT document_id, string_agg(w, ' ' ORDER BY first) AS hints FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY first) AS n FROM u) WHERE n <= 8 GROUP BY 1) SELECT f.document_id, sum(len(a))::BIGINT AS words, coalesce(any_value(hints), '') AS hints FROM f LEFT JOIN h USING (document_id) GROUP BY 1")
 register("F21_display_cut", lambda t: vector_branch(t, 5).join(F.broadcast(t.frame([(0, 5), (1, 3), (2, 2), (3, 5), (4, 3)], "query_id int, shown int")), "query_id").where("rank <= shown").select("query_id", "rank", F.concat(F.format_number(F.col("similarity") * 100, 1), F.lit("%")).alias("share")), f"SELECT query_id, rank, printf('%.1f', similarity * 100) || '%' AS share FROM ({VEC}) WHERE rank <= ([5, 3, 2, 5, 3])[query_id + 1]")

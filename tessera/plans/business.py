@@ -7,7 +7,11 @@ from tessera.operators.usage import at, percent
 
 from .registry import register
 
-N = F.count(F.lit(1))
+
+def rows_():
+    return F.count(F.lit(1))
+
+
 EVENTS, ORDERS = "2024-01-31 00:00:00", "2001-08-01 00:00:00"
 
 register("H30_feedback_totals", lambda t: B.feedback_totals(t.feedbacks), "SELECT count(*) AS total, count(*) FILTER (WHERE rating = 1) AS positive, count(*) FILTER (WHERE rating = -1) AS negative, round(count(*) FILTER (WHERE rating = 1) * 100.0::DOUBLE / count(*), 2) AS satisfaction FROM rag_feedbacks")
@@ -19,40 +23,40 @@ register("H32b_recent_feedback", lambda t: t.feedbacks.orderBy(F.desc("created_a
 register("H33_store_feedback", lambda t: B.valid_feedback(t.feedbacks, t.docs.where("id % 3 = 0")).select("id", "document_id", "rating"), "SELECT id, document_id, rating FROM rag_feedbacks f WHERE rating IN (1, -1) AND length(trim(query)) > 0 AND (document_id IS NULL OR EXISTS (SELECT 1 FROM docs d WHERE d.id = f.document_id AND d.id % 3 = 0))")
 register(
     "H34_admin_totals",
-    lambda t: t.users.agg(N.alias("users"), F.count_if("is_admin").alias("admins"))
-    .crossJoin(t.docs.agg(N.alias("documents"), F.count_if(B.in_month("created_at", "2024-01-31 00:00:00", year=False)).alias("documents_this_month")))
-    .crossJoin(t.chunks.agg(N.alias("chunks")))
-    .crossJoin(t.subscriptions.agg(N.alias("subscriptions"), F.count_if(B.ACTIVE).alias("active_subscriptions"), F.count_if(F.col("status") == "cancelled").alias("cancelled_subscriptions")))
-    .crossJoin(t.payments.agg(N.alias("payments"), F.count_if(B.APPROVED).alias("approved_payments"), F.count_if(F.col("status") == "pending").alias("pending_payments"), F.round(F.sum(F.when(B.APPROVED, F.col("amount"))).cast("double"), 2).alias("revenue"))),
+    lambda t: t.users.agg(rows_().alias("users"), F.count_if("is_admin").alias("admins"))
+    .crossJoin(t.docs.agg(rows_().alias("documents"), F.count_if(B.in_month("created_at", "2024-01-31 00:00:00", year=False)).alias("documents_this_month")))
+    .crossJoin(t.chunks.agg(rows_().alias("chunks")))
+    .crossJoin(t.subscriptions.agg(rows_().alias("subscriptions"), F.count_if(B.active()).alias("active_subscriptions"), F.count_if(F.col("status") == "cancelled").alias("cancelled_subscriptions")))
+    .crossJoin(t.payments.agg(rows_().alias("payments"), F.count_if(B.approved()).alias("approved_payments"), F.count_if(F.col("status") == "pending").alias("pending_payments"), F.round(F.sum(F.when(B.approved(), F.col("amount"))).cast("double"), 2).alias("revenue"))),
     "SELECT * FROM (SELECT count(*) AS users, count(*) FILTER (WHERE is_admin) AS admins FROM users), (SELECT count(*) AS documents, count(*) FILTER (WHERE month(created_at) = 1) AS documents_this_month FROM docs), (SELECT count(*) AS chunks FROM chunks), (SELECT count(*) AS subscriptions, count(*) FILTER (WHERE status = 'active') AS active_subscriptions, count(*) FILTER (WHERE status = 'cancelled') AS cancelled_subscriptions FROM subscriptions), (SELECT count(*) AS payments, count(*) FILTER (WHERE status = 'approved') AS approved_payments, count(*) FILTER (WHERE status = 'pending') AS pending_payments, round(sum(amount) FILTER (WHERE status = 'approved')::DOUBLE, 2) AS revenue FROM payments)",
 )
 CAL = "(SELECT unnest(generate_series(TIMESTAMP '{0}', TIMESTAMP '2001-08-01', INTERVAL 1 MONTH)) AS m)"
-register("H35_revenue_chart", lambda t: B.monthly_chart(t.payments.where(B.APPROVED), "created_at", F.sum("amount"), ORDERS, 6), f"SELECT strftime(c.m, '%Y-%m') AS month, coalesce(v, 0)::DOUBLE AS value FROM {CAL.format('2001-03-01')} c LEFT JOIN (SELECT date_trunc('month', created_at) AS m, sum(amount) AS v FROM payments WHERE status = 'approved' GROUP BY 1) s ON s.m = c.m")
+register("H35_revenue_chart", lambda t: B.monthly_chart(t.payments.where(B.approved()), "created_at", F.sum("amount"), ORDERS, 6), f"SELECT strftime(c.m, '%Y-%m') AS month, coalesce(v, 0)::DOUBLE AS value FROM {CAL.format('2001-03-01')} c LEFT JOIN (SELECT date_trunc('month', created_at) AS m, sum(amount) AS v FROM payments WHERE status = 'approved' GROUP BY 1) s ON s.m = c.m")
 register("H35b_users_chart", lambda t: B.monthly_chart(t.subscriptions, "starts_at", F.count_distinct("user_id"), ORDERS, 6), f"SELECT strftime(c.m, '%Y-%m') AS month, coalesce(v, 0)::DOUBLE AS value FROM {CAL.format('2001-03-01')} c LEFT JOIN (SELECT date_trunc('month', starts_at) AS m, count(DISTINCT user_id) AS v FROM subscriptions GROUP BY 1) s ON s.m = c.m")
-register("H36_payment_stats", lambda t: B.monthly_chart(t.payments.where(B.APPROVED), "created_at", F.sum("amount"), ORDERS, 12).crossJoin(t.payments.agg(percent(F.count_if(B.APPROVED), N).alias("conversion"))), f"SELECT strftime(c.m, '%Y-%m') AS month, coalesce(v, 0)::DOUBLE AS value, k.conversion FROM {CAL.format('2000-09-01')} c LEFT JOIN (SELECT date_trunc('month', created_at) AS m, sum(amount) AS v FROM payments WHERE status = 'approved' GROUP BY 1) s ON s.m = c.m, (SELECT round(count(*) FILTER (WHERE status = 'approved') * 100.0::DOUBLE / count(*), 2) AS conversion FROM payments) k")
-register("H36b_status_chart", lambda t: t.payments.groupBy("status").agg(N.alias("count")), "SELECT status, count(*) AS count FROM payments GROUP BY 1")
+register("H36_payment_stats", lambda t: B.monthly_chart(t.payments.where(B.approved()), "created_at", F.sum("amount"), ORDERS, 12).crossJoin(t.payments.agg(percent(F.count_if(B.approved()), rows_()).alias("conversion"))), f"SELECT strftime(c.m, '%Y-%m') AS month, coalesce(v, 0)::DOUBLE AS value, k.conversion FROM {CAL.format('2000-09-01')} c LEFT JOIN (SELECT date_trunc('month', created_at) AS m, sum(amount) AS v FROM payments WHERE status = 'approved' GROUP BY 1) s ON s.m = c.m, (SELECT round(count(*) FILTER (WHERE status = 'approved') * 100.0::DOUBLE / count(*), 2) AS conversion FROM payments) k")
+register("H36b_status_chart", lambda t: t.payments.groupBy("status").agg(rows_().alias("count")), "SELECT status, count(*) AS count FROM payments GROUP BY 1")
 for name, n, active in (("H37_popular_plans", 5, False), ("H37b_active_plans", 3, True)):
     register(
         name,
-        lambda t, n=n, active=active: t.subscriptions.where(B.ACTIVE if active else F.lit(True)).join(t.users.select(F.col("id").alias("user_id"), "plan_name"), "user_id").groupBy("plan_name").agg(N.alias("count")).orderBy(F.desc("count"), "plan_name").limit(n),
+        lambda t, n=n, active=active: t.subscriptions.where(B.active() if active else F.lit(True)).join(t.users.select(F.col("id").alias("user_id"), "plan_name"), "user_id").groupBy("plan_name").agg(rows_().alias("count")).orderBy(F.desc("count"), "plan_name").limit(n),
         f"SELECT plan_name, count(*) AS count FROM subscriptions s JOIN users u ON u.id = s.user_id {'WHERE status = ' + chr(39) + 'active' + chr(39) if active else ''} GROUP BY 1 ORDER BY count DESC, 1 LIMIT {n}",
     )
-register("H38_payment_methods", lambda t: t.payments.where(B.APPROVED).groupBy("payment_method").agg(N.alias("count"), F.round(F.sum("amount").cast("double"), 2).alias("total")), "SELECT payment_method, count(*) AS count, round(sum(amount)::DOUBLE, 2) AS total FROM payments WHERE status = 'approved' GROUP BY 1")
-register("H38b_subscription_status", lambda t: t.subscriptions.groupBy("status").agg(N.alias("count")), "SELECT status, count(*) AS count FROM subscriptions GROUP BY 1")
+register("H38_payment_methods", lambda t: t.payments.where(B.approved()).groupBy("payment_method").agg(rows_().alias("count"), F.round(F.sum("amount").cast("double"), 2).alias("total")), "SELECT payment_method, count(*) AS count, round(sum(amount)::DOUBLE, 2) AS total FROM payments WHERE status = 'approved' GROUP BY 1")
+register("H38b_subscription_status", lambda t: t.subscriptions.groupBy("status").agg(rows_().alias("count")), "SELECT status, count(*) AS count FROM subscriptions GROUP BY 1")
 register("H39_recurring_revenue", lambda t: t.subscriptions.agg(B.recurring_revenue().alias("mrr")), "SELECT round(sum(CASE WHEN billing_cycle = 'monthly' THEN amount::DOUBLE ELSE amount::DOUBLE / 12 END) FILTER (WHERE status = 'active'), 2) AS mrr FROM subscriptions")
 register("H40_churn", lambda t: B.churn(t.subscriptions, "2001-07-15 00:00:00"), "SELECT round(count(*) FILTER (WHERE status = 'cancelled' AND date_trunc('month', cancelled_at) = TIMESTAMP '2001-07-01') * 100.0::DOUBLE / count(*) FILTER (WHERE status = 'active'), 6) AS churn FROM subscriptions")
 register("H40b_conversion", lambda t: B.conversion(t.users, t.subscriptions), "SELECT users, paying, round(paying * 100.0::DOUBLE / users, 6) AS conversion FROM (SELECT count(*) AS users, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM subscriptions s WHERE s.user_id = u.id AND status = 'active')) AS paying FROM users u)")
 register(
     "H41_finance",
-    lambda t: t.payments.where(B.APPROVED).agg(F.round(F.sum("amount").cast("double"), 2).alias("total"), F.round(F.sum(F.when(B.in_month("created_at", "2001-07-15 00:00:00"), F.col("amount"))).cast("double"), 2).alias("month"), F.round(F.avg(F.col("amount").cast("double")), 4).alias("ticket")).crossJoin(t.subscriptions.agg(N.alias("subscriptions"), F.count_if(B.ACTIVE).alias("active"))),
+    lambda t: t.payments.where(B.approved()).agg(F.round(F.sum("amount").cast("double"), 2).alias("total"), F.round(F.sum(F.when(B.in_month("created_at", "2001-07-15 00:00:00"), F.col("amount"))).cast("double"), 2).alias("month"), F.round(F.avg(F.col("amount").cast("double")), 4).alias("ticket")).crossJoin(t.subscriptions.agg(rows_().alias("subscriptions"), F.count_if(B.active()).alias("active"))),
     "SELECT * FROM (SELECT round(sum(amount)::DOUBLE, 2) AS total, round(sum(amount) FILTER (WHERE date_trunc('month', created_at) = TIMESTAMP '2001-07-01')::DOUBLE, 2) AS month, round(avg(amount::DOUBLE), 4) AS ticket FROM payments WHERE status = 'approved'), (SELECT count(*) AS subscriptions, count(*) FILTER (WHERE status = 'active') AS active FROM subscriptions)",
 )
 COST = "SELECT u.*, p.*, u.input_tokens / 1000 * input_cost + u.output_tokens / 1000 * output_cost AS base_cost FROM ai_usage u JOIN providers p USING (provider)"
-register("H42_ai_cost", lambda t: B.costed(t.usage, t.providers, 1.5).groupBy("provider").agg(N.alias("n"), F.round(F.sum("base_cost"), 4).alias("base"), F.round(F.sum("final_price"), 4).alias("price")), f"SELECT provider, count(*) AS n, round(sum(base_cost), 4) AS base, round(sum(base_cost * 1.5 * (1 + base_markup / 100)), 4) AS price FROM ({COST}) GROUP BY 1")
+register("H42_ai_cost", lambda t: B.costed(t.usage, t.providers, 1.5).groupBy("provider").agg(rows_().alias("n"), F.round(F.sum("base_cost"), 4).alias("base"), F.round(F.sum("final_price"), 4).alias("price")), f"SELECT provider, count(*) AS n, round(sum(base_cost), 4) AS base, round(sum(base_cost * 1.5 * (1 + base_markup / 100)), 4) AS price FROM ({COST}) GROUP BY 1")
 register(
     "H42b_ai_cost_by_plan",
     lambda t: B.costed(
-        t.usage.join(t.subscriptions.where(B.ACTIVE).select(F.col("id").alias("order_id"), "user_id"), "order_id", "left").join(t.users.select(F.col("id").alias("user_id"), "plan_name"), "user_id", "left").join(F.broadcast(t.plans), "plan_name", "left"), t.providers, 1.5, F.col("margin"),
+        t.usage.join(t.subscriptions.where(B.active()).select(F.col("id").alias("order_id"), "user_id"), "order_id", "left").join(t.users.select(F.col("id").alias("user_id"), "plan_name"), "user_id", "left").join(F.broadcast(t.plans), "plan_name", "left"), t.providers, 1.5, F.col("margin"),
     ).groupBy("provider", "plan_name").agg(F.round(F.sum("final_price"), 4).alias("price"), F.round(F.sum(B.clamped_price()), 4).alias("clamped")),
     f"SELECT provider, plan_name, round(sum(base_cost * 1.5 * (1 + coalesce(margin, base_markup) / 100)), 4) AS price, round(sum(base_cost * (1 + least(greatest(coalesce(margin, base_markup), min_markup), max_markup) / 100)), 4) AS clamped FROM ({COST}) c LEFT JOIN (SELECT * FROM subscriptions WHERE status = 'active') s ON s.id = c.order_id LEFT JOIN users u ON u.id = s.user_id LEFT JOIN plans l USING (plan_name) GROUP BY 1, 2",
 )
@@ -77,7 +81,7 @@ register(
         "event_id", B.job_progress(F.slice(F.array(*map(F.lit, B.STEPS)), 1, F.col("k") % 6)).alias("progress"), B.stale(F.col("ts"), F.when(F.col("k") % 2 == 0, "processing").otherwise("completed"), "2024-01-10 00:00:00").alias("stale")),
     f"SELECT event_id, ([0, 20, 40, 70, 90, 100])[k % 6 + 1] AS progress, k % 2 = 0 AND ts < TIMESTAMP '2024-01-10' - INTERVAL 1 HOUR AS stale FROM ({JOB})",
 )
-register("H47b_job_quota", lambda t: t.load("events").where("event_type = 'purchase'").groupBy("user_id").agg(F.greatest(F.lit(0).cast("long"), 10 - F.count_if(F.to_date("ts") == F.lit("2024-01-15").cast("date"))).alias("today_left"), F.greatest(F.lit(0).cast("long"), 20 - N).alias("month_left")), "SELECT user_id, greatest(0, 10 - count(*) FILTER (WHERE ts::DATE = DATE '2024-01-15')) AS today_left, greatest(0, 20 - count(*)) AS month_left FROM events WHERE event_type = 'purchase' GROUP BY 1")
+register("H47b_job_quota", lambda t: t.load("events").where("event_type = 'purchase'").groupBy("user_id").agg(F.greatest(F.lit(0).cast("long"), 10 - F.count_if(F.to_date("ts") == F.lit("2024-01-15").cast("date"))).alias("today_left"), F.greatest(F.lit(0).cast("long"), 20 - rows_()).alias("month_left")), "SELECT user_id, greatest(0, 10 - count(*) FILTER (WHERE ts::DATE = DATE '2024-01-15')) AS today_left, greatest(0, 20 - count(*)) AS month_left FROM events WHERE event_type = 'purchase' GROUP BY 1")
 MB = "(o_totalprice / 1000)"
 
 
@@ -102,6 +106,6 @@ register("H58_usage_cost", lambda t: t.metrics.agg((F.count_if(F.col("type") ==
 register("H59_masked_identity", lambda t: t.users.select("id", B.masked(F.concat(F.lit("rag_"), F.md5("email"))).alias("masked"), F.substring(F.sha2("email", 256), 1, 16).alias("identity")), "SELECT id, substring('rag_' || md5(email), 1, 7) || '...' || right(md5(email), 4) AS masked, substring(sha256(email), 1, 16) AS identity FROM users")
 register(
     "H61_jobs",
-    lambda t: t.load("events").select(F.col("event_type").alias("kind"), F.element_at(F.array(*map(F.lit, ("pending", "processing", "completed", "failed"))), (F.get_json_object("props", "$.k").cast("int") % 4 + 1)).alias("status"), "ts").where(~(F.col("status").isin("completed", "failed") & (F.col("ts") < at("2024-01-30 00:00:00") - F.expr("INTERVAL '24' HOUR")))).groupBy("kind", "status").agg(N.alias("jobs")),
+    lambda t: t.load("events").select(F.col("event_type").alias("kind"), F.element_at(F.array(*map(F.lit, ("pending", "processing", "completed", "failed"))), (F.get_json_object("props", "$.k").cast("int") % 4 + 1)).alias("status"), "ts").where(~(F.col("status").isin("completed", "failed") & (F.col("ts") < at("2024-01-30 00:00:00") - F.expr("INTERVAL '24' HOUR")))).groupBy("kind", "status").agg(rows_().alias("jobs")),
     "SELECT kind, status, count(*) AS jobs FROM (SELECT event_type AS kind, (['pending', 'processing', 'completed', 'failed'])[(props ->> '$.k')::INT % 4 + 1] AS status, ts FROM events) WHERE NOT (status IN ('completed', 'failed') AND ts < TIMESTAMP '2024-01-30' - INTERVAL 24 HOURS) GROUP BY 1, 2",
 )

@@ -12,8 +12,15 @@ from .lexical import PLAIN, TOKENS, of
 from .registry import register
 from .vectors import ASKED, SIM, asked, search_sql
 
-N = F.count(F.lit(1))
-AS_OF = F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
+
+def rows_():
+    return F.count(F.lit(1))
+
+
+def as_of_():
+    return F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
+
+
 WORDS = ((0, "the and"), (1, "the that"), (2, "of erst"), (3, "die und"), (4, "de la"))
 WVALUES = "(VALUES " + ", ".join(map(str, WORDS)) + ") w(query_id, query)"
 
@@ -44,12 +51,17 @@ FUSED = f"""v AS ({VEC}), k AS ({KEY}),
 FINAL = "SELECT query_id, rank, id, document_id, round(s / top, 6) AS score, concat_ws(',', CASE WHEN vr IS NOT NULL THEN 'vector' END, CASE WHEN kr IS NOT NULL THEN 'keyword' END) AS sources FROM f WHERE rank <= {0}"
 register("E01_rank_fusion", lambda t: hybrid(t, 20), f"WITH {FUSED} {FINAL.format(20)}")
 register("E02_diversified", lambda t: E.diversified(vector_branch(t).withColumn("score", F.col("similarity"))).select("query_id", "id", "document_id"), f"WITH v AS ({VEC}) SELECT query_id, id, document_id FROM v QUALIFY row_number() OVER (PARTITION BY query_id, document_id ORDER BY similarity DESC, id) <= 3")
-register("E03_sources", lambda t: hybrid(t).groupBy("sources").agg(N.alias("n")), f"WITH {FUSED}, z AS ({FINAL.format(10)}) SELECT sources, count(*) AS n FROM z GROUP BY 1")
-FIELDS = {"title": F.when(F.col("document_id") % 2 == 0, "x"), "author": F.when(F.col("document_id") % 3 == 0, "y")}
-register("E04_boosted", lambda t: vector_branch(t).withColumn("boosted", F.round(E.boosted(F.col("similarity"), FIELDS, {"title": 1.2, "author": 1.5}), 6)).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("boosted"), "id"))).select("query_id", "id", "boosted", "place"), f"WITH v AS ({VEC}), b AS (SELECT query_id, id, round(similarity * CASE WHEN document_id % 2 = 0 THEN 1.2::DOUBLE ELSE 1 END * CASE WHEN document_id % 3 = 0 THEN 1.5::DOUBLE ELSE 1 END, 6) AS boosted FROM v) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, id)::INT AS place FROM b")
+register("E03_sources", lambda t: hybrid(t).groupBy("sources").agg(rows_().alias("n")), f"WITH {FUSED}, z AS ({FINAL.format(10)}) SELECT sources, count(*) AS n FROM z GROUP BY 1")
+
+
+def fields():
+    return {"title": F.when(F.col("document_id") % 2 == 0, "x"), "author": F.when(F.col("document_id") % 3 == 0, "y")}
+
+
+register("E04_boosted", lambda t: vector_branch(t).withColumn("boosted", F.round(E.boosted(F.col("similarity"), fields(), {"title": 1.2, "author": 1.5}), 6)).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("boosted"), "id"))).select("query_id", "id", "boosted", "place"), f"WITH v AS ({VEC}), b AS (SELECT query_id, id, round(similarity * CASE WHEN document_id % 2 = 0 THEN 1.2::DOUBLE ELSE 1 END * CASE WHEN document_id % 3 = 0 THEN 1.5::DOUBLE ELSE 1 END, 6) AS boosted FROM v) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, id)::INT AS place FROM b")
 DAYS = "date_diff('second', created_at, TIMESTAMP '2024-03-01') / 86400.0::DOUBLE"
 dated = lambda t: vector_branch(t).join(t.docs.select(F.col("id").alias("document_id"), "created_at"), "document_id")
-register("E05_time_decay", lambda t: dated(t).select("query_id", "id", F.round(E.decayed(F.col("similarity"), F.when(F.col("document_id") % 3 > 0, F.col("created_at")), AS_OF), 9).alias("score")), f"WITH v AS ({VEC}) SELECT query_id, v.id, round(CASE WHEN document_id % 3 > 0 THEN similarity * exp(-0.1 * {DAYS}) ELSE similarity END, 9) AS score FROM v JOIN docs d ON d.id = document_id")
+register("E05_time_decay", lambda t: dated(t).select("query_id", "id", F.round(E.decayed(F.col("similarity"), F.when(F.col("document_id") % 3 > 0, F.col("created_at")), as_of_()), 9).alias("score")), f"WITH v AS ({VEC}) SELECT query_id, v.id, round(CASE WHEN document_id % 3 > 0 THEN similarity * exp(-0.1 * {DAYS}) ELSE similarity END, 9) AS score FROM v JOIN docs d ON d.id = document_id")
 register("E06_quality_threshold", lambda t: hybrid(t, 50).where("score >= 0.9").select("query_id", "id"), f"WITH {FUSED}, z AS ({FINAL.format(50)}) SELECT query_id, id FROM z WHERE score >= 0.9")
 register("E07_hybrid_search", lambda t: hybrid(t).join(t.chunks.select("id", F.substring("content", 1, 200).alias("preview")), "id"), f"WITH {FUSED}, z AS ({FINAL.format(10)}) SELECT z.*, substring(content, 1, 200) AS preview FROM z JOIN chunks USING (id)")
 
@@ -67,19 +79,24 @@ register("E09_pseudo_cross_encoder", lambda t: candidates(t).select("query_id",
 QW = r"list_distinct(regexp_extract_all(lower(query), '[a-z''-]+'))"
 LEX = rf"coalesce(len(list_intersect({QW}, regexp_extract_all(lower(content), '[a-z''-]+')))::DOUBLE / nullif(len({QW}), 0), 0)"
 PEN = "SELECT a.query_id, a.id, round(coalesce(sum(list_cosine_similarity(a.embedding, b.embedding) * 0.1::DOUBLE * (1 - (b.rank - 1) / a.n::DOUBLE)), 0), 6) AS penalty FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM c) a LEFT JOIN c b ON a.query_id = b.query_id AND b.rank < a.rank GROUP BY 1, 2"
-register("E10_hybrid_rerank", lambda t: E.hybrid_rerank(candidates(t), AS_OF), f"WITH c AS ({CAND}), p AS ({PEN}), s AS (SELECT query_id, id, round(similarity * 0.5 + {LEX} * 0.3 + exp(-{DAYS} / 30) * 0.1 - penalty, 6) AS score FROM c JOIN p USING (query_id, id)) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, score FROM s")
+register("E10_hybrid_rerank", lambda t: E.hybrid_rerank(candidates(t), as_of_()), f"WITH c AS ({CAND}), p AS ({PEN}), s AS (SELECT query_id, id, round(similarity * 0.5 + {LEX} * 0.3 + exp(-{DAYS} / 30) * 0.1 - penalty, 6) AS score FROM c JOIN p USING (query_id, id)) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, score FROM s")
 register("E11_lexical_share", lambda t: t.chunks.where("document_id < 100").join(F.broadcast(texts(t)), F.lit(True)).select("query_id", "id", F.round(E.lexical_share(F.col("query"), F.col("content")), 6).alias("score")), f"SELECT query_id, id, round({LEX}, 6) AS score FROM chunks, {WVALUES} WHERE document_id < 100")
-register("E12_recency", lambda t: t.docs.select("id", F.round(E.recency(F.col("created_at"), AS_OF), 9).alias("score")), f"SELECT id, round(exp(-{DAYS} / 30), 9) AS score FROM docs")
+register("E12_recency", lambda t: t.docs.select("id", F.round(E.recency(F.col("created_at"), as_of_()), 9).alias("score")), f"SELECT id, round(exp(-{DAYS} / 30), 9) AS score FROM docs")
 register("E13_diversity_penalty", lambda t: E.diversity_penalty(candidates(t)), f"WITH c AS ({CAND}) {PEN}")
 register("E14_marginal_relevance", lambda t: E.mmr(candidates(t)))
 register("E15_keyword_boost", lambda t: candidates(t).select("query_id", "id", F.round(E.keyword_boost(F.col("query"), F.col("content")), 6).alias("boost")), rf"WITH c AS ({CAND}) SELECT query_id, id, round(len(list_filter(regexp_split_to_array(lower(query), '\s+'), lambda w: strlen(w) > 2 AND contains(lower(content), w))) * 0.1::DOUBLE, 6) AS boost FROM c")
 register("E16_rerank_window", lambda t: E.semantic_rerank(candidates(t), 4).select("query_id", "id"), f"WITH c AS ({CAND}) SELECT query_id, id FROM c WHERE rank <= 4")
 register("E17_neighbour_context", lambda t: E.neighbours(t.chunks).select("id", F.md5("context").alias("digest")), "SELECT id, md5(concat_ws(' ', lag(content) OVER w, content, lead(content) OVER w)) AS digest FROM chunks WINDOW w AS (PARTITION BY document_id ORDER BY ord)")
-answers = lambda t: candidates(t).groupBy("query_id").agg(F.avg("similarity").alias("s"), N.alias("n"), F.max_by("content", F.struct("rank")).alias("answer"))
+answers = lambda t: candidates(t).groupBy("query_id").agg(F.avg("similarity").alias("s"), rows_().alias("n"), F.max_by("content", F.struct("rank")).alias("answer"))
 ANS = f"SELECT query_id, avg(similarity) AS s, count(*) AS n, arg_max(content, rank) AS answer FROM ({CAND}) GROUP BY 1"
 register("E18_answer_confidence", lambda t: answers(t).select("query_id", F.round(E.answer_confidence(F.col("s"), F.col("answer"), F.col("n")), 6).alias("confidence")), f"SELECT query_id, round(least(1.0::DOUBLE, s * 0.6 + least(1.0::DOUBLE, strlen(answer) / 200::DOUBLE) * 0.2 + least(1.0::DOUBLE, n / 5::DOUBLE) * 0.2), 6) AS confidence FROM ({ANS})")
-SAY = F.concat(F.lit("I'm not sure. "), F.substring("answer", 1, 80), F.lit(" [1] and [Source 2], [9]"))
-register("E19_generation_confidence", lambda t: answers(t).select("query_id", E.generation_confidence(F.col("s"), SAY, F.lit(2), F.col("n")).alias("confidence")), f"SELECT query_id, round(s * 0.4 + least(1.0::DOUBLE, strlen(a) / 500::DOUBLE) * 0.2 + least(1.0::DOUBLE, 2 / greatest(1, n)::DOUBLE) * 0.3 + 0.9::DOUBLE * 0.1, 3) AS confidence FROM (SELECT *, 'I''m not sure. ' || substring(answer, 1, 80) || ' [1] and [Source 2], [9]' AS a FROM ({ANS}))")
+
+
+def say():
+    return F.concat(F.lit("I'm not sure. "), F.substring("answer", 1, 80), F.lit(" [1] and [Source 2], [9]"))
+
+
+register("E19_generation_confidence", lambda t: answers(t).select("query_id", E.generation_confidence(F.col("s"), say(), F.lit(2), F.col("n")).alias("confidence")), f"SELECT query_id, round(s * 0.4 + least(1.0::DOUBLE, strlen(a) / 500::DOUBLE) * 0.2 + least(1.0::DOUBLE, 2 / greatest(1, n)::DOUBLE) * 0.3 + 0.9::DOUBLE * 0.1, 3) AS confidence FROM (SELECT *, 'I''m not sure. ' || substring(answer, 1, 80) || ' [1] and [Source 2], [9]' AS a FROM ({ANS}))")
 register("E20_citations", lambda t: E.citations(t.queries.select(F.col("query_id").alias("answer_id"), F.concat(F.lit("[1] and [Source 2], [9] or [1] "), F.substring("query", 1, 9)).alias("answer")), t.chunks.where("document_id < 10 AND ord < 3").select(F.col("document_id").alias("answer_id"), (F.col("ord") + 1).alias("ordinal"), "id")), "SELECT answer_id, pos, c.id FROM (SELECT query_id AS answer_id, unnest([0, 1, 2, 3]) AS pos, unnest([1, 2, 9, 1]) AS ordinal FROM search_queries) a JOIN chunks c ON c.document_id = a.answer_id AND c.ord + 1 = a.ordinal AND c.ord < 3")
 register("E21_context_budget", lambda t: E.budgeted(candidates(t), 1000).select("query_id", "id", "used"), f"SELECT query_id, id, used::BIGINT AS used FROM (SELECT *, row_number() OVER w AS n, sum(strlen(content) // 4) OVER w AS used FROM ({CAND}) WINDOW w AS (PARTITION BY query_id ORDER BY similarity DESC, id ROWS UNBOUNDED PRECEDING)) WHERE n <= 10 AND used <= 1000")
 register("E22_prompt_context", lambda t: E.prompt_context(candidates(t)).select("query_id", F.md5("context").alias("digest")), f"SELECT query_id, md5(string_agg('[Source ' || rank || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY rank)) AS digest FROM ({CAND}) GROUP BY 1")
@@ -93,7 +110,7 @@ def bullets(t):
 
 register("E23_bullet_selection", bullets)
 register("E24_jaccard", lambda t: t.queries.alias("a").join(t.queries.alias("b"), F.col("a.query_id") < F.col("b.query_id")).select(F.col("a.query_id").alias("a"), F.col("b.query_id").alias("b"), F.round(T.jaccard(T.plain_tokens(F.col("a.query")), T.plain_tokens(F.col("b.query"))), 6).alias("score")), f"SELECT a.query_id AS a, b.query_id AS b, round(len(list_intersect(a.x, b.x))::DOUBLE / nullif(len(list_distinct(a.x || b.x)), 0), 6) AS score FROM (SELECT query_id, {of(PLAIN)} AS x FROM search_queries) a JOIN (SELECT query_id, {of(PLAIN)} AS x FROM search_queries) b ON a.query_id < b.query_id")
-register("E25_search_comparison", lambda t: t.metrics.where("type = 'query'").groupBy("query_hash").agg(F.avg(F.when(F.col("strategy") == "vector", F.col("duration_ms"))).alias("a"), F.avg("duration_ms").alias("b"), F.count_if("success").alias("n"), N.alias("m")).select("query_hash", E.compared(F.coalesce("a", F.lit(100.0)), F.coalesce("b", F.lit(0.0)), F.col("n"), F.lit(20)).alias("c")).select("query_hash", "c.*"), "SELECT query_hash, CASE WHEN a < b THEN 'first' WHEN b < a THEN 'second' ELSE 'tie' END AS faster, CASE WHEN n > 20 THEN 'first' WHEN 20 > n THEN 'second' ELSE 'tie' END AS more FROM (SELECT query_hash, coalesce(avg(duration_ms) FILTER (WHERE strategy = 'vector'), 100.0) AS a, avg(duration_ms) AS b, count(*) FILTER (WHERE success) AS n FROM rag_metrics WHERE type = 'query' GROUP BY 1)")
+register("E25_search_comparison", lambda t: t.metrics.where("type = 'query'").groupBy("query_hash").agg(F.avg(F.when(F.col("strategy") == "vector", F.col("duration_ms"))).alias("a"), F.avg("duration_ms").alias("b"), F.count_if("success").alias("n"), rows_().alias("m")).select("query_hash", E.compared(F.coalesce("a", F.lit(100.0)), F.coalesce("b", F.lit(0.0)), F.col("n"), F.lit(20)).alias("c")).select("query_hash", "c.*"), "SELECT query_hash, CASE WHEN a < b THEN 'first' WHEN b < a THEN 'second' ELSE 'tie' END AS faster, CASE WHEN n > 20 THEN 'first' WHEN 20 > n THEN 'second' ELSE 'tie' END AS more FROM (SELECT query_hash, coalesce(avg(duration_ms) FILTER (WHERE strategy = 'vector'), 100.0) AS a, avg(duration_ms) AS b, count(*) FILTER (WHERE success) AS n FROM rag_metrics WHERE type = 'query' GROUP BY 1)")
 register("E26_conversation_history", lambda t: E.history(t.load("conversations")).select("conv_id", F.md5("history").alias("digest"), "next_turn"), "SELECT conv_id, md5(string_agg(CASE role WHEN 'user' THEN 'Human: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY turn)) AS digest, count(*) FILTER (WHERE role = 'user') + 1 AS next_turn FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1")
 register("E27_response_pieces", lambda t: t.chunks.where("ord = 0").select("id", F.posexplode(E.word_pieces(E.cleaned(F.concat(F.lit("Answer: "), F.col("content"))))).alias("pos", "piece")).select("id", "pos", F.md5("piece").alias("digest")), r"SELECT id, unnest(range(len(range(1, len(w) + 1, 10))))::INT AS pos, unnest(list_transform(range(1, len(w) + 1, 10), lambda i: md5(array_to_string(w[i:i + 9], ' ') || ' '))) AS digest FROM (SELECT id, string_split(trim(replace(replace(replace(regexp_replace('Answer: ' || content, '\s+', ' ', 'g'), 'Answer:', ''), 'Response:', ''), 'Based on the context:', '')), ' ') AS w FROM chunks WHERE ord = 0)")
 register("E27b_reasoning_steps", lambda t: t.queries.select("query_id", F.posexplode(F.regexp_extract_all(F.concat(F.lit("1. first\n* second "), F.substring("query", 1, 5), F.lit("\nStep 3 third")), F.lit(r"(?im)(?:Step \d+|^\d+\.|\*)\s*([^\n]+)"), F.lit(1))).alias("pos", "step")), r"SELECT query_id, unnest([0, 1, 2])::INT AS pos, unnest(['first', 'second ' || substring(query, 1, 5), 'third']) AS step FROM search_queries")

@@ -10,22 +10,44 @@ from tessera.sources import formats as S
 
 from .registry import register
 
-N = F.count(F.lit(1))
-TEXT = F.col("text")
+
+def rows_():
+    return F.count(F.lit(1))
+
+
+def text_():
+    return F.col("text")
+
+
 EXT = ["pdf", "docx", "XLSX", "pptx", "html", "csv", "rtf", "png", "bin", "txt"]
-NAME = F.concat(F.lit("dir.x/file"), F.col("doc_id").cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, EXT)), (F.col("doc_id") % 10 + 1).cast("int")))
+
+
+def file_name():
+    return F.concat(F.lit("dir.x/file"), F.col("doc_id").cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, EXT)), (F.col("doc_id") % 10 + 1).cast("int")))
+
+
 NAME_SQL = f"'dir.x/file' || doc_id || '.' || ({EXT})[doc_id % 10 + 1]"
 KINDS = "CASE lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.EXTENSIONS.items()) + " ELSE 'unknown' END"
 register("A01_filtered_scan", lambda t: t.docs.where("tenant_slug = 'src3' AND id BETWEEN 100 AND 700").select("id", "title"), "SELECT id, title FROM docs WHERE tenant_slug = 'src3' AND id BETWEEN 100 AND 700")
-register("A02_type_by_extension", lambda t: t.load("documents").select("doc_id", S.type_by_extension(NAME).alias("kind")), f"SELECT doc_id, {KINDS} AS kind FROM (SELECT doc_id, {NAME_SQL} AS name FROM documents)")
-register("A03_type_by_content", lambda t: t.load("documents").withColumn("c", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<HTML><body>"), TEXT)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("import x\n"), TEXT)).otherwise(TEXT)).select("doc_id", S.type_by_content(NAME, F.col("c")).alias("d")).select("doc_id", "d.*"), f"""WITH c AS (SELECT doc_id, {NAME_SQL} AS name, substring(CASE doc_id % 3 WHEN 0 THEN '<HTML><body>' || text WHEN 1 THEN 'import x' || chr(10) || text ELSE text END, 1, 10000) AS h FROM documents), l AS (SELECT *, string_split(h, chr(10))[1:10] AS x, {KINDS} AS k FROM c), f AS (SELECT *, list_filter(x, lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g') <> '') AS y FROM l), m AS (SELECT *, len(x) > 1 AND regexp_matches(h, '[\\t,]') AND ({' OR '.join(f"len(list_filter(y, lambda s: NOT contains(s, {d}))) = 0" for d in ("','", "chr(9)", "';'", "'|'"))}) AS st, regexp_matches(lower(h), '<html|<xml|<\\?xml|<body') AS mk FROM f), n AS (SELECT *, NOT mk AND regexp_matches(h, 'def |function |class |import ') AS cd FROM m)
+register("A02_type_by_extension", lambda t: t.load("documents").select("doc_id", S.type_by_extension(file_name()).alias("kind")), f"SELECT doc_id, {KINDS} AS kind FROM (SELECT doc_id, {NAME_SQL} AS name FROM documents)")
+register("A03_type_by_content", lambda t: t.load("documents").withColumn("c", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<HTML><body>"), text_())).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("import x\n"), text_())).otherwise(text_())).select("doc_id", S.type_by_content(file_name(), F.col("c")).alias("d")).select("doc_id", "d.*"), f"""WITH c AS (SELECT doc_id, {NAME_SQL} AS name, substring(CASE doc_id % 3 WHEN 0 THEN '<HTML><body>' || text WHEN 1 THEN 'import x' || chr(10) || text ELSE text END, 1, 10000) AS h FROM documents), l AS (SELECT *, string_split(h, chr(10))[1:10] AS x, {KINDS} AS k FROM c), f AS (SELECT *, list_filter(x, lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g') <> '') AS y FROM l), m AS (SELECT *, len(x) > 1 AND regexp_matches(h, '[\\t,]') AND ({' OR '.join(f"len(list_filter(y, lambda s: NOT contains(s, {d}))) = 0" for d in ("','", "chr(9)", "';'", "'|'"))}) AS st, regexp_matches(lower(h), '<html|<xml|<\\?xml|<body') AS mk FROM f), n AS (SELECT *, NOT mk AND regexp_matches(h, 'def |function |class |import ') AS cd FROM m)
  SELECT doc_id, CASE WHEN k <> 'unknown' THEN k WHEN mk THEN 'html' ELSE 'txt' END AS kind, concat_ws(',', CASE WHEN st THEN 'structured' END, CASE WHEN mk THEN 'markup' END, CASE WHEN cd THEN 'code' END, 'plain_text') AS subtype, round(0.8::DOUBLE + st::INT * 0.1 + (mk OR cd)::INT * 0.1, 2) AS confidence FROM n""")
 pages = lambda t: t.load("pages")
 register("A04_html_text", lambda t: S.parsed(pages(t), "page_id", "html", S.html_text, "string").select("id", F.length("value").alias("n"), F.md5("value").alias("digest")))
-XML = F.concat(F.lit("<doc><id>"), F.col("doc_id"), F.lit("</id><body><p>"), F.regexp_replace(F.substring("text", 1, 200), "[<>&]", ""), F.lit("</p><empty/></body></doc>"))
-register("A05_xml_text", lambda t: S.parsed(t.load("documents").withColumn("xml", XML), "doc_id", "xml", S.xml_text, "string").select(F.col("id").alias("doc_id"), F.md5("value").alias("digest")), r"SELECT doc_id, md5('=== doc ===' || chr(10) || '  id: ' || doc_id || CASE WHEN p <> '' THEN chr(10) || '  === body ===' || chr(10) || '    p: ' || p ELSE '' END) AS digest FROM (SELECT doc_id, regexp_replace(regexp_replace(substring(text, 1, 200), '[<>&]', '', 'g'), '^\s+|\s+$', '', 'g') AS p FROM documents)")
-TABLE = F.concat(F.lit("<table><tr><th>Name</th><th>Size</th></tr><tr><td>"), F.col("p_name"), F.lit("</td><td>"), F.col("p_size").cast("string"), F.lit("</td></tr></table><table><tr><td>x</td></tr></table>"))
-register("A06_html_tables", lambda t: S.parsed(t.load("part").withColumn("html", TABLE), "p_partkey", "html", S.html_tables, "tables").select("id", F.explode("value").alias("v")).select("id", "v.*"), "SELECT p_partkey AS id, i::INT AS index, CASE i WHEN 0 THEN 2 ELSE 1 END::INT AS rows, CASE i WHEN 0 THEN '=== TABELA HTML 0 ===' || chr(10) || 'Name | Size' || chr(10) || '-----------' || chr(10) || p_name || ' | ' || p_size ELSE '=== TABELA HTML 1 ===' || chr(10) || 'x' || chr(10) || '-' END AS text FROM part, (SELECT unnest([0, 1]) AS i)")
+
+
+def xml_of():
+    return F.concat(F.lit("<doc><id>"), F.col("doc_id"), F.lit("</id><body><p>"), F.regexp_replace(F.substring("text", 1, 200), "[<>&]", ""), F.lit("</p><empty/></body></doc>"))
+
+
+register("A05_xml_text", lambda t: S.parsed(t.load("documents").withColumn("xml", xml_of()), "doc_id", "xml", S.xml_text, "string").select(F.col("id").alias("doc_id"), F.md5("value").alias("digest")), r"SELECT doc_id, md5('=== doc ===' || chr(10) || '  id: ' || doc_id || CASE WHEN p <> '' THEN chr(10) || '  === body ===' || chr(10) || '    p: ' || p ELSE '' END) AS digest FROM (SELECT doc_id, regexp_replace(regexp_replace(substring(text, 1, 200), '[<>&]', '', 'g'), '^\s+|\s+$', '', 'g') AS p FROM documents)")
+
+
+def table_of():
+    return F.concat(F.lit("<table><tr><th>Name</th><th>Size</th></tr><tr><td>"), F.col("p_name"), F.lit("</td><td>"), F.col("p_size").cast("string"), F.lit("</td></tr></table><table><tr><td>x</td></tr></table>"))
+
+
+register("A06_html_tables", lambda t: S.parsed(t.load("part").withColumn("html", table_of()), "p_partkey", "html", S.html_tables, "tables").select("id", F.explode("value").alias("v")).select("id", "v.*"), "SELECT p_partkey AS id, i::INT AS index, CASE i WHEN 0 THEN 2 ELSE 1 END::INT AS rows, CASE i WHEN 0 THEN '=== TABELA HTML 0 ===' || chr(10) || 'Name | Size' || chr(10) || '-----------' || chr(10) || p_name || ' | ' || p_size ELSE '=== TABELA HTML 1 ===' || chr(10) || 'x' || chr(10) || '-' END AS text FROM part, (SELECT unnest([0, 1]) AS i)")
 SEP = "([',', ';', chr(9), '|'])[length(p_brand) % 4 + 1]"
 
 
@@ -44,29 +66,53 @@ register("A07_csv_rows", lambda t: S.csv_rows(csv_files(t), "p_brand", "text").s
 CELLS = ["12", " 3,5 ", "4.25", "", "abc", "-7", "1e3"]
 register("A08_typed_cells", lambda t: t.load("part").select("p_partkey", S.typed_cell(F.element_at(F.array(*map(F.lit, CELLS)), (F.col("p_partkey") % 7 + 1).cast("int"))).alias("c")).select("p_partkey", "c.*"), f"SELECT p_partkey, CASE WHEN c = '' THEN NULL WHEN regexp_matches(c, '^[+-]?\\d{{1,18}}$') THEN 'int' WHEN try_cast(replace(c, ',', '.') AS DOUBLE) IS NOT NULL THEN 'float' ELSE 'text' END AS kind, try_cast(replace(nullif(c, ''), ',', '.') AS DOUBLE) AS number, nullif(c, '') AS text FROM (SELECT p_partkey, trim(({CELLS})[p_partkey % 7 + 1]) AS c FROM part)")
 register("A09_csv_text", lambda t: t.load("part").select("p_partkey", F.concat_ws(" | ", "p_name", F.when(F.col("p_size") % 7 != 0, F.col("p_type")), F.col("p_size").cast("string")).alias("line")), "SELECT p_partkey, concat_ws(' | ', p_name, CASE WHEN p_size % 7 <> 0 THEN p_type END, p_size) AS line FROM part")
-RTF = F.concat(F.lit(r"{\rtf1\ansi\b bold\b0 caf\'e9 \{x\} "), F.regexp_replace(F.substring("text", 1, 100), r"[\\{}]", ""), F.lit("}"))
-register("A11_rtf_text", lambda t: S.parsed(t.load("documents").withColumn("rtf", RTF), "doc_id", "rtf", S.rtf_text, "string").select("id", F.md5("value").alias("digest")))
+
+
+def rtf_of():
+    return F.concat(F.lit(r"{\rtf1\ansi\b bold\b0 caf\'e9 \{x\} "), F.regexp_replace(F.substring("text", 1, 100), r"[\\{}]", ""), F.lit("}"))
+
+
+register("A11_rtf_text", lambda t: S.parsed(t.load("documents").withColumn("rtf", rtf_of()), "doc_id", "rtf", S.rtf_text, "string").select("id", F.md5("value").alias("digest")))
 register("A12_decoded_text", lambda t: S.parsed(t.load("documents").withColumn("b", F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))), "doc_id", "b", S.plain_text, "string").select(F.col("id").alias("doc_id"), F.md5("value").alias("digest")), "SELECT doc_id, md5(text) AS digest FROM documents")
 register("A13_json_text", lambda t: S.parsed(t.load("events").select("event_id", F.to_json(F.struct("event_type", F.struct("user_id", F.array("user_id", "event_id").alias("list")).alias("who"))).alias("j")), "event_id", "j", S.json_text, "string"), "SELECT event_id AS id, 'event_type: ' || event_type || chr(10) || 'who:' || chr(10) || '  user_id: ' || user_id || chr(10) || '  list:' || chr(10) || '    0: ' || user_id || chr(10) || '    1: ' || event_id AS value FROM events")
 register("A14_cleaned_pdf", lambda t: t.load("documents").select("doc_id", F.md5(I.cleaned_pdf(F.regexp_replace("text", "\n", "\f\n 2 ) "))).alias("digest")))
-ROWS = F.array(F.array("p_name", F.lit(None).cast("string")), F.array("p_type", F.col("p_size").cast("string")))
-register("A15_table_text", lambda t: t.load("part").select("p_partkey", I.table_text(F.slice(ROWS, 1, F.when(F.col("p_size") % 5 == 0, 1).otherwise(2)), F.col("p_size"), F.lit(1)).alias("text")), "SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN '=== TABELA (Página ' || p_size || ', Tabela 1) ===' || chr(10) || p_name || ' | ' || chr(10) || p_type || ' | ' || p_size END AS text FROM part")
-KIND3 = F.element_at(F.array(F.lit("xlsx"), F.lit("pptx"), F.lit("txt")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+
+
+def cell_rows():
+    return F.array(F.array("p_name", F.lit(None).cast("string")), F.array("p_type", F.col("p_size").cast("string")))
+
+
+register("A15_table_text", lambda t: t.load("part").select("p_partkey", I.table_text(F.slice(cell_rows(), 1, F.when(F.col("p_size") % 5 == 0, 1).otherwise(2)), F.col("p_size"), F.lit(1)).alias("text")), "SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN '=== TABELA (Página ' || p_size || ', Tabela 1) ===' || chr(10) || p_name || ' | ' || chr(10) || p_type || ' | ' || p_size END AS text FROM part")
+
+
+def kind_of_three():
+    return F.element_at(F.array(F.lit("xlsx"), F.lit("pptx"), F.lit("txt")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+
+
 PAGES = "greatest(1, CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN o_custkey % 10 > 0 THEN ceil(o_custkey % 10 * 100 / 50.0) ELSE ceil(o_totalprice / 10240) END WHEN 1 THEN ceil(o_totalprice / 204800) ELSE ceil(o_totalprice / 4096) END)::BIGINT"
-register("A17_page_estimate", lambda t: t.load("orders").select("o_orderkey", I.page_estimate(KIND3, F.col("o_totalprice"), F.col("o_custkey") % 10 * 100).alias("pages")), f"SELECT o_orderkey, {PAGES} AS pages FROM orders")
-register("A18_page_limit", lambda t: t.load("orders").select("o_orderkey", (I.page_estimate(KIND3, F.col("o_totalprice"), F.col("o_custkey") % 10 * 100) <= 50).alias("valid")), f"SELECT o_orderkey, {PAGES} <= 50 AS valid FROM orders")
+register("A17_page_estimate", lambda t: t.load("orders").select("o_orderkey", I.page_estimate(kind_of_three(), F.col("o_totalprice"), F.col("o_custkey") % 10 * 100).alias("pages")), f"SELECT o_orderkey, {PAGES} AS pages FROM orders")
+register("A18_page_limit", lambda t: t.load("orders").select("o_orderkey", (I.page_estimate(kind_of_three(), F.col("o_totalprice"), F.col("o_custkey") % 10 * 100) <= 50).alias("valid")), f"SELECT o_orderkey, {PAGES} <= 50 AS valid FROM orders")
 TRIM = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
-register("A19_extraction_score", lambda t: t.load("documents").select("doc_id", I.extraction_score(TEXT).alias("score")), rf"SELECT doc_id, CASE WHEN n < 10 THEN 0.0 WHEN n < 100 THEN 0.3 ELSE round(least(1.0, greatest(0.0, 0.5 + least(0.3::DOUBLE, n / 10000::DOUBLE) + CASE WHEN len(regexp_extract_all(c, '[.!?]+')) > n / 100 THEN 0.1 ELSE 0 END - CASE WHEN len(regexp_extract_all(c, '[^\w\s.,!?;:-]')) > n / 20 THEN 0.2 ELSE 0 END)), 6) END::DOUBLE AS score FROM (SELECT doc_id, {TRIM} AS c, strlen({TRIM}) AS n FROM documents)")
+register("A19_extraction_score", lambda t: t.load("documents").select("doc_id", I.extraction_score(text_()).alias("score")), rf"SELECT doc_id, CASE WHEN n < 10 THEN 0.0 WHEN n < 100 THEN 0.3 ELSE round(least(1.0, greatest(0.0, 0.5 + least(0.3::DOUBLE, n / 10000::DOUBLE) + CASE WHEN len(regexp_extract_all(c, '[.!?]+')) > n / 100 THEN 0.1 ELSE 0 END - CASE WHEN len(regexp_extract_all(c, '[^\w\s.,!?;:-]')) > n / 20 THEN 0.2 ELSE 0 END)), 6) END::DOUBLE AS score FROM (SELECT doc_id, {TRIM} AS c, strlen({TRIM}) AS n FROM documents)")
 register("A20_storable_chunks", lambda t: I.storable(t.chunks).select("id"), r"SELECT id FROM chunks WHERE length(regexp_replace(content, '^\s+|\s+$', '', 'g')) > 10")
 register("A21_batch_summary", lambda t: I.batch_summary(t.load("events").select("user_id", (F.col("event_type") != "error").alias("ok"), F.when(F.col("event_type") != "error", F.col("user_id") % 7).otherwise(0).alias("chunks")), "user_id"), "SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS succeeded, count(*) FILTER (WHERE event_type = 'error') AS failed, sum(CASE WHEN event_type <> 'error' THEN user_id % 7 ELSE 0 END)::BIGINT AS chunks, round(count(*) FILTER (WHERE event_type <> 'error') * 100.0::DOUBLE / count(*), 2) AS percent FROM events GROUP BY 1")
-register("A22_merged_batch", lambda t: I.merged_text(t.load("documents").select(F.floor(F.col("doc_id") / 5).alias("batch"), "doc_id", F.concat(F.lit("f"), F.col("doc_id")).alias("name"), F.when(F.col("doc_id") % 7 != 0, TEXT).alias("text")), "batch", "doc_id", "name", "text").select("batch", F.md5("text").alias("digest")), "SELECT doc_id // 5 AS batch, md5(string_agg('=== f' || doc_id || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM documents WHERE doc_id % 7 <> 0 GROUP BY 1")
+register("A22_merged_batch", lambda t: I.merged_text(t.load("documents").select(F.floor(F.col("doc_id") / 5).alias("batch"), "doc_id", F.concat(F.lit("f"), F.col("doc_id")).alias("name"), F.when(F.col("doc_id") % 7 != 0, text_()).alias("text")), "batch", "doc_id", "name", "text").select("batch", F.md5("text").alias("digest")), "SELECT doc_id // 5 AS batch, md5(string_agg('=== f' || doc_id || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM documents WHERE doc_id % 7 <> 0 GROUP BY 1")
 register("A23_upload_status", lambda t: I.upload_status(t.docs, t.chunks.where("document_id % 4 <> 0"), F.lit(8)), "SELECT d.id, coalesce(n, 0) AS chunks, CASE WHEN n > 0 THEN 'completed' ELSE 'processing' END AS status, round(least(100.0::DOUBLE, coalesce(n, 0) * 100.0::DOUBLE / 8), 2) AS progress FROM docs d LEFT JOIN (SELECT document_id, count(*) AS n FROM chunks WHERE document_id % 4 <> 0 GROUP BY 1) c ON c.document_id = d.id")
 register("A24_csv_export", lambda t: t.metrics.select("id", I.csv_line([F.col("id").cast("string"), F.col("type"), F.col("success").cast("string"), U.performance_category(F.col("duration_ms"))], F.concat(F.lit('{"k": "'), F.col("query_hash").cast("string"), F.lit('"}'))).alias("line")), "SELECT id, id || ',' || type || ',' || success || ',' || CASE WHEN duration_ms < 100 THEN 'fast' WHEN duration_ms < 500 THEN 'medium' WHEN duration_ms < 2000 THEN 'slow' ELSE 'very_slow' END || ',\"{\"\"k\"\": \"\"' || query_hash || '\"\"}\"' AS line FROM rag_metrics")
 register("A24b_prometheus_export", lambda t: I.prometheus(t.metrics), "SELECT name, arg_max(value, (ts, id)) AS value FROM (SELECT ts, id, 'rag_' || type || '_duration_ms' AS name, duration_ms AS value FROM rag_metrics WHERE type IN ('query', 'embedding', 'generation') UNION ALL SELECT ts, id, 'rag_embedding_batch_size', batch_size::DOUBLE FROM rag_metrics WHERE type = 'embedding' UNION ALL SELECT ts, id, 'rag_generation_confidence', confidence FROM rag_metrics WHERE type = 'generation') GROUP BY 1")
-OLD, NEW = F.concat(F.lit('{"a":"1","id":"'), F.col("doc_id"), F.lit('"}')), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('{"a":"2","z":"'), F.col("lang"), F.lit('"}')))
-register("A26_merged_metadata", lambda t: t.load("documents").select("doc_id", I.merged_metadata(OLD, NEW).alias("metadata")), """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{"a":"2","id":"' || doc_id || '","z":"' || lang || '"}' ELSE '{"a":"1","id":"' || doc_id || '"}' END AS metadata FROM documents""")
-register("A27_cascading_delete", lambda t: I.union_all([d.agg(F.lit(n).alias("name"), N.alias("rows")) for n, d in I.without({"documents": (t.docs, "id"), "chunks": (t.chunks, "document_id"), "feedbacks": (t.feedbacks, "document_id")}, t.docs.where("tenant_slug = 'src1'")).items()]), "WITH g AS (SELECT id FROM docs WHERE tenant_slug = 'src1') SELECT 'documents' AS name, count(*) AS rows FROM docs WHERE id NOT IN (SELECT id FROM g) UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE document_id NOT IN (SELECT id FROM g) UNION ALL SELECT 'feedbacks', count(*) FROM rag_feedbacks WHERE document_id NOT IN (SELECT id FROM g)")
-register("A28_text_metadata", lambda t: t.load("documents").select("doc_id", *(c.alias(k) for k, c in I.text_stats(TEXT).items())), r"SELECT doc_id, strlen(text)::INT AS bytes, length(text)::INT AS chars, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::INT AS words, len(string_split(text, chr(10)))::INT AS lines FROM documents")
+
+
+def old_metadata():
+    return F.concat(F.lit('{"a":"1","id":"'), F.col("doc_id"), F.lit('"}'))
+
+
+def new_metadata():
+    return F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('{"a":"2","z":"'), F.col("lang"), F.lit('"}')))
+
+
+register("A26_merged_metadata", lambda t: t.load("documents").select("doc_id", I.merged_metadata(old_metadata(), new_metadata()).alias("metadata")), """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{"a":"2","id":"' || doc_id || '","z":"' || lang || '"}' ELSE '{"a":"1","id":"' || doc_id || '"}' END AS metadata FROM documents""")
+register("A27_cascading_delete", lambda t: I.union_all([d.agg(F.lit(n).alias("name"), rows_().alias("rows")) for n, d in I.without({"documents": (t.docs, "id"), "chunks": (t.chunks, "document_id"), "feedbacks": (t.feedbacks, "document_id")}, t.docs.where("tenant_slug = 'src1'")).items()]), "WITH g AS (SELECT id FROM docs WHERE tenant_slug = 'src1') SELECT 'documents' AS name, count(*) AS rows FROM docs WHERE id NOT IN (SELECT id FROM g) UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE document_id NOT IN (SELECT id FROM g) UNION ALL SELECT 'feedbacks', count(*) FROM rag_feedbacks WHERE document_id NOT IN (SELECT id FROM g)")
+register("A28_text_metadata", lambda t: t.load("documents").select("doc_id", *(c.alias(k) for k, c in I.text_stats(text_()).items())), r"SELECT doc_id, strlen(text)::INT AS bytes, length(text)::INT AS chars, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::INT AS words, len(string_split(text, chr(10)))::INT AS lines FROM documents")
 MIMES = ["application/pdf", "text/plain", "application/zip", "image/png"]
 register("A29_valid_upload", lambda t: t.load("documents").select("doc_id", I.valid_upload(F.concat(F.lit("file"), F.col("doc_id"), F.when(F.col("doc_id") % 9 == 0, "?").otherwise(".txt")), F.col("doc_id") % 13 * 10_000_000, F.element_at(F.array(*map(F.lit, MIMES)), (F.col("doc_id") % 4 + 1).cast("int"))).alias("state")), "SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'empty' WHEN doc_id % 13 * 10000000 > 52428800 THEN 'too_large' WHEN doc_id % 4 = 2 THEN 'bad_type' WHEN doc_id % 9 = 0 THEN 'bad_name' ELSE 'ok' END AS state FROM documents")
 
@@ -78,9 +124,9 @@ def outline(t):
 
 
 register("A30_html_outline", outline)
-register("A31_csv_delimiter", lambda t: csv_files(t).select("p_brand", S.delimiter(TEXT).alias("sep"), F.size(F.filter(F.split(TEXT, "\n"), lambda x: x.rlike(r"[A-Za-z0-9]"))).alias("rows_with_data")), f"SELECT p_brand, CASE WHEN max(length(p_brand)) % 4 + 1 = 1 THEN ',' ELSE max({SEP}) END AS sep, count(*)::INT + 1 AS rows_with_data FROM part GROUP BY 1")
-register("A32_extraction_outcome", lambda t: t.load("documents").select("doc_id", I.outcome(F.when(F.col("doc_id") % 5 == 0, "error").otherwise("success"), F.when(F.col("doc_id") % 3 > 0, TEXT)).alias("ok")).groupBy("ok").agg(N.alias("n")), "SELECT doc_id % 5 <> 0 AND doc_id % 3 > 0 AND trim(text) <> '' AS ok, count(*) AS n FROM documents GROUP BY 1")
+register("A31_csv_delimiter", lambda t: csv_files(t).select("p_brand", S.delimiter(text_()).alias("sep"), F.size(F.filter(F.split(text_(), "\n"), lambda x: x.rlike(r"[A-Za-z0-9]"))).alias("rows_with_data")), f"SELECT p_brand, CASE WHEN max(length(p_brand)) % 4 + 1 = 1 THEN ',' ELSE max({SEP}) END AS sep, count(*)::INT + 1 AS rows_with_data FROM part GROUP BY 1")
+register("A32_extraction_outcome", lambda t: t.load("documents").select("doc_id", I.outcome(F.when(F.col("doc_id") % 5 == 0, "error").otherwise("success"), F.when(F.col("doc_id") % 3 > 0, text_())).alias("ok")).groupBy("ok").agg(rows_().alias("n")), "SELECT doc_id % 5 <> 0 AND doc_id % 3 > 0 AND trim(text) <> '' AS ok, count(*) AS n FROM documents GROUP BY 1")
 URLS = ["http://a.example.com/x?y=1", "ftp://a.com", "https:///x", "https://-bad.com/", "http://10.0.0.1:80/", "nothing"]
 NAMES = ["a.txt", "", "../x", "CON.txt", "a|b", "lpt1"]
 register("A33_validators", lambda t: t.frame([(i, u, m) for i, (u, m) in enumerate(zip(URLS, NAMES, strict=True))], "i int, url string, name string").select("i", I.url_problem(F.col("url")).alias("url"), I.filename_problem(F.col("name")).alias("name"), I.window_problem(F.col("i") * 30_000).alias("seconds"), I.page_problem(F.col("i") - 1, F.col("i") * 300).alias("page"), I.metadata_problem(F.create_map(F.concat(F.lit("k "), F.col("i").cast("string")), F.lit("v"))).alias("meta")), "SELECT * FROM (VALUES (0, 'ok', 'ok', 'short', 'offset', 'odd_key'), (1, 'scheme', 'empty', 'ok', 'ok', 'odd_key'), (2, 'host', 'path', 'ok', 'ok', 'odd_key'), (3, 'domain', 'reserved', 'long', 'ok', 'odd_key'), (4, 'ok', 'characters', 'long', 'large', 'odd_key'), (5, 'scheme', 'reserved', 'long', 'large', 'odd_key')) v(i, url, name, seconds, page, meta)")
-register("A34_input_precedence", lambda t: t.load("documents").select("doc_id", F.md5(I.chosen_input(F.when(F.col("doc_id") % 4 == 0, TEXT), F.when(F.col("doc_id") % 4 == 1, F.lit("T")), TEXT, F.when(F.col("doc_id") % 4 == 2, F.lit('{"a": 1}')).otherwise("raw"))).alias("digest")), "SELECT doc_id, md5(CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'T' || chr(10) || chr(10) || text WHEN 3 THEN 'raw' END) AS digest FROM documents")
+register("A34_input_precedence", lambda t: t.load("documents").select("doc_id", F.md5(I.chosen_input(F.when(F.col("doc_id") % 4 == 0, text_()), F.when(F.col("doc_id") % 4 == 1, F.lit("T")), text_(), F.when(F.col("doc_id") % 4 == 2, F.lit('{"a": 1}')).otherwise("raw"))).alias("digest")), "SELECT doc_id, md5(CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'T' || chr(10) || chr(10) || text WHEN 3 THEN 'raw' END) AS digest FROM documents")

@@ -20,11 +20,14 @@ def asked(t):
     return t.frame(ASKED, "query_id int, query string, document_id long")
 
 
-def per_query(**columns):
-    return lambda t: asked(t).select("query_id", *(c.alias(n) for n, c in columns.items()))
+def per_query(columns):
+    return lambda t: asked(t).select("query_id", *(c.alias(n) for n, c in columns().items()))
+
+
+def query_():
+    return F.col("query")
 
 
-QUERY = F.col("query")
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 TOKENS = rf"list_filter(regexp_split_to_array(regexp_replace(lower({{0}}), '[^\p{{{{L}}}}\p{{{{N}}}}_\s]', ' ', 'g'), '\s+'), lambda w: (length(w) >= 2 OR regexp_matches(w, '^\d+$')) AND w NOT IN ({STOP}) AND w <> '')".replace("{{{{", "{").replace("}}}}", "}")
 TOKENS = TOKENS.replace("{{", "{").replace("}}", "}")
@@ -37,54 +40,64 @@ def of(expr, column="query"):
     return expr.replace("{0}", column)
 
 
-register("D01_query_tokens", per_query(tokens=F.array_join(T.query_tokens(QUERY), "|")), f"SELECT query_id, array_to_string({of(TOKENS)}, '|') AS tokens FROM {VALUES}")
+register("D01_query_tokens", per_query(lambda: dict(tokens=F.array_join(T.query_tokens(query_()), "|"))), f"SELECT query_id, array_to_string({of(TOKENS)}, '|') AS tokens FROM {VALUES}")
 register("D02_raw_tokens", lambda t: t.load("documents").select("doc_id", F.size(T.raw_tokens(F.col("text"))).alias("n"), F.md5(F.array_join(T.raw_tokens(F.col("text")), " ")).alias("digest")), f"SELECT doc_id, len({of(RAW, 'text')})::INT AS n, md5(array_to_string({of(RAW, 'text')}, ' ')) AS digest FROM documents")
 register("D03_plain_tokens", lambda t: t.load("documents").select("doc_id", F.size(T.plain_tokens(F.col("text"))).alias("n"), F.md5(F.array_join(T.plain_tokens(F.col("text")), " ")).alias("digest")), f"SELECT doc_id, len({of(PLAIN, 'text')})::INT AS n, md5(array_to_string({of(PLAIN, 'text')}, ' ')) AS digest FROM documents")
-register("D04_search_terms", per_query(terms=F.array_join(T.search_terms(QUERY), "|")), f"SELECT query_id, array_to_string({of(TERMS)}, '|') AS terms FROM {VALUES}")
-register("D05_search_keywords", per_query(n=F.size(F.array_distinct(T.search_terms(QUERY)))), f"SELECT query_id, len(list_distinct({of(TERMS)}))::INT AS n FROM {VALUES}")
+register("D04_search_terms", per_query(lambda: dict(terms=F.array_join(T.search_terms(query_()), "|"))), f"SELECT query_id, array_to_string({of(TERMS)}, '|') AS terms FROM {VALUES}")
+register("D05_search_keywords", per_query(lambda: dict(n=F.size(F.array_distinct(T.search_terms(query_()))))), f"SELECT query_id, len(list_distinct({of(TERMS)}))::INT AS n FROM {VALUES}")
 register("D06_full_text", lambda t: L.full_text(t.chunks, asked(t), 5), None)
 register("D07_keyword_branch", lambda t: L.full_text(t.chunks.join(t.docs.where("tenant_slug = 'src3'").select(F.col("id").alias("document_id")), "document_id", "left_semi"), asked(t), 50).withColumn("score", F.least("score", F.lit(1.0))))
 register("D08_cover_rank", lambda t: L.full_text(t.chunks.where("document_id < 50"), asked(t), 10))
-CLEAN = T.nonempty(F.filter(T.words(F.regexp_replace(QUERY, r"[^\p{L}\p{N}_\s\-'\"]", " ")), lambda w: F.length(w) >= 2))
-register("D09_clean_query", per_query(clean=F.array_join(CLEAN, " ")), rf"""SELECT query_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(query, '[^\p{{L}}\p{{N}}_\s\-''"]', ' ', 'g'), '\s+'), lambda w: length(w) >= 2), ' ') AS clean FROM {VALUES}""")
+
+
+def clean_query():
+    return T.nonempty(F.filter(T.words(F.regexp_replace(query_(), r"[^\p{L}\p{N}_\s\-'\"]", " ")), lambda w: F.length(w) >= 2))
+
+
+register("D09_clean_query", per_query(lambda: dict(clean=F.array_join(clean_query(), " "))), rf"""SELECT query_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(query, '[^\p{{L}}\p{{N}}_\s\-''"]', ' ', 'g'), '\s+'), lambda w: length(w) >= 2), ' ') AS clean FROM {VALUES}""")
 register("D10_like_all", lambda t: L.like_all(t.chunks, asked(t), 5), f"WITH a AS (SELECT query_id, {of(TOKENS)} AS tokens FROM {VALUES}), h AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY length(content) DESC, id)::INT AS rank FROM chunks, a WHERE len(tokens) > 0 AND len(list_filter(tokens, lambda t: NOT contains(lower(content), t))) = 0) SELECT query_id, rank, id, 1.0::DOUBLE AS score FROM h WHERE rank <= 5")
-register("D11_like_some", lambda t: L.like_some(t.chunks, asked(t), T.slices(F.lit(""), 2) if False else F.slice(T.raw_tokens(QUERY), 1, 12), 5), f"WITH a AS (SELECT query_id, {of(RAW)}[1:12] AS terms FROM {VALUES}), h AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY ord, id)::INT AS rank FROM chunks, a WHERE len(list_filter(terms, lambda t: contains(lower(content), t))) > 0), f AS (SELECT id, row_number() OVER (ORDER BY ord, id)::INT AS rank FROM chunks QUALIFY rank <= 5) SELECT query_id, rank, id FROM h WHERE rank <= 5 UNION ALL SELECT a.query_id, f.rank, f.id FROM a, f WHERE a.query_id NOT IN (SELECT query_id FROM h)")
+register("D11_like_some", lambda t: L.like_some(t.chunks, asked(t), T.slices(F.lit(""), 2) if False else F.slice(T.raw_tokens(query_()), 1, 12), 5), f"WITH a AS (SELECT query_id, {of(RAW)}[1:12] AS terms FROM {VALUES}), h AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY ord, id)::INT AS rank FROM chunks, a WHERE len(list_filter(terms, lambda t: contains(lower(content), t))) > 0), f AS (SELECT id, row_number() OVER (ORDER BY ord, id)::INT AS rank FROM chunks QUALIFY rank <= 5) SELECT query_id, rank, id FROM h WHERE rank <= 5 UNION ALL SELECT a.query_id, f.rank, f.id FROM a, f WHERE a.query_id NOT IN (SELECT query_id FROM h)")
 PHRASES = [(1, "the the"), (2, "of erst"), (3, "die die"), (4, "no such phrase here")]
 register("D12_phrase", lambda t: L.phrase_search(t.chunks, t.frame(PHRASES, "query_id int, query string"), 10), "SELECT query_id, rank, id, 1.0::DOUBLE AS score FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id)::INT AS rank FROM chunks, (VALUES " + ", ".join(map(str, PHRASES)) + ") q(query_id, query) WHERE contains(lower(content), query)) WHERE rank <= 10")
 small = lambda t: t.chunks.where("document_id < 40")
 register("D13_text_strategies", lambda t: L.advanced_search(small(t), asked(t).where("query <> ''"), 0.3, 10))
-register("D14_word_score", lambda t: small(t).join(F.broadcast(asked(t)), F.lit(True)).select("query_id", "id", F.round(L.word_score(T.search_terms(QUERY), F.lower("content"), F.col("content")), 6).alias("score")).where("score > 0"))
+register("D14_word_score", lambda t: small(t).join(F.broadcast(asked(t)), F.lit(True)).select("query_id", "id", F.round(L.word_score(T.search_terms(query_()), F.lower("content"), F.col("content")), 6).alias("score")).where("score > 0"))
 POS = "list_transform(list_filter(list_distinct_ordered, lambda w: contains(lower(content), w)), lambda w: strlen(split_part(lower(content), w, 1)))"
-register("D15_proximity", lambda t: small(t).join(F.broadcast(asked(t)), F.lit(True)).select("query_id", "id", F.round(L.proximity(T.search_terms(QUERY), F.lower("content")), 6).alias("score")).where("score > 0"), f"WITH p AS (SELECT query_id, id, list_transform(list_filter(terms, lambda w: contains(lower(content), w)), lambda w: strlen(split_part(lower(content), w, 1))) AS s FROM chunks, (SELECT query_id, {of(TERMS)} AS terms FROM {VALUES}) WHERE document_id < 40), r AS (SELECT query_id, id, round(greatest(0.0::DOUBLE, 1 - list_sum(list_transform(range(1, len(s)), lambda i: abs(s[i + 1] - s[i])))::DOUBLE / (len(s) - 1) / 1000), 6) AS score FROM p WHERE len(s) >= 2) SELECT * FROM r WHERE score > 0")
+register("D15_proximity", lambda t: small(t).join(F.broadcast(asked(t)), F.lit(True)).select("query_id", "id", F.round(L.proximity(T.search_terms(query_()), F.lower("content")), 6).alias("score")).where("score > 0"), f"WITH p AS (SELECT query_id, id, list_transform(list_filter(terms, lambda w: contains(lower(content), w)), lambda w: strlen(split_part(lower(content), w, 1))) AS s FROM chunks, (SELECT query_id, {of(TERMS)} AS terms FROM {VALUES}) WHERE document_id < 40), r AS (SELECT query_id, id, round(greatest(0.0::DOUBLE, 1 - list_sum(list_transform(range(1, len(s)), lambda i: abs(s[i + 1] - s[i])))::DOUBLE / (len(s) - 1) / 1000), 6) AS score FROM p WHERE len(s) >= 2) SELECT * FROM r WHERE score > 0")
 register("D16_numbered", lambda t: t.load("documents").where("doc_id < 100").select("doc_id", F.concat((F.col("doc_id") % 4).cast("string"), F.lit(". "), F.when(F.col("doc_id") % 3 == 0, F.lit("3 motivos ")).otherwise(F.lit("")), F.substring("text", 1, 50)).alias("c")).select("doc_id", L.numbered_score(F.lit("lista 3 motivos"), F.lower("c")).alias("score")), r"SELECT doc_id, CASE WHEN regexp_matches(c, '3\s*motivos?') THEN 0.95 WHEN regexp_matches(c, '(?m)^\s*3\.\s*') THEN 0.8 ELSE 0.0 END::DOUBLE AS score FROM (SELECT doc_id, lower((doc_id % 4) || '. ' || CASE WHEN doc_id % 3 = 0 THEN '3 motivos ' ELSE '' END || substring(text, 1, 50)) AS c FROM documents WHERE doc_id < 100)")
 register("D17_bypass_search", lambda t: L.advanced_search(t.embedded_chunks.where("embedding IS NULL").join(t.docs.where("source = 'bypass_upload' AND tenant_slug = 'src4'").select(F.col("id").alias("document_id")), "document_id", "left_semi"), asked(t).where("query <> ''"), 0.3, 10))
 register("D18_pattern_cascade", lambda t: L.pattern_cascade(t.chunks.where("document_id = 16"), asked(t).where("query <> ''")), f"WITH p AS (SELECT query_id, id, ord, CASE WHEN regexp_matches(lower(query), '\\d+\\s*motivos?|lista|razões?|pontos?') AND (contains(lower(content), 'motivos') OR contains(lower(content), '1.') OR contains(lower(content), '2.') OR contains(lower(content), '3.')) THEN 1 WHEN len(k) > 0 AND len(list_filter(k, lambda w: NOT contains(lower(content), w))) = 0 THEN 2 WHEN contains(lower(content), lower(query)) THEN 3 END AS level FROM chunks, (SELECT *, {of(TERMS)} AS k FROM {VALUES} WHERE query <> '') q WHERE chunks.document_id = 16), b AS (SELECT *, min(level) OVER (PARTITION BY query_id) AS best FROM p WHERE level IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ord, id) AS rank FROM b WHERE level = best) SELECT query_id, id, ([0.9, 0.7, 0.5])[level]::DOUBLE AS score, (['numbered', 'keywords', 'phrase'])[level] AS method FROM r WHERE level = 1 OR (level = 2 AND rank <= 10) OR rank <= 5")
 register("D19_expanded_terms", lambda t: L.expanded_terms(asked(t), t.chunks).select("query_id", F.size("terms").alias("n"), F.array_join(F.array_sort("terms"), "|").alias("terms")))
-register("D20_synonyms", per_query(expanded=Q.with_synonyms(QUERY)), "SELECT query_id, CASE WHEN len(a) > 0 THEN query || ' ' || array_to_string(a[1:3], ' ') ELSE query END AS expanded FROM (SELECT *, flatten([" + ", ".join(f"CASE WHEN contains(lower(query), '{w}') THEN {list(s)} ELSE [] END" for w, s in Q.SYNONYMS.items()) + f"]) AS a FROM {VALUES})")
-register("D21_variants", per_query(variants=F.array_join(Q.variants(QUERY), "|")), "SELECT query_id, array_to_string(v[1:5], '|') AS variants FROM (SELECT query_id, CASE " + " ".join(f"WHEN contains(lower(query), '{w}') THEN [query, " + ", ".join(f"replace(lower(query), '{w}', '{o}'), query || ' {o}'" for o in os) + "]" for w, os in Q.VARIANTS.items()) + f" ELSE [query] END AS v FROM {VALUES})")
-register("D22_simplified", per_query(simple=Q.simplified(QUERY)))
-register("D23_fallback_cascade", lambda t: L.fallback_levels([L.like_all(t.chunks, asked(t), 5), L.phrase_search(t.chunks, asked(t).where("query <> ''").withColumn("query", Q.simplified(QUERY)), 5), L.like_all(t.chunks, asked(t).withColumn("query", Q.with_synonyms(QUERY)), 5), L.full_text(t.chunks, asked(t), 5).select("query_id", "rank", "id"), L.like_some(t.chunks, asked(t), F.slice(T.raw_tokens(QUERY), 1, 12), 5), asked(t).join(t.chunks.where("ord < 50"), "document_id").select("query_id", "id")]))
+register("D20_synonyms", per_query(lambda: dict(expanded=Q.with_synonyms(query_()))), "SELECT query_id, CASE WHEN len(a) > 0 THEN query || ' ' || array_to_string(a[1:3], ' ') ELSE query END AS expanded FROM (SELECT *, flatten([" + ", ".join(f"CASE WHEN contains(lower(query), '{w}') THEN {list(s)} ELSE [] END" for w, s in Q.SYNONYMS.items()) + f"]) AS a FROM {VALUES})")
+register("D21_variants", per_query(lambda: dict(variants=F.array_join(Q.variants(query_()), "|"))), "SELECT query_id, array_to_string(v[1:5], '|') AS variants FROM (SELECT query_id, CASE " + " ".join(f"WHEN contains(lower(query), '{w}') THEN [query, " + ", ".join(f"replace(lower(query), '{w}', '{o}'), query || ' {o}'" for o in os) + "]" for w, os in Q.VARIANTS.items()) + f" ELSE [query] END AS v FROM {VALUES})")
+register("D22_simplified", per_query(lambda: dict(simple=Q.simplified(query_()))))
+register("D23_fallback_cascade", lambda t: L.fallback_levels([L.like_all(t.chunks, asked(t), 5), L.phrase_search(t.chunks, asked(t).where("query <> ''").withColumn("query", Q.simplified(query_())), 5), L.like_all(t.chunks, asked(t).withColumn("query", Q.with_synonyms(query_())), 5), L.full_text(t.chunks, asked(t), 5).select("query_id", "rank", "id"), L.like_some(t.chunks, asked(t), F.slice(T.raw_tokens(query_()), 1, 12), 5), asked(t).join(t.chunks.where("ord < 50"), "document_id").select("query_id", "id")]))
 
 
 def cases(table, text, default):
     return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({text}, '{p}')" for p in parts) + f" THEN '{name}'" for name, parts in table.items()) + f" ELSE '{default}' END"
 
 
-register("D24_answer_mode", per_query(auto=Q.mode(F.lit("auto"), QUERY), fixed=Q.mode(F.lit("Table"), QUERY), unknown=Q.mode(F.lit("x"), QUERY)), f"SELECT query_id, {cases(Q.MODES, 'lower(query)', 'direct')} AS auto, 'table' AS fixed, 'direct' AS unknown FROM {VALUES}")
+register("D24_answer_mode", per_query(lambda: dict(auto=Q.mode(F.lit("auto"), query_()), fixed=Q.mode(F.lit("Table"), query_()), unknown=Q.mode(F.lit("x"), query_()))), f"SELECT query_id, {cases(Q.MODES, 'lower(query)', 'direct')} AS auto, 'table' AS fixed, 'direct' AS unknown FROM {VALUES}")
 CLASS = cases(Q.CLASSES, "lower(query)", "other")
-register("D25_query_class", per_query(kind=Q.query_class(QUERY)), f"SELECT query_id, {CLASS} AS kind FROM {VALUES}")
-register("D26_grounding", per_query(grounded=Q.needs_grounding(QUERY)), f"SELECT query_id, {CLASS} IN ('conceptual', 'comparative') OR " + " OR ".join(f"contains(lower(query), '{w}')" for w in Q.OUTSIDE) + f" AS grounded FROM {VALUES}")
+register("D25_query_class", per_query(lambda: dict(kind=Q.query_class(query_()))), f"SELECT query_id, {CLASS} AS kind FROM {VALUES}")
+register("D26_grounding", per_query(lambda: dict(grounded=Q.needs_grounding(query_()))), f"SELECT query_id, {CLASS} IN ('conceptual', 'comparative') OR " + " OR ".join(f"contains(lower(query), '{w}')" for w in Q.OUTSIDE) + f" AS grounded FROM {VALUES}")
 ADAPTED = {"max_tokens": (512, 1024, 2048), "temperature": (0.2, 0.3, 0.4)}
-register("D27_complexity", lambda t: asked(t).select("query_id", Q.complexity(QUERY).alias("kind")).withColumn("max_tokens", F.when(F.col("kind") == "simple", 512).when(F.col("kind") == "complex", 2048).otherwise(1024)), f"SELECT query_id, kind, CASE kind WHEN 'simple' THEN 512 WHEN 'complex' THEN 2048 ELSE 1024 END AS max_tokens FROM (SELECT query_id, CASE WHEN n <= 5 AND m <= 1 AND NOT p THEN 'simple' WHEN n > 20 OR m > 1 OR p THEN 'complex' ELSE 'moderate' END AS kind FROM (SELECT query_id, len(regexp_extract_all(query, '[A-Za-z''-]+')) AS n, length(query) - length(replace(query, '?', '')) AS m, contains(query, ' and ') OR contains(query, ' or ') AS p FROM {VALUES}))")
+register("D27_complexity", lambda t: asked(t).select("query_id", Q.complexity(query_()).alias("kind")).withColumn("max_tokens", F.when(F.col("kind") == "simple", 512).when(F.col("kind") == "complex", 2048).otherwise(1024)), f"SELECT query_id, kind, CASE kind WHEN 'simple' THEN 512 WHEN 'complex' THEN 2048 ELSE 1024 END AS max_tokens FROM (SELECT query_id, CASE WHEN n <= 5 AND m <= 1 AND NOT p THEN 'simple' WHEN n > 20 OR m > 1 OR p THEN 'complex' ELSE 'moderate' END AS kind FROM (SELECT query_id, len(regexp_extract_all(query, '[A-Za-z''-]+')) AS n, length(query) - length(replace(query, '?', '')) AS m, contains(query, ' and ') OR contains(query, ' or ') AS p FROM {VALUES}))")
 has = lambda parts: " OR ".join(f"contains(lower(trim(query)), '{p}')" for p in parts)
-register("D28_query_problems", per_query(problems=F.array_join(Q.problems(QUERY), "|")), rf"SELECT query_id, CASE WHEN trim(query) = '' THEN 'empty' WHEN length(trim(query)) < 3 THEN 'short' ELSE concat_ws('|', CASE WHEN ({has(Q.GENERIC)}) AND len(list_filter(regexp_split_to_array(trim(query), '\s+'), lambda w: w <> '')) < 5 THEN 'generic' END, CASE WHEN {has(Q.SCOPE)} THEN 'out_of_scope' WHEN length(regexp_replace(query, '[^\p{{L}}\p{{N}}]', '', 'g')) < 3 THEN 'no_letters' END) END AS problems FROM {VALUES}")
+register("D28_query_problems", per_query(lambda: dict(problems=F.array_join(Q.problems(query_()), "|"))), rf"SELECT query_id, CASE WHEN trim(query) = '' THEN 'empty' WHEN length(trim(query)) < 3 THEN 'short' ELSE concat_ws('|', CASE WHEN ({has(Q.GENERIC)}) AND len(list_filter(regexp_split_to_array(trim(query), '\s+'), lambda w: w <> '')) < 5 THEN 'generic' END, CASE WHEN {has(Q.SCOPE)} THEN 'out_of_scope' WHEN length(regexp_replace(query, '[^\p{{L}}\p{{N}}]', '', 'g')) < 3 THEN 'no_letters' END) END AS problems FROM {VALUES}")
 register("D29_document_problems", lambda t: asked(t).select(F.col("document_id") * 60).toDF("id").join(t.docs.select("id", F.lit(1).alias("there")), "id", "left").join(t.embedded_chunks.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count("embedding").alias("e")), "id", "left").select("id", F.when(F.col("there").isNull(), "missing").when(F.coalesce("n", F.lit(0)) == 0, "no_chunks").when(F.col("e") == 0, "no_embeddings").when(F.col("n") < 3, "few_chunks").otherwise("ok").alias("state")), f"SELECT q.document_id * 60 AS id, CASE WHEN d.id IS NULL THEN 'missing' WHEN coalesce(n, 0) = 0 THEN 'no_chunks' WHEN e = 0 THEN 'no_embeddings' WHEN n < 3 THEN 'few_chunks' ELSE 'ok' END AS state FROM {VALUES} LEFT JOIN docs d ON d.id = q.document_id * 60 LEFT JOIN (SELECT document_id, count(*) AS n, count(embedding) AS e FROM embedded_chunks GROUP BY 1) c ON c.document_id = d.id")
 register("D30_clamped_parameters", lambda t: t.load("part").select("p_partkey", F.least(F.greatest(F.col("p_size") - 5, F.lit(1)), F.lit(30)).alias("top_k"), F.least(F.greatest(F.col("p_size") - 20, F.lit(0)), F.lit(10)).alias("citations"), F.least(F.greatest(F.col("p_size") - 10, F.lit(0)), F.lit(3)).alias("strictness"), F.when(F.lower("p_type").isin("plain", "markdown", "html"), F.lower("p_type")).otherwise("plain").alias("format")), "SELECT p_partkey, least(greatest(p_size - 5, 1), 30) AS top_k, least(greatest(p_size - 20, 0), 10) AS citations, least(greatest(p_size - 10, 0), 3) AS strictness, CASE WHEN lower(p_type) IN ('plain', 'markdown', 'html') THEN lower(p_type) ELSE 'plain' END AS format FROM part")
 TITLES = [(1, "Bula do remédio"), (2, "Contrato 7"), (3, "Estudo de caso"), (4, "Manual de venda"), (5, "Curso livre"), (6, "Outro")]
 TVALUES = "(VALUES " + ", ".join(map(str, TITLES)) + ") d(id, title)"
 register("D31_document_type", lambda t: t.frame(TITLES, "id int, title string").join(t.chunks.where("ord = 0 AND document_id < 7").select(F.col("document_id").alias("id"), F.substring("content", 1, 500).alias("sample")), "id", "left").select("id", Q.title_type(F.col("title"), F.col("sample")).alias("kind")), f"SELECT d.id, CASE WHEN t <> '' THEN t ELSE {cases({k: Q.TITLE_TYPES[k] for k in ('medical', 'legal', 'academic')}, 's', 'generic')} END AS kind FROM (SELECT *, {cases(Q.TITLE_TYPES, 'lower(title)', '')} AS t FROM {TVALUES}) d LEFT JOIN (SELECT document_id, lower(substring(content, 1, 500)) AS s FROM chunks WHERE ord = 0) c ON c.document_id = d.id".replace("WHEN t <> '' THEN t ELSE CASE", "WHEN t <> '' THEN t WHEN s IS NULL THEN 'generic' ELSE CASE"))
-BEST = F.array_max(F.transform(L.language_scores(F.col("text")), lambda x: F.struct(x["score"], x["language"])))
-register("D32_pattern_language", lambda t: t.load("documents").select("doc_id", BEST.alias("b"), F.size(T.words(F.col("text"))).alias("n")).select("doc_id", F.least(F.lit(0.9), F.round(F.col("b.score") / F.greatest(0.1 * F.col("n"), F.lit(10.0)), 6)).alias("confidence"), F.col("b.language").alias("language")).withColumn("language", F.when(F.col("confidence") >= 0.3, F.col("language")).otherwise("unknown")))
+
+
+def best_language():
+    return F.array_max(F.transform(L.language_scores(F.col("text")), lambda x: F.struct(x["score"], x["language"])))
+
+
+register("D32_pattern_language", lambda t: t.load("documents").select("doc_id", best_language().alias("b"), F.size(T.words(F.col("text"))).alias("n")).select("doc_id", F.least(F.lit(0.9), F.round(F.col("b.score") / F.greatest(0.1 * F.col("n"), F.lit(10.0)), 6)).alias("confidence"), F.col("b.language").alias("language")).withColumn("language", F.when(F.col("confidence") >= 0.3, F.col("language")).otherwise("unknown")))
 pad = "lower(substring(text, 1, 1000))"
 counts = lambda ws: " + ".join(f"(length({pad}) - length(replace({pad}, ' {w} ', ''))) / {len(w) + 2}" for w in ws)
 register("D33_two_languages", lambda t: t.load("documents").select("doc_id", L.two_languages(F.col("text")).alias("language")), f"SELECT doc_id, CASE WHEN p > e THEN 'pt' WHEN e > p THEN 'en' ELSE 'unknown' END AS language FROM (SELECT doc_id, {counts(L.PT_WORDS)} AS p, {counts(L.EN_WORDS)} AS e FROM documents)")

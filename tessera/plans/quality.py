@@ -7,16 +7,26 @@ from tessera.operators import quality as G
 
 from .registry import register
 
-N = F.count(F.lit(1))
-TEXT = F.col("text")
+
+def rows_():
+    return F.count(F.lit(1))
+
+
+def text_():
+    return F.col("text")
 #: Lines of every document with marks of structure put in, so that all rules have something to find.
 MARKS = ["1. ", "- ", "# Results ", "", "a) ", "àé &amp; ", "x | y | ", "[3] (2) ", "> said ", ""]
-MARKED = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.element_at(F.array(*map(F.lit, MARKS)), i % 10 + 1), F.substring(x, 1, 90))), "\n")
+
+
+def marked():
+    return F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.element_at(F.array(*map(F.lit, MARKS)), i % 10 + 1), F.substring(x, 1, 90))), "\n")
+
+
 MARKED_SQL = "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: (" + str(MARKS) + ")[(i - 1) % 10 + 1] || substring(x, 1, 90)), chr(10)) AS text FROM documents"
 
 
 def docs(t):
-    return t.load("documents").withColumn("text", MARKED)
+    return t.load("documents").withColumn("text", marked())
 
 
 def kind(column="doc_id"):
@@ -54,26 +64,26 @@ SCORE = (
 )
 register(
     "G01_quality_score",
-    lambda t: docs(t).select("doc_id", F.length("text").alias("c"), G.quality_score(TEXT, kind()).alias("score")).select("doc_id", "score", G.rating(F.col("score")).alias("rating"), G.success_rate(F.col("score"), F.col("c"), F.lit(3)).alias("success")),
+    lambda t: docs(t).select("doc_id", F.length("text").alias("c"), G.quality_score(text_(), kind()).alias("score")).select("doc_id", "score", G.rating(F.col("score")).alias("rating"), G.success_rate(F.col("score"), F.col("c"), F.lit(3)).alias("success")),
     f"SELECT doc_id, score, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 70 THEN 'good' ELSE 'poor' END AS rating, round(least(100.0::DOUBLE, greatest(1, least(3, c // 2000)) / 3::DOUBLE * score), 1) AS success FROM ({SCORE})",
 )
 register(
-    "G02_structure_counts", lambda t: docs(t).select("doc_id", *(c.alias(k) for k, c in G.structure_counts(TEXT).items())),
+    "G02_structure_counts", lambda t: docs(t).select("doc_id", *(c.alias(k) for k, c in G.structure_counts(text_()).items())),
     rf"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda x: {TRIM} <> ''))::INT AS paragraphs, {n(r'[.!?]+(?:\s+|$)')} AS sentences, {n(r'(?m)^\s*\d+\.?\s+')} AS numbered, {n(r'(?m)^\s*[•\-*]\s+')} AS bulleted, {n('===.*===')} + {n(r'Title:|H\d+:')} AS headers, len(list_filter(string_split(text, chr(10)), lambda x: length(x) - length(replace(x, '|', '')) >= 2))::INT AS table_rows FROM ({MARKED_SQL})",
 )
 LENS = rf"list_transform({WORDS}, lambda w: length(trim(w, '.,!?;:()[]{{}}\"''-')))"
 register(
-    "G03_content_metrics", lambda t: docs(t).select("doc_id", *(c.alias(k) for k, c in G.content_metrics(TEXT).items())),
+    "G03_content_metrics", lambda t: docs(t).select("doc_id", *(c.alias(k) for k, c in G.content_metrics(text_()).items())),
     rf"SELECT doc_id, round({n(r'\p{L}')} / greatest(length(text), 1)::DOUBLE, 6) AS alphabetic, round({n(r'\p{Nd}')} / greatest(length(text), 1)::DOUBLE, 6) AS numeric, round({n(r'\s')} / greatest(length(text), 1)::DOUBLE, 6) AS whitespace, round(list_sum(l) / len(l)::DOUBLE, 6) AS word_mean, list_max(l)::INT AS word_max, list_min(l)::INT AS word_min FROM (SELECT *, {LENS} AS l FROM ({MARKED_SQL}))",
 )
-register("G04_encoding_issues", lambda t: docs(t).select("doc_id", T.times(TEXT, "�").alias("replacements"), ((F.length("text") - F.length(F.replace(TEXT, F.lit("?"), F.lit("")))) / F.greatest(F.length("text"), F.lit(1)) > 0.05).alias("many_marks")), f"SELECT doc_id, {n('�')} AS replacements, (length(text) - length(replace(text, '?', ''))) / greatest(length(text), 1) > 0.05 AS many_marks FROM ({MARKED_SQL})")
+register("G04_encoding_issues", lambda t: docs(t).select("doc_id", T.times(text_(), "�").alias("replacements"), ((F.length("text") - F.length(F.replace(text_(), F.lit("?"), F.lit("")))) / F.greatest(F.length("text"), F.lit(1)) > 0.05).alias("many_marks")), f"SELECT doc_id, {n('�')} AS replacements, (length(text) - length(replace(text, '?', ''))) / greatest(length(text), 1) > 0.05 AS many_marks FROM ({MARKED_SQL})")
 register(
-    "G05_density", lambda t: docs(t).select("doc_id", *(c.alias(k) for k, c in G.density(TEXT).items())),
+    "G05_density", lambda t: docs(t).select("doc_id", *(c.alias(k) for k, c in G.density(text_()).items())),
     rf"SELECT doc_id, len(x)::INT AS lines, (len(x) - len(f))::INT AS empty, round((len(x) - len(f)) / len(x)::DOUBLE, 6) AS empty_ratio, round(list_sum(list_transform(x, lambda s: length(s))) / len(x)::DOUBLE, 6) AS mean_line, round(coalesce(list_sum(list_transform(f, lambda s: length(s))), 0) / greatest(len(f), 1)::DOUBLE, 6) AS mean_full_line FROM (SELECT doc_id, string_split(text, chr(10)) AS x, list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '\S')) AS f FROM ({MARKED_SQL}))",
 )
 found = lambda t: G.headers(docs(t), "doc_id", "text")
 secs = lambda t: G.sections(docs(t), found(t), "doc_id", "text")
-elements = lambda t: docs(t).select(F.col("doc_id").alias("document_id"), *(c.alias(k) for k, c in G.content_elements(TEXT).items()), G.structure_counts(TEXT)["paragraphs"].alias("paragraphs"), F.size(T.words(TEXT)).alias("words"))
+elements = lambda t: docs(t).select(F.col("doc_id").alias("document_id"), *(c.alias(k) for k, c in G.content_elements(text_()).items()), G.structure_counts(text_())["paragraphs"].alias("paragraphs"), F.size(T.words(text_())).alias("words"))
 register("G06_headers", found)
 register("G07_sections", secs)
 register("G08_hierarchy", lambda t: G.parents(secs(t)).select("document_id", "number", "level", "parent"))
@@ -83,7 +93,7 @@ register(
     "G09_content_elements", lambda t: elements(t).drop("paragraphs", "words"),
     "SELECT doc_id AS document_id, " + ", ".join(f"{n(p)} AS {k}" for k, p in EL.items()) + rf", {n(r'\[[\p{L}\p{N}_\s,.-]+\]|\([A-Za-z]+,?\s*\d{4}\)')} + {n(r'https?://[^\s]+')} + {n(r'(?i)doi:\s*[\d./]+')} AS citations, greatest({n(r'\[\d+\]|\(\d+\)')}, {n(r'(?m)^\s*\d+\.\s+')}) AS footnotes, " + n('"[^"]{10,}"') + " + " + n("''[^'']{10,}''") + " + " + n(r"(?m)^\s*>[^\n]+") + f" AS quotes FROM ({MARKED_SQL})",
 )
-register("G10_structural_quality", lambda t: G.structural_quality(secs(t), elements(t).drop("words").join(docs(t).select(F.col("doc_id").alias("document_id"), F.size(T.words(TEXT)).alias("words")), "document_id")))
+register("G10_structural_quality", lambda t: G.structural_quality(secs(t), elements(t).drop("words").join(docs(t).select(F.col("doc_id").alias("document_id"), F.size(T.words(text_())).alias("words")), "document_id")))
 issues = lambda t: G.failures(docs(t), "doc_id", "text")
 register("G11_failures", issues)
 
@@ -98,9 +108,9 @@ register("G13_classified_issues", lambda t: G.classified(issues(t)))
 register("G14_severity_and_effort", lambda t: t.load("part").select("p_partkey", G.adjusted_severity(F.element_at(F.array(*map(F.lit, G.LEVELS)), F.col("p_size") % 4 + 1), F.col("p_size") / 50).alias("severity"), G.fix_hours(F.element_at(F.array(*map(F.lit, G.HOURS)), F.col("p_size") % 5 + 1), F.lit("high"), F.lit(0.5)).alias("hours")), "SELECT p_partkey, (['low', 'medium', 'high', 'critical'])[CASE WHEN p_size / 50 > 0.8 THEN least(4, p_size % 4 + 2) WHEN p_size / 50 < 0.3 THEN greatest(1, p_size % 4) ELSE p_size % 4 + 1 END] AS severity, round(([0.5, 2.0, 8.0, 24.0, 40.0])[p_size % 5 + 1]::DOUBLE * 1.2 * 1.5, 1) AS hours FROM part")
 register("G15_prioritised_issues", lambda t: G.classified(issues(t)).orderBy(F.desc("priority"), "document_id", "position", "pattern").limit(200).select("document_id", "position", "pattern", "priority"))
 register("G16_recommendations", lambda t: G.recommendations(issues(t)))
-register("G17_section_quality", lambda t: docs(t).select("doc_id", F.round(G.coherence(TEXT), 6).alias("coherence"), G.section_quality(TEXT).alias("quality")))
+register("G17_section_quality", lambda t: docs(t).select("doc_id", F.round(G.coherence(text_()), 6).alias("coherence"), G.section_quality(text_()).alias("quality")))
 CORR = " + ".join(f"{w}::DOUBLE * log10({n(quoted(p))} + 1) / 2" for p, w in G.CORRUPTION)
-register("G18_corruption", lambda t: docs(t).select("doc_id", F.round(G.corruption(TEXT), 6).alias("severity")), f"SELECT doc_id, round(least(1.0::DOUBLE, {CORR}), 6) AS severity FROM ({MARKED_SQL})")
+register("G18_corruption", lambda t: docs(t).select("doc_id", F.round(G.corruption(text_()), 6).alias("severity")), f"SELECT doc_id, round(least(1.0::DOUBLE, {CORR}), 6) AS severity FROM ({MARKED_SQL})")
 
 
 def tables(t):
@@ -114,25 +124,25 @@ register(
     "WITH l AS (SELECT p_brand, list(concat_ws('|', p_name, CASE WHEN p_size % 7 = 0 THEN '' ELSE p_type END, CASE WHEN p_size % 11 <> 0 THEN p_size::VARCHAR END) ORDER BY p_partkey) AS lines FROM part GROUP BY 1), c AS (SELECT p_brand, len(lines)::INT AS rows, list_transform(lines, lambda x: len(string_split(x, '|'))) AS k, flatten(list_transform(lines, lambda x: list_transform(string_split(x, '|'), lambda s: trim(s)))) AS f FROM l) SELECT p_brand, k[1]::INT AS columns, rows, len(list_distinct(k)) <= 1 AS steady, round(len(list_filter(f, lambda s: s = ''))::DOUBLE / len(f), 6) AS empty_ratio, round(greatest(0.0::DOUBLE, 1.0 - CASE WHEN len(list_distinct(k)) <= 1 THEN 0.0 ELSE 0.3 END - CASE WHEN k[1] < 2 THEN 0.2 ELSE 0.0 END - CASE WHEN rows < 2 THEN 0.2 ELSE 0.0 END - len(list_filter(f, lambda s: s = ''))::DOUBLE / len(f) * 0.5), 6) AS score FROM c",
 )
 LANG = " + ".join(f"({n('[' + s + ']')} / greatest(length(text), 1) >= 0.1)::INT" for s in G.LANGUAGE_SETS.values())
-register("G20_language_consistency", lambda t: t.load("documents").select("doc_id", G.language_consistency(TEXT).alias("score")), f"SELECT doc_id, CASE WHEN regexp_replace(text, '\\s', '', 'g') = '' THEN 0.0 WHEN {LANG} > 1 THEN 0.7 ELSE 1.0 END::DOUBLE AS score FROM documents")
+register("G20_language_consistency", lambda t: t.load("documents").select("doc_id", G.language_consistency(text_()).alias("score")), f"SELECT doc_id, CASE WHEN regexp_replace(text, '\\s', '', 'g') = '' THEN 0.0 WHEN {LANG} > 1 THEN 0.7 ELSE 1.0 END::DOUBLE AS score FROM documents")
 lines = lambda t: docs(t).select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
 KIND = r"CASE WHEN regexp_matches(t, '^\s*\d+[.)]\s+') THEN 'numbered' WHEN regexp_matches(t, '^\s*[-*•]\s+') THEN 'bulleted' WHEN regexp_matches(t, '(?i)^\s*[ivx]+[.)]\s+') THEN 'roman' WHEN regexp_matches(t, '^\s*[a-zA-Z][.)]\s+') THEN 'lettered' END"
 LINES = f"SELECT doc_id AS document_id, unnest(range(len(x)))::INT AS line, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM ({MARKED_SQL}))"
 register("G21_list_runs", lambda t: G.runs(lines(t), G.list_kind(F.col("t"))), f"WITH k AS (SELECT *, {KIND} AS kind FROM ({LINES})), r AS (SELECT *, (kind IS DISTINCT FROM lag(kind) OVER w)::INT AS s FROM k WINDOW w AS (PARTITION BY document_id ORDER BY line)), g AS (SELECT *, sum(s) OVER (PARTITION BY document_id ORDER BY line) AS run FROM r) SELECT document_id, kind, min(line) AS first, count(*) AS n FROM g WHERE kind IS NOT NULL GROUP BY document_id, run, kind")
-register("G21b_cited_domains", lambda t: t.load("pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host")).groupBy("host").agg(N.alias("n")), "SELECT regexp_extract(url, '^https?://([^/:]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
+register("G21b_cited_domains", lambda t: t.load("pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host")).groupBy("host").agg(rows_().alias("n")), "SELECT regexp_extract(url, '^https?://([^/:]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
 register("G22_profiled_sections", lambda t: G.profiled_sections(docs(t), "doc_id", "text"))
 CLS = r"CASE WHEN s = '' THEN 'empty' WHEN regexp_matches(s, '^#{1,6}\s') THEN 'heading' WHEN " + KIND.replace("CASE WHEN", "(CASE WHEN") + r") IS NOT NULL THEN 'list' WHEN contains(t, '|') THEN 'table' WHEN regexp_matches(s, '^[A-Z][A-Z\s]{2,}$') THEN 'heading' WHEN regexp_matches(s, '^>') THEN 'quote' ELSE 'text' END"
-register("G23_line_classes", lambda t: lines(t).groupBy("document_id", G.line_class(F.col("t")).alias("class")).agg(N.alias("n")), rf"SELECT document_id, {CLS} AS class, count(*) AS n FROM (SELECT *, regexp_replace(t, '^\s+|\s+$', '', 'g') AS s FROM ({LINES})) GROUP BY 1, 2")
+register("G23_line_classes", lambda t: lines(t).groupBy("document_id", G.line_class(F.col("t")).alias("class")).agg(rows_().alias("n")), rf"SELECT document_id, {CLS} AS class, count(*) AS n FROM (SELECT *, regexp_replace(t, '^\s+|\s+$', '', 'g') AS s FROM ({LINES})) GROUP BY 1, 2")
 register("G24_located_failures", lambda t: G.located(issues(t).where("severity = 'high'"), docs(t), "doc_id", "text").select("document_id", "pattern", "position", "line", "column", "page", F.md5("around").alias("around")))
-register("G25_failures_in_sections", lambda t: G.in_sections(issues(t), secs(t)).groupBy("document_id", "title").agg(N.alias("n")))
+register("G25_failures_in_sections", lambda t: G.in_sections(issues(t), secs(t)).groupBy("document_id", "title").agg(rows_().alias("n")))
 
 
 def report(t):
     """Histogram of section quality and the document's overall score."""
-    quality = G.sections(docs(t), found(t), "doc_id", "text").join(docs(t).select(F.col("doc_id").alias("document_id"), "text"), "document_id").select("document_id", G.section_quality(F.substring(TEXT, F.col("start") + 1, F.col("stop") - F.col("start"))).alias("q"))
+    quality = G.sections(docs(t), found(t), "doc_id", "text").join(docs(t).select(F.col("doc_id").alias("document_id"), "text"), "document_id").select("document_id", G.section_quality(F.substring(text_(), F.col("start") + 1, F.col("stop") - F.col("start"))).alias("q"))
     bins = quality.groupBy("document_id").agg(F.count_if(F.col("q") >= 0.7).alias("high"), F.count_if((F.col("q") >= 0.4) & (F.col("q") < 0.7)).alias("medium"), F.count_if(F.col("q") < 0.4).alias("low"))
     penalty = issues(t).groupBy("document_id").agg(F.least(F.lit(0.8), F.sum(G.pick(F.col("severity"), {"critical": 0.3, "high": 0.2, "medium": 0.1, "low": 0.05}, 0.1))).alias("p"))
-    score = docs(t).select(F.col("doc_id").alias("document_id"), G.quality_score(TEXT, kind()).alias("s"))
+    score = docs(t).select(F.col("doc_id").alias("document_id"), G.quality_score(text_(), kind()).alias("s"))
     return bins.join(score, "document_id").join(penalty, "document_id", "left").select("document_id", "high", "medium", "low", F.round(F.greatest(F.lit(0.0), F.col("s") / 100 - F.coalesce("p", F.lit(0.0))), 6).alias("overall"))
 
 

@@ -7,7 +7,9 @@ from tessera.streaming import flows as S
 
 from .registry import register
 
-N = F.count(F.lit(1))
+
+def rows_():
+    return F.count(F.lit(1))
 
 
 def events(t, files=None):
@@ -20,9 +22,9 @@ def stamp(column):
 
 
 register("T01_minute_counters", lambda t: S.drained(S.minute_counters(events(t), "user_id"), "complete").select("user_id", stamp("minute").alias("minute"), "n"), "SELECT user_id, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS minute, count(*) AS n FROM events GROUP BY 1, 2")
-register("T02_api_rate", lambda t: S.drained(S.minute_counters(events(t), "event_type"), "complete").groupBy("event_type").agg(F.max("n").alias("peak"), N.alias("minutes")), "SELECT event_type, max(n) AS peak, count(*) AS minutes FROM (SELECT event_type, date_trunc('minute', ts) AS m, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
+register("T02_api_rate", lambda t: S.drained(S.minute_counters(events(t), "event_type"), "complete").groupBy("event_type").agg(F.max("n").alias("peak"), rows_().alias("minutes")), "SELECT event_type, max(n) AS peak, count(*) AS minutes FROM (SELECT event_type, date_trunc('minute', ts) AS m, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
 register("T03_bursts", lambda t: S.drained(S.bursts(events(t), "event_type"), "complete").select("event_type", stamp("start").alias("start"), "n"), "WITH g AS (SELECT event_type, ts, (ts - lag(ts) OVER w > INTERVAL 60 SECONDS OR lag(ts) OVER w IS NULL)::INT AS s FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)), r AS (SELECT *, sum(s) OVER (PARTITION BY event_type ORDER BY ts) AS run FROM g) SELECT event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM r GROUP BY event_type, run")
-register("T04_metric_flushes", lambda t: S.drained(events(t).select("event_id", "event_type"), "append", 100).groupBy("batch", "flush").agg(N.alias("n")))
+register("T04_metric_flushes", lambda t: S.drained(events(t).select("event_id", "event_type"), "append", 100).groupBy("batch", "flush").agg(rows_().alias("n")))
 register("A25_metric_sink", lambda t: S.drained(events(t).select("event_id", "event_type", "value"), "append", 100).select("event_id", "event_type", "value"), "SELECT event_id, event_type, value FROM events")
 register("T05_hourly_health", lambda t: S.drained(S.hourly_health(events(t)), "complete").select(stamp("start").alias("start"), "n", "errors"), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1")
 register("T06_job_states", lambda t: S.drained(S.job_states(events(t)), "update").groupBy("job").agg(F.max_by("state", "batch").alias("state"), F.max("steps").alias("steps")), "SELECT user_id AS job, CASE arg_max(event_type, event_id) WHEN 'view' THEN 'pending' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'processing' END AS state, count(*) AS steps FROM events GROUP BY 1")

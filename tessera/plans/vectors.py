@@ -7,7 +7,9 @@ from tessera.operators import vectors as V
 
 from .registry import register
 
-N = F.count(F.lit(1))
+
+def rows_():
+    return F.count(F.lit(1))
 
 
 def asked(t, n=5):
@@ -47,4 +49,4 @@ register("C13_coverage", lambda t: V.coverage(t.embedded_chunks), "SELECT docume
 register("C14_needs_embedding", lambda t: t.docs.join(t.embedded_chunks.where("embedding IS NOT NULL").select(F.col("document_id").alias("id")), "id", "left_anti").select("id"), "SELECT id FROM docs d WHERE NOT EXISTS (SELECT 1 FROM embedded_chunks c WHERE c.document_id = d.id AND embedding IS NOT NULL)")
 register("C15_time_estimate", lambda t: t.load("orders").select("o_orderkey", (F.col("o_orderkey") % 9000).alias("n")).select("o_orderkey", F.round(V.embed_time(F.col("n")), 2).alias("seconds"), V.time_text(V.embed_time(F.col("n"))).alias("text")).where("seconds < 3600"), "SELECT o_orderkey, round(s, 2) AS seconds, CASE WHEN s < 60 THEN ceil(s)::INT || 's' ELSE ceil(s / 60)::INT || 'min' END AS text FROM (SELECT o_orderkey, greatest(2.0::DOUBLE, n * CASE WHEN n < 100 THEN 0.1::DOUBLE WHEN n < 500 THEN 0.05 ELSE 0.02 END) AS s FROM (SELECT o_orderkey, o_orderkey % 9000 AS n FROM orders))")
 register("C16_bypass_documents", lambda t: t.embedded_chunks.groupBy("document_id").agg(F.avg(F.col("embedding").isNull().cast("int")).alias("share")).where("share > 0.5").select("document_id"), "SELECT document_id FROM embedded_chunks GROUP BY 1 HAVING avg((embedding IS NULL)::INT) > 0.5")
-register("C17_missing_by_tenant", lambda t: t.embedded_chunks.where("embedding IS NULL").join(t.docs.select(F.col("id").alias("document_id"), "tenant_slug"), "document_id").groupBy("tenant_slug").agg(N.alias("missing"), F.count_distinct("document_id").alias("documents")), "SELECT tenant_slug, count(*) AS missing, count(DISTINCT document_id) AS documents FROM embedded_chunks c JOIN docs d ON d.id = c.document_id WHERE embedding IS NULL GROUP BY 1")
+register("C17_missing_by_tenant", lambda t: t.embedded_chunks.where("embedding IS NULL").join(t.docs.select(F.col("id").alias("document_id"), "tenant_slug"), "document_id").groupBy("tenant_slug").agg(rows_().alias("missing"), F.count_distinct("document_id").alias("documents")), "SELECT tenant_slug, count(*) AS missing, count(DISTINCT document_id) AS documents FROM embedded_chunks c JOIN docs d ON d.id = c.document_id WHERE embedding IS NULL GROUP BY 1")

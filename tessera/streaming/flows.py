@@ -17,7 +17,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.vectors import local_embedding
 
-N = F.count(F.lit(1))
+
+def rows_():
+    return F.count(F.lit(1))
 
 
 def scratch(spark: SparkSession) -> str:
@@ -60,17 +62,17 @@ def drained(flow: DataFrame, mode: str, size: int | None = None) -> DataFrame:
 
 def minute_counters(events: DataFrame, identity: str, delay: str = "2 minutes") -> DataFrame:
     """(identity, minute, n): tumbling one-minute counters, whose state goes two minutes after their end."""
-    return events.withWatermark("ts", delay).groupBy(identity, F.window("ts", "1 minute").alias("w")).agg(N.alias("n")).select(identity, F.col("w.start").alias("minute"), "n")
+    return events.withWatermark("ts", delay).groupBy(identity, F.window("ts", "1 minute").alias("w")).agg(rows_().alias("n")).select(identity, F.col("w.start").alias("minute"), "n")
 
 
 def bursts(events: DataFrame, identity: str, gap: str = "60 seconds") -> DataFrame:
     """(identity, start, n): runs of events no more than a gap apart."""
-    return events.withWatermark("ts", "1 hour").groupBy(identity, F.session_window("ts", gap).alias("w")).agg(N.alias("n")).select(identity, F.col("w.start").alias("start"), "n")
+    return events.withWatermark("ts", "1 hour").groupBy(identity, F.session_window("ts", gap).alias("w")).agg(rows_().alias("n")).select(identity, F.col("w.start").alias("start"), "n")
 
 
 def hourly_health(events: DataFrame, every: str = "1 hour") -> DataFrame:
     """(start, n, errors): one-hour windows, one every `every`."""
-    return events.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour", every).alias("w")).agg(N.alias("n"), F.count_if(F.col("event_type") == "error").alias("errors")).select(F.col("w.start").alias("start"), "n", "errors")
+    return events.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour", every).alias("w")).agg(rows_().alias("n"), F.count_if(F.col("event_type") == "error").alias("errors")).select(F.col("w.start").alias("start"), "n", "errors")
 
 
 #: Job states that an event of a type leads to.
