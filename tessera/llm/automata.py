@@ -11,7 +11,7 @@ END = ""
 class Automaton:
     """counts[state][symbol] is how often the symbol was seen there (END: a string's end), steps[state][symbol] the next state."""
 
-    def __init__(self, words: list[str], alpha: float = 0.05) -> None:
+    def __init__(self, words: list[str], alpha: float = 0.05, alphabet: int = 11) -> None:
         self.counts: list[dict[str, int]] = [{}]
         self.steps: list[dict[str, int]] = [{}]
         for word in words:
@@ -25,7 +25,7 @@ class Automaton:
                 at = self.steps[at][symbol]
             self.counts[at][END] = self.counts[at].get(END, 0) + 1
         self._infer(math.sqrt(0.5 * math.log(2 / alpha)))
-        self.symbols = sorted({s for c in self.counts for s in c})
+        self.size = max(alphabet, len({s for c in self.counts for s in c} - {END})) + 1
 
     def _alike(self, a: int, b: int, width: float) -> bool:
         """Hoeffding's bound holds for every symbol of two states and of the states reached from both."""
@@ -77,10 +77,13 @@ class Automaton:
         self.steps = [{s: number[y] for s, y in self.steps[x].items()} for x in kept]
 
     def log_likelihood(self, word: str, smoothing: float = 0.5) -> float:
-        """Of the word and its end, divided by its symbols and the end. Where no step is known the word starts anew."""
-        total, at, size = 0.0, 0, len(self.symbols) + 1
+        """Of the word and its end, divided by its symbols and the end. Where no step is known the word starts anew.
+
+        Counts are smoothed over the alphabet, so that an automaton of no words holds all symbols equally likely.
+        """
+        total, at = 0.0, 0
         for symbol in (*word, END):
             seen = self.counts[at]
-            total += math.log((seen.get(symbol, 0) + smoothing) / (sum(seen.values()) + smoothing * size))
+            total += math.log((seen.get(symbol, 0) + smoothing) / (sum(seen.values()) + smoothing * self.size))
             at = self.steps[at].get(symbol, 0)
         return total / (len(word) + 1)

@@ -72,7 +72,8 @@ def all_spans(text: str, formats: Formats | None) -> tuple[list[Span], list[Span
 def learn_formats(docs: DataFrame, text_col: str = "text", per_kind: int = 800, held_out: int = 200, least: int = 30) -> Formats:
     """Fits the automata on at most per_kind + held_out distinct values of each kind, those of the smallest hashes.
 
-    A kind of under `least` values gets no automaton. Ordinary tokens are one of each document, as many at most. An empty
+    A kind of under `least` values gets no automaton. Ordinary tokens are one of each document, none of
+    a credential, as many at most. An empty
     table, or one without credentials, gives no formats.
     """
 
@@ -81,11 +82,12 @@ def learn_formats(docs: DataFrame, text_col: str = "text", per_kind: int = 800,
             kinds, values = [], []
             for value in batch.column(0):
                 text = value.as_py() or ""
-                for kind, _, _, x in base_spans(text):
+                base = base_spans(text)
+                for kind, _, _, x in base:
                     kinds.append(kind)
                     values.append(x)
                 word = WORD.search(text, zlib.crc32(text[:64].encode("utf-8", "replace")) % (len(text) + 1)) or WORD.search(text)
-                if word:
+                if word and not any(a < word.end() and word.start() < b for _, a, b, _ in base):
                     kinds.append("ordinary")
                     values.append(word[0])
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["kind", "value"])
