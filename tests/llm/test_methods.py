@@ -155,7 +155,7 @@ def test_secret_patterns(text):
 def test_formats_learned_from_labelled_values_find_others(spark):
     rng = np.random.default_rng(2)
     make = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), n))
-    labelled = [(i, f"word list {'plain '*5} token = '{make(40)}' end") for i in range(300)]
+    labelled = [(i, f"ordinary sentence {'plainly written '*5} token = '{make(40)}' end") for i in range(300)]
     hidden = make(40)
     probe = [(1000, f"see {hidden} here"), (1001, "see averyveryverylongwordthatgoeson 2024 here"), (1002, "visit some-site-name.example-domain.com/with/path7 now")]
     docs = spark.createDataFrame(labelled + probe, "doc_id long, text string")
