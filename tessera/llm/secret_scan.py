@@ -46,7 +46,7 @@ class Formats:
 
     known: dict[str, tuple[Automaton, float]]
     ordinary: Automaton
-    margin: float = 0.5
+    margin: float = 0.25  # of log-likelihood a character; 5 in all for the shortest token
 
     def kind(self, token: str) -> str | None:
         word = token.translate(CLASSES)
@@ -86,7 +86,7 @@ def learn_formats(docs: DataFrame, text_col: str = "text", per_kind: int = 800,
                 for kind, _, _, x in base:
                     kinds.append(kind)
                     values.append(x)
-                word = WORD.search(text, zlib.crc32(text[:64].encode("utf-8", "replace")) % (len(text) + 1)) or WORD.search(text)
+                word = WORD.search(text, zlib.crc32((text[:64] + text[-64:]).encode("utf-8", "replace")) % (len(text) + 1)) or WORD.search(text)
                 if word and not any(a < word.end() and word.start() < b for _, a, b, _ in base):
                     kinds.append("ordinary")
                     values.append(word[0])
