@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, dealt_anew
 from .components import connected_components
 
 SEED = 42
@@ -155,7 +155,7 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
     pivots = (
         keys.where("index").groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count(F.lit(1)).alias("n"))
     )
-    met = keys.join(pivots, "key").where((F.col("n") > 2) | ((F.col("fp") != F.col("low")) & near("fp", "low")) | ((F.col("fp") != F.col("high")) & near("fp", "high")))
+    met = keys.join(dealt_anew(pivots, "key"), "key").where((F.col("n") > 2) | ((F.col("fp") != F.col("low")) & near("fp", "low")) | ((F.col("fp") != F.col("high")) & near("fp", "high")))
     met = cut(met)
     stars = met.select("fp", F.explode(F.array("low", "high")).alias("v")).where((F.col("fp") != F.col("v")) & near("fp", "v"))
     stars = cut(stars.select(F.col("fp").alias("u"), "v").distinct())
@@ -165,7 +165,7 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
     rows = rows.join(roots, rows.fp == roots.node, "left").select("key", "fp", "index", F.coalesce("root", "fp").alias("root"))
     rows = cut(rows)
     mixed = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    rows = cut(rows.join(mixed, "key"))
+    rows = cut(rows.join(dealt_anew(mixed, "key"), "key"))
     groups = rows.groupBy("key", "root").agg(F.max("index").alias("index"))
     pairs = groups.select("key", F.col("root").alias("ra")).join(groups.where("index").select("key", F.col("root").alias("rb")), "key").where("ra <> rb")
     asked = pairs.join(rows.select("key", F.col("root").alias("ra"), F.col("fp").alias("u")), ["key", "ra"]).select("key", "rb", "u")
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = cut(named)
     names = named.groupBy("root").agg(F.min("first").alias("component"))
-    known = cut(named.join(names, "root").select("fp", "component"))
+    known = cut(named.join(dealt_anew(names, "root"), "root").select("fp", "component"))
     return prints.join(known, "fp").select("id", "fp", "component")
 
 
