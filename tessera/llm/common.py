@@ -39,8 +39,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z in lower case and nothing else changed."""
-    return F.translate(text, ASCII_UPPER, ASCII_LOWER)
+    """A-Z in lower case and nothing else changed; texts of ASCII alone go by the faster lower()."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_LOWER))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

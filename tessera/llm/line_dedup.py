@@ -52,8 +52,8 @@ def dedup_lines(
     common = (
         occurrences.select("id", "h").distinct().groupBy("h").agg(F.count("id").alias("n"), F.max("id").alias("last"))
         .where(F.col("n") >= min_docs)
-        .select("h", "last")
-    )
+        .select(F.struct(F.col("h.a").bitwiseXOR(F.lit(0)).alias("a"), F.col("h.b").alias("b")).alias("h"), "last")
+    )  # h is written anew, so that the join deals both sides and a frequent line's rows can be split
     lost = (
         occurrences.join(common, "h")
         .where(F.col("id").isNull() | (F.col("id") != F.col("last")))
