@@ -56,13 +56,12 @@ def clean_query():
 
 register("D09_clean_query", per_query(lambda: dict(clean=F.array_join(clean_query(), " "))), rf"""SELECT query_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(query, '[^\p{{L}}\p{{N}}_\s\-''"]', ' ', 'g'), '\s+'), lambda w: length(w) >= 2), ' ') AS clean FROM {VALUES}""")
 register("D10_like_all", lambda t: L.like_all(t.chunks, asked(t), 5), f"WITH a AS (SELECT query_id, {of(TOKENS)} AS tokens FROM {VALUES}), h AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY length(content) DESC, id)::INT AS rank FROM chunks, a WHERE len(tokens) > 0 AND len(list_filter(tokens, lambda t: NOT contains(lower(content), t))) = 0) SELECT query_id, rank, id, 1.0::DOUBLE AS score FROM h WHERE rank <= 5")
-register("D11_like_some", lambda t: L.like_some(t.chunks, asked(t), T.slices(F.lit(""), 2) if False else F.slice(T.raw_tokens(query_()), 1, 12), 5), f"WITH a AS (SELECT query_id, {of(RAW)}[1:12] AS terms FROM {VALUES}), h AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY ord, id)::INT AS rank FROM chunks, a WHERE len(list_filter(terms, lambda t: contains(lower(content), t))) > 0), f AS (SELECT id, row_number() OVER (ORDER BY ord, id)::INT AS rank FROM chunks QUALIFY rank <= 5) SELECT query_id, rank, id FROM h WHERE rank <= 5 UNION ALL SELECT a.query_id, f.rank, f.id FROM a, f WHERE a.query_id NOT IN (SELECT query_id FROM h)")
+register("D11_like_some", lambda t: L.like_some(t.chunks, asked(t), F.slice(T.raw_tokens(query_()), 1, 12), 5), f"WITH a AS (SELECT query_id, {of(RAW)}[1:12] AS terms FROM {VALUES}), h AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY ord, id)::INT AS rank FROM chunks, a WHERE len(list_filter(terms, lambda t: contains(lower(content), t))) > 0), f AS (SELECT id, row_number() OVER (ORDER BY ord, id)::INT AS rank FROM chunks QUALIFY rank <= 5) SELECT query_id, rank, id FROM h WHERE rank <= 5 UNION ALL SELECT a.query_id, f.rank, f.id FROM a, f WHERE a.query_id NOT IN (SELECT query_id FROM h)")
 PHRASES = [(1, "the the"), (2, "of erst"), (3, "die die"), (4, "no such phrase here")]
 register("D12_phrase", lambda t: L.phrase_search(t.chunks, t.frame(PHRASES, "query_id int, query string"), 10), "SELECT query_id, rank, id, 1.0::DOUBLE AS score FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id)::INT AS rank FROM chunks, (VALUES " + ", ".join(map(str, PHRASES)) + ") q(query_id, query) WHERE contains(lower(content), query)) WHERE rank <= 10")
 small = lambda t: t.chunks.where("document_id < 40")
 register("D13_text_strategies", lambda t: L.advanced_search(small(t), asked(t).where("query <> ''"), 0.3, 10))
 register("D14_word_score", lambda t: small(t).join(F.broadcast(asked(t)), F.lit(True)).select("query_id", "id", F.round(L.word_score(T.search_terms(query_()), F.lower("content"), F.col("content")), 6).alias("score")).where("score > 0"))
-POS = "list_transform(list_filter(list_distinct_ordered, lambda w: contains(lower(content), w)), lambda w: strlen(split_part(lower(content), w, 1)))"
 register("D15_proximity", lambda t: small(t).join(F.broadcast(asked(t)), F.lit(True)).select("query_id", "id", F.round(L.proximity(T.search_terms(query_()), F.lower("content")), 6).alias("score")).where("score > 0"), f"WITH p AS (SELECT query_id, id, list_transform(list_filter(terms, lambda w: contains(lower(content), w)), lambda w: strlen(split_part(lower(content), w, 1))) AS s FROM chunks, (SELECT query_id, {of(TERMS)} AS terms FROM {VALUES}) WHERE document_id < 40), r AS (SELECT query_id, id, round(greatest(0.0::DOUBLE, 1 - list_sum(list_transform(range(1, len(s)), lambda i: abs(s[i + 1] - s[i])))::DOUBLE / (len(s) - 1) / 1000), 6) AS score FROM p WHERE len(s) >= 2) SELECT * FROM r WHERE score > 0")
 register("D16_numbered", lambda t: t.load("documents").where("doc_id < 100").select("doc_id", F.concat((F.col("doc_id") % 4).cast("string"), F.lit(". "), F.when(F.col("doc_id") % 3 == 0, F.lit("3 motivos ")).otherwise(F.lit("")), F.substring("text", 1, 50)).alias("c")).select("doc_id", L.numbered_score(F.lit("lista 3 motivos"), F.lower("c")).alias("score")), r"SELECT doc_id, CASE WHEN regexp_matches(c, '3\s*motivos?') THEN 0.95 WHEN regexp_matches(c, '(?m)^\s*3\.\s*') THEN 0.8 ELSE 0.0 END::DOUBLE AS score FROM (SELECT doc_id, lower((doc_id % 4) || '. ' || CASE WHEN doc_id % 3 = 0 THEN '3 motivos ' ELSE '' END || substring(text, 1, 50)) AS c FROM documents WHERE doc_id < 100)")
 register("D17_bypass_search", lambda t: L.advanced_search(t.embedded_chunks.where("embedding IS NULL").join(t.docs.where("source = 'bypass_upload' AND tenant_slug = 'src4'").select(F.col("id").alias("document_id")), "document_id", "left_semi"), asked(t).where("query <> ''"), 0.3, 10))
@@ -82,7 +81,6 @@ register("D24_answer_mode", per_query(lambda: dict(auto=Q.mode(F.lit("auto"), qu
 CLASS = cases(Q.CLASSES, "lower(query)", "other")
 register("D25_query_class", per_query(lambda: dict(kind=Q.query_class(query_()))), f"SELECT query_id, {CLASS} AS kind FROM {VALUES}")
 register("D26_grounding", per_query(lambda: dict(grounded=Q.needs_grounding(query_()))), f"SELECT query_id, {CLASS} IN ('conceptual', 'comparative') OR " + " OR ".join(f"contains(lower(query), '{w}')" for w in Q.OUTSIDE) + f" AS grounded FROM {VALUES}")
-ADAPTED = {"max_tokens": (512, 1024, 2048), "temperature": (0.2, 0.3, 0.4)}
 register("D27_complexity", lambda t: asked(t).select("query_id", Q.complexity(query_()).alias("kind")).withColumn("max_tokens", F.when(F.col("kind") == "simple", 512).when(F.col("kind") == "complex", 2048).otherwise(1024)), f"SELECT query_id, kind, CASE kind WHEN 'simple' THEN 512 WHEN 'complex' THEN 2048 ELSE 1024 END AS max_tokens FROM (SELECT query_id, CASE WHEN n <= 5 AND m <= 1 AND NOT p THEN 'simple' WHEN n > 20 OR m > 1 OR p THEN 'complex' ELSE 'moderate' END AS kind FROM (SELECT query_id, len(regexp_extract_all(query, '[A-Za-z''-]+')) AS n, length(query) - length(replace(query, '?', '')) AS m, contains(query, ' and ') OR contains(query, ' or ') AS p FROM {VALUES}))")
 has = lambda parts: " OR ".join(f"contains(lower(trim(query)), '{p}')" for p in parts)
 register("D28_query_problems", per_query(lambda: dict(problems=F.array_join(Q.problems(query_()), "|"))), rf"SELECT query_id, CASE WHEN trim(query) = '' THEN 'empty' WHEN length(trim(query)) < 3 THEN 'short' ELSE concat_ws('|', CASE WHEN ({has(Q.GENERIC)}) AND len(list_filter(regexp_split_to_array(trim(query), '\s+'), lambda w: w <> '')) < 5 THEN 'generic' END, CASE WHEN {has(Q.SCOPE)} THEN 'out_of_scope' WHEN length(regexp_replace(query, '[^\p{{L}}\p{{N}}]', '', 'g')) < 3 THEN 'no_letters' END) END AS problems FROM {VALUES}")

@@ -84,32 +84,103 @@ register(
 found = lambda t: G.headers(docs(t), "doc_id", "text")
 secs = lambda t: G.sections(docs(t), found(t), "doc_id", "text")
 elements = lambda t: docs(t).select(F.col("doc_id").alias("document_id"), *(c.alias(k) for k, c in G.content_elements(text_()).items()), G.structure_counts(text_())["paragraphs"].alias("paragraphs"), F.size(T.words(text_())).alias("words"))
-register("G06_headers", found)
-register("G07_sections", secs)
-register("G08_hierarchy", lambda t: G.parents(secs(t)).select("document_id", "number", "level", "parent"))
-register("G08b_balance", lambda t: G.balance(secs(t)))
+def stripped(x):
+    """SQL of a text without white space at its ends."""
+    return r"regexp_replace({0}, '^\s+|\s+$', '', 'g')".replace("{0}", x)
+
+
+def header_case(value):
+    """SQL CASE over the kinds of headers in their order; value(kind, pattern, title, confidence) gives each one's SQL."""
+    out = []
+    for kind, pattern, group, sure in G.HEADERS:
+        title = stripped(f"regexp_extract(s, '{pattern}', {group})")
+        fine = f"length({title}) BETWEEN 2 AND 200 AND {n(ODD, title)} <= length({title}) * 0.3 AND {n(DIGIT, title)} <= length({title}) * 0.5"
+        out.append(f"WHEN regexp_matches(s, '{pattern}') AND {fine} THEN {value(kind, pattern, title, sure)}")
+    return "CASE " + " ".join(out) + " END"
+
+
+ODD, DIGIT = r"[^\p{L}\p{N}_\s]", r"\d"
+LEVEL = {"numbered": lambda p: f"len(string_split(regexp_extract(s, '{p}', 1), '.'))", "markdown": lambda p: f"length(regexp_extract(s, '{p}', 1))", "caps": lambda _: "2", "title_case": lambda _: "3", "decorated": lambda _: "1"}
+HEADERS = f"""hl AS (SELECT doc_id AS document_id, unnest(range(len(x)))::INT AS line, unnest(x) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM ({MARKED_SQL}))),
+ hs AS (SELECT *, {stripped('raw')} AS s, coalesce(sum(length(raw) + 1) OVER (PARTITION BY document_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM hl),
+ hk AS (SELECT *, {header_case(lambda k, p, t, c: f"'{k}'")} AS kind, {header_case(lambda k, p, t, c: t)} AS title, {header_case(lambda k, p, t, c: LEVEL.get(k, lambda _: '2')(p))} AS lv, {header_case(lambda k, p, t, c: f'{c}::DOUBLE')} AS sure FROM hs WHERE s <> ''),
+ hf AS (SELECT *, min(line) OVER (PARTITION BY document_id, lv) AS f FROM hk WHERE kind IS NOT NULL),
+ headers AS (SELECT document_id, line, start, kind, dense_rank() OVER (PARTITION BY document_id ORDER BY f)::INT AS level, title, round(sure * CASE WHEN length(s) > 100 THEN 0.8 ELSE 1 END * CASE WHEN regexp_matches(s, '[.!?]$') THEN 0.7 ELSE 1 END, 6) AS confidence FROM hf)"""
+TYPES = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(coalesce(title, '')), '{w}')" for w in ws) + f" THEN '{k}'" for k, ws in G.SECTION_TYPES.items()) + " ELSE 'main_content' END"
+SECTIONS = rf"""{HEADERS}, sp AS (SELECT *, lead(start) OVER w AS stop, row_number() OVER w AS number FROM headers WINDOW w AS (PARTITION BY document_id ORDER BY start)),
+ sj AS (SELECT d.doc_id AS document_id, d.text, coalesce(number, 1)::INT AS number, coalesce(level, 1) AS level, title, coalesce(start, 0) AS start, coalesce(stop, length(text))::INT AS stop FROM ({MARKED_SQL}) d LEFT JOIN sp ON sp.document_id = d.doc_id),
+ sections AS (SELECT document_id, number, level, coalesce(title, 'Document Content') AS title, {TYPES} AS type, start, stop, len(list_filter(regexp_split_to_array(substring(text, start + 1, stop - start), '\s+'), lambda w: w <> ''))::INT AS words FROM sj)"""
+BALANCE = "SELECT document_id, count(*) AS depth, round(1 / (1 + var_pop(n) / avg(n)), 6) AS balance FROM (SELECT document_id, level, count(*) AS n FROM sections GROUP BY 1, 2) GROUP BY 1"
+register("G06_headers", found, f"WITH {HEADERS} SELECT * FROM headers")
+register("G07_sections", secs, f"WITH {SECTIONS} SELECT * FROM sections")
+register("G08_hierarchy", lambda t: G.parents(secs(t)).select("document_id", "number", "level", "parent"), f"WITH {SECTIONS} SELECT s.document_id, s.number, s.level, max(p.number) AS parent FROM sections s LEFT JOIN sections p ON p.document_id = s.document_id AND p.number < s.number AND p.level < s.level GROUP BY 1, 2, 3")
+register("G08b_balance", lambda t: G.balance(secs(t)), f"WITH {SECTIONS} {BALANCE}")
+CITES, URLS, DOIS = r"\[[\p{L}\p{N}_\s,.-]+\]|\([A-Za-z]+,?\s*\d{4}\)", r"https?://[^\s]+", r"(?i)doi:\s*[\d./]+"
 EL = {"numbered": r"(?m)^\s*\d+[.)]\s+", "bulleted": r"(?m)^\s*[-*•]\s+", "lettered": r"(?m)^\s*[a-zA-Z][.)]\s+", "pipe_tables": r".*\|.*\|.*", "tab_tables": r".*\t.*\t.*", "code_blocks": r"(?s)```.*?```", "keywords": r"\b(?:def|function|class|import|return|if|else|for|while)\b"}
 register(
     "G09_content_elements", lambda t: elements(t).drop("paragraphs", "words"),
     "SELECT doc_id AS document_id, " + ", ".join(f"{n(p)} AS {k}" for k, p in EL.items()) + rf", {n(r'\[[\p{L}\p{N}_\s,.-]+\]|\([A-Za-z]+,?\s*\d{4}\)')} + {n(r'https?://[^\s]+')} + {n(r'(?i)doi:\s*[\d./]+')} AS citations, greatest({n(r'\[\d+\]|\(\d+\)')}, {n(r'(?m)^\s*\d+\.\s+')}) AS footnotes, " + n('"[^"]{10,}"') + " + " + n("''[^'']{10,}''") + " + " + n(r"(?m)^\s*>[^\n]+") + f" AS quotes FROM ({MARKED_SQL})",
 )
-register("G10_structural_quality", lambda t: G.structural_quality(secs(t), elements(t).drop("words").join(docs(t).select(F.col("doc_id").alias("document_id"), F.size(T.words(text_())).alias("words")), "document_id")))
+PARAGRAPHS = r"len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda x: " + TRIM + " <> ''))"
+CITED = f"{n(CITES)} + {n(URLS)} + {n(DOIS)}"
+COMPLETE = " + ".join(pts(test, k) for test, k in ((PARAGRAPHS + " > 0", 0.3), (f"{n(EL['numbered'])} + {n(EL['bulleted'])} + {n(EL['lettered'])} > 0", 0.1), (f"{n(EL['pipe_tables'])} + {n(EL['tab_tables'])} > 0", 0.1), (CITED + " > 0", 0.2), (f"len({WORDS}) > 100", 0.1), (f"len({WORDS}) > 500", 0.1), (f"len({WORDS}) > 1000", 0.1)))
+register(
+    "G10_structural_quality", lambda t: G.structural_quality(secs(t), elements(t)),
+    f"""WITH {SECTIONS}, b AS ({BALANCE}), e AS (SELECT doc_id AS document_id, least(1.0, {COMPLETE})::DOUBLE AS c FROM ({MARKED_SQL})),
+ p AS (SELECT document_id, count(*) AS n, max(level) AS deep, max((type = 'introduction')::INT) AS i, max((type = 'conclusion')::INT) AS o, avg(words) FILTER (WHERE words > 0) AS m, var_pop(words) FILTER (WHERE words > 0) AS v FROM sections GROUP BY 1),
+ q AS (SELECT p.document_id, CASE WHEN deep > 4 THEN 0.6 WHEN n < 2 THEN 0.5 ELSE 0.85 END::DOUBLE AS consistency, balance, least(1.0::DOUBLE, 0.5::DOUBLE + i * 0.2::DOUBLE + o * 0.2::DOUBLE + coalesce(0.1::DOUBLE / (1 + v / greatest(m, 1.0)), 0)) AS f, c FROM p JOIN b USING (document_id) JOIN e USING (document_id))
+ SELECT document_id, consistency, balance, round(f, 4) AS flow, round(c, 4) AS completeness, round((consistency + balance + f + c) / 4, 4) AS overall FROM q""",
+)
 issues = lambda t: G.failures(docs(t), "doc_id", "text")
-register("G11_failures", issues)
 
 
 def quoted(pattern):
     return pattern.replace("'", "''")
 
 
+def matches(kind, name, severity, base, pattern):
+    """SQL for all matches of a failure pattern with their positions: the lengths of what lies before each."""
+    p = quoted(pattern)
+    place = "list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))"
+    return f"SELECT doc_id AS document_id, '{kind}' AS kind, '{name}' AS pattern, '{severity}' AS severity, {base}::DOUBLE AS base, unnest(m) AS content, unnest({place})::INT AS position FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS m, regexp_split_to_array(text, '{p}') AS g FROM ({MARKED_SQL})) WHERE len(m) > 0"
+
+
+FOUND = "failures AS (SELECT document_id, kind, pattern, severity, position, content, least(0.95::DOUBLE, base * (0.5 + 0.5 * least(1.0::DOUBLE, length(content) / 10::DOUBLE))) AS confidence FROM (" + " UNION ALL ".join(matches(*f) for f in G.FAILURES) + "))"
+
+
+def picked(key, table, default):
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in table.items()) + f" ELSE {default!r} END"
+
+
+CLASSIFIED = f"""{FOUND}, c1 AS (SELECT *, round(least(1.0::DOUBLE, {picked('severity', G.IMPACT, 0.5)} * 0.4::DOUBLE + confidence * 0.3 + least(1.0::DOUBLE, length(content) / 100::DOUBLE) * 0.2 + greatest(0.3::DOUBLE, 1 - position / 10000::DOUBLE) * 0.1), 6) AS impact,
+ CASE WHEN pattern IN ('utf8_corruption', 'html_entities') THEN 'low' WHEN pattern IN ('mojibake', 'mixed_scripts') THEN 'high' ELSE {picked('kind', {k: v[0] for k, v in G.KINDS.items()}, 'medium')} END AS complexity, round(least(0.95::DOUBLE, {picked('kind', {k: v[1] for k, v in G.KINDS.items()}, 0.5)} * (0.5 + confidence * 0.5)), 6) AS probability FROM failures),
+ classified AS (SELECT *, round({picked('severity', G.SEVERITY, 25)} * impact + probability * 20 + {picked('complexity', G.PENALTY, 0)}, 6) AS priority FROM c1)"""
+register("G11_failures", issues, f"WITH {FOUND} SELECT * FROM failures")
 register("G11b_failure_counts", lambda t: G.failure_counts(docs(t), "doc_id", "text"), f"WITH d AS ({MARKED_SQL}) SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id AS document_id, '{name}' AS pattern, {n(quoted(p))} AS n FROM d" for _, name, _, _, p in G.FAILURES) + ") WHERE n > 0")
 register("G12_failure_confidence", lambda t: docs(t).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("&[a-zA-Z][a-zA-Z0-9]*;"), F.lit(0))).alias("pos", "c")).select("doc_id", "pos", F.round(G.failure_confidence(F.lit(0.85), F.col("c")), 6).alias("confidence")), f"SELECT doc_id, unnest(range(len(x)))::INT AS pos, unnest(list_transform(x, lambda c: round(least(0.95::DOUBLE, 0.85::DOUBLE * (0.5 + 0.5 * least(1.0::DOUBLE, length(c) / 10::DOUBLE))), 6))) AS confidence FROM (SELECT doc_id, regexp_extract_all(text, '&[a-zA-Z][a-zA-Z0-9]*;') AS x FROM ({MARKED_SQL}))")
-register("G13_classified_issues", lambda t: G.classified(issues(t)))
+register("G13_classified_issues", lambda t: G.classified(issues(t)), f"WITH {CLASSIFIED} SELECT * FROM classified")
 register("G14_severity_and_effort", lambda t: t.load("part").select("p_partkey", G.adjusted_severity(F.element_at(F.array(*map(F.lit, G.LEVELS)), F.col("p_size") % 4 + 1), F.col("p_size") / 50).alias("severity"), G.fix_hours(F.element_at(F.array(*map(F.lit, G.HOURS)), F.col("p_size") % 5 + 1), F.lit("high"), F.lit(0.5)).alias("hours")), "SELECT p_partkey, (['low', 'medium', 'high', 'critical'])[CASE WHEN p_size / 50 > 0.8 THEN least(4, p_size % 4 + 2) WHEN p_size / 50 < 0.3 THEN greatest(1, p_size % 4) ELSE p_size % 4 + 1 END] AS severity, round(([0.5, 2.0, 8.0, 24.0, 40.0])[p_size % 5 + 1]::DOUBLE * 1.2 * 1.5, 1) AS hours FROM part")
-register("G15_prioritised_issues", lambda t: G.classified(issues(t)).orderBy(F.desc("priority"), "document_id", "position", "pattern").limit(200).select("document_id", "position", "pattern", "priority"))
-register("G16_recommendations", lambda t: G.recommendations(issues(t)))
-register("G17_section_quality", lambda t: docs(t).select("doc_id", F.round(G.coherence(text_()), 6).alias("coherence"), G.section_quality(text_()).alias("quality")))
+register("G15_prioritised_issues", lambda t: G.classified(issues(t)).orderBy(F.desc("priority"), "document_id", "position", "pattern").limit(200).select("document_id", "position", "pattern", "priority"), f"WITH {CLASSIFIED} SELECT document_id, position, pattern, priority FROM classified ORDER BY priority DESC, document_id, position, pattern LIMIT 200")
+register("G16_recommendations", lambda t: G.recommendations(issues(t)), f"WITH {FOUND}, a AS (SELECT * FROM (VALUES " + ", ".join(map(str, G.ADVICE)) + ") v(kind, action, type, priority)) SELECT document_id, lower(action) AS action, type, min(priority) AS priority, sum(n)::BIGINT AS issues FROM (SELECT document_id, kind, count(*) AS n FROM failures GROUP BY 1, 2) f JOIN a USING (kind) GROUP BY 1, 2, 3")
 CORR = " + ".join(f"{w}::DOUBLE * log10({n(quoted(p))} + 1) / 2" for p, w in G.CORRUPTION)
+def coherence(text):
+    """SQL of the coherence of a text."""
+    sents = f"list_filter(list_transform(regexp_split_to_array({text}, '[.!?]+'), lambda x: {TRIM}), lambda x: x <> '')"
+    words = rf"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]+')"
+    a = rf"CASE WHEN len({sents}) > 0 THEN greatest(0.0::DOUBLE, 1 - abs(list_sum(list_transform({sents}, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> ''))))::DOUBLE / len({sents}) - 17.5) / 17.5) END"
+    b = f"CASE WHEN len({words}) > 0 THEN least(1.0::DOUBLE, len(list_distinct({words}))::DOUBLE / len({words}) + 0.1) END"
+    c = f"CASE WHEN length({text}) > 0 THEN greatest(0.0::DOUBLE, 1 - abs({n('[.!?,;:]', text)} / length({text})::DOUBLE - 0.1) / 0.1) END"
+    return rf"CASE WHEN regexp_replace({text}, '\s', '', 'g') = '' THEN 0.0 ELSE list_avg(list_filter([{a}, {b}, {c}], lambda x: x IS NOT NULL)) END"
+
+
+def quality(text):
+    """SQL of the quality of a section's text."""
+    k = rf"len(list_filter(regexp_split_to_array({text}, '\s+'), lambda w: w <> ''))"
+    corrupt = " + ".join(f"{w}::DOUBLE * log10({n(quoted(p), text)} + 1) / 2" for p, w in G.CORRUPTION)
+    return f"round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.8 - CASE WHEN {k} < 5 THEN 0.3 WHEN {k} < 15 THEN 0.1 ELSE 0 END - least(1.0::DOUBLE, {corrupt}) + ({coherence(text)} - 0.5) * 0.2)), 6)"
+
+
+register("G17_section_quality", lambda t: docs(t).select("doc_id", F.round(G.coherence(text_()), 6).alias("coherence"), G.section_quality(text_()).alias("quality")), f"SELECT doc_id, round({coherence('text')}, 6) AS coherence, {quality('text')} AS quality FROM ({MARKED_SQL})")
 register("G18_corruption", lambda t: docs(t).select("doc_id", F.round(G.corruption(text_()), 6).alias("severity")), f"SELECT doc_id, round(least(1.0::DOUBLE, {CORR}), 6) AS severity FROM ({MARKED_SQL})")
 
 
@@ -133,8 +204,8 @@ register("G21b_cited_domains", lambda t: t.load("pages").select("page_id", F.par
 register("G22_profiled_sections", lambda t: G.profiled_sections(docs(t), "doc_id", "text"))
 CLS = r"CASE WHEN s = '' THEN 'empty' WHEN regexp_matches(s, '^#{1,6}\s') THEN 'heading' WHEN " + KIND.replace("CASE WHEN", "(CASE WHEN") + r") IS NOT NULL THEN 'list' WHEN contains(t, '|') THEN 'table' WHEN regexp_matches(s, '^[A-Z][A-Z\s]{2,}$') THEN 'heading' WHEN regexp_matches(s, '^>') THEN 'quote' ELSE 'text' END"
 register("G23_line_classes", lambda t: lines(t).groupBy("document_id", G.line_class(F.col("t")).alias("class")).agg(rows_().alias("n")), rf"SELECT document_id, {CLS} AS class, count(*) AS n FROM (SELECT *, regexp_replace(t, '^\s+|\s+$', '', 'g') AS s FROM ({LINES})) GROUP BY 1, 2")
-register("G24_located_failures", lambda t: G.located(issues(t).where("severity = 'high'"), docs(t), "doc_id", "text").select("document_id", "pattern", "position", "line", "column", "page", F.md5("around").alias("around")))
-register("G25_failures_in_sections", lambda t: G.in_sections(issues(t), secs(t)).groupBy("document_id", "title").agg(rows_().alias("n")))
+register("G24_located_failures", lambda t: G.located(issues(t).where("severity = 'high'"), docs(t), "doc_id", "text").select("document_id", "pattern", "position", "line", "column", "page", F.md5("around").alias("around")), f"WITH {FOUND} SELECT document_id, pattern, position, (length(b) - length(replace(b, chr(10), '')) + 1)::INT AS line, (length(list_last(string_split(b, chr(10)))) + 1)::INT AS \"column\", (position // 2000 + 1)::INT AS page, md5(substring(text, greatest(1, position - 49), 100)) AS around FROM (SELECT f.*, text, substring(text, 1, position) AS b FROM failures f JOIN ({MARKED_SQL}) d ON d.doc_id = f.document_id WHERE severity = 'high')")
+register("G25_failures_in_sections", lambda t: G.in_sections(issues(t), secs(t)).groupBy("document_id", "title").agg(rows_().alias("n")), f"WITH {SECTIONS}, {FOUND} SELECT f.document_id, coalesce(title, 'Unknown section') AS title, count(*) AS n FROM failures f LEFT JOIN sections s ON s.document_id = f.document_id AND position >= start AND position < stop GROUP BY 1, 2")
 
 
 def report(t):
@@ -146,5 +217,10 @@ def report(t):
     return bins.join(score, "document_id").join(penalty, "document_id", "left").select("document_id", "high", "medium", "low", F.round(F.greatest(F.lit(0.0), F.col("s") / 100 - F.coalesce("p", F.lit(0.0))), 6).alias("overall"))
 
 
-register("G26_quality_report", report)
-register("G27_hierarchy_check", lambda t: G.hierarchy_check(secs(t)))
+register(
+    "G26_quality_report", report,
+    f"""WITH {SECTIONS}, {FOUND}, q AS (SELECT document_id, {quality('substring(text, start + 1, stop - start)')} AS q FROM sections s JOIN ({MARKED_SQL}) d ON d.doc_id = s.document_id), b AS (SELECT document_id, count(*) FILTER (WHERE q >= 0.7) AS high, count(*) FILTER (WHERE q >= 0.4 AND q < 0.7) AS medium, count(*) FILTER (WHERE q < 0.4) AS low FROM q GROUP BY 1),
+ p AS (SELECT document_id, least(0.8::DOUBLE, sum(CASE severity WHEN 'critical' THEN 0.3::DOUBLE WHEN 'high' THEN 0.2 WHEN 'medium' THEN 0.1 ELSE 0.05 END)) AS p FROM failures GROUP BY 1)
+ SELECT b.*, round(greatest(0.0::DOUBLE, score / 100::DOUBLE - coalesce(p, 0)), 6) AS overall FROM b JOIN ({SCORE}) g ON g.doc_id = b.document_id LEFT JOIN p ON p.document_id = b.document_id""",
+)
+register("G27_hierarchy_check", lambda t: G.hierarchy_check(secs(t)), f"WITH {SECTIONS}, m AS (SELECT document_id, words, coalesce(level - lag(level) OVER (PARTITION BY document_id ORDER BY number) > 1, false) AS s, avg(words) OVER (PARTITION BY document_id) AS a FROM sections), k AS (SELECT document_id, count(*) FILTER (WHERE s) AS skips, count(*) FILTER (WHERE words > 5 * a OR words < 0.1 * a) AS imbalance, count(*) FILTER (WHERE words = 0) AS empties FROM m GROUP BY 1) SELECT *, round(greatest(0.0::DOUBLE, 1 - 0.2 * skips - 0.1 * imbalance - 0.05 * empties), 6) AS score FROM k")
