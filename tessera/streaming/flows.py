@@ -10,7 +10,6 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -82,7 +81,9 @@ NEXT = {"view": "pending", "click": "processing", "purchase": "completed", "sign
 def job_states(events: DataFrame) -> DataFrame:
     """(job, state, steps): the state of each job after its events so far, and how many there were; kept in Spark's state store."""
 
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def advance(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
+
         last, name, steps = state.get if state.exists else (-1, "pending", 0)
         for frame in frames:
             steps += len(frame)
