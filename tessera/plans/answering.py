@@ -40,13 +40,14 @@ def window(t, mode):
 
 for m, (before, after) in A.WINDOWS.items():
     register(f"F01_window_{m}", lambda t, m=m: window(t, m).select("query_id", "id"), f"SELECT query_id, c.id FROM chunks c JOIN ({BEST}) b ON c.document_id = b.document_id AND c.ord BETWEEN b.best - {before} AND b.best + {after}")
+TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 HYPHEN = r"regexp_replace({0}, '([A-Za-zÀ-ÿ])-[ \t]*\n\s*([A-Za-zÀ-ÿ])', '\1\2', 'g')"
 FIX = r"regexp_replace(regexp_replace(" + HYPHEN + r", '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 register("F02_combined_chunks", lambda t: A.combined(t.chunks, ["document_id"]).select("document_id", F.md5("text").alias("digest")), rf"SELECT document_id, md5(regexp_replace(string_agg({of(FIX, 'content')}, chr(10) ORDER BY ord), '^\s+|\s+$', '', 'g')) AS digest FROM chunks GROUP BY 1")
 register("F03_repaired_text", lambda t: t.load("documents").select("doc_id", F.md5(A.repaired(F.regexp_replace("text", "(?<=[a-z])\n", "-\n"))).alias("flat"), F.md5(A.repaired_lines(F.col("text"))).alias("lines")), rf"SELECT doc_id, md5({of(FIX, chr(114) + 'egexp_replace(text, ' + chr(39) + '([a-z])' + chr(92) + 'n' + chr(39) + ', ' + chr(39) + chr(92) + '1-' + chr(39) + ' || chr(10), ' + chr(39) + 'g' + chr(39) + ')')}) AS flat, md5(regexp_replace(regexp_replace(regexp_replace({of(HYPHEN, 'text')}, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS lines FROM documents")
 SENT = r"""list_filter(list_transform(string_split(regexp_replace({0}, '([.!?”"])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"""
 register("F04_sentences", lambda t: t.load("documents").select("doc_id", F.size(A.split_sentences(F.col("text"))).alias("n"), F.md5(F.array_join(A.split_sentences(F.col("text")), "|")).alias("digest")), f"SELECT doc_id, len({of(SENT, 'text')})::INT AS n, md5(array_to_string({of(SENT, 'text')}, '|')) AS digest FROM documents")
-register("F04b_loose_sentences", lambda t: t.load("documents").select("doc_id", F.posexplode(A.loose_sentences(F.col("text"))).alias("pos", "sentence")).select("doc_id", "pos", F.md5("sentence").alias("digest")))
+register("F04b_loose_sentences", lambda t: t.load("documents").select("doc_id", F.posexplode(A.loose_sentences(F.col("text"))).alias("pos", "sentence")).select("doc_id", "pos", F.md5("sentence").alias("digest")), rf"WITH b AS (SELECT doc_id, list_transform(list_filter(list_transform(regexp_split_to_array(text, '\n+'), lambda x: {of(TRIM, 'x')}), lambda x: x <> ''), lambda x: regexp_replace(x, '^\s*(?:[-–—*•]\s+|\d{{1,3}}[.)\-]\s+)', '')) AS l FROM documents), s AS (SELECT doc_id, flatten(list_transform(l, lambda y: {of(SENT, 'y')})) AS v FROM b) SELECT doc_id, unnest(range(len(v)))::INT AS pos, unnest(list_transform(v, lambda x: md5(x))) AS digest FROM s")
 register("F05_best_sentence", lambda t: A.best_sentence(A.combined(window(t, "direct"), ["query_id"]).join(t.queries, "query_id")))
 register("F06_extractive_summary", lambda t: A.combined(t.chunks, ["document_id"]).select("document_id", *(F.md5(A.summary(F.col("text"), n)).alias(n) for n in A.SUMMARY_SENTENCES)), rf"WITH c AS (SELECT document_id, regexp_replace(string_agg({of(FIX, 'content')}, chr(10) ORDER BY ord), '^\s+|\s+$', '', 'g') AS text FROM chunks GROUP BY 1), s AS (SELECT document_id, {of(SENT, 'text')} AS s FROM c) SELECT document_id, " + ", ".join(f"md5(CASE WHEN len(s) > 0 THEN array_to_string(s[1:{n}], ' ') ELSE '{A.NOTHING}' END) AS {k}" for k, n in A.SUMMARY_SENTENCES.items()) + " FROM s")
 
@@ -55,7 +56,6 @@ def numbered():
     return F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((i % 7 + 1).cast("string"), F.lit(") "), F.substring(x, 1, 60))), "\n")
 
 
-TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 LINES = "SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)"
 register("F07_numbered_lines", lambda t: A.numbered_lines(t.load("documents").withColumn("text", numbered()), "doc_id", "text"), rf"WITH l AS (SELECT doc_id, pos, (pos % 7 + 1)::INT AS number, {of(TRIM, 'substring(line, 1, 60)')} AS v FROM ({LINES})), m AS (SELECT doc_id, number, trim(regexp_replace(arg_max(v, pos), '\s+', ' ', 'g'), ' -–—') AS item FROM l WHERE v <> '' GROUP BY 1, 2) SELECT * FROM m WHERE item <> ''")
 
@@ -80,7 +80,7 @@ def said():
     return F.when(F.col("document_id") % 3 == 0, F.concat(F.lit("a “"), F.substring("content", 1, 30), F.lit("” b"))).when(F.col("document_id") % 3 == 1, content()).otherwise("")
 
 
-register("F09_quote", lambda t: t.chunks.where("ord = 0").select("id", F.md5(A.quote(said())).alias("digest")))
+register("F09_quote", lambda t: t.chunks.where("ord = 0").select("id", F.md5(A.quote(said())).alias("digest")), rf"WITH c AS (SELECT id, CASE document_id % 3 WHEN 0 THEN 'a “' || substring(content, 1, 30) || '” b' WHEN 1 THEN content ELSE '' END AS t FROM chunks WHERE ord = 0), q AS (SELECT id, {of(TRIM, "regexp_extract(t, '[“" + chr(34) + "]([^\n]*?)[”" + chr(34) + "]', 1)")} AS a, coalesce(({of(SENT, 't')})[1], '') AS b, {of(TRIM, 'substring(t, 1, 220)')} AS c FROM c) SELECT id, md5('“' || CASE WHEN a <> '' THEN a WHEN b <> '' THEN b WHEN c <> '' THEN c ELSE '{A.NO_QUOTE}' END || '”') AS digest FROM q")
 register("F10_best_chunk", best, BEST)
 register("F11_list_cut", lambda t: t.load("documents").select("doc_id", *(F.size(F.slice(F.split("text", "\n"), 1, n)).alias(k) for k, n in A.LIST_ITEMS.items())), "SELECT doc_id, least(6, n)::INT AS short, least(15, n)::INT AS medium FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents)")
 
@@ -106,7 +106,11 @@ register("F15_bullet_candidates", lambda t: A.bullet_candidates(bulleted(t)).sel
 STOP = ", ".join(f"'{w}'" for w in sorted(A.BULLET_STOP))
 TOK = rf"list_filter(regexp_split_to_array(regexp_replace(lower(content), '[^\p{{L}}\p{{N}}\s]+', ' ', 'g'), '\s+'), lambda w: w <> '' AND w NOT IN ({STOP}))"
 register("F16_sentence_score", lambda t: t.chunks.select("id", F.round(A.sentence_score(content()), 6).alias("score")), f"SELECT id, round(len(list_filter(t, lambda w: " + " OR ".join(f"contains(w, '{k}')" for k in A.SCORE_WORDS) + f")) + least(len(t), 30) / 30.0::DOUBLE, 6) AS score FROM (SELECT id, {TOK} AS t FROM chunks)")
-register("F17_topic", lambda t: t.chunks.select("id", A.topic(content()).alias("topic")).groupBy("topic").agg(rows_().alias("n")))
+LOOK = "certificado(?! de an[aá]lise)"
+TOPIC = "CASE " + " ".join(
+    f"WHEN regexp_matches(t, '{p.replace('|' + LOOK, '')}')" + (" OR len(regexp_extract_all(t, 'certificado')) > len(regexp_extract_all(t, 'certificado de an[aá]lise'))" if LOOK in p else "") + f" THEN '{k}'" for k, p in A.TOPICS
+) + " ELSE 'misc' END"
+register("F17_topic", lambda t: t.chunks.select("id", A.topic(content()).alias("topic")).groupBy("topic").agg(rows_().alias("n")), f"SELECT {TOPIC} AS topic, count(*) AS n FROM (SELECT lower(content) AS t FROM chunks) GROUP BY 1")
 
 
 def answered(t):

@@ -40,14 +40,49 @@ def of(expr, column="query"):
     return expr.replace("{0}", column)
 
 
+ALL_TOKENS = TOKENS.replace(f"w NOT IN ({STOP}) AND ", "")
+
+
+def full_text_sql(chunks, k, all_and=False, cap=False):
+    """SQL of the token-set search over chunks (a query with id and content)."""
+    t = of(TOKENS)
+    score = "least(score, 1.0)" if cap else "score"
+    return rf"""WITH q AS (SELECT query_id, list_filter(t, lambda x, i: list_position(t, x) = i) AS tokens FROM (SELECT query_id, {t} AS t FROM {VALUES})),
+ i AS (SELECT *, list_filter(tokens, lambda x: length(x) > 3 AND NOT regexp_matches(x, '^\d+$')) AS important FROM q),
+ a AS (SELECT query_id, tokens, CASE WHEN len(tokens) <= 3 THEN tokens ELSE important END AS strict, CASE WHEN len(tokens) <= 3 THEN [] ELSE important[1:2] END AS two FROM i),
+ w AS (SELECT query_id, strict, two, unnest(tokens) AS token FROM a),
+ p AS (SELECT id, n, token, count(*) AS tf FROM (SELECT id, len(x) AS n, unnest(x) AS token FROM (SELECT id, {of(ALL_TOKENS, 'content')} AS x FROM ({chunks}))) GROUP BY ALL),
+ h AS (SELECT query_id, id, sum(ln(1 + tf)) AS s, any_value(n) AS n, any_value(strict) AS strict, any_value(two) AS two, count(*) FILTER (WHERE list_contains(strict, token)) AS ns, count(*) FILTER (WHERE list_contains(two, token)) AS nt FROM p JOIN w USING (token) GROUP BY 1, 2),
+ l AS (SELECT *, CASE WHEN len(strict) > 0 AND ns = len(strict) THEN 1 WHEN len(two) = 2 AND nt = 2 THEN 2 ELSE 3 END AS lv, round(s / (1 + ln(n)), 6) AS score FROM h),
+ m AS (SELECT *, min(lv) OVER (PARTITION BY query_id) AS best FROM l),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM m WHERE lv <= best)
+ SELECT query_id, best AS level, rank, id, {score} AS score FROM r WHERE rank <= {k}"""
+
+
+PLACES = "list_transform(list_filter(list_filter(terms, lambda x, i: list_position(terms, x) = i), lambda w: contains(c, w)), lambda w: strlen(split_part(c, w, 1)))"
+WORD = r"CASE WHEN len(terms) = 0 THEN 0.0 ELSE list_sum(list_transform(terms, lambda w: CASE WHEN contains(c, w) THEN 1.0::DOUBLE + CASE WHEN regexp_matches(content, '(?i)(^|[.!?]\s+)' || regexp_escape(w)) THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(content, '(?im)^\s*\d+\.\s*.*' || regexp_escape(w)) THEN 0.2 ELSE 0 END ELSE 0 END)) / len(terms) END"
+
+
+def strategies_sql(chunks, threshold, k):
+    """SQL of the scored text strategies over chunks."""
+    return rf"""WITH a AS (SELECT query_id, trim(lower(query)) AS q, {of(TERMS, 'trim(lower(query))')} AS terms, regexp_extract(trim(lower(query)), '(\d+)\s*motivos?', 1) AS num FROM {VALUES} WHERE query <> ''),
+ x AS (SELECT a.*, id, content, lower(content) AS c FROM ({chunks}), a), y AS (SELECT *, string_split(q, ' ') AS parts, {PLACES} AS pl FROM x),
+ z AS (SELECT query_id, id, [round(CASE WHEN contains(c, q) THEN 1.0 ELSE 0.0 END::DOUBLE, 6), round(len(list_filter(parts, lambda w: contains(c, w)))::DOUBLE / len(parts) * 0.9, 6), round({WORD} * 0.8::DOUBLE, 6),
+   round(CASE WHEN num = '' THEN 0.0 WHEN regexp_matches(c, num || '\s*motivos?') THEN 0.95 WHEN regexp_matches(c, '(?m)^\s*' || num || '\.\s*') THEN 0.8 ELSE 0.0 END::DOUBLE * 0.7, 6),
+   round(CASE WHEN len(terms) >= 2 AND len(pl) >= 2 THEN greatest(0.0::DOUBLE, 1 - list_sum(list_transform(range(1, len(pl)), lambda i: abs(pl[i + 1] - pl[i])))::DOUBLE / (len(pl) - 1) / 1000) ELSE 0 END * 0.6, 6)] AS v FROM y),
+ b AS (SELECT query_id, id, list_max(v) AS score, (['exact_phrase', 'partial_phrase', 'word_match', 'fuzzy_numbered', 'proximity'])[list_position(v, list_max(v))] AS strategy FROM z),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM b WHERE score > 0 AND score >= {threshold})
+ SELECT query_id, rank, id, score, strategy FROM r WHERE rank <= {k}"""
+
+
 register("D01_query_tokens", per_query(lambda: dict(tokens=F.array_join(T.query_tokens(query_()), "|"))), f"SELECT query_id, array_to_string({of(TOKENS)}, '|') AS tokens FROM {VALUES}")
 register("D02_raw_tokens", lambda t: t.load("documents").select("doc_id", F.size(T.raw_tokens(F.col("text"))).alias("n"), F.md5(F.array_join(T.raw_tokens(F.col("text")), " ")).alias("digest")), f"SELECT doc_id, len({of(RAW, 'text')})::INT AS n, md5(array_to_string({of(RAW, 'text')}, ' ')) AS digest FROM documents")
 register("D03_plain_tokens", lambda t: t.load("documents").select("doc_id", F.size(T.plain_tokens(F.col("text"))).alias("n"), F.md5(F.array_join(T.plain_tokens(F.col("text")), " ")).alias("digest")), f"SELECT doc_id, len({of(PLAIN, 'text')})::INT AS n, md5(array_to_string({of(PLAIN, 'text')}, ' ')) AS digest FROM documents")
 register("D04_search_terms", per_query(lambda: dict(terms=F.array_join(T.search_terms(query_()), "|"))), f"SELECT query_id, array_to_string({of(TERMS)}, '|') AS terms FROM {VALUES}")
 register("D05_search_keywords", per_query(lambda: dict(n=F.size(F.array_distinct(T.search_terms(query_()))))), f"SELECT query_id, len(list_distinct({of(TERMS)}))::INT AS n FROM {VALUES}")
-register("D06_full_text", lambda t: L.full_text(t.chunks, asked(t), 5), None)
-register("D07_keyword_branch", lambda t: L.full_text(t.chunks.join(t.docs.where("tenant_slug = 'src3'").select(F.col("id").alias("document_id")), "document_id", "left_semi"), asked(t), 50).withColumn("score", F.least("score", F.lit(1.0))))
-register("D08_cover_rank", lambda t: L.full_text(t.chunks.where("document_id < 50"), asked(t), 10))
+register("D06_full_text", lambda t: L.full_text(t.chunks, asked(t), 5), full_text_sql("SELECT id, content FROM chunks", 5))
+register("D07_keyword_branch", lambda t: L.full_text(t.chunks.join(t.docs.where("tenant_slug = 'src3'").select(F.col("id").alias("document_id")), "document_id", "left_semi"), asked(t), 50).withColumn("score", F.least("score", F.lit(1.0))), full_text_sql("SELECT c.id, c.content FROM chunks c JOIN docs d ON d.id = c.document_id WHERE d.tenant_slug = 'src3'", 50, cap=True))
+register("D08_cover_rank", lambda t: L.full_text(t.chunks.where("document_id < 50"), asked(t), 10), full_text_sql("SELECT id, content FROM chunks WHERE document_id < 50", 10))
 
 
 def clean_query():
@@ -60,16 +95,16 @@ register("D11_like_some", lambda t: L.like_some(t.chunks, asked(t), F.slice(T.ra
 PHRASES = [(1, "the the"), (2, "of erst"), (3, "die die"), (4, "no such phrase here")]
 register("D12_phrase", lambda t: L.phrase_search(t.chunks, t.frame(PHRASES, "query_id int, query string"), 10), "SELECT query_id, rank, id, 1.0::DOUBLE AS score FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id)::INT AS rank FROM chunks, (VALUES " + ", ".join(map(str, PHRASES)) + ") q(query_id, query) WHERE contains(lower(content), query)) WHERE rank <= 10")
 small = lambda t: t.chunks.where("document_id < 40")
-register("D13_text_strategies", lambda t: L.advanced_search(small(t), asked(t).where("query <> ''"), 0.3, 10))
-register("D14_word_score", lambda t: small(t).join(F.broadcast(asked(t)), F.lit(True)).select("query_id", "id", F.round(L.word_score(T.search_terms(query_()), F.lower("content"), F.col("content")), 6).alias("score")).where("score > 0"))
+register("D13_text_strategies", lambda t: L.advanced_search(small(t), asked(t).where("query <> ''"), 0.3, 10), strategies_sql("SELECT * FROM chunks WHERE document_id < 40", 0.3, 10))
+register("D14_word_score", lambda t: small(t).join(F.broadcast(asked(t)), F.lit(True)).select("query_id", "id", F.round(L.word_score(T.search_terms(query_()), F.lower("content"), F.col("content")), 6).alias("score")).where("score > 0"), f"SELECT * FROM (SELECT query_id, id, round({WORD}, 6) AS score FROM (SELECT query_id, id, content, lower(content) AS c, {of(TERMS)} AS terms FROM chunks, {VALUES} WHERE chunks.document_id < 40)) WHERE score > 0")
 register("D15_proximity", lambda t: small(t).join(F.broadcast(asked(t)), F.lit(True)).select("query_id", "id", F.round(L.proximity(T.search_terms(query_()), F.lower("content")), 6).alias("score")).where("score > 0"), f"WITH p AS (SELECT query_id, id, list_transform(list_filter(terms, lambda w: contains(lower(content), w)), lambda w: strlen(split_part(lower(content), w, 1))) AS s FROM chunks, (SELECT query_id, {of(TERMS)} AS terms FROM {VALUES}) WHERE document_id < 40), r AS (SELECT query_id, id, round(greatest(0.0::DOUBLE, 1 - list_sum(list_transform(range(1, len(s)), lambda i: abs(s[i + 1] - s[i])))::DOUBLE / (len(s) - 1) / 1000), 6) AS score FROM p WHERE len(s) >= 2) SELECT * FROM r WHERE score > 0")
 register("D16_numbered", lambda t: t.load("documents").where("doc_id < 100").select("doc_id", F.concat((F.col("doc_id") % 4).cast("string"), F.lit(". "), F.when(F.col("doc_id") % 3 == 0, F.lit("3 motivos ")).otherwise(F.lit("")), F.substring("text", 1, 50)).alias("c")).select("doc_id", L.numbered_score(F.lit("lista 3 motivos"), F.lower("c")).alias("score")), r"SELECT doc_id, CASE WHEN regexp_matches(c, '3\s*motivos?') THEN 0.95 WHEN regexp_matches(c, '(?m)^\s*3\.\s*') THEN 0.8 ELSE 0.0 END::DOUBLE AS score FROM (SELECT doc_id, lower((doc_id % 4) || '. ' || CASE WHEN doc_id % 3 = 0 THEN '3 motivos ' ELSE '' END || substring(text, 1, 50)) AS c FROM documents WHERE doc_id < 100)")
-register("D17_bypass_search", lambda t: L.advanced_search(t.embedded_chunks.where("embedding IS NULL").join(t.docs.where("source = 'bypass_upload' AND tenant_slug = 'src4'").select(F.col("id").alias("document_id")), "document_id", "left_semi"), asked(t).where("query <> ''"), 0.3, 10))
+register("D17_bypass_search", lambda t: L.advanced_search(t.embedded_chunks.where("embedding IS NULL").join(t.docs.where("source = 'bypass_upload' AND tenant_slug = 'src4'").select(F.col("id").alias("document_id")), "document_id", "left_semi"), asked(t).where("query <> ''"), 0.3, 10), strategies_sql("SELECT e.id, e.content FROM embedded_chunks e JOIN docs d ON d.id = e.document_id WHERE embedding IS NULL AND d.source = 'bypass_upload' AND d.tenant_slug = 'src4'", 0.3, 10))
 register("D18_pattern_cascade", lambda t: L.pattern_cascade(t.chunks.where("document_id = 16"), asked(t).where("query <> ''")), f"WITH p AS (SELECT query_id, id, ord, CASE WHEN regexp_matches(lower(query), '\\d+\\s*motivos?|lista|razões?|pontos?') AND (contains(lower(content), 'motivos') OR contains(lower(content), '1.') OR contains(lower(content), '2.') OR contains(lower(content), '3.')) THEN 1 WHEN len(k) > 0 AND len(list_filter(k, lambda w: NOT contains(lower(content), w))) = 0 THEN 2 WHEN contains(lower(content), lower(query)) THEN 3 END AS level FROM chunks, (SELECT *, {of(TERMS)} AS k FROM {VALUES} WHERE query <> '') q WHERE chunks.document_id = 16), b AS (SELECT *, min(level) OVER (PARTITION BY query_id) AS best FROM p WHERE level IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ord, id) AS rank FROM b WHERE level = best) SELECT query_id, id, ([0.9, 0.7, 0.5])[level]::DOUBLE AS score, (['numbered', 'keywords', 'phrase'])[level] AS method FROM r WHERE level = 1 OR (level = 2 AND rank <= 10) OR rank <= 5")
-register("D19_expanded_terms", lambda t: L.expanded_terms(asked(t), t.chunks).select("query_id", F.size("terms").alias("n"), F.array_join(F.array_sort("terms"), "|").alias("terms")))
+register("D19_expanded_terms", lambda t: L.expanded_terms(asked(t), t.chunks).select("query_id", F.size("terms").alias("n"), F.array_join(F.array_sort("terms"), "|").alias("terms")), f"WITH x AS (SELECT document_id, ord, {of(PLAIN, 'content')} AS w FROM chunks WHERE ord < 5), y AS (SELECT document_id, token, count(*) AS n, min((ord, i)) AS first FROM (SELECT document_id, ord, unnest(range(len(w))) AS i, unnest(w) AS token FROM x) GROUP BY 1, 2), z AS (SELECT document_id, list(token) AS top FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY n DESC, first) AS r FROM y) WHERE r <= 8 GROUP BY 1), q AS (SELECT query_id, document_id, {of(RAW)} AS t FROM {VALUES}), e AS (SELECT query_id, list_sort(list_distinct(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) || list_transform(list_filter(t, lambda w: length(w) >= 6), lambda w: substring(w, 1, 5)) || list_transform(t, lambda w: CASE WHEN suffix(w, 's') THEN substring(w, 1, length(w) - 1) ELSE w || 's' END) || coalesce(top, []))) AS v FROM q LEFT JOIN z USING (document_id)) SELECT query_id, len(v)::INT AS n, array_to_string(v, '|') AS terms FROM e")
 register("D20_synonyms", per_query(lambda: dict(expanded=Q.with_synonyms(query_()))), "SELECT query_id, CASE WHEN len(a) > 0 THEN query || ' ' || array_to_string(a[1:3], ' ') ELSE query END AS expanded FROM (SELECT *, flatten([" + ", ".join(f"CASE WHEN contains(lower(query), '{w}') THEN {list(s)} ELSE [] END" for w, s in Q.SYNONYMS.items()) + f"]) AS a FROM {VALUES})")
 register("D21_variants", per_query(lambda: dict(variants=F.array_join(Q.variants(query_()), "|"))), "SELECT query_id, array_to_string(v[1:5], '|') AS variants FROM (SELECT query_id, CASE " + " ".join(f"WHEN contains(lower(query), '{w}') THEN [query, " + ", ".join(f"replace(lower(query), '{w}', '{o}'), query || ' {o}'" for o in os) + "]" for w, os in Q.VARIANTS.items()) + f" ELSE [query] END AS v FROM {VALUES})")
-register("D22_simplified", per_query(lambda: dict(simple=Q.simplified(query_()))))
+register("D22_simplified", per_query(lambda: dict(simple=Q.simplified(query_()))), rf"WITH k AS (SELECT query_id, query, list_filter(regexp_split_to_array(lower(query), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({', '.join(repr(w) for w in Q.SIMPLE_STOP)})) AS keys FROM {VALUES}), d AS (SELECT *, list_filter(keys, lambda w: regexp_matches(w, '\d')) AS digits, list_filter(keys, lambda w, i: NOT regexp_matches(w, '\d') AND list_position(keys, w) = i) AS others FROM k), o AS (SELECT query_id, query, digits || CASE WHEN len(digits) >= 5 AND regexp_matches(keys[1], '\d') THEN [] ELSE others[1:CASE WHEN len(digits) >= 5 THEN 1 ELSE 5 - len(digits) END] END AS v FROM d) SELECT query_id, CASE WHEN len(v) > 0 THEN array_to_string(v, ' ') ELSE query END AS simple FROM o")
 register("D23_fallback_cascade", lambda t: L.fallback_levels([L.like_all(t.chunks, asked(t), 5), L.phrase_search(t.chunks, asked(t).where("query <> ''").withColumn("query", Q.simplified(query_())), 5), L.like_all(t.chunks, asked(t).withColumn("query", Q.with_synonyms(query_())), 5), L.full_text(t.chunks, asked(t), 5).select("query_id", "rank", "id"), L.like_some(t.chunks, asked(t), F.slice(T.raw_tokens(query_()), 1, 12), 5), asked(t).join(t.chunks.where("ord < 50"), "document_id").select("query_id", "id")]))
 
 
@@ -95,7 +130,15 @@ def best_language():
     return F.array_max(F.transform(L.language_scores(F.col("text")), lambda x: F.struct(x["score"], x["language"])))
 
 
-register("D32_pattern_language", lambda t: t.load("documents").select("doc_id", best_language().alias("b"), F.size(T.words(F.col("text"))).alias("n")).select("doc_id", F.least(F.lit(0.9), F.round(F.col("b.score") / F.greatest(0.1 * F.col("n"), F.lit(10.0)), 6)).alias("confidence"), F.col("b.language").alias("language")).withColumn("language", F.when(F.col("confidence") >= 0.3, F.col("language")).otherwise("unknown")))
+def language_sql(name):
+    """SQL of a language's score."""
+    common, telling, chars = L.LANGUAGES[name]
+    hits = " + ".join(rf"regexp_matches(x, '(^|[^\p{{L}}\p{{N}}_]){w}($|[^\p{{L}}\p{{N}}_])')::INT * 2" for w in common.split())
+    more = " + ".join([f"contains(x, '{w}')::INT" for w in telling.split()] + [f"contains(x, '{c}')::INT * 0.5::DOUBLE" for c in chars])
+    return f"({hits} + {more})::DOUBLE"
+
+
+register("D32_pattern_language", lambda t: t.load("documents").select("doc_id", best_language().alias("b"), F.size(T.words(F.col("text"))).alias("n")).select("doc_id", F.least(F.lit(0.9), F.round(F.col("b.score") / F.greatest(0.1 * F.col("n"), F.lit(10.0)), 6)).alias("confidence"), F.col("b.language").alias("language")).withColumn("language", F.when(F.col("confidence") >= 0.3, F.col("language")).otherwise("unknown")), rf"WITH s AS (SELECT doc_id, n, unnest([{', '.join(map(language_sql, L.LANGUAGES))}]) AS score, unnest({list(L.LANGUAGES)}) AS language FROM (SELECT doc_id, lower(text) AS x, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM documents)), b AS (SELECT doc_id, any_value(n) AS n, max(score) AS score, arg_max(language, (score, language)) AS language FROM s GROUP BY 1), c AS (SELECT doc_id, least(0.9::DOUBLE, round(score / greatest(0.1 * n, 10), 6)) AS confidence, language FROM b) SELECT doc_id, confidence, CASE WHEN confidence >= 0.3 THEN language ELSE 'unknown' END AS language FROM c")
 pad = "lower(substring(text, 1, 1000))"
 counts = lambda ws: " + ".join(f"(length({pad}) - length(replace({pad}, ' {w} ', ''))) / {len(w) + 2}" for w in ws)
 register("D33_two_languages", lambda t: t.load("documents").select("doc_id", L.two_languages(F.col("text")).alias("language")), f"SELECT doc_id, CASE WHEN p > e THEN 'pt' WHEN e > p THEN 'en' ELSE 'unknown' END AS language FROM (SELECT doc_id, {counts(L.PT_WORDS)} AS p, {counts(L.EN_WORDS)} AS e FROM documents)")
