@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import cut, dealt_anew
 
 
+def _signature(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(u, v) pairs of longs -> (node, root), root being the smallest node of its component.
 
@@ -18,8 +22,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = cut(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     )
-    before = None
-    for _ in range(max_rounds):
+    before = _signature(edges)
+    for _ in range(max_rounds if before[0] else 0):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(dealt_anew(low, "u"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -33,12 +37,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         edges = cut(small)
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        now = _signature(edges)
         if now == before:
             break
         before = now
     else:
-        raise RuntimeError("components did not settle")
+        if before[0]:
+            raise RuntimeError("components did not settle")
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -159,7 +159,7 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
     met = cut(met)
     stars = met.select("fp", F.explode(F.array("low", "high")).alias("v")).where((F.col("fp") != F.col("v")) & near("fp", "v"))
     stars = cut(stars.select(F.col("fp").alias("u"), "v").distinct())
-    roots = connected_components(stars)
+    roots = cut(connected_components(stars))
     # The rest: keys with more fingerprints than the two pivots, where the stars left several components.
     rows = met.where("n > 2").select("key", "fp", "index")
     rows = rows.join(roots, rows.fp == roots.node, "left").select("key", "fp", "index", F.coalesce("root", "fp").alias("root"))
@@ -168,10 +168,13 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
     rows = cut(rows.join(dealt_anew(mixed, "key"), "key"))
     groups = rows.groupBy("key", "root").agg(F.max("index").alias("index"))
     pairs = groups.select("key", F.col("root").alias("ra")).join(groups.where("index").select("key", F.col("root").alias("rb")), "key").where("ra <> rb")
-    asked = pairs.join(rows.select("key", F.col("root").alias("ra"), F.col("fp").alias("u")), ["key", "ra"]).select("key", "rb", "u")
-    held = rows.where("index").select("key", F.col("root").alias("rb"), F.col("fp").alias("v"))
-    crossing = asked.join(held, (asked.key == held.key) & (asked.rb == held.rb) & near("u", "v")).select("u", "v").distinct()
-    return connected_components(stars.unionByName(crossing))
+    asked = pairs.join(rows.select("key", F.col("root").alias("ra"), F.col("fp").alias("u")), ["key", "ra"]).select("key", "ra", "rb", "u")
+    held = rows.where("index").select(F.col("key").alias("hk"), F.col("root").alias("hb"), F.col("fp").alias("v"))
+    crossing = asked.join(held, (F.col("key") == F.col("hk")) & (F.col("rb") == F.col("hb")) & near("u", "v")).select(F.col("ra").alias("u"), F.col("hb").alias("v"))
+    joined = cut(connected_components(crossing).withColumnsRenamed({"node": "part", "root": "whole"}))
+    known = roots.join(joined, F.col("root") == F.col("part"), "left").select("node", F.coalesce("whole", "root").alias("root"))
+    alone = joined.join(roots, F.col("part") == F.col("node"), "left_anti").select(F.col("part").alias("node"), F.col("whole").alias("root"))
+    return known.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
