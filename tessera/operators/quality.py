@@ -106,13 +106,13 @@ def headers(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(document_id, line, start, kind, level, title, confidence): header lines, levels renumbered in the order they appear."""
     lines = docs.select(F.col(id_col).alias("document_id"), F.posexplode(F.split(text_col, "\n")).alias("line", "raw")).withColumn("s", T.strip(F.col("raw")))
     lines = lines.withColumn("start", F.coalesce(F.sum(F.length("raw") + 1).over(Window.partitionBy("document_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    found = F.lit(None).cast("struct<kind:string,title:string,level:int,confidence:double>")
-    for kind, pattern, group, sure in reversed(HEADERS):
-        title = T.strip(F.regexp_extract("s", pattern, group))
+    candidates = []
+    for kind, pattern, group, sure in HEADERS:
         level = {"numbered": F.size(F.split(F.regexp_extract("s", pattern, 1), r"\.")), "markdown": F.length(F.regexp_extract("s", pattern, 1)), "caps": F.lit(2), "title_case": F.lit(3), "decorated": F.lit(1)}.get(kind, F.lit(2))
-        fine = F.length(title).between(2, 200) & (T.times(title, rf"[^{W}\s]") <= F.length(title) * 0.3) & (T.times(title, r"\d") <= F.length(title) * 0.5)
-        found = F.when(F.col("s").rlike(pattern) & fine, F.struct(F.lit(kind).alias("kind"), title.alias("title"), level.cast("int").alias("level"), F.lit(sure).alias("confidence"))).otherwise(found)
-    got = lines.where("s <> ''").withColumn("h", found).where("h IS NOT NULL").select("document_id", "line", "start", "s", "h.*")
+        candidates.append(F.struct(F.lit(kind).alias("kind"), T.strip(F.regexp_extract("s", pattern, group)).alias("title"), level.cast("int").alias("level"), F.lit(sure).alias("confidence")))
+    # An array and a filter keep the generated code small; a kind whose pattern does not match has an empty title.
+    fine = lambda h: F.length(h["title"]).between(2, 200) & (T.times(h["title"], rf"[^{W}\s]") <= F.length(h["title"]) * 0.3) & (T.times(h["title"], r"\d") <= F.length(h["title"]) * 0.5)
+    got = lines.where("s <> ''").withColumn("h", F.get(F.filter(F.array(*candidates), fine), 0)).where("h IS NOT NULL").select("document_id", "line", "start", "s", "h.*")
     sure = F.col("confidence") * F.when(F.length("s") > 100, 0.8).otherwise(1.0) * F.when(F.col("s").rlike("[.!?]$"), 0.7).otherwise(1.0)
     first = got.withColumn("_f", F.min("line").over(Window.partitionBy("document_id", "level")))
     return first.select("document_id", "line", "start", "kind", F.dense_rank().over(Window.partitionBy("document_id").orderBy("_f")).alias("level"), "title", F.round(sure, 6).alias("confidence"))
