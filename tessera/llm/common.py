@@ -25,9 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once into the shared checkpoint folder, so that a lost executor costs a reread and not a recomputation."""
+ROWS_A_FILE = 20_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Computes df once into the shared checkpoint folder, so that a lost executor costs a reread and not a recomputation.
+
+    Where a bound on the rows is known, small results go to few files; large ones keep all their partitions.
+    """
     shared_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     return df.checkpoint(eager=True)
 
 

@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        edges = cut(small)
+        edges = cut(small, before[0])  # there are never more edges than before
         now = _signature(edges)
         if now == before:
             break

@@ -158,12 +158,10 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
     met = keys.join(dealt_anew(pivots, "key"), "key").where((F.col("n") > 2) | ((F.col("fp") != F.col("low")) & near("fp", "low")) | ((F.col("fp") != F.col("high")) & near("fp", "high")))
     met = cut(met)
     stars = met.select("fp", F.explode(F.array("low", "high")).alias("v")).where((F.col("fp") != F.col("v")) & near("fp", "v"))
-    stars = cut(stars.select(F.col("fp").alias("u"), "v").distinct())
-    roots = cut(connected_components(stars))
+    roots = connected_components(stars.select(F.col("fp").alias("u"), "v"))
     # The rest: keys with more fingerprints than the two pivots, where the stars left several components.
     rows = met.where("n > 2").select("key", "fp", "index")
     rows = rows.join(roots, rows.fp == roots.node, "left").select("key", "fp", "index", F.coalesce("root", "fp").alias("root"))
-    rows = cut(rows)
     mixed = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     rows = cut(rows.join(dealt_anew(mixed, "key"), "key"))
     groups = rows.groupBy("key", "root").agg(F.max("index").alias("index"))
@@ -171,7 +169,7 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
     asked = pairs.join(rows.select("key", F.col("root").alias("ra"), F.col("fp").alias("u")), ["key", "ra"]).select("key", "ra", "rb", "u")
     held = rows.where("index").select(F.col("key").alias("hk"), F.col("root").alias("hb"), F.col("fp").alias("v"))
     crossing = asked.join(held, (F.col("key") == F.col("hk")) & (F.col("rb") == F.col("hb")) & near("u", "v")).select(F.col("ra").alias("u"), F.col("hb").alias("v"))
-    joined = cut(connected_components(crossing).withColumnsRenamed({"node": "part", "root": "whole"}))
+    joined = connected_components(crossing).withColumnsRenamed({"node": "part", "root": "whole"})
     known = roots.join(joined, F.col("root") == F.col("part"), "left").select("node", F.coalesce("whole", "root").alias("root"))
     alone = joined.join(roots, F.col("part") == F.col("node"), "left_anti").select(F.col("part").alias("node"), F.col("whole").alias("root"))
     return known.unionByName(alone)
@@ -186,12 +184,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs play no part, whatever their names. Long texts are hashed whole, in blocks of shingles.
     """
     prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("first")), prints.count())
     roots = link_fingerprints(distinct)
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = cut(named)
     names = named.groupBy("root").agg(F.min("first").alias("component"))
-    known = cut(named.join(dealt_anew(names, "root"), "root").select("fp", "component"))
+    known = named.join(dealt_anew(names, "root"), "root").select("fp", "component")
     return prints.join(known, "fp").select("id", "fp", "component")
 
 
