@@ -28,14 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
 ROWS_A_FILE = 20_000
 
 
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None, dealt: bool = False) -> DataFrame:
     """Computes df once into the shared checkpoint folder, so that a lost executor costs a reread and not a recomputation.
 
-    Where a bound on the rows is known, small results go to few files; large ones keep all their partitions.
+    Where a bound on the rows is known, they go to a number of files that grows with it, not to one for each task: with
+    `dealt` by a shuffle of the (narrow) rows after a heavy stage that keeps all its tasks, otherwise in fewer tasks.
     """
     shared_dir(df.sparkSession)
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+        files = max(1, -(-rows // ROWS_A_FILE))
+        df = df.repartition(files) if dealt else df.coalesce(files)
     return df.checkpoint(eager=True)
 
 

@@ -12,15 +12,16 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int | None = None, max_rounds: int = 60) -> DataFrame:
     """(u, v) pairs of longs -> (node, root), root being the smallest node of its component.
 
     Only nodes with an edge to another node come back. Loops, repeated and mirrored edges are fine; no edges give an
     empty result; rows with a null end are dropped. Each round costs two joins on the node, whose large groups adaptive
     execution splits, and ends in a checkpoint; nothing but a row count and a checksum reaches the driver.
+    `rows` is a bound on the edges, if one is known.
     """
     edges = cut(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), rows
     )
     before = _signature(edges)
     for _ in range(max_rounds if before[0] else 0):

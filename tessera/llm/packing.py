@@ -8,9 +8,10 @@ sequence of a partition is not full, so that padding depends on the number of pa
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,11 +70,9 @@ class Encoder:
     """Token ids as the tokenizers library gives them; the same vocabulary's faster ranks serve where they can't differ."""
 
     def __init__(self, tokenizer: str, ranks: str | None, pattern: str | None) -> None:
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(tokenizer)
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
-        self.fast = None
+        with open(tokenizer, "rb") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.file, self.fast = tokenizer, None
         if ranks and pattern:
             import base64
 
@@ -83,6 +82,13 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
+    @cached_property
+    def slow(self):
+        """The library's own tokenizer, loaded when a text first asks for it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.file)
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None or len(text) > 1_000_000 or any(s in text for s in self.special):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")

@@ -163,9 +163,9 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that pass all rules, with all their columns; nulls, repeated and empty input as in quality_facts()."""
     order = [name for name, _, _ in measure(docs, text_col)]
 
-    @F.pandas_udf("boolean")
-    def good(texts):
-        return texts.map(lambda x: passes(Facts(x), order))
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array([passes(Facts(x.as_py()), order) for x in texts], pa.bool_())
 
     return docs.where(good(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
 

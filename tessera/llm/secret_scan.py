@@ -139,9 +139,9 @@ def redact(docs: DataFrame, formats: Formats | None, text_col: str = "text", mar
             at = max(at, end)
         return "".join((*out, text[at:])) if out else text
 
-    @F.pandas_udf("string")
-    def cleaned(texts):
-        return texts.map(clean, na_action="ignore")
+    @F.arrow_udf("string")
+    def cleaned(texts: pa.Array) -> pa.Array:
+        return pa.array([clean(x.as_py()) for x in texts], pa.string())
 
     return docs.withColumn(text_col, cleaned(F.col(text_col).cast("string")))
 

@@ -148,28 +148,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(lambda batches: _with_prints(batches, shingle), "id long, fp long")
 
 
-def link_fingerprints(prints: DataFrame) -> DataFrame:
-    """Distinct (fp) -> (node, root) of all fingerprints that have another within four bits, directly or through others."""
+def link_fingerprints(prints: DataFrame, rows_known: int | None = None) -> DataFrame:
+    """Distinct (fp) -> (node, root) of all fingerprints that have another within four bits, directly or through others.
+
+    rows_known, a bound on the fingerprints, only sets numbers of files.
+    """
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
     keys = prints.select("fp").mapInArrow(_with_keys, "key long, fp long, index boolean")
     pivots = (
         keys.where("index").groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count(F.lit(1)).alias("n"))
     )
     met = keys.join(dealt_anew(pivots, "key"), "key").where((F.col("n") > 2) | ((F.col("fp") != F.col("low")) & near("fp", "low")) | ((F.col("fp") != F.col("high")) & near("fp", "high")))
-    met = cut(met)
+    met = cut(met, rows_known and 4 * rows_known, dealt=True)
+    n_met = met.count()
     stars = met.select("fp", F.explode(F.array("low", "high")).alias("v")).where((F.col("fp") != F.col("v")) & near("fp", "v"))
-    roots = connected_components(stars.select(F.col("fp").alias("u"), "v"))
+    roots = cut(connected_components(stars.select(F.col("fp").alias("u"), "v"), 2 * n_met), n_met)
     # The rest: keys with more fingerprints than the two pivots, where the stars left several components.
     rows = met.where("n > 2").select("key", "fp", "index")
     rows = rows.join(roots, rows.fp == roots.node, "left").select("key", "fp", "index", F.coalesce("root", "fp").alias("root"))
+    rows = cut(rows, n_met)
     mixed = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    rows = cut(rows.join(dealt_anew(mixed, "key"), "key"))
+    rows = cut(rows.join(dealt_anew(mixed, "key"), "key"), n_met)
     groups = rows.groupBy("key", "root").agg(F.max("index").alias("index"))
     pairs = groups.select("key", F.col("root").alias("ra")).join(groups.where("index").select("key", F.col("root").alias("rb")), "key").where("ra <> rb")
     asked = pairs.join(rows.select("key", F.col("root").alias("ra"), F.col("fp").alias("u")), ["key", "ra"]).select("key", "ra", "rb", "u")
     held = rows.where("index").select(F.col("key").alias("hk"), F.col("root").alias("hb"), F.col("fp").alias("v"))
     crossing = asked.join(held, (F.col("key") == F.col("hk")) & (F.col("rb") == F.col("hb")) & near("u", "v")).select(F.col("ra").alias("u"), F.col("hb").alias("v"))
-    joined = connected_components(crossing).withColumnsRenamed({"node": "part", "root": "whole"})
+    joined = cut(connected_components(crossing).withColumnsRenamed({"node": "part", "root": "whole"}), n_met)
     known = roots.join(joined, F.col("root") == F.col("part"), "left").select("node", F.coalesce("whole", "root").alias("root"))
     alone = joined.join(roots, F.col("part") == F.col("node"), "left_anti").select(F.col("part").alias("node"), F.col("whole").alias("root"))
     return known.unionByName(alone)
@@ -183,12 +188,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a component, unless nothing else is in it (then it is null). An empty table gives an empty result; other columns of
     docs play no part, whatever their names. Long texts are hashed whole, in blocks of shingles.
     """
-    prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("first")), prints.count())
-    roots = link_fingerprints(distinct)
+    n = docs.count()
+    prints = cut(fingerprints(docs, id_col, text_col, shingle), n, dealt=True)
+    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("first")), n)
+    roots = link_fingerprints(distinct, n)
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = cut(named, n)
     names = named.groupBy("root").agg(F.min("first").alias("component"))
-    known = named.join(dealt_anew(names, "root"), "root").select("fp", "component")
+    known = cut(named.join(dealt_anew(names, "root"), "root").select("fp", "component"), n)
     return prints.join(known, "fp").select("id", "fp", "component")
 
 
