@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, packing, quality, secret_scan, simhash
+from tessera.llm import line_dedup, packing, quality, secret_scan, similar
 from tessera.llm.common import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,8 +30,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates one document stays, that of the smallest id."""
-    return simhash.keep_one(docs.select(*COLUMNS))
+    """Of every group of near-duplicates (five-word Jaccard 0.8 or more) one document stays, that of the smallest id."""
+    return similar.keep_one(docs.select(*COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
