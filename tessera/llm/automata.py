@@ -76,14 +76,15 @@ class Automaton:
         self.counts = [self.counts[x] for x in kept]
         self.steps = [{s: number[y] for s, y in self.steps[x].items()} for x in kept]
 
-    def log_likelihood(self, word: str, smoothing: float = 0.5) -> float:
-        """Of the word and its end, divided by its symbols and the end. Where no step is known the word starts anew.
+    def log_likelihood(self, word: str, smoothing: float = 0.5, ended: bool = True) -> float:
+        """Of the word and its end, divided by its symbols and the end; where no step is known the word starts anew.
 
+        With `ended` unset the end counts in neither.
         Counts are smoothed over the alphabet, so that an automaton of no words holds all symbols equally likely.
         """
         total, at = 0.0, 0
-        for symbol in (*word, END):
+        for symbol in (*word, END) if ended else word:
             seen = self.counts[at]
             total += math.log((seen.get(symbol, 0) + smoothing) / (sum(seen.values()) + smoothing * self.size))
             at = self.steps[at].get(symbol, 0)
-        return total / (len(word) + 1)
+        return total / (len(word) + ended)

@@ -1,17 +1,20 @@
 """Secret scan: fixed formats, and formats learned from what those find.
 
 Values of the three base patterns are labelled credentials. An automaton over character classes is inferred for each
-kind, and one from ordinary tokens. Every other long token with letters and digits is then scored: it is a secret, of
-kind `like_` and the base kind, if that kind's automaton finds it at least as likely, per character, as nearly all of
-its own held-out values, and likelier by a margin than ordinary tokens' automaton does.
+kind, and one from ordinary tokens. Every other token of at least the shortest labelled length is then scored: it is a
+secret, of kind `like_` and the base kind, if that kind's automaton finds it at least as likely, per character, as nearly
+all of its own held-out values and no likelier than these are, and likelier by a margin than ordinary tokens' automaton
+does. Shorter tokens say less: their likelihoods scatter more, so bounds are wider for them, and the margin is larger.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from statistics import mean, pstdev
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +26,7 @@ from .common import cut
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # maximal runs: shorter ones never hold a longer one
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{20,}")
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{8,}")
 WORD = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 KINDS = ("assign", "access", "hex")
 ADDED = tuple(f"like_{k}" for k in KINDS)
@@ -40,18 +43,53 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda x: (x[1], ORDER[x[0]]))
 
 
+@dataclass
+class Format:
+    """A kind's automaton, and the likelihoods and the mean length of its held-out values."""
+
+    automaton: Automaton
+    least: float
+    mean: float
+    spread: float
+    length: float
+
+    def bounds(self, n: int) -> tuple[float, float]:
+        """Of the likelihood, without its end, of a token of n characters.
+
+        A token shorter than labelled values has wider bounds, and the upper one at fewer deviations: a short number is
+        likely in any format that has digits.
+        """
+        wider = max(1.0, math.sqrt(self.length / n))
+        return self.mean + (self.least - self.mean) * wider, self.mean + self.spread * wider * (2.5 if n >= self.length else 2.0)
+
+
 @dataclass
 class Formats:
-    """Automata of the base kinds with their least likelihoods, and that of ordinary tokens."""
+    """The formats of the base kinds, and the automaton of ordinary tokens."""
 
-    known: dict[str, tuple[Automaton, float]]
+    known: dict[str, Format]
     ordinary: Automaton
-    margin: float = 0.25  # of log-likelihood a character; 5 in all for the shortest token
+    margin: float = 0.25  # of log-likelihood a character, where this is more than
+    whole: float = 5.0  # in all, which shorter tokens need
+    seen: dict[str, str | None] = field(default_factory=dict, repr=False, compare=False)
 
     def kind(self, token: str) -> str | None:
         word = token.translate(CLASSES)
-        usual = self.ordinary.log_likelihood(word) + self.margin
-        best = max(((a.log_likelihood(word) - least, k) for k, (a, least) in self.known.items() if a.log_likelihood(word) >= max(least, usual)), default=None)
+        if len(word) > 64:
+            return self._kind(word)
+        if word not in self.seen:
+            if len(self.seen) >= 1 << 16:
+                self.seen.clear()
+            self.seen[word] = self._kind(word)
+        return self.seen[word]
+
+    def _kind(self, word: str) -> str | None:
+        usual = self.ordinary.log_likelihood(word) + max(self.margin, self.whole / len(word))
+        best: tuple[float, str] | None = None
+        for kind, form in self.known.items():
+            score, (low, high) = form.automaton.log_likelihood(word, ended=False), form.bounds(len(word))
+            if low <= score <= high and form.automaton.log_likelihood(word) >= usual:
+                best = max(best or (score - low, kind), (score - low, kind))
         return f"like_{best[1]}" if best else None
 
 
@@ -63,9 +101,8 @@ def all_spans(text: str, formats: Formats | None) -> tuple[list[Span], list[Span
     more = []
     for m in TOKEN.finditer(text):
         token = m[0]
-        if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and not any(a < m.end() and m.start() < b for _, a, b in base):
-            if kind := formats.kind(token):
-                more.append((kind, m.start(), m.end()))
+        if (kind := formats.kind(token)) and not any(a < m.end() and m.start() < b for _, a, b in base):
+            more.append((kind, m.start(), m.end()))
     return base, sorted(base + more, key=lambda x: (x[1], ORDER[x[0]])) if more else base
 
 
@@ -93,7 +130,7 @@ def learn_formats(docs: DataFrame, text_col: str = "text", per_kind: int = 800,
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["kind", "value"])
 
     values = cut(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(gathered, "kind string, value string").distinct())
-    fitted: dict[str, tuple[Automaton, float]] = {}
+    fitted: dict[str, Format] = {}
     ordinary = Automaton([])
     for kind in (*KINDS, "ordinary"):
         rows = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(per_kind + held_out).collect()
@@ -103,8 +140,8 @@ def learn_formats(docs: DataFrame, text_col: str = "text", per_kind: int = 800,
         elif len(words) >= least:
             at = len(words) * held_out // (per_kind + held_out)
             automaton = Automaton(words[at:])
-            scores = sorted(automaton.log_likelihood(w) for w in words[:at])
-            fitted[kind] = (automaton, scores[len(scores) // 20])
+            scores = sorted(automaton.log_likelihood(w, ended=False) for w in words[:at])
+            fitted[kind] = Format(automaton, scores[len(scores) // 20], mean(scores), max(0.02, pstdev(scores)), mean(map(len, words[:at])))
     return Formats(fitted, ordinary)
 
 

@@ -339,3 +339,18 @@ def test_pipeline_stages(spark):
     assert all(r.n_chars == len(r.text) for r in clean.collect())
     packed = named["packing"](spark, clean, SF)
     assert {r.doc_id for r in packed.collect()} == set(frame(clean))
+
+
+@pytest.mark.parametrize("letters,size", [("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 12), ("0123456789", 16), ("ghjkqvwxzGHJKQVWXZ", 18)])
+def test_short_and_one_class_tokens_of_a_learned_format_are_found(spark, letters, size):
+    """Bare values of 12 to 18 characters, also of digits or letters alone; ordinary words stay."""
+    rng = np.random.default_rng(6)
+    make = lambda: "".join(rng.choice(list(letters), size))
+    words = "international responsibility understanding 2024-11-28 well-established 1,234,567 approximately documentation".split()
+    labelled = [(i, f"{rng.choice(words)} sentence {' '.join(rng.choice(words, 12))} token = '{make()}' end") for i in range(600)]
+    bare = {i: make() for i in range(1000, 1100)}
+    docs = spark.createDataFrame(labelled + [(i, f"see {x} here") for i, x in bare.items()] + [(2000, " ".join(words))], "doc_id long, text string")
+    formats = secret_scan.learn_formats(docs.where("doc_id < 1000 OR doc_id = 2000"))
+    got = {r.id: r.spans for r in secret_scan.scan(docs.where("doc_id >= 1000"), formats).collect()}
+    assert got.pop(2000) == []
+    assert sum(v == [f"like_assign:4:{4 + size}"] for v in got.values()) >= 80
