@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,39 +14,57 @@ ASCII_LOWER = ASCII_UPPER.lower()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder that driver and executors share, which spark.checkpoint.dir names; unset, a local master gets a fresh one."""
     context = spark.sparkContext
     known = context.getConf().get("spark.checkpoint.dir")
     if known:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(known)
         return known
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return context.getCheckpointDir()
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_dir(context.applicationId)
 
 
-ROWS_A_FILE = 20_000
+@lru_cache(1)
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def files_for(rows: int) -> int:
+    """Into how many files so many rows go: small tables in few, but never under 64 before a file holds 500,000."""
+    return max(1, -(-rows // 500_000), min(64, -(-rows // 20_000)))
 
 
 def cut(df: DataFrame, rows: int | None = None, dealt: bool = False) -> DataFrame:
-    """Computes df once into the shared checkpoint folder, so that a lost executor costs a reread and not a recomputation.
+    """Computes df once into a table in the shared folder, so that a lost executor costs a reread and not a recomputation.
 
     Where a bound on the rows is known, they go to a number of files that grows with it, not to one for each task: with
     `dealt` by a shuffle of the (narrow) rows after a heavy stage that keeps all its tasks, otherwise in fewer tasks.
+    A table is read without what checkpoint() remembers of the plan before it, which grows from round to round.
     """
-    shared_dir(df.sparkSession)
     if rows is not None:
-        files = max(1, -(-rows // ROWS_A_FILE))
-        df = df.repartition(files) if dealt else df.coalesce(files)
-    return df.checkpoint(eager=True)
+        df = df.repartition(files_for(rows)) if dealt else df.coalesce(files_for(rows))
+    return written(df, "cut")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Like cut(), but as Parquet, for tables of which later passes read single columns."""
+    """df as Parquet in the shared folder, of which later passes read the columns they ask for."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@lru_cache(1)
+def one_thread() -> None:
+    """Keeps numpy's matrix products in this process on one thread: tasks already fill the cores, and idle threads wait busily."""
+    import ctypes
+    from pathlib import Path
+
+    import numpy
+
+    for path in (Path(numpy.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        put = getattr(ctypes.CDLL(str(path)), "scipy_openblas_set_num_threads64_", None)
+        if put is not None:
+            put(1)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -1,26 +1,35 @@
-"""Near-duplicates by exact Jaccard similarity of word-shingle sets, with MinHash bands as candidates.
-
-A text's set holds the hashes of its five-word shingles. 20 bands of 5 minima each make keys: two texts of similarity
-0.8 share one with probability 0.9996, and likelier ones more often. Pairs that share a key are verified on their whole
-sets. Within a key all sets first meet one of them (another for each key); only pairs that these links leave in different
-components meet afterwards, so that a large group never becomes all its pairs.
+"""Near-duplicates by exact Jaccard similarity of word-shingle sets, with candidates from SimHash and the Golay code.
+
+At a similarity of 0.8 about 15 in 100 bits of two SimHashes differ, too many for the segments of one 64-bit fingerprint.
+Fingerprints here are longer, cut into segments of 23 bits, and each bit comes with its weight (how far the shingles'
+vote for it was from even), since the bits that differ are mostly those of small weight. A segment is decoded to the two
+nearest of the 4096 Golay codewords by weighted distance. Pairs of segments make tables; a text has a key for each
+combination of its segments' codewords in a table. By the pigeonhole of many tables two texts of similarity 0.8 share a
+key with probability 0.99, and likelier ones more often. Candidates whose first 128 bits differ in more than 34 are left
+out (at 0.8 that happens to two pairs in 10,000, unrelated texts differ in 64), the others are verified on whole sets.
+Within a key texts first meet its smallest and largest; then, twice, what is outside a key's largest component meets one
+text of that component; and what is outside still meets all the key's texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dealt_anew
+from .common import cut, dealt_anew, one_thread
 from .components import connected_components
+from .simhash import LANES, SEED, _mixed, syndromes
 
-SEED = 42
-BANDS, MINIMA = 20, 5
+WIDTH = 23  # bits of a segment
+NEAREST = 2  # codewords of a segment
+MOST_BITS = 34  # of 128 that may differ
+TURNS = 2
 BLOCK = 1 << 12
 NO_ID = -(1 << 63)
 
@@ -30,8 +39,14 @@ def shingles(text: bytes | None, words_per_shingle: int = 5) -> np.ndarray:
     from xxhash import xxh64_intdigest as digest
 
     words = (text or b"").lower().split()  # as in simhash.fingerprint
-    n = max(1, len(words) - words_per_shingle + 1)
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + words_per_shingle]), SEED) for i in range(n)), dtype=np.uint64, count=n))
+    joined = b" ".join(words)
+    n = len(words) - words_per_shingle + 1
+    if n < 2:
+        return np.array([digest(joined, SEED)], dtype=np.uint64)
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    spans = zip((ends - sizes)[:n].tolist(), ends[words_per_shingle - 1 :].tolist(), strict=True)
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64, count=n))
 
 
 def name_of(hashes: np.ndarray) -> int:
@@ -42,44 +57,77 @@ def name_of(hashes: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-@lru_cache(1)
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    a, b = (rng.integers(0, 1 << 64, BANDS * MINIMA, dtype=np.uint64) for _ in range(2))
-    return a | np.uint64(1), b
-
+def tables_for(texts: int) -> tuple[int, int]:
+    """(segments of a key, number of tables) for so many texts: keys of 24 bits, beyond 2^26 texts of 36 bits."""
+    return (2, 13) if texts <= 1 << 26 else (3, 27)
 
-def keys_of(hashes: np.ndarray) -> list[int]:
-    """One signed 64-bit key for each band."""
-    from xxhash import xxh64_intdigest as digest
 
-    a, b = _permutations()
-    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(hashes), BLOCK):
-        least = np.minimum(least, (hashes[i : i + BLOCK, None] * a + b).min(axis=0))
-    keys = [digest(least[k * MINIMA : (k + 1) * MINIMA].tobytes(), k) for k in range(BANDS)]
-    return [x - (1 << 64) if x >> 63 else x for x in keys]
+def weights(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """For each bit of the SimHash of a set: how many more hashes have it set than not."""
+    lanes = -(-bits // 64)
+    salts = _mixed(np.arange(1, lanes + 1, dtype=np.uint64))[:, None]
+    counts = np.zeros((lanes, 64), dtype=np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        block = _mixed(hashes[None, at : at + BLOCK] ^ salts)
+        cuts = np.arange(0, block.shape[1], 255)  # sums of byte lanes stay under 256
+        for k in range(8):
+            sums = np.add.reduceat((block >> np.uint64(k)) & LANES, cuts, axis=1)
+            counts[:, k::8] += sums.view(np.uint8).reshape(lanes, -1, 8).sum(axis=1, dtype=np.int64)
+    return (2 * counts - len(hashes)).reshape(-1)
 
 
-def _with_keys(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+@lru_cache(1)
+def _half_of_the_code() -> np.ndarray:
+    """Codewords that have the top bit of their message clear, as signs in columns; the others are their complements."""
+    messages = np.arange(2048) << 11
+    words = messages ^ syndromes(messages)
+    return (2.0 * ((words[:, None] >> np.arange(WIDTH)) & 1) - 1).astype(np.float32).T.copy()
+
+
+def codewords(votes: np.ndarray) -> np.ndarray:
+    """Indices of the NEAREST codewords of each segment (rows of votes), best first."""
+    match = votes.astype(np.float32) @ _half_of_the_code()
+    strength, rows, out = np.abs(match), np.arange(len(votes)), []
+    for _ in range(NEAREST):
+        best = strength.argmax(axis=1)
+        out.append(2 * best + (match[rows, best] < 0))
+        strength[rows, best] = -1
+    return np.stack(out, axis=1)
+
+
+def keys_of(votes: np.ndarray, per_key: int, tables: int) -> np.ndarray:
+    """The keys (columns) of texts (rows) from their weights."""
+    found, out = [codewords(votes[:, s * WIDTH : (s + 1) * WIDTH]) for s in range(per_key * tables)], []
+    for t in range(tables):
+        for choice in product(range(NEAREST), repeat=per_key):
+            key = np.full(len(votes), t, dtype=np.int64)
+            for segment, c in zip(found[t * per_key : (t + 1) * per_key], choice, strict=True):
+                key = key << 12 | segment[:, c]
+            out.append(key)
+    return np.stack(out, axis=1)
+
+
+def _with_keys(batches: Iterator[pa.RecordBatch], shingle: int, per_key: int, tables: int) -> Iterator[pa.RecordBatch]:
+    one_thread()
+    bits = per_key * tables * WIDTH
     for batch in batches:
-        sets = [shingles(x.as_py(), shingle) for x in batch.column(1)]
-        columns = [pa.array([name_of(s) for s in sets], pa.int64()), pa.array([keys_of(s) for s in sets], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "fp", "keys"])
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = [shingles(x.as_py(), shingle) for x in part.column(1)]
+            votes = np.stack([weights(s, bits) for s in sets])
+            signs = np.packbits(votes[:, :128] > 0, axis=1).view(np.int64)
+            keys = keys_of(votes, per_key, tables)
+            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name_of(s) for s in sets], pa.int64()), *map(pa.array, signs.T), lists], ["id", "fp", "s1", "s2", "keys"])
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """The sets of texts, of those that have the name they are asked for by."""
     for batch in batches:
-        sets = pa.array([shingles(x.as_py(), shingle).view(np.int64) for x in batch.column(1)], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["fp", "hashes"])
-
-
-def _named(text_col: str, shingle: int):
-    @F.arrow_udf("long")
-    def name(texts: pa.Array) -> pa.Array:
-        return pa.array([name_of(shingles(x.as_py(), shingle)) for x in texts], pa.int64())
-
-    return name(F.col(text_col).cast("string").cast("binary"))
+        sets = [shingles(x.as_py(), shingle) for x in batch.column(1)]
+        right = [name_of(s) == fp for s, fp in zip(sets, batch.column(0).to_pylist(), strict=True)]
+        hashes = pa.array([s.view(np.int64) for s, ok in zip(sets, right, strict=True) if ok], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(right, pa.bool_())), hashes], ["fp", "hashes"])
 
 
 def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -88,58 +136,93 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("fp").alias("u"), F.col("hashes").alias("hu"))
     two = sets.select(F.col("fp").alias("v"), F.col("hashes").alias("hv"))
     both = F.size(F.array_intersect("hu", "hv"))
-    return pairs.join(one, "u").join(two, "v").where(100 * both >= percent * (F.size("hu") + F.size("hv") - both)).select("u", "v")
+    sizes = F.size("hu") + F.size("hv")
+    hopeful = 100 * F.least(F.size("hu"), F.size("hv")) >= percent * F.greatest(F.size("hu"), F.size("hv"))
+    return pairs.join(one, "u").join(two, "v").where(hopeful).where(100 * both >= percent * (sizes - both)).select("u", "v")
+
+
+def _near(a1: str, a2: str, b1: str, b2: str):
+    return F.bit_count(F.col(a1).bitwiseXOR(F.col(b1))) + F.bit_count(F.col(a2).bitwiseXOR(F.col(b2))) <= MOST_BITS
+
+
+def _pair(u: str, v: str) -> list:
+    return [F.greatest(u, v).alias("u"), F.least(u, v).alias("v")]
 
 
 def link_sets(named: DataFrame, sets_of, percent: int, n: int) -> DataFrame:
-    """(fp, keys) -> (node, root) of all sets with another of that similarity, directly or through others.
+    """(fp, s1, s2, keys) -> (node, root) of all sets with another of that similarity, directly or through others.
 
     sets_of gives the (fp, hashes) of those (fp) it is asked for.
     """
+    signs = named.select("fp", "s1", "s2")
     rows = named.select("fp", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.min(F.struct(F.xxhash64("key", "fp").alias("h"), "fp")).alias("pivot"))
-    shared = shared.where("low <> high").select("key", F.col("pivot.fp").alias("pivot"))
-    met = cut(rows.join(dealt_anew(shared, "key"), "key").select("key", "fp", "pivot"), 4 * n, dealt=True)
+    shared = rows.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
+    met = rows.join(dealt_anew(shared, "key"), "key").join(signs, "fp").select("key", "fp", "s1", "s2", "low", "high")
+    met = cut(met, 4 * n, dealt=True)
     n_met = met.count()
-    sets = cut(sets_of(met.select("fp").distinct()), n_met)
-    stars = met.where("fp <> pivot").select(F.greatest("fp", "pivot").alias("u"), F.least("fp", "pivot").alias("v")).distinct()
-    roots = cut(connected_components(alike(stars, sets, percent), n_met), n_met)
-    # The rest: keys where the stars left several components.
-    rows = met.join(dealt_anew(roots, "node"), F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    rows = cut(rows.join(dealt_anew(mixed, "key"), "key"), n_met)
-    one = rows.select("key", F.col("fp").alias("u"), F.col("root").alias("ru"))
-    two = rows.select("key", F.col("fp").alias("v"), F.col("root").alias("rv"))
-    crossing = one.join(two, "key").where("ru < rv").select("u", "v").distinct()
-    crossing = crossing.join(stars.select(F.col("u").alias("a"), F.col("v").alias("b")), (F.greatest("u", "v") == F.col("a")) & (F.least("u", "v") == F.col("b")), "left_anti")
-    more = cut(alike(crossing, sets, percent), n_met)
-    return connected_components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    ends = met.select("fp", "s1", "s2", F.explode(F.array("low", "high")).alias("end")).where("fp <> end").distinct()
+    ends = ends.join(signs.select(F.col("fp").alias("end"), F.col("s1").alias("e1"), F.col("s2").alias("e2")), "end")
+    asked = cut(ends.where(_near("s1", "s2", "e1", "e2")).select(*_pair("fp", "end")).distinct(), n_met)
+    sets = cut(sets_of(asked.select(F.explode(F.array("u", "v")).alias("fp")).distinct()), n_met)
+    links = cut(alike(asked, sets, percent), n_met)
+    keyed = met.select("key", "fp", "s1", "s2")
+    for turn in range(TURNS + 1):
+        roots = cut(connected_components(links, n_met), n_met)
+        rows = keyed.join(dealt_anew(roots, "node"), F.col("fp") == F.col("node"), "left").select("key", "fp", "s1", "s2", F.coalesce("root", "fp").alias("root"))
+        # What is outside the largest component of each key with several.
+        counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+        main = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", F.col("top.root").alias("main"))
+        keyed = cut(rows.join(dealt_anew(main, "key"), "key"), n_met)
+        odd = keyed.where("root <> main").select(F.col("key").alias("k"), F.col("fp").alias("u"), F.col("root").alias("ru"), F.col("s1").alias("u1"), F.col("s2").alias("u2"))
+        others = keyed
+        if turn < TURNS:
+            one = keyed.where("root = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), "fp", "s1", "s2", "root")).alias("x"))
+            others = dealt_anew(one.select("key", "x.*"), "key")
+        pairs = others.join(odd, (F.col("key") == F.col("k")) & (F.col("root") != F.col("ru")) & _near("s1", "s2", "u1", "u2")).select(*_pair("fp", "u")).distinct()
+        pairs = cut(pairs.join(asked, ["u", "v"], "left_anti"), n_met)
+        asked = asked.unionByName(pairs)
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(sets, "fp", "left_anti")
+        sets = sets.unionByName(cut(sets_of(wanted), n_met))
+        links = links.unionByName(cut(alike(pairs, sets, percent), n_met))
+        keyed = keyed.select("key", "fp", "s1", "s2")
+    return connected_components(links, n_met)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row of every group of near-duplicates, that of the smallest id; rows with a null id all stay.
 
     Groups are decided by (id, set), so that of two different texts under one id each counts in its own group. Rows with
-    a null id link others. Null texts count as empty, and empty ones as copies of each other.
+    a null id link others. Null texts count as empty, and empty ones as copies of each other. An empty table gives an
+    empty result; other columns play no part, whatever their names but those that start with `__tessera_`. Long texts are
+    hashed whole. A row is cut to its set only where a candidate asks for it.
     """
     n = docs.count()
+    per_key, tables = tables_for(n)
     key, text = F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary")
-    found = docs.select(key.alias("id"), text.alias("text")).mapInArrow(lambda x: _with_keys(x, shingle), "id long, fp long, keys array<long>")
-    found = cut(found, n, dealt=True)
+    found = docs.select(key.alias("id"), text.alias("text")).mapInArrow(lambda x: _with_keys(x, shingle, per_key, tables), "id long, fp long, s1 long, s2 long, keys array<long>")
+    found = cut(found)
     # Equal sets have equal keys. A null id is the least, so that it only stands for a set if nothing else does.
-    named = cut(found.groupBy("fp").agg(F.min("id").alias("first"), F.min("keys").alias("keys")), n)
+    named = cut(found.groupBy("fp").agg(F.min("id").alias("first"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.min("keys").alias("keys")), n)
 
     def sets_of(asked: DataFrame) -> DataFrame:
-        reps = named.join(asked, "fp", "left_semi").select(F.col("fp").alias("__tessera_asked"), F.coalesce("first", F.lit(NO_ID)).alias("__tessera_first"))
-        texts = docs.select(F.coalesce(key, F.lit(NO_ID)).alias("id"), text.alias("text")).withColumn("fp", _named("text", shingle))
-        texts = texts.join(reps, (F.col("fp") == F.col("__tessera_asked")) & (F.col("id") == F.col("__tessera_first")), "left_semi").select("fp", "text")
-        return texts.mapInArrow(lambda x: _with_sets(x, shingle), "fp long, hashes array<long>").dropDuplicates(["fp"])
+        reps = named.join(asked, "fp", "left_semi").select(F.col("fp"), F.coalesce("first", F.lit(NO_ID)).alias("first"))
+        texts = docs.select(F.coalesce(key, F.lit(NO_ID)).alias("id"), text.alias("text"))
+        wanted = texts.join(reps, F.col("id") == F.col("first")).select("fp", "text")
+        return wanted.mapInArrow(lambda x: _with_sets(x, shingle), "fp long, hashes array<long>").dropDuplicates(["fp"])
 
-    roots = link_sets(named.select("fp", "keys"), sets_of, percent, n)
+    roots = link_sets(named, sets_of, percent, n)
     groups = named.select("fp", "first").join(dealt_anew(roots, "node"), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    kept = groups.where("first IS NOT NULL").groupBy("root").agg(F.min(F.struct("first", "fp")).alias("x"))
-    kept = cut(kept.select(F.col("x.first").alias("__tessera_id"), F.col("x.fp").alias("__tessera_kept")), n)
-    left = docs.where(F.col(id_col).isNotNull()).withColumn("__tessera_fp", _named(text_col, shingle))
-    left = left.join(kept, (key == F.col("__tessera_id")) & (F.col("__tessera_fp") == F.col("__tessera_kept")), "left_semi")
-    left = left.dropDuplicates([id_col, "__tessera_fp"]).drop("__tessera_fp")
-    return left.unionByName(docs.where(F.col(id_col).isNull()))
+    kept = groups.where("first IS NOT NULL").groupBy("root").agg(F.min(F.struct("first", "fp")).alias("x")).select(F.col("x.first").alias("id"), F.col("x.fp").alias("fp"))
+    alone = found.groupBy("id").agg((F.count(F.lit(1)) == 1).alias("alone"))
+    kept = cut(kept.join(alone, "id").select(F.col("id").alias("__tessera_id"), F.col("fp").alias("__tessera_kept"), F.col("alone").alias("__tessera_alone")), n)
+    ids = docs.where(F.col(id_col).isNotNull())
+    once = ids.join(kept.where("__tessera_alone").select("__tessera_id"), key == F.col("__tessera_id"), "left_semi")
+    # Ids of several rows: the texts tell which of them are the one that stays.
+    repeated = ids.join(kept.where("NOT __tessera_alone").select("__tessera_id", "__tessera_kept"), key == F.col("__tessera_id"))
+
+    @F.arrow_udf("long")
+    def name(texts: pa.Array) -> pa.Array:
+        return pa.array([name_of(shingles(x.as_py(), shingle)) for x in texts], pa.int64())
+
+    repeated = repeated.where(name(text) == F.col("__tessera_kept")).dropDuplicates(["__tessera_id", "__tessera_kept"]).select(*docs.columns)
+    return once.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))

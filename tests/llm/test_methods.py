@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import compare
+from test_similar import first_of_groups
 from tessera.llm import components, langid, packing, piece_codec, quality, queries, secret_scan, simhash, toxicity
 from tessera.llm.automata import Automaton
 
@@ -47,8 +48,9 @@ def roots_of(prints):
             parent[a] = a = parent[parent[a]]
         return a
 
-    for i, j in itertools.combinations(range(len(prints)), 2):
-        if (prints[i] ^ prints[j]).bit_count() <= 4:
+    bits = np.array(prints, dtype=np.uint64)
+    for i in range(len(prints)):
+        for j in (np.flatnonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= 4) + i + 1).tolist():
             parent[find(i)] = find(j)
     return [find(i) for i in range(len(prints))]
 
@@ -80,6 +82,11 @@ def test_dense_clouds_of_fingerprints(spark):
         prints.add(x)
         for b in rng.choice(64, 4, replace=False):
             x ^= 1 << int(b)
+    for _ in range(1500):  # mostly too far from each other, under the same keys
+        y = x
+        for b in rng.choice(64, rng.integers(5, 9), replace=False):
+            y ^= 1 << int(b)
+        prints.add(y)
     prints = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
     df = spark.createDataFrame([(p,) for p in prints], "fp long")
     got = {r.node: r.root for r in simhash.link_fingerprints(df).collect()}
@@ -90,6 +97,28 @@ def test_dense_clouds_of_fingerprints(spark):
     assert got == {p: min(g) for g in groups.values() if len(g) > 1 for p in g}
 
 
+def test_longer_keys_keep_near_fingerprints_together():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    names = ["key", "fp", "index", "fixed", "root"]
+    for _ in range(200):
+        x = int(rng.integers(0, 1 << 63))
+        y = x
+        for b in rng.choice(64, 4, replace=False):
+            y ^= 1 << int(b)
+        prints = np.array([x, y], dtype=np.uint64).view(np.int64)
+        key, row, index = simhash.keys_of(prints)
+        rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(prints[row]), pa.array(index), pa.array([0] * len(key), pa.int64()), pa.array(row)], names)
+        for _ in range(3):
+            rows = pa.Table.from_batches(list(simhash._longer_keys(iter([rows])))).combine_chunks().to_batches()[0]
+            both = [{(k, i) for k, r, i in zip(*(rows.column(c).to_pylist() for c in (0, 4, 2)), strict=True) if r == one} for one in (0, 1)]
+            assert {k for k, _ in both[0]} & {k for k, i in both[1] if i}
+            keep = rows.take(pa.array(rng.permutation(rows.num_rows)))
+            met = {k for k, _ in both[0]} & {k for k, _ in both[1]}
+            rows = keep.filter(pa.array([k in met for k in keep.column(0).to_pylist()]))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.integers(0, (1 << 64) - 1), st.lists(st.integers(0, 63), max_size=4, unique=True))
 def test_keys_meet_within_four_bits(x, bits):
@@ -326,12 +355,7 @@ def test_pipeline_stages(spark):
     assert set(frame(lines)) == set(frame(good))
     one = named["simhash_near_dedup"](spark, lines, SF).cache()
     before = frame(lines)
-    ids = sorted(before)
-    roots = roots_of([plain_fingerprint(before[i]) for i in ids])
-    first = {}
-    for i, r in zip(ids, roots, strict=True):
-        first.setdefault(r, i)
-    assert set(frame(one)) == set(first.values())
+    assert frame(one) == dict(first_of_groups(sorted(before.items())))
     clean = named["secret_scans"](spark, one, SF).cache()
     for i, t in frame(clean).items():
         assert not plain_spans(t)

@@ -58,12 +58,34 @@ def test_stage_links_all_near_copies(spark, near):
 
 def test_keys_meet_at_the_least_similarity():
     rng = np.random.default_rng(4)
-    met = 0
-    for _ in range(2000):
-        x = np.unique(rng.integers(0, 1 << 64, 99, dtype=np.uint64))
-        y = np.concatenate([x[:88], rng.integers(0, 1 << 64, 11, dtype=np.uint64)])  # 88 of 110
-        met += bool(set(similar.keys_of(x)) & set(similar.keys_of(y)))
-    assert met >= 1990
+    for per_key, tables in (similar.tables_for(1000), similar.tables_for(1 << 40)):
+        bits = per_key * tables * similar.WIDTH
+        pairs = []
+        for _ in range(1000):
+            x = np.unique(rng.integers(0, 1 << 64, 99, dtype=np.uint64))
+            pairs += [x, np.concatenate([x[:88], rng.integers(0, 1 << 64, 11, dtype=np.uint64)])]  # 88 of 110
+        votes = np.stack([similar.weights(x, bits) for x in pairs])
+        keys = similar.keys_of(votes, per_key, tables)
+        assert sum(bool(set(a) & set(b)) for a, b in zip(keys[::2].tolist(), keys[1::2].tolist(), strict=True)) >= 975
+        apart = (votes[::2, :128] > 0) != (votes[1::2, :128] > 0)
+        assert (apart.sum(axis=1) > similar.MOST_BITS).sum() <= 3
+
+
+def test_weights_count_bits():
+    hashes = np.random.default_rng(8).integers(0, 1 << 64, 5000, dtype=np.uint64)
+    salted = similar._mixed(hashes ^ similar._mixed(np.arange(1, 4, dtype=np.uint64))[2])
+    ones = [int((salted >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)]
+    assert similar.weights(hashes, 192)[128:].tolist() == [2 * x - 5000 for x in ones]
+
+
+def test_codewords_are_the_nearest():
+    votes = np.random.default_rng(9).standard_normal((50, 23))
+    code = np.concatenate([similar._half_of_the_code().T, -similar._half_of_the_code().T])
+    assert len({tuple(c) for c in code.tolist()}) == 4096
+    assert min((code[1:] != code[0]).sum(axis=1)) == 7
+    best = np.sort(code @ votes.T, axis=0)[-2:][::-1].T
+    for row, found, want in zip(votes, similar.codewords(votes).tolist(), best.tolist(), strict=True):
+        assert np.allclose([(-1) ** (i % 2) * similar._half_of_the_code()[:, i // 2] @ row for i in found], want)
 
 
 def test_differing_texts_of_one_id(spark):
