@@ -7,8 +7,11 @@ four of a word, one or six of them, include the nearest codeword of every word a
 an intact half. A key is (pair, half, half's bits, codeword index).
 (b) The agreeing segment and the intact third of another make an exact key.
 Candidates of a key are verified on the whole fingerprints. Within a key, rows first meet only the key's smallest and
-largest fingerprint; pairs of rows that those links leave in different components meet in a second, complete pass, so
-no link between components is missed and a dense group never becomes all its pairs.
+largest fingerprint, and what they link becomes one component. A key left with several components is settled by what
+does not belong to its largest one: where that is few rows, they meet the key's other rows; where it is more, the key is
+lengthened: of the bits it does not fix, cut into five parts, two fingerprints within four bits agree in one, so that
+each row goes on under five longer keys. Keys are lengthened until few rows are left over, whatever the corpus' size, so
+that no link is missed and neither a dense cloud nor a crowded key ever becomes all its pairs.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ PAIRS = ((0, 1), (0, 2), (1, 2))  # (decoded segment, halved segment)
 EXACT = ((0, 1), (1, 0), (2, 0))  # (agreeing segment, segment cut in three)
 LANES = np.uint64(0x0101010101010101)
 BLOCK = 1 << 16
+FEW = 32  # rows of a key outside its largest component that meet all its rows
+PARTS = MAX_BITS + 1
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -148,33 +153,101 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(lambda batches: _with_prints(batches, shingle), "id long, fp long")
 
 
+def _fixed_bits(keys: np.ndarray) -> np.ndarray:
+    """The fingerprint bits that all rows of a key of keys_of() agree in; a codeword fixes none for certain."""
+    by_tag = np.zeros(17, dtype=np.uint64)
+    for tag, (_, b) in enumerate(PAIRS):
+        at, size = SEGMENTS[b]
+        low = (1 << size // 2) - 1
+        by_tag[2 * tag], by_tag[2 * tag + 1] = low << at, ((1 << size) - 1 - low) << at
+    for tag, (a, b) in enumerate(EXACT):
+        at, size = SEGMENTS[b]
+        third = -(-size // 3)
+        for which in range(3):
+            piece = ((1 << min(third, size - which * third)) - 1) << (at + which * third)
+            by_tag[8 + tag * 3 + which] = ((1 << SEGMENTS[a][1]) - 1) << SEGMENTS[a][0] | piece
+    return by_tag[keys >> 48]
+
+
+@lru_cache(4096)
+def _five_parts(fixed: int) -> list[int]:
+    """The bits that are not fixed, dealt into five parts as even as they go."""
+    free = [b for b in range(64) if not fixed >> b & 1]
+    return [sum(1 << b for b in free[i::PARTS]) for i in range(PARTS)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _longer_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Five rows for each: under its key and one of five parts of the bits that the key does not fix."""
+    for batch in batches:
+        key, fp, fixed = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+        fixed = np.where(fixed == 0, _fixed_bits(np.where(fixed == 0, key, 0)), fixed.view(np.uint64))
+        for one in np.unique(fixed).tolist():
+            rows = np.flatnonzero(fixed == one)
+            at = pa.array(rows)
+            for part in _five_parts(one):
+                longer = _mixed(_mixed(key[rows].view(np.uint64) ^ np.uint64(part)) ^ (fp[rows].view(np.uint64) & np.uint64(part)))
+                now = np.full(len(rows), one | part, dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(longer.view(np.int64)), *(batch.column(i).take(at) for i in (1, 2)), pa.array(now.view(np.int64)), batch.column(4).take(at)], ["key", "fp", "index", "fixed", "root"]
+                )
+
+
+def _near(a: str, b: str):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
+
+
+def _unsettled(rows: DataFrame, bound: int) -> DataFrame:
+    """The rows (key, fp, index, fixed, root) of keys with several roots, and the key's commonest root and all others' number."""
+    counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.max("index").alias("index"))
+    keys = counts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots"), F.max("index").alias("index"))
+    keys = keys.where("roots > 1 AND index").select("key", F.col("top.root").alias("main"), (F.col("n") - F.col("top.n")).alias("others"))
+    return cut(rows.join(dealt_anew(keys, "key"), "key"), bound)
+
+
 def link_fingerprints(prints: DataFrame, rows_known: int | None = None) -> DataFrame:
     """Distinct (fp) -> (node, root) of all fingerprints that have another within four bits, directly or through others.
 
     rows_known, a bound on the fingerprints, only sets numbers of files.
     """
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
     keys = prints.select("fp").mapInArrow(_with_keys, "key long, fp long, index boolean")
     pivots = (
         keys.where("index").groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count(F.lit(1)).alias("n"))
     )
-    met = keys.join(dealt_anew(pivots, "key"), "key").where((F.col("n") > 2) | ((F.col("fp") != F.col("low")) & near("fp", "low")) | ((F.col("fp") != F.col("high")) & near("fp", "high")))
+    met = keys.join(dealt_anew(pivots, "key"), "key").where((F.col("n") > 2) | ((F.col("fp") != F.col("low")) & _near("fp", "low")) | ((F.col("fp") != F.col("high")) & _near("fp", "high")))
     met = cut(met, rows_known and 4 * rows_known, dealt=True)
     n_met = met.count()
-    stars = met.select("fp", F.explode(F.array("low", "high")).alias("v")).where((F.col("fp") != F.col("v")) & near("fp", "v"))
+    stars = met.select("fp", F.explode(F.array("low", "high")).alias("v")).where((F.col("fp") != F.col("v")) & _near("fp", "v"))
     roots = cut(connected_components(stars.select(F.col("fp").alias("u"), "v"), 2 * n_met), n_met)
     # The rest: keys with more fingerprints than the two pivots, where the stars left several components.
-    rows = met.where("n > 2").select("key", "fp", "index")
-    rows = rows.join(roots, rows.fp == roots.node, "left").select("key", "fp", "index", F.coalesce("root", "fp").alias("root"))
-    rows = cut(rows, n_met)
-    mixed = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    rows = cut(rows.join(dealt_anew(mixed, "key"), "key"), n_met)
-    groups = rows.groupBy("key", "root").agg(F.max("index").alias("index"))
-    pairs = groups.select("key", F.col("root").alias("ra")).join(groups.where("index").select("key", F.col("root").alias("rb")), "key").where("ra <> rb")
-    asked = pairs.join(rows.select("key", F.col("root").alias("ra"), F.col("fp").alias("u")), ["key", "ra"]).select("key", "ra", "rb", "u")
-    held = rows.where("index").select(F.col("key").alias("hk"), F.col("root").alias("hb"), F.col("fp").alias("v"))
-    crossing = asked.join(held, (F.col("key") == F.col("hk")) & (F.col("rb") == F.col("hb")) & near("u", "v")).select(F.col("ra").alias("u"), F.col("hb").alias("v"))
-    joined = cut(connected_components(crossing).withColumnsRenamed({"node": "part", "root": "whole"}), n_met)
+    rows = met.where("n > 2").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", "index", F.lit(0).cast("long").alias("fixed"), F.coalesce("root", "fp").alias("root"))
+    joined: DataFrame | None = None  # (part, whole) of the roots linked since
+    edges: DataFrame | None = None
+    while True:
+        rows = _unsettled(rows, n_met)
+        few = rows.where(F.col("others") <= FEW)
+        odd = few.where("root <> main").select(F.col("key").alias("k"), F.col("fp").alias("u"), F.col("root").alias("ru"), F.col("index").alias("iu"))
+        links = few.join(odd, (F.col("key") == F.col("k")) & (F.col("root") != F.col("ru")) & (F.col("index") | F.col("iu")) & _near("fp", "u"))
+        links = links.select(F.col("ru").alias("u"), F.col("root").alias("v"))
+        many = rows.where(F.col("others") > FEW)
+        left = many.count()
+        if left:
+            longer = cut(many.select("key", "fp", "index", "fixed", "root").mapInArrow(_longer_keys, "key long, fp long, index boolean, fixed long, root long"), PARTS * left)
+            ends = longer.where("index").groupBy("key").agg(F.min(F.struct("fp", "root")).alias("low"), F.max(F.struct("fp", "root")).alias("high"))
+            starred = longer.join(dealt_anew(ends, "key"), "key").select("fp", "root", F.explode(F.array("low", "high")).alias("end")).select(F.col("fp"), F.col("root").alias("u"), F.col("end.fp").alias("fv"), F.col("end.root").alias("v"))
+            links = links.unionByName(starred.where((F.col("u") != F.col("v")) & _near("fp", "fv")).select("u", "v"))
+        edges = links if edges is None else edges.unionByName(links)
+        edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), n_met)
+        joined = cut(connected_components(edges, n_met).withColumnsRenamed({"node": "part", "root": "whole"}), n_met)
+        if not left:
+            break
+        rows = longer.join(dealt_anew(joined, "part"), F.col("root") == F.col("part"), "left").select("key", "fp", "index", "fixed", F.coalesce("whole", "root").alias("root"))
+        n_met = PARTS * left
     known = roots.join(joined, F.col("root") == F.col("part"), "left").select("node", F.coalesce("whole", "root").alias("root"))
     alone = joined.join(roots, F.col("part") == F.col("node"), "left_anti").select(F.col("part").alias("node"), F.col("whole").alias("root"))
     return known.unionByName(alone)
