@@ -8,10 +8,11 @@ code-point ranges of the masked role's texts in the output.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, BREAK, CLOSE = "<turn:", "<turn/>", "</turn>\n"
+BLOCK = 8192
 
 
 def _put(text: Column, old: str, new: str) -> Column:
@@ -41,45 +42,38 @@ def format_chats(
     one task; turns of different conversations don't.
     """
     text, role = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(role_col).cast("string"), F.lit(""))
-    rows = turns.select(
-        F.col(conv_col).alias("conv"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text")).alias("one")
+    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
+    order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    before = F.lag("role").over(order)
+    lead = F.when(before.isNull(), _head(F.col("role"))).when(before == F.col("role"), F.lit(BREAK)).otherwise(F.concat(F.lit(CLOSE), _head(F.col("role"))))
+    pieces = rows.select("conv", "turn", "role", "text", F.row_number().over(order).alias("n"), lead.alias("lead"), escape(F.col("text")).alias("body"))
+    ends = F.sum(F.length("lead") + F.length("body")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    span = F.struct((ends - F.length("body")).cast("int").alias("start"), F.length("body").alias("length"))
+    pieces = pieces.select("conv", F.struct("n", F.concat("lead", "body").alias("piece"), F.when(F.col("role") == loss_role, span).alias("span")).alias("one"))
+    sorted_pieces = pieces.groupBy("conv").agg(F.sort_array(F.collect_list("one")).alias("pieces"))
+    return sorted_pieces.select(
+        "conv", F.concat(F.array_join("pieces.piece", ""), F.lit(CLOSE)).alias("formatted"), F.array_compact("pieces.span").alias("loss")
     )
-    sorted_turns = rows.groupBy("conv").agg(F.sort_array(F.collect_list("one")).alias("turns"))
-    at = F.sequence(F.lit(0), F.size("turns") - 1)
-    role_at = lambda i: F.get(F.col("turns.role"), i)
-    pieces = F.transform(
-        at,
-        lambda i: F.struct(
-            F.when((i > 0) & (role_at(i - 1) == role_at(i)), F.lit(BREAK))
-            .otherwise(F.concat(F.when(i > 0, F.lit(CLOSE)).otherwise(F.lit("")), _head(role_at(i))))
-            .alias("lead"),
-            escape(F.get(F.col("turns.text"), i)).alias("body"),
-            (role_at(i) == F.lit(loss_role)).alias("masked"),
-        ),
-    )
-    pieced = sorted_turns.select("conv", pieces.alias("pieces"))
-    lengths = pieced.select(
-        "conv",
-        "pieces",
-        F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["body"])), ""), F.lit(CLOSE)).alias("formatted"),
-    )
-    empty = F.array().cast("array<struct<start:int,length:int>>")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    spans = F.aggregate(
-        F.transform("pieces", lambda p: F.struct(F.length(p["lead"]).alias("lead"), F.length(p["body"]).alias("body"), p["masked"].alias("masked"))),
-        zero,
-        lambda acc, p: F.struct(
-            (acc["at"] + p["lead"] + p["body"]).alias("at"),
-            F.when(
-                p["masked"],
-                F.array_append(acc["spans"], F.struct((acc["at"] + p["lead"]).alias("start"), p["body"].alias("length"))),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return lengths.select("conv", "formatted", spans.alias("loss"))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), the value being worked out once and not for each element of an array that use() goes through."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def masked_texts(formatted: Column, loss: Column) -> Column:
+    """Array of the texts, unescaped, under a loss mask; the output is cut into blocks once, and a text out of these."""
+    starts = F.sequence(F.lit(0), F.floor(F.length(formatted) / BLOCK).cast("int"))
+
+    def texts(blocks: Column) -> Column:
+        def text(span: Column) -> Column:
+            first = F.floor(span["start"] / BLOCK).cast("int")
+            last = F.floor((span["start"] + span["length"]) / BLOCK).cast("int")
+            return unescape(F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), span["start"] - first * BLOCK + 1, span["length"]))
+
+        return F.transform(loss, text)
+
+    return _bound(F.transform(starts, lambda i: F.substring(formatted, i * BLOCK + 1, F.lit(BLOCK))), texts)
 
 
 def read_chats(formatted: Column) -> Column:
@@ -108,7 +102,7 @@ def op10(spark, sf_dir: str) -> DataFrame:
     ).select("r.*")
     done = format_chats(chats.unionByName(probe))
     back = done.select("conv", "formatted", "loss", read_chats(F.col("formatted")).alias("turns"))
-    loss_text = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
+    loss_text = F.array_join(masked_texts(F.col("formatted"), F.col("loss")), "")
     return back.select(
         F.col("conv").alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),
