@@ -2,8 +2,9 @@
 
 Every component is quantised to a cell of a few bits; the cells are written beside the exact vectors. A first scan reads
 cells only and bounds every score from below: a query's kth best lower bound, over all rows, is a threshold no result
-falls under. A second scan takes the rows whose upper bound reaches it, in the order of their bounds, and computes exact
-scores until the kth is certain. Queries are sent to the scans in blocks of bounded size.
+falls under. A second scan of the cells gives the rows whose upper bound reaches it. Of these, exact vectors are read in
+the order of their bounds: the first few of each query, which give a kth exact score, and then those whose bound reaches
+that score, until the kth result is certain. Queries are sent to the scans in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -12,14 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut, one_thread, written
 
 CELLS = 64
 ROWS, ASKED = 2048, 512  # of a block of bounds
-STEP = 32  # exact vectors read between two looks at the bounds
+FIRST = 2  # times as many exact vectors as results are read before the bounds are looked at again
+MERGED = 64  # groups of tasks whose best bounds are merged first
 
 
 def bounds(low: np.ndarray, high: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +74,8 @@ def search(
 ) -> DataFrame:
     """(query, rank, id, score): the k rows of vectors with the greatest inner products with each row of queries.
 
-    Inner products are of the components floor(scale * x), exact while they fit in 53 bits. A row of the query's own id
+    Inner products are of the components floor(scale * x), and exact: components so large that one could take more than
+    53 bits raise ValueError. A row of the query's own id
     is no result of it; ties go to the smaller id; fewer rows give fewer results. Vectors that are null or hold null or
     non-finite components, and null ids, take no part. Vectors of different lengths meet as if padded with zeros. Of
     equal vectors only the k + 1 smallest ids are held against a query, since no other can be among its results, and
@@ -100,6 +104,8 @@ def search(
                 yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(m.min(axis=0)), pa.array(m.max(axis=0))], ["d", "a", "b"])
 
     limits = few.mapInArrow(ranges, "d int, a long, b long").groupBy("d").agg(F.min("a").alias("a"), F.max("b").alias("b")).orderBy("d").collect()
+    if width * max((abs(x) for r in limits for x in (r["a"], r["b"])), default=0) ** 2 >= 1 << 53:
+        raise ValueError("inner products of such components can take more than 53 bits")
     grid = Grid([r["a"] for r in limits], [r["b"] for r in limits])
 
     def approximated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,6 +137,7 @@ def _search_chunk(file: DataFrame, grid: Grid, names: list[int], queries: np.nda
     sent = file.sparkSession.sparkContext.broadcast(queries.astype(np.float64))
 
     def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         q = sent.value
         top = np.full((len(q), want), -np.inf)
         for batch in batches:
@@ -140,41 +147,44 @@ def _search_chunk(file: DataFrame, grid: Grid, names: list[int], queries: np.nda
                     least, _ = bounds(low, high, q[b : b + ASKED])
                     both = np.concatenate([top[b : b + ASKED], least.T], axis=1)
                     top[b : b + ASKED] = -np.partition(-both, want - 1, axis=1)[:, :want]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(q)), pa.int32()), pa.array(list(top), pa.list_(pa.float64()))], ["q", "top"])
+        part = [TaskContext.get().partitionId() % MERGED] * len(q)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(q)), pa.int32()), pa.array(part, pa.int32()), pa.array(list(top), pa.list_(pa.float64()))], ["q", "part", "top"])
 
-    tops = file.select("cells").mapInArrow(lower, "q int, top array<double>")
-    kth = F.element_at(F.sort_array(F.flatten(F.collect_list("top")), asc=False), want)
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, want).alias("top")
+    tops = file.select("cells").mapInArrow(lower, "q int, part int, top array<double>").groupBy("q", "part").agg(best).groupBy("q").agg(best)
     threshold = np.full(len(names), -np.inf)
-    for r in tops.groupBy("q").agg(kth.alias("least")).collect():
+    for r in tops.select("q", F.element_at("top", want).alias("least")).collect():
         threshold[r["q"]] = r["least"]
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         q = sent.value
-        kept: dict[int, list[tuple[int, int]]] = {}  # query -> (-score, id), best first
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, batch.num_rows, ROWS):
                 low, high = grid.corners(_matrix(batch.column(1).slice(at, ROWS), "u1", width))
-                vectors = _matrix(batch.column(2).slice(at, ROWS), "<i8", width).astype(np.float64)
                 for b in range(0, len(q), ASKED):
                     _, most = bounds(low, high, q[b : b + ASKED])
-                    hopeful = most >= threshold[b : b + ASKED]
-                    for j in np.flatnonzero(hopeful.any(axis=0)).tolist():
-                        rows = np.flatnonzero(hopeful[:, j])
-                        rows = rows[np.argsort(-most[rows, j], kind="stable")]
-                        mine = kept.setdefault(b + j, [])
-                        for s in range(0, len(rows), STEP):
-                            if len(mine) >= want and most[rows[s], j] < -mine[want - 1][0]:
-                                break
-                            near = rows[s : s + STEP]
-                            scores = vectors[near] @ q[b + j]
-                            mine += [(-int(x), int(ids[at + r])) for x, r in zip(scores.tolist(), near.tolist(), strict=True) if x >= threshold[b + j]]
-                            mine.sort()
-                            del mine[want:]
-        rows = [(names[j], i, -s) for j, best in kept.items() for s, i in best]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ([], [], []))], ["query", "id", "score"])
-
-    return file.select("id", "cells", "v").mapInArrow(exact, "query long, id long, score long")
+                    row, j = np.nonzero(most >= threshold[b : b + ASKED])
+                    yield pa.RecordBatch.from_arrays([pa.array((j + b).astype(np.int32)), pa.array(ids[at + row]), pa.array(most[row, j])], ["q", "id", "most"])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                asked = q[batch.column(0).to_numpy(zero_copy_only=False)]
+                score = np.einsum("ij,ij->i", _matrix(batch.column(2), "<i8", width).astype(np.float64), asked)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score.astype(np.int64))], ["q", "id", "score"])
+
+    # Exact vectors are read in the order of their bounds: the first of each query, then those that can still be among its best.
+    found = file.select("id", "cells").mapInArrow(hopeful, "q int, id long, most double")
+    found = cut(found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("most"), "id"))))
+    exact = lambda rows: rows.select("q", "id").join(file.select("id", "v"), "id").select("q", "id", "v").mapInArrow(scored, "q int, id long, score long")
+    first = cut(exact(found.where(F.col("n") <= FIRST * want)))
+    kth = first.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("n") == want).select(F.col("q").alias("asked"), "score")
+    rest = found.where(F.col("n") > FIRST * want).join(kth, (F.col("q") == F.col("asked")) & (F.col("most") >= F.col("score")), "left_semi")
+    known = file.sparkSession.createDataFrame(list(enumerate(names)), "asked int, query long")
+    return first.unionByName(exact(rest)).join(F.broadcast(known), F.col("q") == F.col("asked")).select("query", "id", "score")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
