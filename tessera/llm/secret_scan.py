@@ -98,20 +98,28 @@ def all_spans(text: str, formats: Formats | None) -> tuple[list[Span], list[Span
     base = [x[:3] for x in base_spans(text)]
     if formats is None or not formats.known:
         return base, base
-    more = []
+    covered: list[list[int]] = []
+    for _, a, b in base:
+        if covered and a < covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    more, at = [], 0
     for m in TOKEN.finditer(text):
-        token = m[0]
-        if (kind := formats.kind(token)) and not any(a < m.end() and m.start() < b for _, a, b in base):
-            more.append((kind, m.start(), m.end()))
+        start, end = m.span()
+        while at < len(covered) and covered[at][1] <= start:
+            at += 1
+        if (at == len(covered) or end <= covered[at][0]) and (kind := formats.kind(m[0])):
+            more.append((kind, start, end))
     return base, sorted(base + more, key=lambda x: (x[1], ORDER[x[0]])) if more else base
 
 
-def learn_formats(docs: DataFrame, text_col: str = "text", per_kind: int = 800, held_out: int = 200, least: int = 30) -> Formats:
+def learn_formats(docs: DataFrame, text_col: str = "text", per_kind: int = 800, held_out: int = 200, least: int = 30, longest: int = 512) -> Formats:
     """Fits the automata on at most per_kind + held_out distinct values of each kind, those of the smallest hashes.
 
-    A kind of under `least` values gets no automaton. Ordinary tokens are one of each document, none of
-    a credential, as many at most. An empty
-    table, or one without credentials, gives no formats.
+    Values of more than `longest` characters are none of them, so that a prefix tree has a bounded number of states. A
+    kind of under `least` values gets no automaton. Ordinary tokens are one of each document, none of a credential, as
+    many at most. An empty table, or one without credentials, gives no formats.
     """
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,10 +129,11 @@ def learn_formats(docs: DataFrame, text_col: str = "text", per_kind: int = 800,
                 text = value.as_py() or ""
                 base = base_spans(text)
                 for kind, _, _, x in base:
-                    kinds.append(kind)
-                    values.append(x)
+                    if len(x) <= longest:
+                        kinds.append(kind)
+                        values.append(x)
                 word = WORD.search(text, zlib.crc32((text[:64] + text[-64:]).encode("utf-8", "replace")) % (len(text) + 1)) or WORD.search(text)
-                if word and not any(a < word.end() and word.start() < b for _, a, b, _ in base):
+                if word and word.end() - word.start() <= longest and not any(a < word.end() and word.start() < b for _, a, b, _ in base):
                     kinds.append("ordinary")
                     values.append(word[0])
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["kind", "value"])
