@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import compare
 from test_similar import first_of_groups
@@ -193,6 +194,49 @@ def test_formats_learned_from_labelled_values_find_others(spark):
     assert got == {1000: ["like_assign:4:44"], 1001: [], 1002: []}
 
 
+def slow_spans(text, formats):
+    """What the formats add, token by token, each held against every base span and scored by itself."""
+    base = plain_spans(text)
+    allowed = "A-Za-z0-9+/_.=-"
+    out = []
+    for m in re.finditer(f"[{allowed}]+", text):
+        if len(m[0]) < 8 or any(a < m.end() and m.start() < b for _, a, b in base):
+            continue
+        word = "".join("0" if c in "0123456789" else "a" if c in "abcdef" else "A" if c in "ABCDEF" else "l" if c.isascii() and c.islower() else "L" if c.isascii() and c.isupper() else c for c in m[0])
+        usual = formats.ordinary.log_likelihood(word) + max(formats.margin, formats.whole / len(word))
+        fits = []
+        for kind, form in formats.known.items():
+            score = form.automaton.log_likelihood(word, ended=False)
+            wider = max(1.0, (form.length / len(word)) ** 0.5)
+            low, high = form.mean + (form.least - form.mean) * wider, form.mean + form.spread * wider * (2.5 if len(word) >= form.length else 2.0)
+            if low <= score <= high and form.automaton.log_likelihood(word) >= usual:
+                fits.append((score - low, kind))
+        if fits:
+            out.append((f"like_{max(fits)[1]}", m.start(), m.end()))
+    return out
+
+
+def test_added_spans_by_a_slow_version_and_odd_rows(spark):
+    rng = np.random.default_rng(12)
+    make = lambda n, of="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(rng.choice(list(of), n))
+    words = "plainly written sentence about ordinary documents 2024-11-28 well-established responsibility".split()
+    rows = [(i, f"{' '.join(rng.choice(words, 15))} token={make(32)} {make(40, '0123456789abcdef')} AKIA{make(16, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789')}") for i in range(150)]
+    long = " ".join(f"secret={make(32)} {make(32)}" for _ in range(4000))
+    rows += [(500, None), (501, ""), (502, long), (503, rows[0][1]), (503, rows[0][1]), (None, make(32)), (504, make(100_000)), (505, f"token={make(70_000)} {make(32)}"), (506, f"é漢 {make(32)} 🙂{make(32)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("x")).withColumn("kind", F.lit("y")).repartition(4)
+    formats = secret_scan.learn_formats(docs)
+    assert "assign" in formats.known
+    got = sorted((str(r.id), tuple(r.base), tuple(r.spans)) for r in secret_scan.scan(docs, formats).collect())
+    want, added = [], 0
+    for i, text in rows:
+        base, more = plain_spans(text or ""), slow_spans(text or "", formats)
+        added += len(more)
+        join = lambda spans: tuple(f"{k}:{a}:{b}" for k, a, b in spans)
+        want.append((str(i), join(base), join(sorted(base + more, key=lambda x: (x[1], secret_scan.ORDER[x[0]])))))
+    assert got == sorted(want)
+    assert added > 1000
+
+
 def test_automaton_learns_a_cycle():
     a = Automaton(["ab" * n for n in range(1, 8) for _ in range(20 << 7 - n)])  # one half ends at each turn
     assert len(a.counts) < 6
@@ -226,6 +270,14 @@ def test_pieces_are_the_library_tokens(spark, texts):
     assert sum(sum(p.length for p in s) < 1024 for s in by_seq.values()) <= 8
 
 
+@pytest.mark.parametrize("size", [999_990, 1_000_010])
+def test_ids_on_both_sides_of_a_million_characters(texts, size):
+    text = ("\n".join(texts.values()) * 5)[:size]
+    assert len(text) == size
+    e = packing.encoder(*packing.byte_bpe_50k().values())
+    assert e.ids(text).tolist() == e.slow.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=200) | st.just("a <|endoftext|> b"))
 def test_fast_ranks_give_the_same_ids(text):
@@ -265,11 +317,29 @@ def test_rejection_is_calibrated():
     assert model.predict("12 34")[0] == "und"
 
 
-def test_quality_order_is_by_rejection_per_cost(spark):
-    figures = quality.measure(spark.read.parquet(f"{SF}/documents.parquet"))
-    assert {n for n, _, _ in figures} == set(quality.RULES)
-    gains = [r / (s or 1e-9) for _, s, r in figures]
-    assert gains == sorted(gains, reverse=True)
+def test_quality_order_is_by_rejection_of_what_is_left_per_second_of_new_facts(spark):
+    seconds, rejected = quality.measure(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert sum(rejected.values()) == 200 and all(s > 0 for s in seconds.values())
+    order = quality.ordered(seconds, rejected, list(quality.RULES))
+    assert sorted(order) == sorted(quality.RULES)
+    for i, rule in enumerate(order):
+        known = {f for r in order[:i] for f in quality.FACTS[r]}
+        gains = []
+        for r in order[i:]:
+            caught = sum(n for no, n in rejected.items() if r in no and not no & set(order[:i]))
+            gains.append(caught / max(1e-9, sum(seconds[f] for f in quality.FACTS[r] if f not in known)))
+        assert gains[0] == max(gains), rule
+    free = dict.fromkeys(quality.ALL_FACTS, 1.0)
+    cases = {frozenset(["letters", "symbols"]): 9, frozenset(["letters"]): 1, frozenset(["capitals"]): 4}
+    assert quality.ordered(free, cases, ["symbols", "letters", "capitals"]) == ["letters", "capitals", "symbols"]
+
+
+def test_rules_ask_for_the_facts_they_name():
+    for name, rule in quality.RULES.items():
+        facts = quality.Facts(b"Some WORDS here!! # and\n more\n" * 30)
+        rule(facts)
+        asked = set(vars(facts)) - {"text", "words"}
+        assert asked <= set(quality.FACTS[name]), name
 
 
 def test_quality_keeps_good_and_rejects_bad(spark):
@@ -378,3 +448,42 @@ def test_short_and_one_class_tokens_of_a_learned_format_are_found(spark, letters
     got = {r.id: r.spans for r in secret_scan.scan(docs.where("doc_id >= 1000"), formats).collect()}
     assert got.pop(2000) == []
     assert sum(v == [f"like_assign:4:{4 + size}"] for v in got.values()) >= 80
+
+
+def test_exact_vectors_are_read_of_few_rows(spark, monkeypatch):
+    """Of 4000 rows by 40 queries, under one in ten can be among the best; the answer is that of all products."""
+    from tessera.llm import vafile
+
+    rng = np.random.default_rng(13)
+    v = (rng.standard_normal((4000, 16)) * 0.3).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    sizes, real = [], vafile.cut
+
+    def counted(frame, *args, **kwargs):
+        out = real(frame, *args, **kwargs)
+        sizes.append((frame.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(vafile, "cut", counted)
+    got = {(r.query, r["rank"]): (r.id, r.score) for r in vafile.search(df, df.where("vec_id % 100 = 0")).collect()}
+    whole = np.floor(v.astype(np.float64) * 256)
+    for q in range(0, 4000, 100):
+        scores = whole @ whole[q]
+        best = sorted((-s, i) for i, s in enumerate(scores.tolist()) if i != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+    assert next(n for c, n in sizes if "most" in c) < 16_000
+    assert next(n for c, n in sizes if c == ["q", "id", "score"]) <= 40 * 12
+    with pytest.raises(ValueError, match="53 bits"):
+        vafile.search(spark.createDataFrame([(1, [1e12, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>"), df.limit(0).select("vec_id", "embedding").union(spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<float>")))
+
+
+def test_a_long_conversation(spark):
+    """20,000 turns in one conversation; the mask's texts come back."""
+    from tessera.llm import chat
+
+    df = spark.range(20_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 3 = 0, 'user', 'assistant') AS role", "concat('<turn ', id, repeat(' é', id % 7)) AS text").repartition(4)
+    out = chat.format_chats(df).select("formatted", "loss", chat.read_chats(F.col("formatted")).alias("turns"), chat.masked_texts(F.col("formatted"), F.col("loss")).alias("masked")).first()
+    text = lambda i: f"<turn {i}{' é' * (i % 7)}"
+    assert [t.text for t in out.turns] == [text(i) for i in range(20_000)]
+    assert out.masked == [text(i) for i in range(20_000) if i % 3]
+    assert [s.start for s in out.loss] == sorted(s.start for s in out.loss)
