@@ -5,16 +5,20 @@ Fingerprints here are longer, cut into segments of 23 bits, and each bit comes w
 vote for it was from even), since the bits that differ are mostly those of small weight. A segment is decoded to the two
 nearest of the 4096 Golay codewords by weighted distance. Pairs of segments make tables; a text has a key for each
 combination of its segments' codewords in a table. By the pigeonhole of many tables two texts of similarity 0.8 share a
-key with probability 0.99, and likelier ones more often. Candidates whose first 128 bits differ in more than 34 are left
-out (at 0.8 that happens to two pairs in 10,000, unrelated texts differ in 64), the others are verified on whole sets.
-Within a key texts first meet its smallest and largest; then, twice, what is outside a key's largest component meets one
-text of that component; and what is outside still meets all the key's texts.
+key with probability 0.99, and likelier ones more often. Of two texts that are alone under a key the first 64 bits, and
+of all candidates the whole fingerprints, may not differ by more than 3.5 standard deviations over what they do at 0.8
+(two pairs in 10,000 do, unrelated texts differ in half the bits); the others are verified on whole sets. Within a key
+texts first meet its smallest and largest; then, twice, what is outside a key's largest component meets one text of that
+component; and what is outside still meets all the key's texts. The last step is what texts of similarity 0.67 to 0.8 to
+many others cost: nothing but comparing them tells that they are no near-duplicates.
 """
 
 from __future__ import annotations
 
+import math
+import operator
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import product
 
 import numpy as np
@@ -28,8 +32,10 @@ from .simhash import LANES, SEED, _mixed, syndromes
 
 WIDTH = 23  # bits of a segment
 NEAREST = 2  # codewords of a segment
-MOST_BITS = 34  # of 128 that may differ
+LANES_KEPT = 9  # of 64 bits each, of the fingerprint that candidates are compared by
+SIGNS = [f"s{i}" for i in range(LANES_KEPT)]
 TURNS = 2
+SENT = 500_000  # names of 16 bytes that may be broadcast
 BLOCK = 1 << 12
 NO_ID = -(1 << 63)
 
@@ -76,6 +82,11 @@ def weights(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (2 * counts - len(hashes)).reshape(-1)
 
 
+def most_bits(n: int) -> int:
+    """How many of n bits may differ: 3.5 standard deviations over the mean at similarity 0.8, where a bit's chance is 0.1515."""
+    return math.floor(0.1515 * n + 3.5 * math.sqrt(n * 0.1515 * 0.8485))
+
+
 @lru_cache(1)
 def _half_of_the_code() -> np.ndarray:
     """Codewords that have the top bit of their message clear, as signs in columns; the others are their complements."""
@@ -115,10 +126,10 @@ def _with_keys(batches: Iterator[pa.RecordBatch], shingle: int, per_key: int, ta
             part = batch.slice(at, 256)
             sets = [shingles(x.as_py(), shingle) for x in part.column(1)]
             votes = np.stack([weights(s, bits) for s in sets])
-            signs = np.packbits(votes[:, :128] > 0, axis=1).view(np.int64)
+            signs = np.packbits(votes[:, : 64 * LANES_KEPT] > 0, axis=1).view(np.int64)
             keys = keys_of(votes, per_key, tables)
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name_of(s) for s in sets], pa.int64()), *map(pa.array, signs.T), lists], ["id", "fp", "s1", "s2", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name_of(s) for s in sets], pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in signs.T), lists], ["id", "fp", *SIGNS, "keys"])
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -141,8 +152,10 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").where(hopeful).where(100 * both >= percent * (sizes - both)).select("u", "v")
 
 
-def _near(a1: str, a2: str, b1: str, b2: str):
-    return F.bit_count(F.col(a1).bitwiseXOR(F.col(b1))) + F.bit_count(F.col(a2).bitwiseXOR(F.col(b2))) <= MOST_BITS
+def _near(other: str):
+    """The signs of a row and those whose names have `other` put in front."""
+    apart = [F.bit_count(F.col(x).bitwiseXOR(F.col(other + x))) for x in SIGNS]
+    return reduce(operator.add, apart) <= most_bits(64 * LANES_KEPT)
 
 
 def _pair(u: str, v: str) -> list:
@@ -150,41 +163,44 @@ def _pair(u: str, v: str) -> list:
 
 
 def link_sets(named: DataFrame, sets_of, percent: int, n: int) -> DataFrame:
-    """(fp, s1, s2, keys) -> (node, root) of all sets with another of that similarity, directly or through others.
+    """(fp, signs, keys) -> (node, root) of all sets with another of that similarity, directly or through others.
 
     sets_of gives the (fp, hashes) of those (fp) it is asked for.
     """
-    signs = named.select("fp", "s1", "s2")
-    rows = named.select("fp", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
-    met = rows.join(dealt_anew(shared, "key"), "key").join(signs, "fp").select("key", "fp", "s1", "s2", "low", "high")
-    met = cut(met, 4 * n, dealt=True)
+    signs = named.select("fp", *SIGNS)
+    theirs = lambda name: signs.select(F.col("fp").alias(name), *(F.col(x).alias("o" + x) for x in SIGNS))
+    rows = named.select("fp", SIGNS[0], F.explode("keys").alias("key"))
+    apart = F.bit_count(F.bit_xor(SIGNS[0]))  # of the two, where a key has two
+    shared = rows.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count(F.lit(1)).alias("n"), apart.alias("apart"))
+    shared = shared.where((F.col("low") != F.col("high")) & ((F.col("n") > 2) | (F.col("apart") <= most_bits(64)))).select("key", "low", "high")
+    met = cut(rows.select("key", "fp").join(dealt_anew(shared, "key"), "key"), 4 * n, dealt=True)
     n_met = met.count()
-    ends = met.select("fp", "s1", "s2", F.explode(F.array("low", "high")).alias("end")).where("fp <> end").distinct()
-    ends = ends.join(signs.select(F.col("fp").alias("end"), F.col("s1").alias("e1"), F.col("s2").alias("e2")), "end")
-    asked = cut(ends.where(_near("s1", "s2", "e1", "e2")).select(*_pair("fp", "end")).distinct(), n_met)
+    ends = met.select("fp", F.explode(F.array("low", "high")).alias("end")).where("fp <> end").distinct()
+    ends = ends.join(signs, "fp").join(theirs("end"), "end")
+    asked = cut(ends.where(_near("o")).select(*_pair("fp", "end")).distinct(), n_met)
     sets = cut(sets_of(asked.select(F.explode(F.array("u", "v")).alias("fp")).distinct()), n_met)
     links = cut(alike(asked, sets, percent), n_met)
-    keyed = met.select("key", "fp", "s1", "s2")
+    keyed = met.select("key", "fp")
     for turn in range(TURNS + 1):
         roots = cut(connected_components(links, n_met), n_met)
-        rows = keyed.join(dealt_anew(roots, "node"), F.col("fp") == F.col("node"), "left").select("key", "fp", "s1", "s2", F.coalesce("root", "fp").alias("root"))
+        rows = keyed.join(dealt_anew(roots, "node"), F.col("fp") == F.col("node"), "left").select(*keyed.columns, F.coalesce("root", "fp").alias("root"))
         # What is outside the largest component of each key with several.
         counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
         main = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", F.col("top.root").alias("main"))
-        keyed = cut(rows.join(dealt_anew(main, "key"), "key"), n_met)
-        odd = keyed.where("root <> main").select(F.col("key").alias("k"), F.col("fp").alias("u"), F.col("root").alias("ru"), F.col("s1").alias("u1"), F.col("s2").alias("u2"))
+        keyed = rows.join(dealt_anew(main, "key"), "key")
+        keyed = cut(keyed if turn else keyed.join(signs, "fp"), n_met)
+        odd = keyed.where("root <> main").select(F.col("key").alias("k"), F.col("fp").alias("u"), F.col("root").alias("ru"), *(F.col(x).alias("o" + x) for x in SIGNS))
         others = keyed
         if turn < TURNS:
-            one = keyed.where("root = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), "fp", "s1", "s2", "root")).alias("x"))
+            one = keyed.where("root = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), "fp", "root", *SIGNS)).alias("x"))
             others = dealt_anew(one.select("key", "x.*"), "key")
-        pairs = others.join(odd, (F.col("key") == F.col("k")) & (F.col("root") != F.col("ru")) & _near("s1", "s2", "u1", "u2")).select(*_pair("fp", "u")).distinct()
+        pairs = others.join(odd, (F.col("key") == F.col("k")) & (F.col("root") != F.col("ru")) & _near("o")).select(*_pair("fp", "u")).distinct()
         pairs = cut(pairs.join(asked, ["u", "v"], "left_anti"), n_met)
         asked = asked.unionByName(pairs)
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(sets, "fp", "left_anti")
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(sets.select("fp"), "fp", "left_anti")
         sets = sets.unionByName(cut(sets_of(wanted), n_met))
         links = links.unionByName(cut(alike(pairs, sets, percent), n_met))
-        keyed = keyed.select("key", "fp", "s1", "s2")
+        keyed = keyed.select("key", "fp", *SIGNS)
     return connected_components(links, n_met)
 
 
@@ -199,13 +215,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     n = docs.count()
     per_key, tables = tables_for(n)
     key, text = F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary")
-    found = docs.select(key.alias("id"), text.alias("text")).mapInArrow(lambda x: _with_keys(x, shingle, per_key, tables), "id long, fp long, s1 long, s2 long, keys array<long>")
+    found = docs.select(key.alias("id"), text.alias("text")).mapInArrow(lambda x: _with_keys(x, shingle, per_key, tables), f"id long, fp long, {', '.join(f'{x} long' for x in SIGNS)}, keys array<long>")
     found = cut(found)
     # Equal sets have equal keys. A null id is the least, so that it only stands for a set if nothing else does.
-    named = cut(found.groupBy("fp").agg(F.min("id").alias("first"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.min("keys").alias("keys")), n)
+    named = cut(found.groupBy("fp").agg(F.min("id").alias("first"), *(F.min(x).alias(x) for x in SIGNS), F.min("keys").alias("keys")), n)
 
     def sets_of(asked: DataFrame) -> DataFrame:
-        reps = named.join(asked, "fp", "left_semi").select(F.col("fp"), F.coalesce("first", F.lit(NO_ID)).alias("first"))
+        reps = cut(named.join(asked, "fp", "left_semi").select(F.col("fp"), F.coalesce("first", F.lit(NO_ID)).alias("first")), n)
+        reps = F.broadcast(reps) if reps.count() <= SENT else reps
         texts = docs.select(F.coalesce(key, F.lit(NO_ID)).alias("id"), text.alias("text"))
         wanted = texts.join(reps, F.col("id") == F.col("first")).select("fp", "text")
         return wanted.mapInArrow(lambda x: _with_sets(x, shingle), "fp long, hashes array<long>").dropDuplicates(["fp"])
@@ -218,7 +235,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     ids = docs.where(F.col(id_col).isNotNull())
     once = ids.join(kept.where("__tessera_alone").select("__tessera_id"), key == F.col("__tessera_id"), "left_semi")
     # Ids of several rows: the texts tell which of them are the one that stays.
-    repeated = ids.join(kept.where("NOT __tessera_alone").select("__tessera_id", "__tessera_kept"), key == F.col("__tessera_id"))
+    repeated = cut(ids.join(kept.where("NOT __tessera_alone").select("__tessera_id", "__tessera_kept"), key == F.col("__tessera_id")))
 
     @F.arrow_udf("long")
     def name(texts: pa.Array) -> pa.Array:

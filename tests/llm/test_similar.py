@@ -67,8 +67,9 @@ def test_keys_meet_at_the_least_similarity():
         votes = np.stack([similar.weights(x, bits) for x in pairs])
         keys = similar.keys_of(votes, per_key, tables)
         assert sum(bool(set(a) & set(b)) for a, b in zip(keys[::2].tolist(), keys[1::2].tolist(), strict=True)) >= 975
-        apart = (votes[::2, :128] > 0) != (votes[1::2, :128] > 0)
-        assert (apart.sum(axis=1) > similar.MOST_BITS).sum() <= 3
+        for n in (64, 64 * similar.LANES_KEPT):
+            apart = (votes[::2, :n] > 0) != (votes[1::2, :n] > 0)
+            assert (apart.sum(axis=1) > similar.most_bits(n)).sum() <= 3
 
 
 def test_weights_count_bits():
