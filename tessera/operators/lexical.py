@@ -16,32 +16,37 @@ def top_per(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def contains_all(text: Column, tokens: Column) -> Column:
-    return (F.size(tokens) > 0) & F.forall(tokens, lambda t: F.contains(F.lower(text), t))
+def lowered(chunks: DataFrame) -> DataFrame:
+    """Adds `_lower`, the content in lower case: worked out once for a chunk and not for each query and token."""
+    return chunks.withColumn("_lower", F.lower("content"))
 
 
-def contains_some(text: Column, tokens: Column) -> Column:
-    return F.exists(tokens, lambda t: F.contains(F.lower(text), t))
+def contains_all(lower: Column, tokens: Column) -> Column:
+    return (F.size(tokens) > 0) & F.forall(tokens, lambda t: F.contains(lower, t))
+
+
+def contains_some(lower: Column, tokens: Column) -> Column:
+    return F.exists(tokens, lambda t: F.contains(lower, t))
 
 
 def like_all(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, id, score): chunks that hold all of a query's tokens, the longest first."""
     asked = queries.select("query_id", T.query_tokens(F.col("query")).alias("tokens"))
-    hits = chunks.join(F.broadcast(asked), contains_all(F.col("content"), F.col("tokens")))
+    hits = lowered(chunks).join(F.broadcast(asked), contains_all(F.col("_lower"), F.col("tokens")))
     return top_per(hits, ["query_id"], k, F.desc(F.length("content")), F.col("id")).select("query_id", "rank", "id", F.lit(1.0).alias("score"))
 
 
 def like_some(chunks: DataFrame, queries: DataFrame, terms: Column, k: int) -> DataFrame:
     """(query_id, rank, id): chunks that hold one of a query's terms, in their order; a query without hits gets the first chunks."""
     asked = queries.select("query_id", terms.alias("terms"))
-    hits = top_per(chunks.join(F.broadcast(asked), contains_some(F.col("content"), F.col("terms"))), ["query_id"], k, F.col("ord"), F.col("id"))
+    hits = top_per(lowered(chunks).join(F.broadcast(asked), contains_some(F.col("_lower"), F.col("terms"))), ["query_id"], k, F.col("ord"), F.col("id"))
     missed = asked.join(hits.select("query_id").distinct(), "query_id", "left_anti")
     first = chunks.orderBy("ord", "id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy("ord", "id")))
     return hits.select("query_id", "rank", "id").unionByName(missed.crossJoin(F.broadcast(first)).select("query_id", "rank", "id"))
 
 
 def phrase_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    hits = chunks.join(F.broadcast(queries), F.contains(F.lower(F.col("content")), F.lower("query")))
+    hits = lowered(chunks).join(F.broadcast(queries.withColumn("query", F.lower("query"))), F.contains(F.col("_lower"), F.col("query")))
     return top_per(hits, ["query_id"], k, F.col("id")).select("query_id", "rank", "id", F.lit(1.0).alias("score"))
 
 
@@ -75,11 +80,10 @@ def full_text(chunks: DataFrame, queries: DataFrame, k: int, all_and: bool = Fal
     )
     level = F.when((F.size("strict") > 0) & (F.col("n_strict") == F.size("strict")), 1).when((F.size("two") == 2) & (F.col("n_two") == 2), 2).otherwise(3)
     leveled = hits.withColumn("level", level).withColumn("score", F.round(F.col("s") / (1 + F.log("len")), 6))
-    # A chunk of a stricter level also satisfies the laxer ones.
-    best = leveled.groupBy("query_id").agg(F.min("level").alias("best"))
-    kept = leveled.join(F.broadcast(best), "query_id").where(F.col("level") <= F.col("best"))
-    kept = kept.where(F.col("best") == 1) if all_and else kept
-    return top_per(kept, ["query_id"], k, F.desc("score"), F.col("id")).select("query_id", F.col("best").alias("level"), "rank", "id", "score")
+    # A query's strictest level comes first in its top k, of which only that level stays.
+    top = top_per(leveled.where("level = 1") if all_and else leveled, ["query_id"], k, F.col("level"), F.desc("score"), F.col("id"))
+    best = F.min("level").over(Window.partitionBy("query_id"))
+    return top.withColumn("best", best).where("level = best").select("query_id", "level", "rank", "id", "score")
 
 
 def partial_phrase(query: Column, content: Column) -> Column:
@@ -138,7 +142,7 @@ def pattern_cascade(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     pairs = chunks.join(F.broadcast(queries.withColumn("keys", T.search_terms(F.col("query")))), F.lit(True))
     asks = F.lower("query").rlike(r"\d+\s*motivos?|lista|razões?|pontos?")
     numbered = asks & (F.contains(low, F.lit("motivos")) | F.contains(low, F.lit("1.")) | F.contains(low, F.lit("2.")) | F.contains(low, F.lit("3.")))
-    level = F.when(numbered, 1).when(contains_all(F.col("content"), F.col("keys")), 2).when(F.contains(low, F.lower("query")), 3)
+    level = F.when(numbered, 1).when(contains_all(low, F.col("keys")), 2).when(F.contains(low, F.lower("query")), 3)
     found = pairs.withColumn("level", level).where("level IS NOT NULL")
     first = found.groupBy("query_id").agg(F.min("level").alias("best"))
     kept = found.join(F.broadcast(first), "query_id").where("level = best")

@@ -142,14 +142,17 @@ def sections(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> D
     return joined.select("document_id", F.coalesce("number", F.lit(1)).alias("number"), F.coalesce("level", F.lit(1)).alias("level"), F.coalesce("title", F.lit("Document Content")).alias("title"), section_type(F.coalesce("title", F.lit(""))).alias("type"), "start", "stop", F.size(T.words(body)).alias("words"))
 
 
+DEEPEST = 24
+
+
 def parents(rows: DataFrame) -> DataFrame:
     """Adds `parent`, the number of the last earlier section of a smaller level (null at the top).
 
-    One window for each level below the deepest one seen: the last number at that level before the row, of which the
-    latest is the parent.
+    One running maximum for each level: the last number at that level before the row; the latest of those of smaller
+    levels is the parent. Sections DEEPEST levels deep and deeper have parents above that level.
     """
     order = Window.partitionBy("document_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    seen = [F.when(F.col("level") > k, F.max(F.when(F.col("level") == k, F.col("number"))).over(order)) for k in range(1, 8)]
+    seen = [F.when(F.col("level") > k, F.max(F.when(F.col("level") == k, F.col("number"))).over(order)) for k in range(1, DEEPEST)]
     return rows.withColumn("parent", F.greatest(*seen))
 
 

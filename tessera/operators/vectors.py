@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .lexical import top_per
 
 DIM = 768
+CELLS = 100
 
 
 def local_embedding(text: Column, dim: int = DIM) -> Column:
@@ -88,6 +89,9 @@ def embed_misses(texts: DataFrame, cache: DataFrame, embed) -> DataFrame:
 
 
 def cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """vectors with the number of the nearest of a few (cell, centroid) rows: the partitions of an approximate index."""
+    """vectors with the number of the nearest of CELLS (cell, centroid) rows: the partitions of an approximate index.
+
+    The number of cells is fixed, so that what is broadcast does not grow with the vectors.
+    """
     near = vectors.where("embedding IS NOT NULL").join(F.broadcast(centroids), F.lit(True)).withColumn("s", F.round(cosine(F.col("embedding"), F.col("centroid")), 6))
     return near.groupBy("document_id").agg(F.max_by("cell", F.struct("s", -F.col("cell"))).alias("cell"))

@@ -53,26 +53,26 @@ register("F06_extractive_summary", lambda t: A.combined(t.chunks, ["document_id"
 
 
 def numbered():
-    return F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((i % 7 + 1).cast("string"), F.lit(") "), F.substring(x, 1, 60))), "\n")
+    return F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((i % 7 + 1).cast("string"), F.lit(") "), x)), "\n")
 
 
 LINES = "SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)"
-register("F07_numbered_lines", lambda t: A.numbered_lines(t.load("documents").withColumn("text", numbered()), "doc_id", "text"), rf"WITH l AS (SELECT doc_id, pos, (pos % 7 + 1)::INT AS number, {of(TRIM, 'substring(line, 1, 60)')} AS v FROM ({LINES})), m AS (SELECT doc_id, number, trim(regexp_replace(arg_max(v, pos), '\s+', ' ', 'g'), ' -–—') AS item FROM l WHERE v <> '' GROUP BY 1, 2) SELECT * FROM m WHERE item <> ''")
+register("F07_numbered_lines", lambda t: A.numbered_lines(t.load("documents").withColumn("text", numbered()), "doc_id", "text"), rf"WITH l AS (SELECT doc_id, pos, (pos % 7 + 1)::INT AS number, {of(TRIM, 'line')} AS v FROM ({LINES})), m AS (SELECT doc_id, number, trim(regexp_replace(arg_max(v, pos), '\s+', ' ', 'g'), ' -–—') AS item FROM l WHERE v <> '' GROUP BY 1, 2) SELECT * FROM m WHERE item <> ''")
 
 
 def inline(t):
     items = F.udf(A.numbered_items, "array<struct<number:int,item:string>>", useArrow=True)
-    return t.chunks.where("document_id < 200").select("id", F.explode(items("content")).alias("i")).select("id", "i.*")
+    return t.chunks.select("id", F.explode(items("content")).alias("i")).select("id", "i.*")
 
 
 register("F07b_inline_numbers", inline)
 
 
 def pairs():
-    return F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("Key "), (i % 5).cast("string"), F.lit(": "), F.substring(x, 1, 40))), "\n")
+    return F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("Key "), (i % 5).cast("string"), F.lit(": "), x)), "\n")
 
 
-KV = rf"SELECT doc_id, 'Key ' || pos % 5 AS name, arg_max({of(TRIM, 'substring(line, 1, 40)')}, pos) AS value, max(pos)::INT AS pos FROM ({LINES}) WHERE {of(TRIM, 'substring(line, 1, 40)')} <> '' GROUP BY 1, 2"
+KV = rf"SELECT doc_id, 'Key ' || pos % 5 AS name, arg_max({of(TRIM, 'line')}, pos) AS value, max(pos)::INT AS pos FROM ({LINES}) WHERE {of(TRIM, 'line')} <> '' GROUP BY 1, 2"
 register("F08_key_values", lambda t: A.key_values(t.load("documents").withColumn("text", pairs()), "doc_id", "text"), KV)
 
 
@@ -87,7 +87,7 @@ register("F11_list_cut", lambda t: t.load("documents").select("doc_id", *(F.size
 
 def rendered(t):
     items = F.slice(F.split("text", "\n"), 1, 6)
-    table = F.transform(F.slice(F.split("text", "\n"), 1, 4), lambda x, i: F.struct(F.concat(F.lit("k|"), i.cast("string")).alias("name"), F.substring(x, 1, 20).alias("value")))
+    table = F.transform(F.slice(F.split("text", "\n"), 1, 4), lambda x, i: F.struct(F.concat(F.lit("k|"), i.cast("string")).alias("name"), x.alias("value")))
     return t.load("documents").select("doc_id", *(F.md5(A.rendered_list(items, f)).alias(f"list_{f}") for f in ("html", "plain")), *(F.md5(A.rendered_table(table, f)).alias(f"table_{f}") for f in ("html", "markdown", "plain")), F.md5(A.rendered_text(F.col("text"), "html")).alias("text_html"))
 
 
@@ -95,13 +95,13 @@ ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'),
 NL = "chr(10)"
 register(
     "F12_rendering", rendered,
-    f"WITH d AS (SELECT doc_id, text, string_split(text, {NL})[1:6] AS i, list_transform(string_split(text, {NL})[1:4], lambda x: substring(x, 1, 20)) AS v FROM documents) SELECT doc_id, md5('<ol>' || {NL} || array_to_string(list_transform(i, lambda x: '<li>' || {of(ESC, 'x')} || '</li>'), {NL}) || {NL} || '</ol>') AS list_html, md5(array_to_string(list_transform(i, lambda x, n: n || '. ' || x), {NL})) AS list_plain, "
+    f"WITH d AS (SELECT doc_id, text, string_split(text, {NL})[1:6] AS i, string_split(text, {NL})[1:4] AS v FROM documents) SELECT doc_id, md5('<ol>' || {NL} || array_to_string(list_transform(i, lambda x: '<li>' || {of(ESC, 'x')} || '</li>'), {NL}) || {NL} || '</ol>') AS list_html, md5(array_to_string(list_transform(i, lambda x, n: n || '. ' || x), {NL})) AS list_plain, "
     f"md5('<table>' || {NL} || array_to_string(list_transform(v, lambda x, n: '<tr><th>k|' || (n - 1) || '</th><td>' || {of(ESC, 'x')} || '</td></tr>'), {NL}) || {NL} || '</table>') AS table_html, md5('| Chave | Valor |' || {NL} || '|---|---|' || {NL} || array_to_string(list_transform(v, lambda x, n: '| k\\|' || (n - 1) || ' | ' || replace(x, '|', '\\|') || ' |'), {NL})) AS table_markdown, md5(array_to_string(list_transform(v, lambda x, n: 'k|' || (n - 1) || ': ' || x), {NL})) AS table_plain, "
     rf"md5(array_to_string(list_transform(list_filter(string_split({of(TRIM, 'text')}, {NL}), lambda x: x <> ''), lambda x: '<p>' || {of(ESC, 'x')} || '</p>'), {NL})) AS text_html FROM d",
 )
 register("F13_window_citations", lambda t: window(t, "list").withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("ord"))).where("n <= 3").select("query_id", "document_id", "ord"), f"SELECT query_id, document_id, ord FROM (SELECT query_id, c.document_id, ord, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS n FROM chunks c JOIN ({BEST}) b ON c.document_id = b.document_id AND c.ord BETWEEN b.best - 2 AND b.best + 40) WHERE n <= 3")
 register("F14_guards", lambda t: t.load("documents").select("doc_id", F.size(F.split("text", "\n")).alias("n")).select("doc_id", F.when(F.col("n") < 3, "summary").otherwise("list").alias("list_mode"), F.when(F.col("n") < 2, "direct").otherwise("table").alias("table_mode")), "SELECT doc_id, CASE WHEN n < 3 THEN 'summary' ELSE 'list' END AS list_mode, CASE WHEN n < 2 THEN 'direct' ELSE 'table' END AS table_mode FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents)")
-bulleted = lambda t: t.load("documents").where("doc_id < 300").select(F.col("doc_id").alias("document_id"), F.posexplode(A.loose_sentences(F.col("text"))).alias("ord", "text"))
+bulleted = lambda t: t.load("documents").select(F.col("doc_id").alias("document_id"), F.posexplode(A.loose_sentences(F.col("text"))).alias("ord", "text"))
 register("F15_bullet_candidates", lambda t: A.bullet_candidates(bulleted(t)).select("document_id", "ord", F.md5("text").alias("digest"), "score"))
 STOP = ", ".join(f"'{w}'" for w in sorted(A.BULLET_STOP))
 TOK = rf"list_filter(regexp_split_to_array(regexp_replace(lower(content), '[^\p{{L}}\p{{N}}\s]+', ' ', 'g'), '\s+'), lambda w: w <> '' AND w NOT IN ({STOP}))"

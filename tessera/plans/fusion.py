@@ -80,7 +80,7 @@ QW = r"list_distinct(regexp_extract_all(lower(query), '[a-z''-]+'))"
 LEX = rf"coalesce(len(list_intersect({QW}, regexp_extract_all(lower(content), '[a-z''-]+')))::DOUBLE / nullif(len({QW}), 0), 0)"
 PEN = "SELECT a.query_id, a.id, round(coalesce(sum(list_cosine_similarity(a.embedding, b.embedding) * 0.1::DOUBLE * (1 - (b.rank - 1) / a.n::DOUBLE)), 0), 6) AS penalty FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM c) a LEFT JOIN c b ON a.query_id = b.query_id AND b.rank < a.rank GROUP BY 1, 2"
 register("E10_hybrid_rerank", lambda t: E.hybrid_rerank(candidates(t), as_of_()), f"WITH c AS ({CAND}), p AS ({PEN}), s AS (SELECT query_id, id, round(similarity * 0.5 + {LEX} * 0.3 + exp(-{DAYS} / 30) * 0.1 - penalty, 6) AS score FROM c JOIN p USING (query_id, id)) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, score FROM s")
-register("E11_lexical_share", lambda t: t.chunks.where("document_id < 100").join(F.broadcast(texts(t)), F.lit(True)).select("query_id", "id", F.round(E.lexical_share(F.col("query"), F.col("content")), 6).alias("score")), f"SELECT query_id, id, round({LEX}, 6) AS score FROM chunks, {WVALUES} WHERE document_id < 100")
+register("E11_lexical_share", lambda t: t.chunks.join(F.broadcast(texts(t)), F.lit(True)).select("query_id", "id", F.round(E.lexical_share(F.col("query"), F.col("content")), 6).alias("score")), f"SELECT query_id, id, round({LEX}, 6) AS score FROM chunks, {WVALUES}")
 register("E12_recency", lambda t: t.docs.select("id", F.round(E.recency(F.col("created_at"), as_of_()), 9).alias("score")), f"SELECT id, round(exp(-{DAYS} / 30), 9) AS score FROM docs")
 register("E13_diversity_penalty", lambda t: E.diversity_penalty(candidates(t)), f"WITH c AS ({CAND}) {PEN}")
 register("E14_marginal_relevance", lambda t: E.mmr(candidates(t)))
@@ -97,7 +97,7 @@ def say():
 
 
 register("E19_generation_confidence", lambda t: answers(t).select("query_id", E.generation_confidence(F.col("s"), say(), F.lit(2), F.col("n")).alias("confidence")), f"SELECT query_id, round(s * 0.4 + least(1.0::DOUBLE, strlen(a) / 500::DOUBLE) * 0.2 + least(1.0::DOUBLE, 2 / greatest(1, n)::DOUBLE) * 0.3 + 0.9::DOUBLE * 0.1, 3) AS confidence FROM (SELECT *, 'I''m not sure. ' || substring(answer, 1, 80) || ' [1] and [Source 2], [9]' AS a FROM ({ANS}))")
-register("E20_citations", lambda t: E.citations(t.queries.select(F.col("query_id").alias("answer_id"), F.concat(F.lit("[1] and [Source 2], [9] or [1] "), F.substring("query", 1, 9)).alias("answer")), t.chunks.where("document_id < 10 AND ord < 3").select(F.col("document_id").alias("answer_id"), (F.col("ord") + 1).alias("ordinal"), "id")), "SELECT answer_id, pos, c.id FROM (SELECT query_id AS answer_id, unnest([0, 1, 2, 3]) AS pos, unnest([1, 2, 9, 1]) AS ordinal FROM search_queries) a JOIN chunks c ON c.document_id = a.answer_id AND c.ord + 1 = a.ordinal AND c.ord < 3")
+register("E20_citations", lambda t: E.citations(t.queries.select(F.col("query_id").alias("answer_id"), F.concat(F.lit("[1] and [Source 2], [9] or [1] "), F.substring("query", 1, 9)).alias("answer")), t.chunks.select(F.col("document_id").alias("answer_id"), (F.col("ord") + 1).alias("ordinal"), "id")), "SELECT answer_id, pos, c.id FROM (SELECT query_id AS answer_id, unnest([0, 1, 2, 3]) AS pos, unnest([1, 2, 9, 1]) AS ordinal FROM search_queries) a JOIN chunks c ON c.document_id = a.answer_id AND c.ord + 1 = a.ordinal")
 register("E21_context_budget", lambda t: E.budgeted(candidates(t), 1000).select("query_id", "id", "used"), f"SELECT query_id, id, used::BIGINT AS used FROM (SELECT *, row_number() OVER w AS n, sum(strlen(content) // 4) OVER w AS used FROM ({CAND}) WINDOW w AS (PARTITION BY query_id ORDER BY similarity DESC, id ROWS UNBOUNDED PRECEDING)) WHERE n <= 10 AND used <= 1000")
 register("E22_prompt_context", lambda t: E.prompt_context(candidates(t)).select("query_id", F.md5("context").alias("digest")), f"SELECT query_id, md5(string_agg('[Source ' || rank || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY rank)) AS digest FROM ({CAND}) GROUP BY 1")
 
@@ -105,7 +105,7 @@ register("E22_prompt_context", lambda t: E.prompt_context(candidates(t)).select(
 def bullets(t):
     from tessera.operators import answering as A
 
-    return A.summary_bullets(t.load("documents").where("doc_id < 300").select(F.col("doc_id").alias("document_id"), F.posexplode(A.loose_sentences(F.col("text"))).alias("ord", "text")))
+    return A.summary_bullets(t.load("documents").select(F.col("doc_id").alias("document_id"), F.posexplode(A.loose_sentences(F.col("text"))).alias("ord", "text")))
 
 
 register("E23_bullet_selection", bullets)

@@ -37,10 +37,10 @@ register("A04_html_text", lambda t: S.parsed(pages(t), "page_id", "html", S.html
 
 
 def xml_of():
-    return F.concat(F.lit("<doc><id>"), F.col("doc_id"), F.lit("</id><body><p>"), F.regexp_replace(F.substring("text", 1, 200), "[<>&]", ""), F.lit("</p><empty/></body></doc>"))
+    return F.concat(F.lit("<doc><id>"), F.col("doc_id"), F.lit("</id><body><p>"), F.regexp_replace("text", "[<>&]", ""), F.lit("</p><empty/></body></doc>"))
 
 
-register("A05_xml_text", lambda t: S.parsed(t.load("documents").withColumn("xml", xml_of()), "doc_id", "xml", S.xml_text, "string").select(F.col("id").alias("doc_id"), F.md5("value").alias("digest")), r"SELECT doc_id, md5('=== doc ===' || chr(10) || '  id: ' || doc_id || CASE WHEN p <> '' THEN chr(10) || '  === body ===' || chr(10) || '    p: ' || p ELSE '' END) AS digest FROM (SELECT doc_id, regexp_replace(regexp_replace(substring(text, 1, 200), '[<>&]', '', 'g'), '^\s+|\s+$', '', 'g') AS p FROM documents)")
+register("A05_xml_text", lambda t: S.parsed(t.load("documents").withColumn("xml", xml_of()), "doc_id", "xml", S.xml_text, "string").select(F.col("id").alias("doc_id"), F.md5("value").alias("digest")), r"SELECT doc_id, md5('=== doc ===' || chr(10) || '  id: ' || doc_id || CASE WHEN p <> '' THEN chr(10) || '  === body ===' || chr(10) || '    p: ' || p ELSE '' END) AS digest FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[<>&]', '', 'g'), '^\s+|\s+$', '', 'g') AS p FROM documents)")
 
 
 def table_of():
@@ -69,7 +69,7 @@ register("A09_csv_text", lambda t: t.load("part").select("p_partkey", F.concat_w
 
 
 def rtf_of():
-    return F.concat(F.lit(r"{\rtf1\ansi\b bold\b0 caf\'e9 \{x\} "), F.regexp_replace(F.substring("text", 1, 100), r"[\\{}]", ""), F.lit("}"))
+    return F.concat(F.lit(r"{\rtf1\ansi\b bold\b0 caf\'e9 \{x\} "), F.regexp_replace("text", r"[\\{}]", ""), F.lit("}"))
 
 
 register("A11_rtf_text", lambda t: S.parsed(t.load("documents").withColumn("rtf", rtf_of()), "doc_id", "rtf", S.rtf_text, "string").select("id", F.md5("value").alias("digest")))

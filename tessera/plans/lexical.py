@@ -82,7 +82,7 @@ register("D04_search_terms", per_query(lambda: dict(terms=F.array_join(T.search_
 register("D05_search_keywords", per_query(lambda: dict(n=F.size(F.array_distinct(T.search_terms(query_()))))), f"SELECT query_id, len(list_distinct({of(TERMS)}))::INT AS n FROM {VALUES}")
 register("D06_full_text", lambda t: L.full_text(t.chunks, asked(t), 5), full_text_sql("SELECT id, content FROM chunks", 5))
 register("D07_keyword_branch", lambda t: L.full_text(t.chunks.join(t.docs.where("tenant_slug = 'src3'").select(F.col("id").alias("document_id")), "document_id", "left_semi"), asked(t), 50).withColumn("score", F.least("score", F.lit(1.0))), full_text_sql("SELECT c.id, c.content FROM chunks c JOIN docs d ON d.id = c.document_id WHERE d.tenant_slug = 'src3'", 50, cap=True))
-register("D08_cover_rank", lambda t: L.full_text(t.chunks.where("document_id < 50"), asked(t), 10), full_text_sql("SELECT id, content FROM chunks WHERE document_id < 50", 10))
+register("D08_cover_rank", lambda t: L.full_text(t.chunks, asked(t), 10), full_text_sql("SELECT id, content FROM chunks", 10))
 
 
 def clean_query():
@@ -94,13 +94,12 @@ register("D10_like_all", lambda t: L.like_all(t.chunks, asked(t), 5), f"WITH a A
 register("D11_like_some", lambda t: L.like_some(t.chunks, asked(t), F.slice(T.raw_tokens(query_()), 1, 12), 5), f"WITH a AS (SELECT query_id, {of(RAW)}[1:12] AS terms FROM {VALUES}), h AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY ord, id)::INT AS rank FROM chunks, a WHERE len(list_filter(terms, lambda t: contains(lower(content), t))) > 0), f AS (SELECT id, row_number() OVER (ORDER BY ord, id)::INT AS rank FROM chunks QUALIFY rank <= 5) SELECT query_id, rank, id FROM h WHERE rank <= 5 UNION ALL SELECT a.query_id, f.rank, f.id FROM a, f WHERE a.query_id NOT IN (SELECT query_id FROM h)")
 PHRASES = [(1, "the the"), (2, "of erst"), (3, "die die"), (4, "no such phrase here")]
 register("D12_phrase", lambda t: L.phrase_search(t.chunks, t.frame(PHRASES, "query_id int, query string"), 10), "SELECT query_id, rank, id, 1.0::DOUBLE AS score FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id)::INT AS rank FROM chunks, (VALUES " + ", ".join(map(str, PHRASES)) + ") q(query_id, query) WHERE contains(lower(content), query)) WHERE rank <= 10")
-small = lambda t: t.chunks.where("document_id < 40")
-register("D13_text_strategies", lambda t: L.advanced_search(small(t), asked(t).where("query <> ''"), 0.3, 10), strategies_sql("SELECT * FROM chunks WHERE document_id < 40", 0.3, 10))
-register("D14_word_score", lambda t: small(t).join(F.broadcast(asked(t)), F.lit(True)).select("query_id", "id", F.round(L.word_score(T.search_terms(query_()), F.lower("content"), F.col("content")), 6).alias("score")).where("score > 0"), f"SELECT * FROM (SELECT query_id, id, round({WORD}, 6) AS score FROM (SELECT query_id, id, content, lower(content) AS c, {of(TERMS)} AS terms FROM chunks, {VALUES} WHERE chunks.document_id < 40)) WHERE score > 0")
-register("D15_proximity", lambda t: small(t).join(F.broadcast(asked(t)), F.lit(True)).select("query_id", "id", F.round(L.proximity(T.search_terms(query_()), F.lower("content")), 6).alias("score")).where("score > 0"), f"WITH p AS (SELECT query_id, id, list_transform(list_filter(terms, lambda w: contains(lower(content), w)), lambda w: strlen(split_part(lower(content), w, 1))) AS s FROM chunks, (SELECT query_id, {of(TERMS)} AS terms FROM {VALUES}) WHERE document_id < 40), r AS (SELECT query_id, id, round(greatest(0.0::DOUBLE, 1 - list_sum(list_transform(range(1, len(s)), lambda i: abs(s[i + 1] - s[i])))::DOUBLE / (len(s) - 1) / 1000), 6) AS score FROM p WHERE len(s) >= 2) SELECT * FROM r WHERE score > 0")
-register("D16_numbered", lambda t: t.load("documents").where("doc_id < 100").select("doc_id", F.concat((F.col("doc_id") % 4).cast("string"), F.lit(". "), F.when(F.col("doc_id") % 3 == 0, F.lit("3 motivos ")).otherwise(F.lit("")), F.substring("text", 1, 50)).alias("c")).select("doc_id", L.numbered_score(F.lit("lista 3 motivos"), F.lower("c")).alias("score")), r"SELECT doc_id, CASE WHEN regexp_matches(c, '3\s*motivos?') THEN 0.95 WHEN regexp_matches(c, '(?m)^\s*3\.\s*') THEN 0.8 ELSE 0.0 END::DOUBLE AS score FROM (SELECT doc_id, lower((doc_id % 4) || '. ' || CASE WHEN doc_id % 3 = 0 THEN '3 motivos ' ELSE '' END || substring(text, 1, 50)) AS c FROM documents WHERE doc_id < 100)")
+register("D13_text_strategies", lambda t: L.advanced_search(t.chunks, asked(t).where("query <> ''"), 0.3, 10), strategies_sql("SELECT * FROM chunks", 0.3, 10))
+register("D14_word_score", lambda t: t.chunks.join(F.broadcast(asked(t)), F.lit(True)).select("query_id", "id", F.round(L.word_score(T.search_terms(query_()), F.lower("content"), F.col("content")), 6).alias("score")).where("score > 0"), f"SELECT * FROM (SELECT query_id, id, round({WORD}, 6) AS score FROM (SELECT query_id, id, content, lower(content) AS c, {of(TERMS)} AS terms FROM chunks, {VALUES})) WHERE score > 0")
+register("D15_proximity", lambda t: t.chunks.join(F.broadcast(asked(t)), F.lit(True)).select("query_id", "id", F.round(L.proximity(T.search_terms(query_()), F.lower("content")), 6).alias("score")).where("score > 0"), f"WITH p AS (SELECT query_id, id, list_transform(list_filter(terms, lambda w: contains(lower(content), w)), lambda w: strlen(split_part(lower(content), w, 1))) AS s FROM chunks, (SELECT query_id, {of(TERMS)} AS terms FROM {VALUES})), r AS (SELECT query_id, id, round(greatest(0.0::DOUBLE, 1 - list_sum(list_transform(range(1, len(s)), lambda i: abs(s[i + 1] - s[i])))::DOUBLE / (len(s) - 1) / 1000), 6) AS score FROM p WHERE len(s) >= 2) SELECT * FROM r WHERE score > 0")
+register("D16_numbered", lambda t: t.load("documents").select("doc_id", F.concat((F.col("doc_id") % 4).cast("string"), F.lit(". "), F.when(F.col("doc_id") % 3 == 0, F.lit("3 motivos ")).otherwise(F.lit("")), F.col("text")).alias("c")).select("doc_id", L.numbered_score(F.lit("lista 3 motivos"), F.lower("c")).alias("score")), r"SELECT doc_id, CASE WHEN regexp_matches(c, '3\s*motivos?') THEN 0.95 WHEN regexp_matches(c, '(?m)^\s*3\.\s*') THEN 0.8 ELSE 0.0 END::DOUBLE AS score FROM (SELECT doc_id, lower((doc_id % 4) || '. ' || CASE WHEN doc_id % 3 = 0 THEN '3 motivos ' ELSE '' END || text) AS c FROM documents)")
 register("D17_bypass_search", lambda t: L.advanced_search(t.embedded_chunks.where("embedding IS NULL").join(t.docs.where("source = 'bypass_upload' AND tenant_slug = 'src4'").select(F.col("id").alias("document_id")), "document_id", "left_semi"), asked(t).where("query <> ''"), 0.3, 10), strategies_sql("SELECT e.id, e.content FROM embedded_chunks e JOIN docs d ON d.id = e.document_id WHERE embedding IS NULL AND d.source = 'bypass_upload' AND d.tenant_slug = 'src4'", 0.3, 10))
-register("D18_pattern_cascade", lambda t: L.pattern_cascade(t.chunks.where("document_id = 16"), asked(t).where("query <> ''")), f"WITH p AS (SELECT query_id, id, ord, CASE WHEN regexp_matches(lower(query), '\\d+\\s*motivos?|lista|razões?|pontos?') AND (contains(lower(content), 'motivos') OR contains(lower(content), '1.') OR contains(lower(content), '2.') OR contains(lower(content), '3.')) THEN 1 WHEN len(k) > 0 AND len(list_filter(k, lambda w: NOT contains(lower(content), w))) = 0 THEN 2 WHEN contains(lower(content), lower(query)) THEN 3 END AS level FROM chunks, (SELECT *, {of(TERMS)} AS k FROM {VALUES} WHERE query <> '') q WHERE chunks.document_id = 16), b AS (SELECT *, min(level) OVER (PARTITION BY query_id) AS best FROM p WHERE level IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ord, id) AS rank FROM b WHERE level = best) SELECT query_id, id, ([0.9, 0.7, 0.5])[level]::DOUBLE AS score, (['numbered', 'keywords', 'phrase'])[level] AS method FROM r WHERE level = 1 OR (level = 2 AND rank <= 10) OR rank <= 5")
+register("D18_pattern_cascade", lambda t: L.pattern_cascade(t.chunks, asked(t).where("query <> ''")), f"WITH p AS (SELECT query_id, id, ord, CASE WHEN regexp_matches(lower(query), '\\d+\\s*motivos?|lista|razões?|pontos?') AND (contains(lower(content), 'motivos') OR contains(lower(content), '1.') OR contains(lower(content), '2.') OR contains(lower(content), '3.')) THEN 1 WHEN len(k) > 0 AND len(list_filter(k, lambda w: NOT contains(lower(content), w))) = 0 THEN 2 WHEN contains(lower(content), lower(query)) THEN 3 END AS level FROM chunks, (SELECT *, {of(TERMS)} AS k FROM {VALUES} WHERE query <> '') q), b AS (SELECT *, min(level) OVER (PARTITION BY query_id) AS best FROM p WHERE level IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ord, id) AS rank FROM b WHERE level = best) SELECT query_id, id, ([0.9, 0.7, 0.5])[level]::DOUBLE AS score, (['numbered', 'keywords', 'phrase'])[level] AS method FROM r WHERE level = 1 OR (level = 2 AND rank <= 10) OR rank <= 5")
 register("D19_expanded_terms", lambda t: L.expanded_terms(asked(t), t.chunks).select("query_id", F.size("terms").alias("n"), F.array_join(F.array_sort("terms"), "|").alias("terms")), f"WITH x AS (SELECT document_id, ord, {of(PLAIN, 'content')} AS w FROM chunks WHERE ord < 5), y AS (SELECT document_id, token, count(*) AS n, min((ord, i)) AS first FROM (SELECT document_id, ord, unnest(range(len(w))) AS i, unnest(w) AS token FROM x) GROUP BY 1, 2), z AS (SELECT document_id, list(token) AS top FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY n DESC, first) AS r FROM y) WHERE r <= 8 GROUP BY 1), q AS (SELECT query_id, document_id, {of(RAW)} AS t FROM {VALUES}), e AS (SELECT query_id, list_sort(list_distinct(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) || list_transform(list_filter(t, lambda w: length(w) >= 6), lambda w: substring(w, 1, 5)) || list_transform(t, lambda w: CASE WHEN suffix(w, 's') THEN substring(w, 1, length(w) - 1) ELSE w || 's' END) || coalesce(top, []))) AS v FROM q LEFT JOIN z USING (document_id)) SELECT query_id, len(v)::INT AS n, array_to_string(v, '|') AS terms FROM e")
 register("D20_synonyms", per_query(lambda: dict(expanded=Q.with_synonyms(query_()))), "SELECT query_id, CASE WHEN len(a) > 0 THEN query || ' ' || array_to_string(a[1:3], ' ') ELSE query END AS expanded FROM (SELECT *, flatten([" + ", ".join(f"CASE WHEN contains(lower(query), '{w}') THEN {list(s)} ELSE [] END" for w, s in Q.SYNONYMS.items()) + f"]) AS a FROM {VALUES})")
 register("D21_variants", per_query(lambda: dict(variants=F.array_join(Q.variants(query_()), "|"))), "SELECT query_id, array_to_string(v[1:5], '|') AS variants FROM (SELECT query_id, CASE " + " ".join(f"WHEN contains(lower(query), '{w}') THEN [query, " + ", ".join(f"replace(lower(query), '{w}', '{o}'), query || ' {o}'" for o in os) + "]" for w, os in Q.VARIANTS.items()) + f" ELSE [query] END AS v FROM {VALUES})")
@@ -123,7 +122,7 @@ register("D29_document_problems", lambda t: asked(t).select(F.col("document_id")
 register("D30_clamped_parameters", lambda t: t.load("part").select("p_partkey", F.least(F.greatest(F.col("p_size") - 5, F.lit(1)), F.lit(30)).alias("top_k"), F.least(F.greatest(F.col("p_size") - 20, F.lit(0)), F.lit(10)).alias("citations"), F.least(F.greatest(F.col("p_size") - 10, F.lit(0)), F.lit(3)).alias("strictness"), F.when(F.lower("p_type").isin("plain", "markdown", "html"), F.lower("p_type")).otherwise("plain").alias("format")), "SELECT p_partkey, least(greatest(p_size - 5, 1), 30) AS top_k, least(greatest(p_size - 20, 0), 10) AS citations, least(greatest(p_size - 10, 0), 3) AS strictness, CASE WHEN lower(p_type) IN ('plain', 'markdown', 'html') THEN lower(p_type) ELSE 'plain' END AS format FROM part")
 TITLES = [(1, "Bula do remédio"), (2, "Contrato 7"), (3, "Estudo de caso"), (4, "Manual de venda"), (5, "Curso livre"), (6, "Outro")]
 TVALUES = "(VALUES " + ", ".join(map(str, TITLES)) + ") d(id, title)"
-register("D31_document_type", lambda t: t.frame(TITLES, "id int, title string").join(t.chunks.where("ord = 0 AND document_id < 7").select(F.col("document_id").alias("id"), F.substring("content", 1, 500).alias("sample")), "id", "left").select("id", Q.title_type(F.col("title"), F.col("sample")).alias("kind")), f"SELECT d.id, CASE WHEN t <> '' THEN t ELSE {cases({k: Q.TITLE_TYPES[k] for k in ('medical', 'legal', 'academic')}, 's', 'generic')} END AS kind FROM (SELECT *, {cases(Q.TITLE_TYPES, 'lower(title)', '')} AS t FROM {TVALUES}) d LEFT JOIN (SELECT document_id, lower(substring(content, 1, 500)) AS s FROM chunks WHERE ord = 0) c ON c.document_id = d.id".replace("WHEN t <> '' THEN t ELSE CASE", "WHEN t <> '' THEN t WHEN s IS NULL THEN 'generic' ELSE CASE"))
+register("D31_document_type", lambda t: t.frame(TITLES, "id int, title string").join(t.chunks.where("ord = 0").select(F.col("document_id").alias("id"), F.substring("content", 1, 500).alias("sample")), "id", "left").select("id", Q.title_type(F.col("title"), F.col("sample")).alias("kind")), f"SELECT d.id, CASE WHEN t <> '' THEN t ELSE {cases({k: Q.TITLE_TYPES[k] for k in ('medical', 'legal', 'academic')}, 's', 'generic')} END AS kind FROM (SELECT *, {cases(Q.TITLE_TYPES, 'lower(title)', '')} AS t FROM {TVALUES}) d LEFT JOIN (SELECT document_id, lower(substring(content, 1, 500)) AS s FROM chunks WHERE ord = 0) c ON c.document_id = d.id".replace("WHEN t <> '' THEN t ELSE CASE", "WHEN t <> '' THEN t WHEN s IS NULL THEN 'generic' ELSE CASE"))
 
 
 def best_language():

@@ -19,10 +19,10 @@ MARKS = ["1. ", "- ", "# Results ", "", "a) ", "àé &amp; ", "x | y | ", "[3] (
 
 
 def marked():
-    return F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.element_at(F.array(*map(F.lit, MARKS)), i % 10 + 1), F.substring(x, 1, 90))), "\n")
+    return F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.element_at(F.array(*map(F.lit, MARKS)), i % 10 + 1), x)), "\n")
 
 
-MARKED_SQL = "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: (" + str(MARKS) + ")[(i - 1) % 10 + 1] || substring(x, 1, 90)), chr(10)) AS text FROM documents"
+MARKED_SQL = "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: (" + str(MARKS) + ")[(i - 1) % 10 + 1] || x), chr(10)) AS text FROM documents"
 
 
 def docs(t):
@@ -160,7 +160,7 @@ register("G11b_failure_counts", lambda t: G.failure_counts(docs(t), "doc_id", "t
 register("G12_failure_confidence", lambda t: docs(t).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("&[a-zA-Z][a-zA-Z0-9]*;"), F.lit(0))).alias("pos", "c")).select("doc_id", "pos", F.round(G.failure_confidence(F.lit(0.85), F.col("c")), 6).alias("confidence")), f"SELECT doc_id, unnest(range(len(x)))::INT AS pos, unnest(list_transform(x, lambda c: round(least(0.95::DOUBLE, 0.85::DOUBLE * (0.5 + 0.5 * least(1.0::DOUBLE, length(c) / 10::DOUBLE))), 6))) AS confidence FROM (SELECT doc_id, regexp_extract_all(text, '&[a-zA-Z][a-zA-Z0-9]*;') AS x FROM ({MARKED_SQL}))")
 register("G13_classified_issues", lambda t: G.classified(issues(t)), f"WITH {CLASSIFIED} SELECT * FROM classified")
 register("G14_severity_and_effort", lambda t: t.load("part").select("p_partkey", G.adjusted_severity(F.element_at(F.array(*map(F.lit, G.LEVELS)), F.col("p_size") % 4 + 1), F.col("p_size") / 50).alias("severity"), G.fix_hours(F.element_at(F.array(*map(F.lit, G.HOURS)), F.col("p_size") % 5 + 1), F.lit("high"), F.lit(0.5)).alias("hours")), "SELECT p_partkey, (['low', 'medium', 'high', 'critical'])[CASE WHEN p_size / 50 > 0.8 THEN least(4, p_size % 4 + 2) WHEN p_size / 50 < 0.3 THEN greatest(1, p_size % 4) ELSE p_size % 4 + 1 END] AS severity, round(([0.5, 2.0, 8.0, 24.0, 40.0])[p_size % 5 + 1]::DOUBLE * 1.2 * 1.5, 1) AS hours FROM part")
-register("G15_prioritised_issues", lambda t: G.classified(issues(t)).orderBy(F.desc("priority"), "document_id", "position", "pattern").limit(200).select("document_id", "position", "pattern", "priority"), f"WITH {CLASSIFIED} SELECT document_id, position, pattern, priority FROM classified ORDER BY priority DESC, document_id, position, pattern LIMIT 200")
+register("G15_prioritised_issues", lambda t: G.classified(issues(t)).orderBy(F.desc("priority"), "document_id", "position", "pattern").select("document_id", "position", "pattern", "priority"), f"WITH {CLASSIFIED} SELECT document_id, position, pattern, priority FROM classified ORDER BY priority DESC, document_id, position, pattern")
 register("G16_recommendations", lambda t: G.recommendations(issues(t)), f"WITH {FOUND}, a AS (SELECT * FROM (VALUES " + ", ".join(map(str, G.ADVICE)) + ") v(kind, action, type, priority)) SELECT document_id, lower(action) AS action, type, min(priority) AS priority, sum(n)::BIGINT AS issues FROM (SELECT document_id, kind, count(*) AS n FROM failures GROUP BY 1, 2) f JOIN a USING (kind) GROUP BY 1, 2, 3")
 CORR = " + ".join(f"{w}::DOUBLE * log10({n(quoted(p))} + 1) / 2" for p, w in G.CORRUPTION)
 def coherence(text):

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1000
+CHUNK_IDS = 1 << 20  # ids of one document's chunks
 METRIC_TYPES = {"view": "query", "click": "embedding", "purchase": "generation", "signup": "performance", "error": "error"}
 
 
@@ -55,7 +56,7 @@ class Tables:
             F.col("doc_id").alias("document_id"),
             F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / CHUNK).cast("int")), lambda i: F.substring(F.col("text"), i * CHUNK + 1, F.lit(CHUNK)))).alias("ord", "content"),
         )
-        return c.select((F.col("document_id") * 1000 + F.col("ord")).alias("id"), "document_id", "ord", "content")
+        return c.select((F.col("document_id") * CHUNK_IDS + F.col("ord")).alias("id"), "document_id", "ord", "content")
 
     @cached_property
     def vectors(self) -> DataFrame:
@@ -162,7 +163,7 @@ class Tables:
 
 DERIVED_SQL = {
     "docs": "SELECT doc_id AS id, source AS tenant_slug, 'Document ' || doc_id AS title, CASE WHEN doc_id % 4 = 0 THEN 'bypass_upload' ELSE 'file' END AS source, lang, text AS content, TIMESTAMP '2024-01-01' + to_hours(doc_id) AS created_at FROM documents",
-    "chunks": "SELECT doc_id * 1000 + ord AS id, doc_id AS document_id, ord::INT AS ord, substring(text, (ord * 1000 + 1)::BIGINT, 1000) AS content FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 1000 + 1)) AS ord FROM documents WHERE length(text) > 0)",
+    "chunks": "SELECT doc_id * 1048576 + ord AS id, doc_id AS document_id, ord::INT AS ord, substring(text, (ord * 1000 + 1)::BIGINT, 1000) AS content FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 1000 + 1)) AS ord FROM documents WHERE length(text) > 0)",
     "vectors": "SELECT d.doc_id AS document_id, e.embedding::DOUBLE[] AS embedding FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id",
     "embedded_chunks": "SELECT c.*, v.embedding FROM chunks c JOIN vectors v USING (document_id)",
     "rag_metrics": "SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'query' WHEN 'click' THEN 'embedding' WHEN 'purchase' THEN 'generation' WHEN 'signup' THEN 'performance' WHEN 'error' THEN 'error' END AS type, ts, user_id, 't' || user_id % 5 AS tenant_id, event_type <> 'error' AS success, round(value * 10, 4) AS duration_ms, k % 2 = 0 AS cached, k / 100.0::DOUBLE AS confidence, k AS batch_size, k AS query_hash, (['vector', 'keyword', 'hybrid'])[k % 3 + 1] AS strategy, (['query', 'embedding', 'generation'])[k % 3 + 1] AS operation, 'E' || k % 7 AS error_type, 'message ' || k % 4 AS error_message FROM (SELECT *, (props ->> '$.k')::INT AS k FROM events)",
