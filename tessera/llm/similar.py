@@ -8,7 +8,7 @@ combination of its segments' codewords in a table. By the pigeonhole of many tab
 key with probability 0.99, and likelier ones more often. Of two texts that are alone under a key the first 64 bits, and
 of all candidates the whole fingerprints, may not differ by more than 3.5 standard deviations over what they do at 0.8
 (two pairs in 10,000 do, unrelated texts differ in half the bits); the others are verified on whole sets. Within a key
-texts first meet its smallest and largest; then, twice, what is outside a key's largest component meets one text of that
+texts first meet its smallest and largest; then what is outside a key's largest component meets one text of that
 component; and what is outside still meets all the key's texts. The last step is what texts of similarity 0.67 to 0.8 to
 many others cost: nothing but comparing them tells that they are no near-duplicates.
 """
@@ -34,7 +34,7 @@ WIDTH = 23  # bits of a segment
 NEAREST = 2  # codewords of a segment
 LANES_KEPT = 9  # of 64 bits each, of the fingerprint that candidates are compared by
 SIGNS = [f"s{i}" for i in range(LANES_KEPT)]
-TURNS = 2
+TURNS = 1
 SENT = 500_000  # names of 16 bytes that may be broadcast
 BLOCK = 1 << 12
 NO_ID = -(1 << 63)
@@ -172,10 +172,13 @@ def link_sets(named: DataFrame, sets_of, percent: int, n: int) -> DataFrame:
     rows = named.select("fp", SIGNS[0], F.explode("keys").alias("key"))
     apart = F.bit_count(F.bit_xor(SIGNS[0]))  # of the two, where a key has two
     shared = rows.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count(F.lit(1)).alias("n"), apart.alias("apart"))
-    shared = shared.where((F.col("low") != F.col("high")) & ((F.col("n") > 2) | (F.col("apart") <= most_bits(64)))).select("key", "low", "high")
-    met = cut(rows.select("key", "fp").join(dealt_anew(shared, "key"), "key"), 4 * n, dealt=True)
-    n_met = met.count()
-    ends = met.select("fp", F.explode(F.array("low", "high")).alias("end")).where("fp <> end").distinct()
+    shared = shared.where((F.col("low") != F.col("high")) & ((F.col("n") > 2) | (F.col("apart") <= most_bits(64))))
+    shared = cut(shared.select("key", "low", "high", "n"), 4 * n)
+    couples = shared.where("n = 2").select(F.col("low").alias("fp"), F.col("high").alias("end"))
+    # Only keys of three texts and more ask for their rows again.
+    met = cut(rows.select("key", "fp").join(dealt_anew(shared.where("n > 2").select("key", "low", "high"), "key"), "key"), 4 * n, dealt=True)
+    n_met = met.count() + couples.count()
+    ends = met.select("fp", F.explode(F.array("low", "high")).alias("end")).where("fp <> end").unionByName(couples).distinct()
     ends = ends.join(signs, "fp").join(theirs("end"), "end")
     asked = cut(ends.where(_near("o")).select(*_pair("fp", "end")).distinct(), n_met)
     sets = cut(sets_of(asked.select(F.explode(F.array("u", "v")).alias("fp")).distinct()), n_met)
