@@ -193,11 +193,11 @@ def link_sets(named: DataFrame, sets_of, percent: int, n: int) -> DataFrame:
         keyed = rows.join(dealt_anew(main, "key"), "key")
         keyed = cut(keyed if turn else keyed.join(signs, "fp"), n_met)
         odd = keyed.where("root <> main").select(F.col("key").alias("k"), F.col("fp").alias("u"), F.col("root").alias("ru"), *(F.col(x).alias("o" + x) for x in SIGNS))
-        others = keyed
+        others, once = keyed, (F.col("root") == F.col("main")) | (F.col("fp") < F.col("u"))  # two that are both outside meet once
         if turn < TURNS:
             one = keyed.where("root = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), "fp", "root", *SIGNS)).alias("x"))
-            others = dealt_anew(one.select("key", "x.*"), "key")
-        pairs = others.join(odd, (F.col("key") == F.col("k")) & (F.col("root") != F.col("ru")) & _near("o")).select(*_pair("fp", "u")).distinct()
+            others, once = dealt_anew(one.select("key", "x.*"), "key"), F.lit(True)
+        pairs = others.join(odd, (F.col("key") == F.col("k")) & (F.col("root") != F.col("ru")) & once & _near("o")).select(*_pair("fp", "u")).distinct()
         pairs = cut(pairs.join(asked, ["u", "v"], "left_anti"), n_met)
         asked = asked.unionByName(pairs)
         wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(sets.select("fp"), "fp", "left_anti")
