@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, rows: int | None = None, max_rounds:
 
     Only nodes with an edge to another node come back. Loops, repeated and mirrored edges are fine; no edges give an
     empty result; rows with a null end are dropped. Each round costs two joins on the node, whose large groups adaptive
-    execution splits, and ends in a checkpoint; nothing but a row count and a checksum reaches the driver.
+    execution splits, and ends in a written table; nothing but a row count and a checksum reaches the driver.
     `rows` is a bound on the edges, if one is known.
     """
     edges = cut(
