@@ -193,8 +193,8 @@ def _texts(docs: DataFrame, lexicon: frozenset[str], extra: list[str]) -> DataFr
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = 20_000, lexicon_size: int = 1000) -> Model:
-    """Fits on at most `rows` labelled rows, those of the smallest hashes of their id: the lexicon on one half, the trees
-    and their calibration on the other.
+    """Fits on at most `rows` labelled rows (also where documents repeat an id), those of the smallest hashes of their id:
+    the lexicon on one half, the trees and their calibration on the other.
 
     Labels that are null, or whose document is missing, are left out. Without both labels the model scores 0 throughout.
     """
@@ -218,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ratio = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (good + 1))
     strong = counted.where((F.col("term") != "") & (F.col("bad") >= max(2, min(8, bad // 150)))).withColumn("w", ratio).where("w > 2.5")
     lexicon = frozenset(r["term"] for r in strong.orderBy(F.desc(F.col("w") * F.sqrt("bad")), "term").limit(lexicon_size).collect())
-    got = _texts(both.where(half == 1), lexicon, ["y", "h"]).orderBy("h", "y").collect()
+    got = _texts(both.where(half == 1), lexicon, ["y", "h"]).orderBy("h", "y").limit(rows).collect()
     y = np.array([r["y"] for r in got], dtype=float)
     x = np.array([r["features"] for r in got]).reshape(len(got), len(FEATURES))
     if not 0 < y.sum() < len(y):
