@@ -176,34 +176,35 @@ def link_sets(named: DataFrame, sets_of, percent: int, n: int) -> DataFrame:
     shared = cut(shared.select("key", "low", "high", "n"), 4 * n)
     couples = shared.where("n = 2").select(F.col("low").alias("fp"), F.col("high").alias("end"))
     # Only keys of three texts and more ask for their rows again.
-    met = cut(rows.select("key", "fp").join(dealt_anew(shared.where("n > 2").select("key", "low", "high"), "key"), "key"), 4 * n, dealt=True)
+    met = rows.select("key", "fp").join(dealt_anew(shared.where("n > 2").select("key", "low", "high"), "key"), "key")
+    met = cut(met.join(signs, "fp"), 4 * n, dealt=True)
     n_met = met.count() + couples.count()
-    ends = met.select("fp", F.explode(F.array("low", "high")).alias("end")).where("fp <> end").unionByName(couples).distinct()
-    ends = ends.join(signs, "fp").join(theirs("end"), "end")
+    ends = met.select("fp", *SIGNS, F.explode(F.array("low", "high")).alias("end")).where("fp <> end")
+    ends = ends.unionByName(couples.join(signs, "fp")).distinct().join(theirs("end"), "end")
     asked = cut(ends.where(_near("o")).select(*_pair("fp", "end")).distinct(), n_met)
     sets = cut(sets_of(asked.select(F.explode(F.array("u", "v")).alias("fp")).distinct()), n_met)
     links = cut(alike(asked, sets, percent), n_met)
-    keyed = met.select("key", "fp")
     for turn in range(TURNS + 1):
         roots = cut(connected_components(links, n_met), n_met)
-        rows = keyed.join(dealt_anew(roots, "node"), F.col("fp") == F.col("node"), "left").select(*keyed.columns, F.coalesce("root", "fp").alias("root"))
-        # What is outside the largest component of each key with several.
-        counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-        main = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", F.col("top.root").alias("main"))
-        keyed = rows.join(dealt_anew(main, "key"), "key")
-        keyed = cut(keyed if turn else keyed.join(signs, "fp"), n_met)
-        odd = keyed.where("root <> main").select(F.col("key").alias("k"), F.col("fp").alias("u"), F.col("root").alias("ru"), *(F.col(x).alias("o" + x) for x in SIGNS))
-        others, once = keyed, (F.col("root") == F.col("main")) | (F.col("fp") < F.col("u"))  # two that are both outside meet once
+        rows = met.join(dealt_anew(roots, "node"), F.col("fp") == F.col("node"), "left")
+        rows = cut(rows.select("key", "fp", F.coalesce("root", "fp").alias("root"), *SIGNS), n_met)
+        # The largest component of each key with several, and a text of it; what is outside of it is all that is joined.
+        counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp", F.lit(turn))).alias("one"))
+        main = counts.groupBy("key").agg(F.max(F.struct("n", "root", "one")).alias("top"), F.count(F.lit(1)).alias("roots"))
+        main = cut(dealt_anew(main.where("roots > 1").select("key", F.col("top.root").alias("main"), F.col("top.one").alias("one")), "key"), n_met)
+        outside = rows.join(main.select("key", "main"), "key").where("root <> main")
+        odd = outside.select(F.col("key").alias("k"), F.col("fp").alias("u"), F.col("root").alias("ru"), "main", *(F.col(x).alias("o" + x) for x in SIGNS))
         if turn < TURNS:
-            one = keyed.where("root = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), "fp", "root", *SIGNS)).alias("x"))
-            others, once = dealt_anew(one.select("key", "x.*"), "key"), F.lit(True)
-        pairs = others.join(odd, (F.col("key") == F.col("k")) & (F.col("root") != F.col("ru")) & once & _near("o")).select(*_pair("fp", "u")).distinct()
+            others, once = main.select("key", F.col("main").alias("root"), F.col("one").alias("fp")).join(signs, "fp"), F.lit(True)
+        else:  # two that are both outside meet once
+            others, once = rows.join(main.select("key"), "key", "left_semi"), (F.col("root") == F.col("main")) | (F.col("fp") < F.col("u"))
+        met_there = (F.col("key") == F.col("k")) & (F.col("root") != F.col("ru")) & once & _near("o")
+        pairs = others.join(odd, met_there).select(*_pair("fp", "u")).distinct()
         pairs = cut(pairs.join(asked, ["u", "v"], "left_anti"), n_met)
         asked = asked.unionByName(pairs)
         wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(sets.select("fp"), "fp", "left_anti")
         sets = sets.unionByName(cut(sets_of(wanted), n_met))
         links = links.unionByName(cut(alike(pairs, sets, percent), n_met))
-        keyed = keyed.select("key", "fp", *SIGNS)
     return connected_components(links, n_met)
 
 
