@@ -190,9 +190,12 @@ def structural_quality(secs: DataFrame, elements: DataFrame) -> DataFrame:
 FAILURES = (
     ("encoding_error", "utf8_corruption", "high", 0.95, "�+"), ("encoding_error", "latin1_in_utf8", "high", 0.7, "[àáâãäåæçèéêëìíîïñòóôõöøùúûüý]{2,}"), ("encoding_error", "windows1252_quotes", "high", 0.6, '["]'),
     ("encoding_error", "escaped_unicode", "high", 0.8, r"\\u[0-9a-fA-F]{4}"), ("encoding_error", "html_entities", "high", 0.85, r"&[a-zA-Z][a-zA-Z0-9]*;|&#[0-9]+;|&#x[0-9a-fA-F]+;"),
-    ("encoding_error", "mojibake", "high", 0.75, r"[^\x00-\x7FÀ-ɏḀ-ỿ]+"), ("encoding_error", "mixed_alphanumeric", "medium", 0.5, "[A-Za-z][0-9]{2,}[A-Za-z]"), ("encoding_error", "repeated_punctuation", "medium", 0.5, "[.,;:]{3,}"),
-    ("table_corruption", "ragged_rule", "medium", 0.6, r"\|\s*\|\s*\|"), ("content_gaps", "placeholder", "medium", 0.7, r"\[\.\.\.\]|\.{5,}|_{5,}"),
+    ("encoding_error", "mojibake", "high", 0.75, r"[^\x00-\x7FÀ-ɏḀ-ỿ]+"), ("encoding_error", "mixed_alphanumeric", "medium", 0.5, "[A-Za-z][0-9]{2,}[A-Za-z]"), ("encoding_error", "repeated_punctuation", "medium", 0.7, "[.,;:]{3,}"),
+    ("encoding_error", "non_standard_chars", "medium", 0.6, "[^\x20-\x7e\u00a0-\u024f\u1e00-\u1eff]{3,}"),
+    ("table_corruption", "corrupted_table", "medium", 0.6, r"\|[^|\n]*\|[^|\n]*\||\t[^\t\n]*\t[^\t\n]*\t"), ("content_gaps", "large_whitespace_gap", "low", 0.5, r"\n\s*\n\s*\n\s*\n+"),
 )
+#: Patterns whose confidence is the base one, whatever the length of the match.
+FLAT = ("mixed_alphanumeric", "repeated_punctuation", "non_standard_chars", "corrupted_table", "large_whitespace_gap")
 RULES = "struct<kind:string,pattern:string,severity:string,position:int,content:string,confidence:double>"
 
 
@@ -200,15 +203,22 @@ def failure_confidence(base: Column, content: Column) -> Column:
     return F.least(F.lit(0.95), base * (0.5 + 0.5 * F.least(F.lit(1.0), F.length(content) / 10)))
 
 
+def is_failure(name: str, content: str) -> bool:
+    """Whether a match counts: table rows with few or running bars or over 200 characters, gaps of more than 20 characters."""
+    if name == "corrupted_table":
+        return content.count("|") < 3 or len(content) > 200 or "|||" in content
+    return name != "large_whitespace_gap" or len(content) > 20
+
+
 def failures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(document_id, kind, pattern, severity, position, content, confidence): every match of every failure pattern."""
+    """(document_id, kind, pattern, severity, position, content, confidence): every match of every failure pattern that counts."""
     compiled = [(k, n, s, b, regex.compile(p)) for k, n, s, b, p in FAILURES]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                (i, k, n, s, m.start(), m[0], min(0.95, base * (0.5 + 0.5 * min(1.0, len(m[0]) / 10))))
-                for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for k, n, s, base, p in compiled for m in p.finditer(t.as_py() or "")
+                (i, k, n, s, m.start(), m[0], base if n in FLAT else min(0.95, base * (0.5 + 0.5 * min(1.0, len(m[0]) / 10))))
+                for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for k, n, s, base, p in compiled for m in p.finditer(t.as_py() or "") if is_failure(n, m[0])
             ]
             columns = list(zip(*rows, strict=True)) or [()] * 7
             kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64())
@@ -219,7 +229,15 @@ def failures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def failure_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(document_id, pattern, n), in the JVM, for patterns that occur."""
-    counts = F.array(*(F.struct(F.lit(n).alias("pattern"), T.times(F.col(text_col), p).alias("n")) for _, n, _, _, p in FAILURES))
+    bars = lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit("")))
+    tests = {"corrupted_table": lambda x: (bars(x) < 3) | (F.length(x) > 200) | F.contains(x, F.lit("|||")), "large_whitespace_gap": lambda x: F.length(x) > 20}
+
+    def times(name: str, pattern: str) -> Column:
+        if name not in tests:
+            return T.times(F.col(text_col), pattern)
+        return F.size(F.filter(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(0)), tests[name]))
+
+    counts = F.array(*(F.struct(F.lit(n).alias("pattern"), times(n, p).alias("n")) for _, n, _, _, p in FAILURES))
     return docs.select(F.col(id_col).alias("document_id"), F.explode(counts).alias("c")).select("document_id", "c.*").where("n > 0")
 
 

@@ -145,7 +145,10 @@ def matches(kind, name, severity, base, pattern):
     return f"SELECT doc_id AS document_id, '{kind}' AS kind, '{name}' AS pattern, '{severity}' AS severity, {base}::DOUBLE AS base, unnest(m) AS content, unnest({place})::INT AS position FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS m, regexp_split_to_array(text, '{p}') AS g FROM ({MARKED_SQL})) WHERE len(m) > 0"
 
 
-FOUND = "failures AS (SELECT document_id, kind, pattern, severity, position, content, least(0.95::DOUBLE, base * (0.5 + 0.5 * least(1.0::DOUBLE, length(content) / 10::DOUBLE))) AS confidence FROM (" + " UNION ALL ".join(matches(*f) for f in G.FAILURES) + "))"
+#: Which matches of two patterns count, and how sure the patterns are that do not go by the match's length.
+COUNTS = {"corrupted_table": "length(x) - length(replace(x, '|', '')) < 3 OR length(x) > 200 OR contains(x, '|||')", "large_whitespace_gap": "length(x) > 20"}
+SURE = "CASE pattern WHEN 'non_standard_chars' THEN 0.6::DOUBLE WHEN 'mixed_alphanumeric' THEN 0.5 WHEN 'repeated_punctuation' THEN 0.7 WHEN 'corrupted_table' THEN 0.6 WHEN 'large_whitespace_gap' THEN 0.5 ELSE least(0.95::DOUBLE, base * (0.5 + 0.5 * least(1.0::DOUBLE, length(x) / 10::DOUBLE))) END"
+FOUND = f"failures AS (SELECT document_id, kind, pattern, severity, position, x AS content, {SURE} AS confidence FROM (SELECT *, content AS x FROM (" + " UNION ALL ".join(matches(*f) for f in G.FAILURES) + ")) WHERE CASE pattern " + " ".join(f"WHEN '{name}' THEN {test}" for name, test in COUNTS.items()) + " ELSE true END)"
 
 
 def picked(key, table, default):
@@ -155,8 +158,12 @@ def picked(key, table, default):
 CLASSIFIED = f"""{FOUND}, c1 AS (SELECT *, round(least(1.0::DOUBLE, {picked('severity', G.IMPACT, 0.5)} * 0.4::DOUBLE + confidence * 0.3 + least(1.0::DOUBLE, length(content) / 100::DOUBLE) * 0.2 + greatest(0.3::DOUBLE, 1 - position / 10000::DOUBLE) * 0.1), 6) AS impact,
  CASE WHEN pattern IN ('utf8_corruption', 'html_entities') THEN 'low' WHEN pattern IN ('mojibake', 'mixed_scripts') THEN 'high' ELSE {picked('kind', {k: v[0] for k, v in G.KINDS.items()}, 'medium')} END AS complexity, round(least(0.95::DOUBLE, {picked('kind', {k: v[1] for k, v in G.KINDS.items()}, 0.5)} * (0.5 + confidence * 0.5)), 6) AS probability FROM failures),
  classified AS (SELECT *, round({picked('severity', G.SEVERITY, 25)} * impact + probability * 20 + {picked('complexity', G.PENALTY, 0)}, 6) AS priority FROM c1)"""
+def counted(name, pattern):
+    return f"len(list_filter(regexp_extract_all(text, '{quoted(pattern)}'), lambda x: {COUNTS[name]}))" if name in COUNTS else n(quoted(pattern))
+
+
 register("G11_failures", issues, f"WITH {FOUND} SELECT * FROM failures")
-register("G11b_failure_counts", lambda t: G.failure_counts(docs(t), "doc_id", "text"), f"WITH d AS ({MARKED_SQL}) SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id AS document_id, '{name}' AS pattern, {n(quoted(p))} AS n FROM d" for _, name, _, _, p in G.FAILURES) + ") WHERE n > 0")
+register("G11b_failure_counts", lambda t: G.failure_counts(docs(t), "doc_id", "text"), f"WITH d AS ({MARKED_SQL}) SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id AS document_id, '{name}' AS pattern, {counted(name, p)} AS n FROM d" for _, name, _, _, p in G.FAILURES) + ") WHERE n > 0")
 register("G12_failure_confidence", lambda t: docs(t).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("&[a-zA-Z][a-zA-Z0-9]*;"), F.lit(0))).alias("pos", "c")).select("doc_id", "pos", F.round(G.failure_confidence(F.lit(0.85), F.col("c")), 6).alias("confidence")), f"SELECT doc_id, unnest(range(len(x)))::INT AS pos, unnest(list_transform(x, lambda c: round(least(0.95::DOUBLE, 0.85::DOUBLE * (0.5 + 0.5 * least(1.0::DOUBLE, length(c) / 10::DOUBLE))), 6))) AS confidence FROM (SELECT doc_id, regexp_extract_all(text, '&[a-zA-Z][a-zA-Z0-9]*;') AS x FROM ({MARKED_SQL}))")
 register("G13_classified_issues", lambda t: G.classified(issues(t)), f"WITH {CLASSIFIED} SELECT * FROM classified")
 register("G14_severity_and_effort", lambda t: t.load("part").select("p_partkey", G.adjusted_severity(F.element_at(F.array(*map(F.lit, G.LEVELS)), F.col("p_size") % 4 + 1), F.col("p_size") / 50).alias("severity"), G.fix_hours(F.element_at(F.array(*map(F.lit, G.HOURS)), F.col("p_size") % 5 + 1), F.lit("high"), F.lit(0.5)).alias("hours")), "SELECT p_partkey, (['low', 'medium', 'high', 'critical'])[CASE WHEN p_size / 50 > 0.8 THEN least(4, p_size % 4 + 2) WHEN p_size / 50 < 0.3 THEN greatest(1, p_size % 4) ELSE p_size % 4 + 1 END] AS severity, round(([0.5, 2.0, 8.0, 24.0, 40.0])[p_size % 5 + 1]::DOUBLE * 1.2 * 1.5, 1) AS hours FROM part")

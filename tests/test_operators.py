@@ -146,6 +146,23 @@ def test_failures_positions(spark):
     assert {("html_entities", 3, "&amp;"), ("escaped_unicode", 9, "\\u00e9"), ("utf8_corruption", 16, "��")} <= got
 
 
+def test_failures_of_every_kind(spark):
+    gap, long_row = "\n" * 21, "|" + "c" * 200 + "|d|"
+    texts = {
+        "non_standard_chars": ("ab\u0416\u0416\u0416", 2, 0.6), "mixed_alphanumeric": ("x a12b", 2, 0.5), "repeated_punctuation": ("so...", 2, 0.7),
+        "large_whitespace_gap": (f"a{gap}b", 1, 0.5), "corrupted_table": (long_row, 0, 0.6), "windows1252_quotes": ('say "', 4, 0.33),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(texts.values())] + [(90, "||| "), (91, "|a|b|"), (92, "\ta\tb\t"), (93, "a\n\n\n\nb")], "doc_id long, text string")
+    got = G.failures(docs, "doc_id", "text").collect()
+    for i, (name, (_, position, sure)) in enumerate(texts.items()):
+        assert [(r.position, round(r.confidence, 6)) for r in got if r.document_id == i and r.pattern == name] == [(position, sure)]
+    rows = {r.document_id for r in got if r.pattern == "corrupted_table"}
+    assert rows == {4, 90, 92}
+    assert 93 not in {r.document_id for r in got if r.pattern == "large_whitespace_gap"}
+    counts = {(r.document_id, r.pattern): r.n for r in G.failure_counts(docs, "doc_id", "text").collect()}
+    assert counts == {(d, p): sum(1 for r in got if (r.document_id, r.pattern) == (d, p)) for d, p in {(r.document_id, r.pattern) for r in got}}
+
+
 PAGE = "<html><head><title>T</title><style>p{}</style></head><body><h1>Head</h1><p>One<p>Two</p><ul><li>a<li>b</ul><table><tr><th>k<th>v</tr><tr><td>1</td><td>2</td></tr></table><script>x</script></body></html>"
 
 
