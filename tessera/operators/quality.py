@@ -93,6 +93,7 @@ def density(text: Column) -> dict[str, Column]:
     }
 
 
+#: Letters of headers in capitals and in title case.
 UP, LOW = "A-ZÁÉÍÓÚÀÂÊÔÃŨÇ", "a-záéíóúàâêôãũç"
 #: Kinds of headers in the order of precedence: pattern, group of the title, confidence.
 HEADERS = (
