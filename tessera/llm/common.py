@@ -53,6 +53,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that no later plan reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Buckets:
+    """Tables of the shared folder that lie in the same buckets of their long column `row`: they join without a shuffle."""
+
+    def __init__(self, spark: SparkSession, number: int) -> None:
+        self.spark, self.number, self.kept = spark, number, {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """df, which has the column `row`, as the table `name`; the table that had this name before goes."""
+        table = f"tessera_{name}_{uuid.uuid4().hex}"
+        path = f"{shared_dir(self.spark)}/{table}"
+        df.repartition(self.number, "row").write.bucketBy(self.number, "row").option("path", path).saveAsTable(table)
+        self.forget(name)
+        self.kept[name] = (table, path, df.schema)
+        return self.spark.table(table)
+
+    def forget(self, name: str) -> None:
+        if name in self.kept:
+            table, path, _ = self.kept.pop(name)
+            self.spark.sql(f"DROP TABLE {table}")
+            removed(self.spark, path)
+
+    def released(self, name: str) -> DataFrame:
+        """The table `name` as plain files, which stay; nothing of it is left in the catalogue."""
+        table, path, schema = self.kept.pop(name)
+        self.spark.sql(f"DROP TABLE {table}")
+        return self.spark.read.schema(schema).parquet(path)
+
+
 @lru_cache(1)
 def one_thread() -> None:
     """Keeps numpy's matrix products in this process on one thread: tasks already fill the cores, and idle threads wait busily."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, line_dedup, packing, piece_codec, quality, secret_scan, simhash, toxicity, vafile
+from . import byte_codec, chat, langid, line_dedup, lloyd, merkle, packing, piece_codec, quality, secret_scan, simhash, toxicity, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": piece_codec.op8,
     "op9_topk": vafile.op9,
     "op10_chat_format": chat.op10,
+    "op11_byte_bpe": byte_codec.op11,
+    "op12_clusters": lloyd.op12,
+    "op13_merkle": merkle.op13,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +29,6 @@ ORACLES: dict[str, str] = {
     "op6_quality": quality.OP6_SQL,
     "op9_topk": vafile.OP9_SQL,
     "op10_chat_format": chat.OP10_SQL,
+    "op12_clusters": lloyd.OP12_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }
