@@ -1,7 +1,7 @@
 """Embeddings and cosine retrieval.
 
-A query's vector is a column of a small broadcast frame; scores are rounded to six digits before they are ordered, and
-every order ends in an id, so that results don't depend on the order of additions.
+Searches go by blocks of queries (see nearest.py); scores are rounded to six digits before they are ordered, and every
+order ends in an id, so that results don't depend on the order of additions.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lexical import top_per
+from .nearest import nearest
 
 DIM = 768
 CELLS = 100
@@ -44,18 +45,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), None).when(usable, dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))).otherwise(0.0)
 
 
-def scored(chunks: DataFrame, asked: DataFrame) -> DataFrame:
-    """Chunks with a vector against each (query_id, qv), with `similarity`; chunks and asked share no other columns."""
-    live = chunks.where(F.col("embedding").isNotNull()).withColumn("_n", norm(F.col("embedding")))
-    queries = asked.withColumn("_qn", norm(F.col("qv")))
-    joined = live.join(F.broadcast(queries), F.size("embedding") == F.size("qv"))
-    similarity = F.coalesce(F.try_divide(dot(F.col("embedding"), F.col("qv")), F.col("_n") * F.col("_qn")), F.lit(0.0))
-    return joined.withColumn("similarity", F.round(similarity, 6)).drop("_n", "_qn", "qv", "embedding")
-
-
 def vector_search(chunks: DataFrame, asked: DataFrame, k: int = 5, threshold: float = 0.3, per: list[str] | None = None) -> DataFrame:
-    """(query_id, rank, id, document_id, similarity): the k most similar chunks of each query, and of each of `per`."""
-    hits = scored(chunks.select("id", "document_id", "ord", "embedding"), asked).where(F.col("similarity") >= threshold)
+    """(query_id, rank, id, document_id, similarity): the k most similar chunks of each query, and of each of `per`.
+
+    asked: (query_id, qv). With `per`, all chunks that reach the threshold are ranked, so that chunks should be few.
+    """
+    hits = nearest(chunks.select("id", "document_id", "embedding"), asked, None if per else k, threshold)
     return top_per(hits, ["query_id", *(per or [])], k, F.desc("similarity"), F.col("id")).select("query_id", "rank", "id", "document_id", "similarity")
 
 

@@ -48,7 +48,7 @@ register("F03_repaired_text", lambda t: t.load("documents").select("doc_id", F.m
 SENT = r"""list_filter(list_transform(string_split(regexp_replace({0}, '([.!?”"])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"""
 register("F04_sentences", lambda t: t.load("documents").select("doc_id", F.size(A.split_sentences(F.col("text"))).alias("n"), F.md5(F.array_join(A.split_sentences(F.col("text")), "|")).alias("digest")), f"SELECT doc_id, len({of(SENT, 'text')})::INT AS n, md5(array_to_string({of(SENT, 'text')}, '|')) AS digest FROM documents")
 register("F04b_loose_sentences", lambda t: t.load("documents").select("doc_id", F.posexplode(A.loose_sentences(F.col("text"))).alias("pos", "sentence")).select("doc_id", "pos", F.md5("sentence").alias("digest")), rf"WITH b AS (SELECT doc_id, list_transform(list_filter(list_transform(regexp_split_to_array(text, '\n+'), lambda x: {of(TRIM, 'x')}), lambda x: x <> ''), lambda x: regexp_replace(x, '^\s*(?:[-–—*•]\s+|\d{{1,3}}[.)\-]\s+)', '')) AS l FROM documents), s AS (SELECT doc_id, flatten(list_transform(l, lambda y: {of(SENT, 'y')})) AS v FROM b) SELECT doc_id, unnest(range(len(v)))::INT AS pos, unnest(list_transform(v, lambda x: md5(x))) AS digest FROM s")
-register("F05_best_sentence", lambda t: A.best_sentence(A.combined(window(t, "direct"), ["query_id"]).join(t.queries, "query_id")))
+register("F05_best_sentence", lambda t: A.best_sentence(A.combined(window(t, "direct"), ["query_id"]).join(texts(t), "query_id")))
 register("F06_extractive_summary", lambda t: A.combined(t.chunks, ["document_id"]).select("document_id", *(F.md5(A.summary(F.col("text"), n)).alias(n) for n in A.SUMMARY_SENTENCES)), rf"WITH c AS (SELECT document_id, regexp_replace(string_agg({of(FIX, 'content')}, chr(10) ORDER BY ord), '^\s+|\s+$', '', 'g') AS text FROM chunks GROUP BY 1), s AS (SELECT document_id, {of(SENT, 'text')} AS s FROM c) SELECT document_id, " + ", ".join(f"md5(CASE WHEN len(s) > 0 THEN array_to_string(s[1:{n}], ' ') ELSE '{A.NOTHING}' END) AS {k}" for k, n in A.SUMMARY_SENTENCES.items()) + " FROM s")
 
 
@@ -115,10 +115,10 @@ register("F17_topic", lambda t: t.chunks.select("id", A.topic(content()).alias("
 
 def answered(t):
     """Each query's answer in its own mode, rendered as plain text, from the window around its best chunk."""
-    asked = texts(t).withColumn("mode", F.element_at(F.array(*map(F.lit, ("direct", "list", "table", "quote", "summary"))), F.col("query_id") + 1))
+    asked = texts(t).withColumn("mode", F.get(F.array(*map(F.lit, ("direct", "list", "table", "quote", "summary"))), F.floor(F.col("query_id") / 100) % 5))
     out = None
     for mode in ("direct", "list", "table", "quote", "summary"):
-        rows = A.combined(window(t, mode if mode in A.WINDOWS else "direct"), ["query_id"], A.repaired_lines).join(F.broadcast(asked.where(F.col("mode") == mode)), "query_id")
+        rows = A.combined(window(t, mode if mode in A.WINDOWS else "direct"), ["query_id"], A.repaired_lines).join(asked.where(F.col("mode") == mode), "query_id")
         if mode == "direct":
             part = A.best_sentence(rows)
         elif mode == "list":
@@ -137,4 +137,4 @@ def answered(t):
 register("F18_answers", answered)
 register("F19_video_context", lambda t: t.chunks.withColumn("all", F.sum(F.octet_length("content")).over(Window.partitionBy("document_id"))).where("all <= 20000 OR ord < 15").groupBy("document_id").agg(rows_().alias("chunks"), F.sum(F.octet_length("content")).alias("bytes")), "SELECT document_id, count(*) AS chunks, sum(strlen(content))::BIGINT AS bytes FROM (SELECT *, sum(strlen(content)) OVER (PARTITION BY document_id) AS a FROM chunks) WHERE a <= 20000 OR ord < 15 GROUP BY 1")
 register("F20_hints", lambda t: A.hints(t.chunks), r"WITH f AS (SELECT document_id, ord, list_filter(regexp_split_to_array(content, '\s+'), lambda w: w <> '') AS a, list_filter(regexp_split_to_array(substring(content, 1, 200), '\s+'), lambda w: length(w) > 4) AS w FROM chunks WHERE ord < 5), u AS (SELECT document_id, w, min((ord, i)) AS first FROM (SELECT document_id, ord, unnest(range(len(w))) AS i, unnest(w) AS w FROM f) GROUP BY 1, 2), h AS (SELECT document_id, string_agg(w, ' ' ORDER BY first) AS hints FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY first) AS n FROM u) WHERE n <= 8 GROUP BY 1) SELECT f.document_id, sum(len(a))::BIGINT AS words, coalesce(any_value(hints), '') AS hints FROM f LEFT JOIN h USING (document_id) GROUP BY 1")
-register("F21_display_cut", lambda t: vector_branch(t, 5).join(F.broadcast(t.frame([(0, 5), (1, 3), (2, 2), (3, 5), (4, 3)], "query_id int, shown int")), "query_id").where("rank <= shown").select("query_id", "rank", F.concat(F.format_number(F.col("similarity") * 100, 1), F.lit("%")).alias("share")), f"SELECT query_id, rank, printf('%.1f', similarity * 100) || '%' AS share FROM ({VEC}) WHERE rank <= ([5, 3, 2, 5, 3])[query_id + 1]")
+register("F21_display_cut", lambda t: vector_branch(t, 5).withColumn("shown", F.get(F.array(*map(F.lit, (5, 3, 2, 5, 3))), F.floor(F.col("query_id") / 100) % 5)).where("rank <= shown").select("query_id", "rank", F.concat(F.format_number(F.col("similarity") * 100, 1), F.lit("%")).alias("share")), f"SELECT query_id, rank, printf('%.1f', similarity * 100) || '%' AS share FROM ({VEC}) WHERE rank <= ([5, 3, 2, 5, 3])[(query_id // 100) % 5 + 1]")

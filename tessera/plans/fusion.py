@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import fusion as E
-from tessera.operators import lexical as L
+from tessera.operators import postings as P
 from tessera.operators import vectors as V
+from tessera.sources.tables import index_block
 
-from .lexical import PLAIN, TOKENS, of
+from .lexical import PLAIN, full_text_sql, of, strategies_sql
 from .registry import register
-from .vectors import ASKED, SIM, asked, search_sql
+from .vectors import SIM, asked, search_sql
 
 
 def rows_():
@@ -21,12 +22,9 @@ def as_of_():
     return F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
 
 
-WORDS = ((0, "the and"), (1, "the that"), (2, "of erst"), (3, "die und"), (4, "de la"))
-WVALUES = "(VALUES " + ", ".join(map(str, WORDS)) + ") w(query_id, query)"
-
-
 def texts(t):
-    return t.frame(list(WORDS), "query_id int, query string")
+    """(query_id, query): the search text of each query vector."""
+    return t.hybrid_queries.select("query_id", "query")
 
 
 def vector_branch(t, k=50):
@@ -34,7 +32,7 @@ def vector_branch(t, k=50):
 
 
 def keyword_branch(t, k=50):
-    return L.like_all(t.chunks, texts(t), k).join(t.chunks.select("id", "document_id"), "id").select("query_id", "rank", "id", "document_id")
+    return P.full_text(t.index, texts(t), k)
 
 
 def hybrid(t, limit=10):
@@ -42,12 +40,13 @@ def hybrid(t, limit=10):
 
 
 VEC = search_sql("SELECT * FROM embedded_chunks", k=50, threshold=0.05)
-KEY = f"SELECT query_id, rank, id, document_id FROM (SELECT query_id, id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY length(content) DESC, id)::INT AS rank FROM chunks, (SELECT query_id, {of(TOKENS)} AS tokens FROM {WVALUES}) WHERE len(tokens) > 0 AND len(list_filter(tokens, lambda t: NOT contains(lower(content), t))) = 0) WHERE rank <= 50"
-FUSED = f"""v AS ({VEC}), k AS ({KEY}),
+KEY = f"SELECT query_id, rank, id, document_id FROM ({full_text_sql('SELECT id, content FROM chunks', 50, queries='hybrid_queries')}) JOIN (SELECT id, document_id FROM chunks) USING (id)"
+FUSE = """
  b AS (SELECT query_id, id, coalesce(v.document_id, k.document_id) AS document_id, v.rank AS vr, k.rank AS kr, count(v.rank) OVER (PARTITION BY query_id) = 0 AS lone FROM v FULL JOIN k USING (query_id, id)),
  r AS (SELECT *, round(coalesce(CASE WHEN lone THEN 0.1 ELSE 0.7 END::DOUBLE / (60 + vr), 0) + coalesce(CASE WHEN lone THEN 0.9 ELSE 0.3 END::DOUBLE / (60 + kr), 0), 9) AS s FROM b),
  d AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY s DESC, id) AS n FROM r),
  f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)::INT AS rank, max(s) OVER (PARTITION BY query_id) AS top FROM d WHERE n <= 3)"""
+FUSED = f"v AS ({VEC}), k AS ({KEY}),{FUSE}"
 FINAL = "SELECT query_id, rank, id, document_id, round(s / top, 6) AS score, concat_ws(',', CASE WHEN vr IS NOT NULL THEN 'vector' END, CASE WHEN kr IS NOT NULL THEN 'keyword' END) AS sources FROM f WHERE rank <= {0}"
 register("E01_rank_fusion", lambda t: hybrid(t, 20), f"WITH {FUSED} {FINAL.format(20)}")
 register("E02_diversified", lambda t: E.diversified(vector_branch(t).withColumn("score", F.col("similarity"))).select("query_id", "id", "document_id"), f"WITH v AS ({VEC}) SELECT query_id, id, document_id FROM v QUALIFY row_number() OVER (PARTITION BY query_id, document_id ORDER BY similarity DESC, id) <= 3")
@@ -63,24 +62,51 @@ DAYS = "date_diff('second', created_at, TIMESTAMP '2024-03-01') / 86400.0::DOUBL
 dated = lambda t: vector_branch(t).join(t.docs.select(F.col("id").alias("document_id"), "created_at"), "document_id")
 register("E05_time_decay", lambda t: dated(t).select("query_id", "id", F.round(E.decayed(F.col("similarity"), F.when(F.col("document_id") % 3 > 0, F.col("created_at")), as_of_()), 9).alias("score")), f"WITH v AS ({VEC}) SELECT query_id, v.id, round(CASE WHEN document_id % 3 > 0 THEN similarity * exp(-0.1 * {DAYS}) ELSE similarity END, 9) AS score FROM v JOIN docs d ON d.id = document_id")
 register("E06_quality_threshold", lambda t: hybrid(t, 50).where("score >= 0.9").select("query_id", "id"), f"WITH {FUSED}, z AS ({FINAL.format(50)}) SELECT query_id, id FROM z WHERE score >= 0.9")
-register("E07_hybrid_search", lambda t: hybrid(t).join(t.chunks.select("id", F.substring("content", 1, 200).alias("preview")), "id"), f"WITH {FUSED}, z AS ({FINAL.format(10)}) SELECT z.*, substring(content, 1, 200) AS preview FROM z JOIN chunks USING (id)")
+
+
+def tenant_hybrid(t):
+    """Hybrid search of each query within its tenant, with the beginnings of the chunks found."""
+    docs = t.docs.select(F.col("id").alias("document_id"), "tenant_slug", "source")
+    chunks = t.embedded_chunks.join(docs, "document_id")
+    found = E.hybrid_search(t.hybrid_queries, chunks, t.index, index_block)
+    return found.join(t.chunks.select("id", F.substring("content", 1, 200).alias("preview")), "id")
+
+
+#: The four gates in turn: text strategies over chunks without vectors, the two fused branches, containment of the query.
+OWN = "SELECT e.*, d.tenant_slug, d.source FROM embedded_chunks e JOIN docs d ON d.id = e.document_id"
+HYBRID = f"""WITH own AS ({OWN}),
+ plain AS ({strategies_sql("SELECT id, content, tenant_slug FROM own WHERE embedding IS NULL AND source = 'bypass_upload'", 0.05, 10, 'hybrid_queries', 'tenant_slug')}),
+ rest AS (SELECT * FROM hybrid_queries WHERE query_id NOT IN (SELECT query_id FROM plain)),
+ v AS (SELECT query_id, id, document_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::INT AS rank FROM (
+   SELECT query_id, id, document_id, {SIM} AS similarity FROM own JOIN rest USING (tenant_slug) WHERE embedding IS NOT NULL AND qv IS NOT NULL) WHERE similarity >= 0.05) WHERE rank <= 50),
+ k AS (SELECT query_id, rank, id, document_id FROM ({full_text_sql('SELECT id, content, tenant_slug FROM own', 50, queries='rest', strict=True, scope=', tenant_slug')}) JOIN (SELECT id, document_id FROM chunks) USING (id)),{FUSE},
+ z AS ({FINAL.format(10)}),
+ last AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY id)::INT AS rank, id, document_id FROM own JOIN rest USING (tenant_slug)
+   WHERE embedding IS NOT NULL AND contains(lower(content), lower(query)) AND query_id NOT IN (SELECT query_id FROM z)),
+ found AS (SELECT query_id, rank, id, document_id, score, 'bypass' AS sources FROM plain JOIN (SELECT id, document_id FROM chunks) USING (id)
+   UNION ALL SELECT query_id, rank, id, document_id, score, sources FROM z
+   UNION ALL SELECT query_id, rank, id, document_id, 1.0, 'fallback' FROM last WHERE rank <= 10)
+ SELECT found.*, substring(content, 1, 200) AS preview FROM found JOIN (SELECT id, content FROM chunks) USING (id)"""
+register("E07_hybrid_search", tenant_hybrid, HYBRID)
 
 
 def candidates(t, k=12):
-    """Vector hits with the vectors, texts and times that rerankers read."""
+    """Vector hits with the vectors, texts and times that rerankers read; what they compare with is the query's neighbour."""
     v = vector_branch(t, k).join(t.vectors, "document_id").join(t.chunks.select("id", "content"), "id").join(t.docs.select(F.col("id").alias("document_id"), "created_at"), "document_id")
-    other = asked(t, 10).where("query_id >= 5").select((F.col("query_id") - 5).alias("query_id"), "qv")
-    return v.join(F.broadcast(other), "query_id").join(F.broadcast(texts(t)), "query_id")
+    other = t.load("embeddings").where("vec_id % 100 = 1").select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").cast("array<double>").alias("qv"))
+    return v.join(other, "query_id").join(texts(t), "query_id")
 
 
-CAND = f"SELECT v.*, e.embedding, c.content, d.created_at, q.qv, w.query FROM ({search_sql('SELECT * FROM embedded_chunks', k=12, threshold=0.05)}) v JOIN vectors e USING (document_id) JOIN chunks c ON c.id = v.id JOIN docs d ON d.id = v.document_id JOIN (SELECT query_id - 5 AS query_id, qv FROM ({ASKED.format(n=10)}) WHERE query_id >= 5) q USING (query_id) JOIN {WVALUES} USING (query_id)"
+OTHER = "SELECT vec_id - 1 AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 1"
+CAND = f"""SELECT v.*, e.embedding, c.content, d.created_at, q.qv, w.query FROM ({search_sql('SELECT * FROM embedded_chunks', k=12, threshold=0.05)}) v
+  JOIN vectors e USING (document_id) JOIN chunks c ON c.id = v.id JOIN docs d ON d.id = v.document_id JOIN ({OTHER}) q USING (query_id) JOIN (SELECT query_id, query FROM hybrid_queries) w USING (query_id)"""
 register("E08_semantic_rerank", lambda t: E.semantic_rerank(candidates(t)), f"WITH c AS ({CAND}), s AS (SELECT query_id, id, rank AS old, {SIM} AS score FROM c), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old, id)::INT AS rank FROM s) SELECT query_id, id, rank, old - rank AS rank_change, score FROM n")
 register("E09_pseudo_cross_encoder", lambda t: candidates(t).select("query_id", "id", V.local_embedding(F.concat("query", F.lit(" [SEP] "), F.substring("content", 1, 512)), 16).alias("v")).select("query_id", "id", F.round(E.pseudo_cross_score(F.col("v")), 9).alias("score")), f"WITH c AS ({CAND}), v AS (SELECT query_id, id, list_transform(range(16), lambda i: round((('0x' || substring(sha1(query || ' [SEP] ' || substring(content, 1, 512) || '|' || i), 1, 8))::BIGINT % 1000000) / 500000.0::DOUBLE - 1, 6)) AS v FROM c) SELECT query_id, id, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, sqrt(list_sum(list_transform(v, lambda x: x * x))) * list_var_pop(v) / 100)), 9) AS score FROM v")
 QW = r"list_distinct(regexp_extract_all(lower(query), '[a-z''-]+'))"
 LEX = rf"coalesce(len(list_intersect({QW}, regexp_extract_all(lower(content), '[a-z''-]+')))::DOUBLE / nullif(len({QW}), 0), 0)"
 PEN = "SELECT a.query_id, a.id, round(coalesce(sum(list_cosine_similarity(a.embedding, b.embedding) * 0.1::DOUBLE * (1 - (b.rank - 1) / a.n::DOUBLE)), 0), 6) AS penalty FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM c) a LEFT JOIN c b ON a.query_id = b.query_id AND b.rank < a.rank GROUP BY 1, 2"
 register("E10_hybrid_rerank", lambda t: E.hybrid_rerank(candidates(t), as_of_()), f"WITH c AS ({CAND}), p AS ({PEN}), s AS (SELECT query_id, id, round(similarity * 0.5 + {LEX} * 0.3 + exp(-{DAYS} / 30) * 0.1 - penalty, 6) AS score FROM c JOIN p USING (query_id, id)) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, score FROM s")
-register("E11_lexical_share", lambda t: t.chunks.join(F.broadcast(texts(t)), F.lit(True)).select("query_id", "id", F.round(E.lexical_share(F.col("query"), F.col("content")), 6).alias("score")), f"SELECT query_id, id, round({LEX}, 6) AS score FROM chunks, {WVALUES}")
+register("E11_lexical_share", lambda t: candidates(t).select("query_id", "id", F.round(E.lexical_share(F.col("query"), F.col("content")), 6).alias("score")), f"SELECT query_id, id, round({LEX}, 6) AS score FROM ({CAND})")
 register("E12_recency", lambda t: t.docs.select("id", F.round(E.recency(F.col("created_at"), as_of_()), 9).alias("score")), f"SELECT id, round(exp(-{DAYS} / 30), 9) AS score FROM docs")
 register("E13_diversity_penalty", lambda t: E.diversity_penalty(candidates(t)), f"WITH c AS ({CAND}) {PEN}")
 register("E14_marginal_relevance", lambda t: E.mmr(candidates(t)))
@@ -109,7 +135,12 @@ def bullets(t):
 
 
 register("E23_bullet_selection", bullets)
-register("E24_jaccard", lambda t: t.queries.alias("a").join(t.queries.alias("b"), F.col("a.query_id") < F.col("b.query_id")).select(F.col("a.query_id").alias("a"), F.col("b.query_id").alias("b"), F.round(T.jaccard(T.plain_tokens(F.col("a.query")), T.plain_tokens(F.col("b.query"))), 6).alias("score")), f"SELECT a.query_id AS a, b.query_id AS b, round(len(list_intersect(a.x, b.x))::DOUBLE / nullif(len(list_distinct(a.x || b.x)), 0), 6) AS score FROM (SELECT query_id, {of(PLAIN)} AS x FROM search_queries) a JOIN (SELECT query_id, {of(PLAIN)} AS x FROM search_queries) b ON a.query_id < b.query_id")
+register(
+    "E24_jaccard",
+    lambda t: candidates(t).select("query_id", "id", F.round(T.jaccard(T.plain_tokens(F.col("query")), T.plain_tokens(F.col("content"))), 6).alias("score")),
+    f"""SELECT query_id, id, round(coalesce(len(list_intersect(a, b))::DOUBLE / nullif(len(list_distinct(a || b)), 0), 0), 6) AS score
+      FROM (SELECT query_id, id, {of(PLAIN)} AS a, {of(PLAIN, 'content')} AS b FROM ({CAND}))""",
+)
 register("E25_search_comparison", lambda t: t.metrics.where("type = 'query'").groupBy("query_hash").agg(F.avg(F.when(F.col("strategy") == "vector", F.col("duration_ms"))).alias("a"), F.avg("duration_ms").alias("b"), F.count_if("success").alias("n"), rows_().alias("m")).select("query_hash", E.compared(F.coalesce("a", F.lit(100.0)), F.coalesce("b", F.lit(0.0)), F.col("n"), F.lit(20)).alias("c")).select("query_hash", "c.*"), "SELECT query_hash, CASE WHEN a < b THEN 'first' WHEN b < a THEN 'second' ELSE 'tie' END AS faster, CASE WHEN n > 20 THEN 'first' WHEN 20 > n THEN 'second' ELSE 'tie' END AS more FROM (SELECT query_hash, coalesce(avg(duration_ms) FILTER (WHERE strategy = 'vector'), 100.0) AS a, avg(duration_ms) AS b, count(*) FILTER (WHERE success) AS n FROM rag_metrics WHERE type = 'query' GROUP BY 1)")
 register("E26_conversation_history", lambda t: E.history(t.load("conversations")).select("conv_id", F.md5("history").alias("digest"), "next_turn"), "SELECT conv_id, md5(string_agg(CASE role WHEN 'user' THEN 'Human: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY turn)) AS digest, count(*) FILTER (WHERE role = 'user') + 1 AS next_turn FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1")
 register("E27_response_pieces", lambda t: t.chunks.where("ord = 0").select("id", F.posexplode(E.word_pieces(E.cleaned(F.concat(F.lit("Answer: "), F.col("content"))))).alias("pos", "piece")).select("id", "pos", F.md5("piece").alias("digest")), r"SELECT id, unnest(range(len(range(1, len(w) + 1, 10))))::INT AS pos, unnest(list_transform(range(1, len(w) + 1, 10), lambda i: md5(array_to_string(w[i:i + 9], ' ') || ' '))) AS digest FROM (SELECT id, string_split(trim(replace(replace(replace(regexp_replace('Answer: ' || content, '\s+', ' ', 'g'), 'Answer:', ''), 'Response:', ''), 'Based on the context:', '')), ' ') AS w FROM chunks WHERE ord = 0)")

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from tessera.functions import queries as Q
 from tessera.functions import text as T
 from tessera.operators import lexical as L
+from tessera.operators import postings as P
+from tessera.sources.tables import index_block
 
 from .registry import register
 
@@ -43,19 +45,19 @@ def of(expr, column="query"):
 ALL_TOKENS = TOKENS.replace(f"w NOT IN ({STOP}) AND ", "")
 
 
-def full_text_sql(chunks, k, all_and=False, cap=False):
-    """SQL of the token-set search over chunks (a query with id and content)."""
+def full_text_sql(chunks, k, cap=False, queries="search_queries", strict=False, scope=""):
+    """SQL of the token-set search of all search queries over chunks (a query with id and content, and a scope if asked for)."""
     t = of(TOKENS)
     score = "least(score, 1.0)" if cap else "score"
-    return rf"""WITH q AS (SELECT query_id, list_filter(t, lambda x, i: list_position(t, x) = i) AS tokens FROM (SELECT query_id, {t} AS t FROM {VALUES})),
+    return rf"""WITH q AS (SELECT query_id{scope}, list_filter(t, lambda x, i: list_position(t, x) = i) AS tokens FROM (SELECT query_id{scope}, {t} AS t FROM {queries})),
  i AS (SELECT *, list_filter(tokens, lambda x: length(x) > 3 AND NOT regexp_matches(x, '^\d+$')) AS important FROM q),
- a AS (SELECT query_id, tokens, CASE WHEN len(tokens) <= 3 THEN tokens ELSE important END AS strict, CASE WHEN len(tokens) <= 3 THEN [] ELSE important[1:2] END AS two FROM i),
- w AS (SELECT query_id, strict, two, unnest(tokens) AS token FROM a),
- p AS (SELECT id, n, token, count(*) AS tf FROM (SELECT id, len(x) AS n, unnest(x) AS token FROM (SELECT id, {of(ALL_TOKENS, 'content')} AS x FROM ({chunks}))) GROUP BY ALL),
- h AS (SELECT query_id, id, sum(ln(1 + tf)) AS s, any_value(n) AS n, any_value(strict) AS strict, any_value(two) AS two, count(*) FILTER (WHERE list_contains(strict, token)) AS ns, count(*) FILTER (WHERE list_contains(two, token)) AS nt FROM p JOIN w USING (token) GROUP BY 1, 2),
+ a AS (SELECT query_id{scope}, tokens, CASE WHEN len(tokens) <= 3 THEN tokens ELSE important END AS strict, CASE WHEN len(tokens) <= 3 THEN [] ELSE important[1:2] END AS two FROM i),
+ w AS (SELECT query_id{scope}, strict, two, unnest(tokens) AS token FROM a),
+ p AS (SELECT id{scope}, n, token, count(*) AS tf FROM (SELECT id{scope}, len(x) AS n, unnest(x) AS token FROM (SELECT id{scope}, {of(ALL_TOKENS, 'content')} AS x FROM ({chunks}))) GROUP BY ALL),
+ h AS (SELECT query_id, id, sum(ln(1 + tf)) AS s, any_value(n) AS n, any_value(strict) AS strict, any_value(two) AS two, count(*) FILTER (WHERE list_contains(strict, token)) AS ns, count(*) FILTER (WHERE list_contains(two, token)) AS nt FROM p JOIN w USING (token{scope}) GROUP BY 1, 2),
  l AS (SELECT *, CASE WHEN len(strict) > 0 AND ns = len(strict) THEN 1 WHEN len(two) = 2 AND nt = 2 THEN 2 ELSE 3 END AS lv, round(s / (1 + ln(n)), 6) AS score FROM h),
  m AS (SELECT *, min(lv) OVER (PARTITION BY query_id) AS best FROM l),
- r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM m WHERE lv <= best)
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM m WHERE lv <= best{' AND lv = 1' * strict})
  SELECT query_id, best AS level, rank, id, {score} AS score FROM r WHERE rank <= {k}"""
 
 
@@ -63,10 +65,11 @@ PLACES = "list_transform(list_filter(list_filter(terms, lambda x, i: list_positi
 WORD = r"CASE WHEN len(terms) = 0 THEN 0.0 ELSE list_sum(list_transform(terms, lambda w: CASE WHEN contains(c, w) THEN 1.0::DOUBLE + CASE WHEN regexp_matches(content, '(?i)(^|[.!?]\s+)' || regexp_escape(w)) THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(content, '(?im)^\s*\d+\.\s*.*' || regexp_escape(w)) THEN 0.2 ELSE 0 END ELSE 0 END)) / len(terms) END"
 
 
-def strategies_sql(chunks, threshold, k):
-    """SQL of the scored text strategies over chunks."""
-    return rf"""WITH a AS (SELECT query_id, trim(lower(query)) AS q, {of(TERMS, 'trim(lower(query))')} AS terms, regexp_extract(trim(lower(query)), '(\d+)\s*motivos?', 1) AS num FROM {VALUES} WHERE query <> ''),
- x AS (SELECT a.*, id, content, lower(content) AS c FROM ({chunks}), a), y AS (SELECT *, string_split(q, ' ') AS parts, {PLACES} AS pl FROM x),
+def strategies_sql(chunks, threshold, k, queries=VALUES, scope=""):
+    """SQL of the scored text strategies over chunks; with a scope, of the chunks that share it."""
+    pairs = f"JOIN a USING ({scope})" if scope else ", a"
+    return rf"""WITH a AS (SELECT query_id{', ' + scope if scope else ''}, trim(lower(query)) AS q, {of(TERMS, 'trim(lower(query))')} AS terms, regexp_extract(trim(lower(query)), '(\d+)\s*motivos?', 1) AS num FROM {queries} WHERE query <> ''),
+ x AS (SELECT query_id, q, terms, num, id, content, lower(content) AS c FROM ({chunks}) {pairs}), y AS (SELECT *, string_split(q, ' ') AS parts, {PLACES} AS pl FROM x),
  z AS (SELECT query_id, id, [round(CASE WHEN contains(c, q) THEN 1.0 ELSE 0.0 END::DOUBLE, 6), round(len(list_filter(parts, lambda w: contains(c, w)))::DOUBLE / len(parts) * 0.9, 6), round({WORD} * 0.8::DOUBLE, 6),
    round(CASE WHEN num = '' THEN 0.0 WHEN regexp_matches(c, num || '\s*motivos?') THEN 0.95 WHEN regexp_matches(c, '(?m)^\s*' || num || '\.\s*') THEN 0.8 ELSE 0.0 END::DOUBLE * 0.7, 6),
    round(CASE WHEN len(terms) >= 2 AND len(pl) >= 2 THEN greatest(0.0::DOUBLE, 1 - list_sum(list_transform(range(1, len(pl)), lambda i: abs(pl[i + 1] - pl[i])))::DOUBLE / (len(pl) - 1) / 1000) ELSE 0 END * 0.6, 6)] AS v FROM y),
@@ -80,9 +83,47 @@ register("D02_raw_tokens", lambda t: t.load("documents").select("doc_id", F.size
 register("D03_plain_tokens", lambda t: t.load("documents").select("doc_id", F.size(T.plain_tokens(F.col("text"))).alias("n"), F.md5(F.array_join(T.plain_tokens(F.col("text")), " ")).alias("digest")), f"SELECT doc_id, len({of(PLAIN, 'text')})::INT AS n, md5(array_to_string({of(PLAIN, 'text')}, ' ')) AS digest FROM documents")
 register("D04_search_terms", per_query(lambda: dict(terms=F.array_join(T.search_terms(query_()), "|"))), f"SELECT query_id, array_to_string({of(TERMS)}, '|') AS terms FROM {VALUES}")
 register("D05_search_keywords", per_query(lambda: dict(n=F.size(F.array_distinct(T.search_terms(query_()))))), f"SELECT query_id, len(list_distinct({of(TERMS)}))::INT AS n FROM {VALUES}")
-register("D06_full_text", lambda t: L.full_text(t.chunks, asked(t), 5), full_text_sql("SELECT id, content FROM chunks", 5))
-register("D07_keyword_branch", lambda t: L.full_text(t.chunks.join(t.docs.where("tenant_slug = 'src3'").select(F.col("id").alias("document_id")), "document_id", "left_semi"), asked(t), 50).withColumn("score", F.least("score", F.lit(1.0))), full_text_sql("SELECT c.id, c.content FROM chunks c JOIN docs d ON d.id = c.document_id WHERE d.tenant_slug = 'src3'", 50, cap=True))
-register("D08_cover_rank", lambda t: L.full_text(t.chunks, asked(t), 10), full_text_sql("SELECT id, content FROM chunks", 10))
+register(
+    "D06_full_text",
+    lambda t: P.full_text(t.index, t.queries, 5).drop("document_id"),
+    full_text_sql("SELECT id, content FROM chunks", 5),
+)
+register(
+    "D06b_positional_index",
+    lambda t: t.index.groupBy("token").agg(
+        F.sum(F.size("hits")).alias("chunks"),
+        F.sum(F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + F.size(h["places"]))).alias("occurrences"),
+        F.round(F.max("top"), 6).alias("top"),
+    ),
+    f"""SELECT token, count(*) AS chunks, sum(tf)::BIGINT AS occurrences, round(max(ln(1 + tf) / (1 + ln(n))), 6) AS top FROM (
+      SELECT id, n, token, count(*) AS tf FROM (SELECT id, len(x) AS n, unnest(x) AS token FROM (SELECT id, {of(ALL_TOKENS, 'content')} AS x FROM chunks))
+      GROUP BY ALL) GROUP BY token""",
+)
+
+
+def tenant_documents(t, slug):
+    return t.docs.where(F.col("tenant_slug") == slug).select(F.col("id").alias("document_id"))
+
+
+def keyword_branch(t, slug, k=50):
+    """The keyword half of hybrid search within one tenant, scores held at 1."""
+    within = tenant_documents(t, slug)
+    found = P.full_text(t.index, t.queries, k, within, within.select(index_block(F.col("document_id")).alias("block")).distinct())
+    return found.drop("document_id").withColumn("score", F.least("score", F.lit(1.0)))
+
+
+TENANT_CHUNKS = "SELECT c.id, c.content FROM chunks c JOIN docs d ON d.id = c.document_id WHERE d.tenant_slug = '{0}'"
+register("D07_keyword_branch", lambda t: keyword_branch(t, "src3"), full_text_sql(TENANT_CHUNKS.format("src3"), 50, cap=True))
+
+
+def syntax_queries(t):
+    """All search queries as they stand and, under ids from a million, with a phrase, an alternative and an exclusion."""
+    w = T.words(F.col("query"))
+    made = F.concat(F.lit('"'), F.get(w, F.lit(0)), F.lit(" "), F.get(w, F.lit(1)), F.lit('" '), F.get(w, F.lit(2)), F.lit(" OR "), F.get(w, F.lit(3)), F.lit(" -"), F.get(w, F.size(w) - 1))
+    return t.queries.unionByName(t.queries.select((F.col("query_id") + 1_000_000).alias("query_id"), made.alias("query")))
+
+
+register("D08_cover_rank", lambda t: P.cover_rank(t.index, syntax_queries(t), 10))
 
 
 def clean_query():

@@ -10,8 +10,11 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import kept
+
 CHUNK = 1000
 CHUNK_IDS = 1 << 20  # ids of one document's chunks
+DOCUMENTS_A_BLOCK = 16
 METRIC_TYPES = {"view": "query", "click": "embedding", "purchase": "generation", "signup": "performance", "error": "error"}
 
 
@@ -22,6 +25,11 @@ def lookup(pairs: dict, key: Column) -> Column:
     return out
 
 
+def index_block(document_id: Column) -> Column:
+    """The block of the positional index in which a document's chunks are."""
+    return F.floor(document_id / DOCUMENTS_A_BLOCK)
+
+
 class Tables:
     """The tables of one folder, read when asked for."""
 
@@ -42,7 +50,7 @@ class Tables:
             F.col("doc_id").alias("id"),
             F.col("source").alias("tenant_slug"),
             F.concat(F.lit("Document "), F.col("doc_id")).alias("title"),
-            F.when(F.col("doc_id") % 4 == 0, F.lit("bypass_upload")).otherwise(F.lit("file")).alias("source"),
+            F.when((F.col("doc_id") % 4 == 0) & F.rlike("source", F.lit("[02468]$")), F.lit("bypass_upload")).otherwise(F.lit("file")).alias("source"),
             "lang",
             F.col("text").alias("content"),
             (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("doc_id").cast("int"))).alias("created_at"),
@@ -157,12 +165,36 @@ class Tables:
 
     @cached_property
     def queries(self) -> DataFrame:
-        """(query_id, query): the first ten benchmark texts as search queries."""
-        return self.load("benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+        """(query_id, query): all benchmark texts as search queries."""
+        return self.load("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+    @cached_property
+    def hybrid_queries(self) -> DataFrame:
+        """(query_id, query, qv, tenant_slug): every vector whose id is divisible by 100, asked by its document's tenant.
+
+        Its text is the first four words of a benchmark text; the vector of every third is missing, as after a failed call.
+        """
+        items = self.load("benchmark").select("item_id", F.substring_index("text", " ", 4).alias("query"))
+        many = items.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("many"))
+        asked = self.load("embeddings").where("vec_id % 100 = 0").crossJoin(many)  # of one row
+        asked = asked.select(
+            F.col("vec_id").alias("query_id"), (F.floor(F.col("vec_id") / 100) % F.col("many")).alias("item_id"),
+            F.when(F.col("vec_id") % 300 > 0, F.col("embedding").cast("array<double>")).alias("qv"),
+        )
+        tenants = self.docs.select(F.col("id").alias("query_id"), "tenant_slug")
+        return asked.join(items, "item_id").join(tenants, "query_id").select("query_id", "query", "qv", "tenant_slug")
+
+    @cached_property
+    def index(self) -> DataFrame:
+        """The positional index of the chunks' tokens, built once in an application as long as the documents stay the same."""
+        from tessera.operators.postings import positional_index  # an operator, which the tables else don't need
+
+        make = lambda: positional_index(self.chunks, index_block(F.col("document_id"))).sortWithinPartitions("token", "block")
+        return kept(self.spark, "postings", [f"{self.dir}/documents.parquet"], make)
 
 
 DERIVED_SQL = {
-    "docs": "SELECT doc_id AS id, source AS tenant_slug, 'Document ' || doc_id AS title, CASE WHEN doc_id % 4 = 0 THEN 'bypass_upload' ELSE 'file' END AS source, lang, text AS content, TIMESTAMP '2024-01-01' + to_hours(doc_id) AS created_at FROM documents",
+    "docs": "SELECT doc_id AS id, source AS tenant_slug, 'Document ' || doc_id AS title, CASE WHEN doc_id % 4 = 0 AND regexp_matches(source, '[02468]$') THEN 'bypass_upload' ELSE 'file' END AS source, lang, text AS content, TIMESTAMP '2024-01-01' + to_hours(doc_id) AS created_at FROM documents",
     "chunks": "SELECT doc_id * 1048576 + ord AS id, doc_id AS document_id, ord::INT AS ord, substring(text, (ord * 1000 + 1)::BIGINT, 1000) AS content FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 1000 + 1)) AS ord FROM documents WHERE length(text) > 0)",
     "vectors": "SELECT d.doc_id AS document_id, e.embedding::DOUBLE[] AS embedding FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id",
     "embedded_chunks": "SELECT c.*, v.embedding FROM chunks c JOIN vectors v USING (document_id)",
@@ -175,5 +207,8 @@ DERIVED_SQL = {
     "ai_usage": "SELECT l_orderkey AS order_id, l_linenumber AS line, l_returnflag AS provider, (l_quantity * 100)::BIGINT AS input_tokens, (l_quantity * 10)::BIGINT AS output_tokens, l_shipdate AS ts FROM lineitem",
     "providers": "SELECT * FROM (VALUES ('A', 0.0005::DOUBLE, 0.0015::DOUBLE, 30.0::DOUBLE, 10.0::DOUBLE, 25.0::DOUBLE), ('N', 0.01, 0.03, 20.0, 15.0, 60.0), ('R', 0.0, 0.0, 50.0, 5.0, 90.0)) p(provider, input_cost, output_cost, base_markup, min_markup, max_markup)",
     "cache_ops": "SELECT event_id AS id, ts, 'rag:' || CASE event_type WHEN 'view' THEN 'search' WHEN 'click' THEN 'embedding' WHEN 'purchase' THEN 'answer' WHEN 'signup' THEN 'document' ELSE 'x' END || ':' || k AS key, k % 3 <> 0 AS hit, value / 10 AS latency_ms, trunc(value * 1000)::INT AS size_bytes, (k - 5) * 10000 AS ttl, k::BIGINT AS document_id FROM (SELECT *, (props ->> '$.k')::INT AS k FROM events)",
-    "search_queries": "SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id < 10",
+    "hybrid_queries": """SELECT vec_id AS query_id, array_to_string(string_split(benchmark.text, ' ')[1:4], ' ') AS query,
+      CASE WHEN vec_id % 300 > 0 THEN embedding::DOUBLE[] END AS qv, source AS tenant_slug
+      FROM embeddings JOIN benchmark ON item_id = (vec_id // 100) % (SELECT count(*) FROM benchmark) JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0""",
+    "search_queries": "SELECT item_id AS query_id, text AS query FROM benchmark",
 }
