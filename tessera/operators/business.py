@@ -109,23 +109,6 @@ def quota_state(used: Column, limit: Column, needed: Column) -> Column:
     )
 
 
-def charge_in_order(charges: DataFrame, limit: int, keys: tuple[str, ...], order: tuple[str, ...], amount: str, id_col: str) -> DataFrame:
-    """(id, accepted): charges against a quota in order, a rejected charge using nothing up.
-
-    Charges of one key are folded in one place; a key is one user's month, which bounds it.
-    """
-    one = F.struct(F.struct(*order).alias("order"), F.col(id_col).alias("id"), F.col(amount).cast("long").alias("amount"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id:bigint,accepted:boolean>>").alias("done"))
-
-    def step(acc, x):
-        fits = acc["used"] + x["amount"] <= limit
-        row = F.struct(x["id"].cast("bigint").alias("id"), fits.alias("accepted"))
-        return F.struct(F.when(fits, acc["used"] + x["amount"]).otherwise(acc["used"]).alias("used"), F.array_append(acc["done"], row).alias("done"))
-
-    folded = charges.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(one)), start, step, lambda a: a["done"]).alias("done"))
-    return folded.select(F.explode("done").alias("d")).select("d.id", "d.accepted")
-
-
 def current_subscription(payments: DataFrame) -> DataFrame:
     """What approvals in order leave each user with: the last approved payment's, with the number of replaced ones."""
     return payments.where(approved()).groupBy("user_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("payment_id"), (rows_() - 1).alias("replaced"))

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
+from .asof import asof_join
+from .folds import nested
+
 W = r"\p{L}\p{N}_"
 #: Common English words of the content score.
 COMMON = ("the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by")
@@ -143,18 +146,30 @@ def sections(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> D
     return joined.select("document_id", F.coalesce("number", F.lit(1)).alias("number"), F.coalesce("level", F.lit(1)).alias("level"), F.coalesce("title", F.lit("Document Content")).alias("title"), section_type(F.coalesce("title", F.lit(""))).alias("type"), "start", "stop", F.size(T.words(body)).alias("words"))
 
 
-DEEPEST = 24
+def parents(rows: DataFrame) -> DataFrame:
+    """Adds `path`, the numbers of the sections that a section lies in and its own, and `parent`, the innermost of them (null at the top).
 
+    A section lies in the last earlier one of a smaller level, however deep.
+    """
+    return nested(rows, ["document_id"], "number", "level").withColumn("parent", F.try_element_at("path", F.lit(-2)))
 
-def parents(rows: DataFrame) -> DataFrame:
-    """Adds `parent`, the number of the last earlier section of a smaller level (null at the top).
 
-    One running maximum for each level: the last number at that level before the row; the latest of those of smaller
-    levels is the parent. Sections DEEPEST levels deep and deeper have parents above that level.
+def contents(rows: DataFrame) -> DataFrame:
+    """(document_id, number, depth, title, type, start, words): the table of contents, by depth of nesting and not by level."""
+    return parents(rows).select("document_id", "number", F.size("path").alias("depth"), "title", "type", "start", "words")
+
+
+def navigation(rows: DataFrame) -> DataFrame:
+    """(document_id, number, node, title, type, start, parent, children, below): the tree as rows, each node with its children in order.
+
+    below: how many sections lie in a node at any depth.
     """
-    order = Window.partitionBy("document_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    seen = [F.when(F.col("level") > k, F.max(F.when(F.col("level") == k, F.col("number"))).over(order)) for k in range(1, DEEPEST)]
-    return rows.withColumn("parent", F.greatest(*seen))
+    tree = parents(rows)
+    inner = tree.where("parent IS NOT NULL").groupBy("document_id", F.col("parent").alias("number")).agg(F.sort_array(F.collect_list("number")).alias("children"))
+    below = tree.select("document_id", F.explode("path").alias("number")).groupBy("document_id", "number").agg((F.count(F.lit(1)) - 1).alias("below"))
+    nodes = tree.join(inner, ["document_id", "number"], "left").join(below, ["document_id", "number"])
+    node = F.concat(F.lit("section_"), F.col("start").cast("string")).alias("node")
+    return nodes.select("document_id", "number", node, "title", "type", "start", "parent", F.coalesce("children", F.array().cast("array<int>")).alias("children"), "below")
 
 
 def balance(rows: DataFrame) -> DataFrame:
@@ -402,9 +417,9 @@ def located(issues: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
 
 
 def in_sections(issues: DataFrame, secs: DataFrame) -> DataFrame:
-    """Failures with the title of the section that holds their position: an equi join on the document, the range as its rest."""
-    s = secs.select(F.col("document_id").alias("_d"), "title", "start", "stop")
-    return issues.join(s, (issues.document_id == s._d) & (issues.position >= s.start) & (issues.position < s.stop), "left").drop("_d", "start", "stop").withColumn("title", F.coalesce("title", F.lit("Unknown section")))
+    """Failures with the title of the section that holds their position: the last one that starts no later."""
+    found = asof_join(issues, secs.select("document_id", "start", "number", "title"), ["document_id"], "position", "start", ["number"])
+    return found.withColumn("title", F.coalesce("match.title", F.lit("Unknown section"))).drop("match")
 
 
 def hierarchy_check(secs: DataFrame) -> DataFrame:

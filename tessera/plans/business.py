@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from tessera.operators import business as B
+from tessera.operators.asof import asof_join
+from tessera.operators.folds import charged
 from tessera.operators.usage import at, percent
 
 from .registry import register
@@ -71,7 +73,41 @@ def used_this_month(t):
 
 
 register("H44_quota_check", lambda t: used_this_month(t).select("id", B.quota_state(F.col("used"), F.col("tokens_limit"), F.lit(500)).alias("q")).select("id", "q.*"), f"SELECT id, tokens_limit = -1 OR used + 500 <= tokens_limit AS allowed, CASE WHEN tokens_limit = -1 THEN -1 ELSE greatest(0, tokens_limit - used) END::BIGINT AS remaining, CASE WHEN tokens_limit = -1 THEN 0.0 ELSE round(used * 100.0::DOUBLE / tokens_limit, 2) END::DOUBLE AS used_percent FROM ({USED})")
-register("H44b_quota_charges", lambda t: B.charge_in_order(t.usage.join(t.payments.select(F.col("id").alias("order_id"), "user_id"), "order_id").withColumn("month", F.date_format("ts", "yyyy-MM")).withColumn("charge", F.col("order_id") * 10 + F.col("line")), 4000, ("user_id", "month"), ("ts", "charge"), "input_tokens", "charge"))
+
+
+def charges(t):
+    """(charge, user_id, month, ts, input_tokens): each use of tokens, by the user whose order it belongs to."""
+    used = t.usage.join(t.payments.select(F.col("id").alias("order_id"), "user_id"), "order_id")
+    return used.select((F.col("order_id") * 10 + F.col("line")).alias("charge"), "user_id", F.date_format("ts", "yyyy-MM").alias("month"), "ts", "input_tokens")
+
+
+register(
+    "H44b_quota_charges",
+    lambda t: charged(charges(t), 4000, ["user_id", "month"], ["ts", "charge"], "input_tokens", "charge"),
+    """WITH RECURSIVE e AS (
+      SELECT order_id * 10 + line AS charge, (o_custkey, strftime(ts, '%Y-%m')) AS who, input_tokens AS cost,
+        row_number() OVER (PARTITION BY o_custkey, strftime(ts, '%Y-%m') ORDER BY ts, order_id * 10 + line) AS n
+      FROM ai_usage JOIN orders ON o_orderkey = order_id),
+    f AS (
+      SELECT who, n, charge, CASE WHEN cost <= 4000 THEN cost ELSE 0 END AS used, cost <= 4000 AS accepted FROM e WHERE n = 1
+      UNION ALL
+      SELECT e.who, e.n, e.charge, CASE WHEN used + cost <= 4000 THEN used + cost ELSE used END, used + cost <= 4000 FROM f JOIN e ON e.who = f.who AND e.n = f.n + 1)
+    SELECT charge, accepted FROM f""",
+)
+
+
+def subscribed(t):
+    """(charge, subscription): the subscription that was the user's latest when tokens were used."""
+    subscriptions = t.subscriptions.select("user_id", "starts_at", F.col("id").alias("subscription"))
+    found = asof_join(charges(t).select("charge", "user_id", "ts"), subscriptions, ["user_id"], "ts", "starts_at", ["subscription"])
+    return found.select("charge", F.col("match.subscription").alias("subscription"))
+
+
+register(
+    "H45b_subscription_as_of", subscribed,
+    """SELECT charge, subscription FROM (SELECT order_id * 10 + line AS charge, o_custkey AS user_id, ts FROM ai_usage JOIN orders ON o_orderkey = order_id) u
+      ASOF LEFT JOIN (SELECT user_id, starts_at, max(id) AS subscription FROM subscriptions GROUP BY 1, 2) s ON u.user_id = s.user_id AND u.ts >= s.starts_at""",
+)
 register("H45_subscription_state", lambda t: t.subscriptions.select("id", B.is_active("2000-06-01 00:00:00").alias("active"), B.days_left("2000-06-01 00:00:00").alias("days_left"), F.date_format(B.renewed(), "yyyy-MM-dd").alias("renewed_until")), "SELECT id, status = 'active' AND ends_at > TIMESTAMP '2000-06-01' AS active, greatest(0, date_diff('day', DATE '2000-06-01', ends_at::DATE))::INT AS days_left, strftime(CASE billing_cycle WHEN 'monthly' THEN ends_at + INTERVAL 1 MONTH ELSE ends_at + INTERVAL 1 YEAR END, '%Y-%m-%d') AS renewed_until FROM subscriptions")
 register("H46_payment_approval", lambda t: B.current_subscription(t.payments), "SELECT user_id, arg_max(id, (created_at, id)) AS payment_id, count(*) - 1 AS replaced FROM payments WHERE status = 'approved' GROUP BY 1")
 JOB = "SELECT event_id, user_id, ts, (props ->> '$.k')::INT AS k FROM events"

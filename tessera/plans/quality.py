@@ -114,6 +114,21 @@ BALANCE = "SELECT document_id, count(*) AS depth, round(1 / (1 + var_pop(n) / av
 register("G06_headers", found, f"WITH {HEADERS} SELECT * FROM headers")
 register("G07_sections", secs, f"WITH {SECTIONS} SELECT * FROM sections")
 register("G08_hierarchy", lambda t: G.parents(secs(t)).select("document_id", "number", "level", "parent"), f"WITH {SECTIONS} SELECT s.document_id, s.number, s.level, max(p.number) AS parent FROM sections s LEFT JOIN sections p ON p.document_id = s.document_id AND p.number < s.number AND p.level < s.level GROUP BY 1, 2, 3")
+#: The tree by recursion from the top.
+TREE = f"""{SECTIONS},
+ up AS (SELECT s.document_id, s.number, max(p.number) AS parent FROM sections s LEFT JOIN sections p ON p.document_id = s.document_id AND p.number < s.number AND p.level < s.level GROUP BY 1, 2),
+ tree AS (SELECT document_id, number, parent, [number] AS path FROM up WHERE parent IS NULL
+   UNION ALL SELECT u.document_id, u.number, u.parent, list_append(t.path, u.number) FROM tree t JOIN up u ON u.document_id = t.document_id AND u.parent = t.number)"""
+register("G08c_contents", lambda t: G.contents(secs(t)), f"WITH RECURSIVE {TREE} SELECT document_id, number, len(path)::INT AS depth, title, type, start, words FROM tree JOIN sections USING (document_id, number)")
+register(
+    "G08d_navigation",
+    lambda t: G.navigation(secs(t)).withColumn("children", F.array_join(F.transform("children", lambda c: c.cast("string")), ",")),
+    f"""WITH RECURSIVE {TREE},
+      inner_nodes AS (SELECT document_id, parent AS number, string_agg(number, ',' ORDER BY number) AS children FROM tree WHERE parent IS NOT NULL GROUP BY 1, 2),
+      under AS (SELECT document_id, number, count(*) - 1 AS below FROM (SELECT document_id, unnest(path) AS number FROM tree) GROUP BY 1, 2)
+      SELECT document_id, number, 'section_' || start AS node, title, type, start, parent, coalesce(children, '') AS children, below
+      FROM tree JOIN sections USING (document_id, number) LEFT JOIN inner_nodes USING (document_id, number) JOIN under USING (document_id, number)""",
+)
 register("G08b_balance", lambda t: G.balance(secs(t)), f"WITH {SECTIONS} {BALANCE}")
 CITES, URLS, DOIS = r"\[[\p{L}\p{N}_\s,.-]+\]|\([A-Za-z]+,?\s*\d{4}\)", r"https?://[^\s]+", r"(?i)doi:\s*[\d./]+"
 EL = {"numbered": r"(?m)^\s*\d+[.)]\s+", "bulleted": r"(?m)^\s*[-*•]\s+", "lettered": r"(?m)^\s*[a-zA-Z][.)]\s+", "pipe_tables": r".*\|.*\|.*", "tab_tables": r".*\t.*\t.*", "code_blocks": r"(?s)```.*?```", "keywords": r"\b(?:def|function|class|import|return|if|else|for|while)\b"}

@@ -42,6 +42,8 @@ def with_derived(sql: str) -> str:
         return sql
     front = ", ".join(f"{n} AS ({DERIVED_SQL[n]})" for n in needed)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {front}, {body[15:]}"
     return f"WITH {front}, {body[4:]}" if body[:5].upper() == "WITH " else f"WITH {front} {body}"
 
 

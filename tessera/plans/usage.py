@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import caching as C
 from tessera.operators import usage as U
+from tessera.operators.folds import burst_limited
 
 from .registry import register
 
@@ -64,6 +65,18 @@ register("H27b_histogram", lambda t: U.histogram(t.metrics.withColumn("seconds",
 register("H28_recent_points", lambda t: U.recent_points(t.metrics, "type", 86_400, B, 40).select("id", "type"), f"SELECT id, type FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY ts DESC, id DESC) AS n FROM rag_metrics) WHERE n <= 40 AND ts >= TIMESTAMP '{B}' - INTERVAL 86400 SECONDS")
 register("H29_request_metrics", lambda t: t.metrics.select("type", (F.element_at(F.array(*map(F.lit, (200, 201, 404, 500))), (F.col("query_hash") % 4 + 1))).alias("status")).groupBy(F.concat_ws(":", F.lit("http"), "type", F.col("status").cast("string")).alias("label")).agg(rows_().alias("requests"), F.count_if(F.col("status") >= 400).alias("errors")), "SELECT 'http:' || type || ':' || status AS label, count(*) AS requests, count(*) FILTER (WHERE status >= 400) AS errors FROM (SELECT type, ([200, 201, 404, 500])[query_hash % 4 + 1] AS status FROM rag_metrics) GROUP BY 1")
 register("H48_rate_limit", lambda t: U.rate_limited(t.metrics.withColumn("who", F.col("tenant_id")), "who", 1).select("id", "allowed"), "SELECT id, row_number() OVER (PARTITION BY tenant_id, date_trunc('minute', ts) ORDER BY ts, id) <= 1 AS allowed FROM rag_metrics")
+#: The rule as a fold, row by row: a counter for each hour, and one that ends an hour after the last allowed request.
+BURST_SQL = """WITH RECURSIVE e AS (
+      SELECT id, tenant_id AS who, epoch_us(ts) AS us, row_number() OVER (PARTITION BY tenant_id ORDER BY ts, id) AS n FROM rag_metrics),
+    f AS (
+      SELECT who, n, id, us // {window}000000 AS win, 1 AS c, 1 AS b, us AS last, true AS allowed FROM e WHERE n = 1
+      UNION ALL
+      SELECT who, n, id, win, c + ok::INT, b + ok::INT, CASE WHEN ok THEN us ELSE last END, ok FROM (SELECT *, c < {limit} AND b < {burst} AS ok FROM (
+        SELECT e.who, e.n, e.id, e.us, e.us // {window}000000 AS win, CASE WHEN e.us // {window}000000 = f.win THEN f.c ELSE 0 END AS c,
+          CASE WHEN e.us - f.last >= {idle}000000 THEN 0 ELSE f.b END AS b, f.last FROM f JOIN e ON e.who = f.who AND e.n = f.n + 1)))
+    SELECT id, allowed FROM f"""
+register("H48b_burst_limit", lambda t: burst_limited(t.metrics, "tenant_id", 1, 3), BURST_SQL.format(window=60, limit=1, burst=3, idle=60))
+register("H48c_hourly_burst_limit", lambda t: burst_limited(t.metrics, "tenant_id", 3, 10, 3600, 3600), BURST_SQL.format(window=3600, limit=3, burst=10, idle=3600))
 TYPE = "CASE WHEN contains(key, 'embedding') THEN 'embedding' WHEN contains(key, 'search') OR contains(key, 'query') THEN 'search' WHEN contains(key, 'generation') OR contains(key, 'answer') THEN 'generation' WHEN contains(key, 'rerank') THEN 'rerank' WHEN contains(key, 'document') THEN 'document' ELSE 'other' END"
 register("H49_cache_by_type", lambda t: C.by_type(t.cache_ops), f"SELECT {TYPE} AS type, count(*) AS ops, round(count(*) FILTER (WHERE hit) * 100.0::DOUBLE / count(*), 2) AS hit_rate, round(avg(latency_ms), 4) AS avg_latency FROM cache_ops GROUP BY 1")
 register("H50_cache_key", lambda t: t.queries.select("query_id", C.cache_key(F.col("query"), F.col("query_id"), F.lit("auto"), F.lit("plain"), F.lit(2), F.lit(5)).alias("key")), r"SELECT query_id, md5(trim(regexp_replace(lower(query), '\s+', ' ', 'g')) || '|doc:' || query_id || '|mode:auto|format:plain|strictness:2|topk:5') AS key FROM search_queries")

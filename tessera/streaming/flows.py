@@ -6,31 +6,21 @@ gives the sink's rows; in service the same flow is started with a trigger instea
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.vectors import local_embedding
+from tessera.sources.storage import scratch
 
 
 def rows_():
     return F.count(F.lit(1))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, a local one under a local master alone."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir")
-    if not base and not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = base or tempfile.mkdtemp(prefix="tessera-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
     """A table's files as a stream; event times are read as TIMESTAMP, which watermarks ask for."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
@@ -41,13 +31,18 @@ def stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int |
     return out.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in schema.names else out
 
 
-def drained(flow: DataFrame, mode: str, size: int | None = None) -> DataFrame:
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def drained(flow: DataFrame, mode: str, size: int | None = None, rocks: bool = False, progress: list | None = None) -> DataFrame:
     """Runs a flow until its source is exhausted; the sink's rows, with the batch they came in.
 
     The sink is written by foreachBatch, each batch to a folder of its own number, so that a repeated batch replaces
-    itself; in complete mode the last batch is the result. With a size, batches go on in flushes of so many rows.
+    itself; in complete mode the last batch is the result. With a size, batches go on in flushes of so many rows. `rocks`
+    keeps the state in RocksDB, which state with timers asks for. `progress` gets what Spark reports of each batch.
     """
-    spark, path = flow.sparkSession, scratch(flow.sparkSession)
+    spark, path = flow.sparkSession, scratch(flow.sparkSession, "stream")
 
     def sink(batch: DataFrame, number: int) -> None:
         rows = batch.withColumn("batch", F.lit(number).cast("long"))
@@ -55,8 +50,16 @@ def drained(flow: DataFrame, mode: str, size: int | None = None) -> DataFrame:
             rows = rows.withColumn("flush", F.floor((F.monotonically_increasing_id() % (1 << 33)) / size))
         rows.write.mode("overwrite").parquet(f"{path}/rows/{0 if mode == 'complete' else number}")
 
-    query = flow.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    before = spark.conf.get(PROVIDER)
+    if rocks:
+        spark.conf.set(PROVIDER, ROCKS)
+    try:  # the setting is read when the query starts
+        query = flow.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(PROVIDER, before)
     query.awaitTermination()
+    if progress is not None:
+        progress += query.recentProgress
     schema = flow.schema.add("batch", "long")
     if size:
         schema = schema.add("flush", "long")
@@ -106,9 +109,45 @@ def first_seen(events: DataFrame, keys: list[str], within: str = "1 hour") -> Da
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(keys)
 
 
-def live_entries(events: DataFrame, ttl: str) -> DataFrame:
-    """(key, expires): when each cache entry ends, by its last write."""
-    return events.groupBy(F.concat(F.col("event_type"), F.lit(":"), F.col("user_id")).alias("key")).agg((F.max("ts") + F.expr(f"INTERVAL {ttl}")).alias("expires"))
+class Expiry(StatefulProcessor):
+    """Cache entries that end a time after their last write: one time of expiry for each key, and a timer at it.
+
+    A write at or after an entry's end finds it expired. An entry's end goes out once, when a later write or the
+    watermark passes it, and its state goes with it.
+    """
+
+    def __init__(self, seconds: int) -> None:
+        self.millis = seconds * 1000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.ends = handle.getValueState("ends", "ends long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        written = sorted(r["ms"] for r in rows)
+        ends = self.ends.get()[0] if self.ends.exists() else None
+        if ends is not None:
+            self.handle.deleteTimer(ends)
+        for at in written:
+            if ends is not None and at >= ends:
+                yield Row(key=key[0], ended=ends)
+            ends = max(ends or 0, at + self.millis)
+        self.ends.update((ends,))
+        self.handle.registerTimer(ends)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield Row(key=key[0], ended=self.ends.get()[0])
+        self.ends.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def expired_entries(events: DataFrame, seconds: int, delay: str = "1 hour") -> DataFrame:
+    """(key, ended): the end of each cache entry, in milliseconds, as soon as the watermark or a later write passes it."""
+    key = F.concat(F.col("event_type"), F.lit(":"), F.col("user_id")).alias("key")
+    writes = events.withWatermark("ts", delay).select(key, "ts", F.unix_millis("ts").alias("ms"))
+    return writes.groupBy("key").transformWithState(Expiry(seconds), "key string, ended long", "append", "EventTime")
 
 
 def embedded_rows(rows: DataFrame, dim: int = 8) -> DataFrame:
