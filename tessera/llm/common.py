@@ -69,7 +69,8 @@ class Buckets:
         """df, which has the column `row`, as the table `name`; the table that had this name before goes."""
         table = f"tessera_{name}_{uuid.uuid4().hex}"
         path = f"{shared_dir(self.spark)}/{table}"
-        df.repartition(self.number, "row").write.bucketBy(self.number, "row").option("path", path).saveAsTable(table)
+        # No more writers than buckets, so that no more files are written than these two multiplied.
+        df.repartition(self.number, "row").coalesce(self.number).write.bucketBy(self.number, "row").option("path", path).saveAsTable(table)
         self.forget(name)
         self.kept[name] = (table, path, df.schema)
         return self.spark.table(table)

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ ASSIGNED = "row long, id long, owner int, near long, cluster int, part int, size
 
 
 def _round(joined: DataFrame, stored: str, dims: int, kind: str, centroids: list[list[int]], changed: list[bool]) -> DataFrame:
-    """(row, id, owner, near) of every vector and, with a null row, each task's transfers (cluster, part, size, total)."""
+    """(row, id, owner, near) of every vector and, under rows below zero, each task's transfers (cluster, part, size, total)."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
@@ -103,7 +104,8 @@ def _round(joined: DataFrame, stored: str, dims: int, kind: str, centroids: list
             for part in range(max(map(len, parts), default=0)):
                 total = [p[part] if part < len(p) else 0 for p in parts]
                 if any(total) or (part == 0 and sizes[c]):
-                    rows.append((None, None, None, None, c, part, int(sizes[c]) if part == 0 else 0, total))
+                    row = -1 - (TaskContext.get().partitionId() << 32) - len(rows)  # of its own, so that no bucket gets them all
+                    rows.append((row, None, None, None, c, part, int(sizes[c]) if part == 0 else 0, total))
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -161,8 +163,8 @@ def lloyd(
         centroids = new
         if not any(changed):
             break
-        state = rows.join(assigned.where("row IS NOT NULL").select("row", "owner", "near"), "row")
-    out = tables.released("assigned").where("row IS NOT NULL")
+        state = rows.join(assigned.where("cluster IS NULL").select("row", "owner", "near"), "row")
+    out = tables.released("assigned").where("cluster IS NULL")
     tables.forget("vectors")
     return out.select("id", F.col("owner").alias("cluster"), F.col("near").alias("distance")), centroids
 
