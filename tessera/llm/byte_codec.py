@@ -23,7 +23,8 @@ from .common import written
 
 CHUNK, OVERLAP = 1 << 15, 512  # characters
 LOOK = 4  # characters before a chunk's end that can still change how a match before them ended
-MEMO, MEMO_CHARS = 300_000, 64
+MEMO, MEMO_CHARS = 100_000, 64
+ROWS = 256  # of a batch that is worked on at a time
 
 
 class Codec(dict):
@@ -105,6 +106,13 @@ def boundaries(text: str, start: int, pieces: list[str], last: bool) -> np.ndarr
     return start + (places if last else places[places <= len(text) - LOOK])
 
 
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what a task makes of them stays small whatever Arrow's batch size is."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _split(chunk: int, overlap: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,12 +132,12 @@ def _split(chunk: int, overlap: int):
     return split
 
 
-def _long(docs: DataFrame, ranks: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """(id, ids) of texts of more than one chunk."""
+def _long(docs: DataFrame, ranks: str, pattern: str, chunk: int, overlap: int, finish, schema: str) -> DataFrame:
+    """(id, ids) of texts of more than one chunk, as `finish` leaves them."""
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(ranks, pattern)
-        for batch in batches:
+        for batch in few(batches):
             cuts, head, tail = [], [], []
             for n, last, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 text, start = text.as_py(), n * chunk
@@ -142,7 +150,7 @@ def _long(docs: DataFrame, ranks: str, pattern: str, chunk: int, overlap: int) -
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(ranks, pattern)
-        for batch in batches:
+        for batch in few(batches):
             out = []
             for text, cuts, a, b in zip(batch.column(3), batch.column(4), batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
                 text, cuts = text.as_py(), cuts.values.to_numpy()
@@ -158,7 +166,7 @@ def _long(docs: DataFrame, ranks: str, pattern: str, chunk: int, overlap: int) -
                 yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], pa.int64()), pa.array([one.ids(one.pieces(text))], pa.binary())], ["id", "ids"])
 
     def joint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             rows = [b"".join(x.as_py() for x in parts.values) for parts in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["id", "ids"])
 
@@ -175,51 +183,60 @@ def _long(docs: DataFrame, ranks: str, pattern: str, chunk: int, overlap: int) -
     parts = chunks.join(sides, ["key", "n"]).select("key", "id", "n", "text", "cuts", F.coalesce(F.col("a") - shift, F.lit(0)).alias("a"), (F.col("b") - shift).alias("b"))
     parts = parts.mapInArrow(encoded, "key long, id long, n long, ids binary")
     ordered = lambda name: F.sort_array(F.collect_list(F.struct("n", name)))[name].alias("parts")  # noqa: E731  one document's
-    stitched = parts.groupBy("key", "id").agg(ordered("ids")).select("id", "parts").mapInArrow(joint, "id long, ids binary")
-    rest = chunks.join(apart, "key", "left_semi").groupBy("key", "id").agg(ordered("text")).select("id", "parts").mapInArrow(whole, "id long, ids binary")
+    stitched = parts.groupBy("key", "id").agg(ordered("ids")).select("id", "parts").mapInArrow(lambda x: finish(joint(x)), schema)
+    rest = chunks.join(apart, "key", "left_semi").groupBy("key", "id").agg(ordered("text")).select("id", "parts").mapInArrow(lambda x: finish(whole(x)), schema)
     return stitched.unionByName(rest)
 
 
 def encode(
-    docs: DataFrame, ranks: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, packed: bool = False, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, ranks: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, packed: bool = False, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id, ids): the token ids of each row's whole text, as an array or, `packed`, as little-endian unsigned 32-bit integers.
 
-    Each match of the pattern, which has to match every character, is encoded by itself; there are no special tokens.
-    Null and empty texts have no ids. Repeated rows come back repeated, an empty table gives an empty result, a null id
-    stays null, and other columns play no part. Texts of over `chunk` characters are pre-tokenised in pieces; the
-    overlap is at most a chunk. `ranks` is a path that executors can read. One document is in memory at a time.
+    `decoded` adds what decode() gives as `data`, in the same pass. Each match of the pattern, which has to match every
+    character, is encoded by itself; there are no special tokens. Null and empty texts have no ids. Repeated rows come
+    back repeated, an empty table gives an empty result, a null id stays null, and other columns play no part. Texts of
+    over `chunk` characters are pre-tokenised in pieces; the overlap is at most a chunk. `ranks` is a path that executors
+    can read. One document is in memory at a time.
     """
     if not LOOK < overlap <= chunk:
         raise ValueError("the overlap has to be over LOOK and at most a chunk")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(ranks, pattern)
-        for batch in batches:
+        for batch in few(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one.ids(one.pieces(t.as_py())) for t in batch.column(1)], pa.binary())], ["id", "ids"])
 
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = _decoder(ranks, pattern)(batches) if decoded else batches
+        return batches if packed else _unpacked(batches)
+
+    schema = f"id long, ids {'binary' if packed else 'array<long>'}" + ", data binary" * decoded
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    short = rows.where(F.length("text") <= chunk).mapInArrow(encoded, "id long, ids binary")
-    out = short.unionByName(_long(rows.where(F.length("text") > chunk), ranks, pattern, chunk, overlap))
-    return out if packed else out.mapInArrow(_unpacked, "id long, ids array<long>")
+    short = rows.where(F.length("text") <= chunk).mapInArrow(lambda x: finish(encoded(x)), schema)
+    return short.unionByName(_long(rows.where(F.length("text") > chunk), ranks, pattern, chunk, overlap, finish, schema))
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.frombuffer(x.as_py(), dtype="<u4").astype(np.int64) for x in batch.column(1)], pa.list_(pa.int64()))], ["id", "ids"])
+        ids = pa.array([np.frombuffer(x.as_py(), dtype="<u4").astype(np.int64) for x in batch.column(1)], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), ids, *batch.columns[2:]], batch.schema.names)
 
 
-def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """(id, ids, data): the raw bytes of ids, an array or packed; null ids give null. Bytes needn't be whole characters."""
-
+def _decoder(ranks: str, pattern: str):
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(ranks, pattern)
-        for batch in batches:
+        for batch in few(batches):
             rows = [None if x is None else one.text_bytes(np.frombuffer(x, dtype="<u4") if isinstance(x, bytes) else np.array(x, dtype=np.int64)) for x in (v.as_py() for v in batch.column(1))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], ["id", "ids", "data"])
 
+    return decoded
+
+
+def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """(id, ids, data): the raw bytes of ids, an array or packed; null ids give null. Bytes needn't be whole characters."""
     kind = encoded.schema["ids"].dataType.simpleString()
-    return encoded.select("id", "ids").mapInArrow(decoded, f"id long, ids {kind}, data binary")
+    return encoded.select("id", "ids").mapInArrow(_decoder(ranks, pattern), f"id long, ids {kind}, data binary")
 
 
 def byte_bpe_50k() -> dict[str, str]:
@@ -230,8 +247,7 @@ def byte_bpe_50k() -> dict[str, str]:
 
 
 def op11(spark, sf_dir: str) -> DataFrame:
-    public = byte_bpe_50k()
-    done = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), packed=True, **public), **public)
+    done = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), packed=True, decoded=True, **byte_bpe_50k())
     return done.select(
         F.col("id").alias("doc_id"), F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256")
     )
