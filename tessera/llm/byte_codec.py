@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,42 +24,118 @@ from .common import written
 
 CHUNK, OVERLAP = 1 << 15, 512  # characters
 LOOK = 4  # characters before a chunk's end that can still change how a match before them ended
-MEMO, MEMO_CHARS = 100_000, 64
+MEMO, MEMO_CHARS = 250_000, 64
+SHORT, NONE, SHIFT = 64, 1 << 62, 24  # bytes of a piece that is merged beside others; no rank; bits of an id in a pair
 ROWS = 256  # of a batch that is worked on at a time
 
 
-class Codec(dict):
-    """Ids of pieces, as little-endian unsigned 32-bit integers, by the ranks of a file; the mapping remembers short pieces.
+class Codec:
+    """Encoder and decoder by the ranks of a file. Ids of pieces are little-endian unsigned 32-bit integers, packed.
 
-    Two generations of memory are kept: when the younger is full it becomes the older, so that frequent pieces stay.
+    The pieces of a few texts are looked up together: those met before are remembered, in two generations (when the younger
+    is full it becomes the older), and new ones of one length are merged side by side as the rows of a matrix.
     """
 
     def __init__(self, ranks: str, pattern: str) -> None:
         import regex
 
-        super().__init__()
         with open(ranks, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.bytes_of = {i: b for b, i in self.ranks.items()}
+        self.bytes_of = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        joints = {}
+        for piece, i in self.ranks.items():
+            self.bytes_of[i] = piece
+            for at in range(1, len(piece)):
+                left, right = self.ranks.get(piece[:at]), self.ranks.get(piece[at:])
+                if left is not None and right is not None:
+                    joints[left << SHIFT | right] = i
+        self.keys = np.array(sorted(joints), dtype=np.int64)
+        self.joints = np.array([joints[k] for k in self.keys.tolist()], dtype=np.int64)
+        self.first = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.pieces_of = regex.compile(pattern).findall
+        self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = np.array(self.merged(piece.encode()), dtype="<u4").tobytes()
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def merged(self, data: bytes) -> list[int]:
-        """Merges the adjacent parts whose joint bytes have the lowest rank, the leftmost first, until none have one."""
-        whole = self.ranks.get(data)
-        if whole is not None:
-            return [whole]
+    def pieces(self, text: str) -> list[str]:
+        found = self.pieces_of(text)
+        if sum(map(len, found)) != len(text):
+            raise ValueError("the pattern has to match every character")
+        return found
+
+    def ids(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of texts given by their pieces."""
+        if len(self.memo) > MEMO:
+            self.older, self.memo = self.memo, {}
+        memo, older, new = self.memo, self.older, []
+        for piece in set().union(*texts).difference(memo):
+            known = older.get(piece)
+            if known is None:
+                new.append(piece)
+            else:
+                memo[piece] = known
+        memo.update(zip(new, self.merged([p.encode() for p in new]), strict=True))
+        out = [b"".join(map(memo.__getitem__, t)) for t in texts]
+        for piece in new:
+            if len(piece) > MEMO_CHARS:
+                del memo[piece]
+        return out
+
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """Merges the adjacent parts of each piece whose joint bytes have the lowest rank, the leftmost first, until none have one."""
+        out, by_length = [b""] * len(pieces), {}
+        for i, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                out[i] = struct.pack("<I", whole)
+            elif len(piece) > SHORT:
+                out[i] = np.array(self.merged_long(piece), dtype="<u4").tobytes()
+            else:
+                by_length.setdefault(len(piece), []).append(i)
+        for places in by_length.values():
+            for at, ids in self.merged_together([pieces[i] for i in places]):
+                packed, size = ids.astype("<u4").tobytes(), 4 * ids.shape[1]
+                for n, i in enumerate(at.tolist()):
+                    out[places[i]] = packed[n * size : n * size + size]
+        return out
+
+    def joint(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of parts, NONE where they have none."""
+        keys = left << SHIFT | right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.joints[at], NONE)
+
+    def merged_together(self, pieces: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, ids) of pieces of one length of two bytes and more, in groups of as many ids.
+
+        Every piece that isn't done loses one part in a turn, so that the rows stay of one length.
+        """
+        parts = self.first[np.frombuffer(b"".join(pieces), dtype=np.uint8)].reshape(len(pieces), -1)
+        places, ranks = np.arange(len(pieces)), self.joint(parts[:, :-1], parts[:, 1:])
+        while len(places):
+            if parts.shape[1] == 1:
+                yield places, parts
+                return
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(at)), at]
+            done = best == NONE
+            if done.any():
+                yield places[done], parts[done]
+                places, parts, ranks, at, best = (x[~done] for x in (places, parts, ranks, at, best))
+            rows, width = np.arange(len(at)), parts.shape[1]
+            parts[rows, at] = best
+            kept = np.ones(parts.shape, dtype=bool)
+            kept[rows, at + 1] = False
+            parts = parts[kept].reshape(len(rows), width - 1)
+            kept = np.ones(ranks.shape, dtype=bool)
+            kept[rows, at] = False
+            ranks = ranks[kept].reshape(len(rows), width - 2)
+            some = np.flatnonzero(at < width - 2)
+            ranks[some, at[some]] = self.joint(parts[some, at[some]], parts[some, at[some] + 1])
+            some = np.flatnonzero(at > 0)
+            ranks[some, at[some] - 1] = self.joint(parts[some, at[some] - 1], parts[some, at[some]])
+
+    def merged_long(self, data: bytes) -> list[int]:
+        """Ids of one piece, merged with a queue, so that one of any length takes little more time than its length."""
         n, rank = len(data), self.ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # where the next part starts, and the one before
         queue = [(r, i, i + 2) for i in range(n - 1) if (r := rank(data[i : i + 2])) is not None]
@@ -82,15 +159,6 @@ class Codec(dict):
             i = ends[i]
         return out
 
-    def pieces(self, text: str) -> list[str]:
-        found = self.pieces_of(text)
-        if sum(map(len, found)) != len(text):
-            raise ValueError("the pattern has to match every character")
-        return found
-
-    def ids(self, pieces: list[str]) -> bytes:
-        return b"".join(map(self.__getitem__, pieces))
-
     def text_bytes(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
@@ -155,15 +223,15 @@ def _long(docs: DataFrame, ranks: str, pattern: str, chunk: int, overlap: int, f
             for text, cuts, a, b in zip(batch.column(3), batch.column(4), batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
                 text, cuts = text.as_py(), cuts.values.to_numpy()
                 own = cuts[(cuts >= a) & (cuts <= (len(text) if b is None else b))].tolist()
-                out.append(one.ids([text[x:y] for x, y in zip(own, own[1:], strict=False)]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["key", "id", "n", "ids"])
+                out.append([text[x:y] for x, y in zip(own, own[1:], strict=False)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(one.ids(out), pa.binary())], ["key", "id", "n", "ids"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(ranks, pattern)
         for batch in batches:
             for i, texts in zip(batch.column(0), batch.column(1), strict=True):
                 text = "".join(t[:chunk] for t in (x.as_py() for x in texts.values))
-                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], pa.int64()), pa.array([one.ids(one.pieces(text))], pa.binary())], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], pa.int64()), pa.array(one.ids([one.pieces(text)]), pa.binary())], ["id", "ids"])
 
     def joint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few(batches):
@@ -205,7 +273,7 @@ def encode(
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(ranks, pattern)
         for batch in few(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one.ids(one.pieces(t.as_py())) for t in batch.column(1)], pa.binary())], ["id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one.ids([one.pieces(t.as_py()) for t in batch.column(1)]), pa.binary())], ["id", "ids"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = _decoder(ranks, pattern)(batches) if decoded else batches

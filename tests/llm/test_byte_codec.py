@@ -53,17 +53,24 @@ def test_stitched_chunks(spark, library, chunk, overlap):
 @given(st.text(st.characters(codec="utf-8"), max_size=60))
 def test_any_text(library, text):
     one = byte_codec.codec(**PUBLIC)
-    ids = one.ids(one.pieces(text))
+    (ids,) = one.ids([one.pieces(text)])
     assert np.frombuffer(ids, dtype="<u4").tolist() == library(text)
     assert one.text_bytes(np.frombuffer(ids, dtype="<u4")) == text.encode()
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("abcehilnorst ", min_size=1, max_size=64), max_size=20))
+def test_both_ways_of_merging(texts):
+    one, pieces = byte_codec.codec(**PUBLIC), [t.encode() for t in texts]
+    assert one.merged(pieces) == [np.array(one.merged_long(p), dtype="<u4").tobytes() for p in pieces]
+
+
 def test_long_piece_and_memory(library, monkeypatch):
     monkeypatch.setattr(byte_codec, "MEMO", 3)
     one = byte_codec.Codec(**PUBLIC)
     for text in ("ab" * 20_000, "one two three four five one two", "漢" * 5000):
-        assert np.frombuffer(one.ids(one.pieces(text)), dtype="<u4").tolist() == library(text)
-    assert len(one) <= 3
+        assert np.frombuffer(one.ids([one.pieces(text)])[0], dtype="<u4").tolist() == library(text)
+    assert len(one.memo) < 9 and not any(len(p) > byte_codec.MEMO_CHARS for p in one.memo)
 
 
 def test_odd_rows(spark, library):
