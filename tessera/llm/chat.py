@@ -8,7 +8,7 @@ code-point ranges of the masked role's texts in the output.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, BREAK, CLOSE = "<turn:", "<turn/>", "</turn>\n"
@@ -42,18 +42,25 @@ def format_chats(
     one task; turns of different conversations don't.
     """
     text, role = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(role_col).cast("string"), F.lit(""))
-    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
-    order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    before = F.lag("role").over(order)
-    lead = F.when(before.isNull(), _head(F.col("role"))).when(before == F.col("role"), F.lit(BREAK)).otherwise(F.concat(F.lit(CLOSE), _head(F.col("role"))))
-    pieces = rows.select("conv", "turn", "role", "text", F.row_number().over(order).alias("n"), lead.alias("lead"), escape(F.col("text")).alias("body"))
-    ends = F.sum(F.length("lead") + F.length("body")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    span = F.struct((ends - F.length("body")).cast("int").alias("start"), F.length("body").alias("length"))
-    pieces = pieces.select("conv", F.struct("n", F.concat("lead", "body").alias("piece"), F.when(F.col("role") == loss_role, span).alias("span")).alias("one"))
-    sorted_pieces = pieces.groupBy("conv").agg(F.sort_array(F.collect_list("one")).alias("pieces"))
-    return sorted_pieces.select(
-        "conv", F.concat(F.array_join("pieces.piece", ""), F.lit(CLOSE)).alias("formatted"), F.array_compact("pieces.span").alias("loss")
-    )
+    rows = turns.select(F.col(conv_col).alias("conv"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text")).alias("one"))
+    collected = rows.groupBy("conv").agg(F.sort_array(F.collect_list("one")).alias("turns"))
+    # Where a role begins, and where the next one does: a block is the slice of turns between the two.
+    role_at = lambda i: F.get("turns", i)["role"]
+    firsts = collected.withColumn("firsts", F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (role_at(i) != role_at(i - 1))))
+    lasts = F.concat(F.slice("firsts", 2, F.size("firsts") - 1), F.array(F.size("turns")))
+    bodies = lambda a, b: F.transform(F.slice("turns", a + 1, b - a), lambda x: escape(x["text"]))
+    merged = firsts.select("conv", F.zip_with("firsts", lasts, lambda a, b: F.struct(role_at(a).alias("role"), bodies(a, b).alias("bodies"))).alias("blocks"))
+    pieces = merged.withColumn("pieces", F.transform("blocks", lambda b: F.concat(_head(b["role"]), F.array_join(b["bodies"], BREAK), F.lit(CLOSE))))
+
+    def spans(block: Column, at: Column) -> Column:
+        begin = at + F.length(_head(block["role"]))
+        offsets = running(F.transform(block["bodies"], lambda x: (F.length(x) + len(BREAK)).cast("long")))
+        return F.zip_with(block["bodies"], offsets, lambda x, o: F.struct((begin + o).cast("int").alias("start"), F.length(x).alias("length")))
+
+    starts = running(F.transform("pieces", lambda p: F.length(p).cast("long")))
+    none = F.array().cast("array<struct<start:int,length:int>>")
+    loss = F.flatten(F.zip_with("blocks", starts, lambda b, at: F.when(b["role"] == loss_role, spans(b, at)).otherwise(none)))
+    return pieces.select("conv", F.array_join("pieces", "").alias("formatted"), loss.alias("loss"))
 
 
 def _bound(value: Column, use) -> Column:
@@ -61,6 +68,23 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def running(sizes: Column) -> Column:
+    """For each element of an array of longs the sum of those before it.
+
+    Sums are kept for stretches of about as many elements as there are stretches, so that n elements take n times the root
+    of n additions and no array grows element by element.
+    """
+    added = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def of(x: Column, side: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(x) - 1) / side).cast("int"))), lambda i: added(F.slice(x, i * side + 1, side)))
+        before = lambda y: F.transform(y, lambda _, i: added(F.slice(y, 1, i)))
+        whole = lambda i: F.floor(i / side).cast("int")
+        return _bound(_bound(sums, before), lambda o: F.transform(x, lambda _, i: F.get(o, whole(i)) + added(F.slice(x, whole(i) * side + 1, i % side))))
+
+    return _bound(sizes, lambda x: _bound(F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x)))).cast("int"), lambda side: of(x, side)))
+
+
 def masked_texts(formatted: Column, loss: Column) -> Column:
     """Array of the texts, unescaped, under a loss mask; the output is cut into blocks once, and a text out of these."""
     starts = F.sequence(F.lit(0), F.floor(F.length(formatted) / BLOCK).cast("int"))
