@@ -59,16 +59,22 @@ class Model:
         return self.langs[best], float(p[best]), bool(p[best] < self.least)
 
 
-def fit(texts: list[str], langs: list[str], epochs: int = 30, rate: float = 1.0, seed: int = 1) -> Model:
-    """Trains on four fifths of the rows, calibrates on the rest (on all, if that is none)."""
+def shares(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that hold some of the text's subwords, and their shares of all."""
+    counts = subword_counts(text)
+    held = np.flatnonzero(counts)
+    return held.astype(np.uint16), (counts[held] / max(1.0, counts.sum())).astype(np.float32)
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int = 30, rate: float = 1.0, seed: int = 1) -> Model:
+    """Trains on four fifths of the rows, given by their shares(), calibrates on the rest (on all, if that is none)."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    x = np.empty((len(texts), BUCKETS), dtype=np.float32)
-    for i, t in enumerate(texts):
-        c = subword_counts(t)
-        x[i] = c / max(1.0, c.sum())
+    x = np.zeros((len(rows), BUCKETS), dtype=np.float32)
+    for i, (held, share) in enumerate(rows):
+        x[i, held] = share
     y = np.array([names.index(v) for v in langs])
     order = rng.permutation(len(y))
     train, held = order[len(y) // 5 :], order[: len(y) // 5]
@@ -108,18 +114,24 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     """Fits on a sample of about per_lang rows of each language and `rows` in all at most, chosen by a hash of id and text.
 
     Rows without text, without letters or without a language take no part. No such rows: the model knows no language and
-    predicts `und` alone.
+    predicts `und` alone. Subwords are counted where the rows lie; six bytes for each bucket in use, of BUCKETS, come to the
+    driver for a row.
     """
-    usable = docs.where(F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in usable.groupBy(F.col(lang_col).cast("string")).count().collect()}
-    quota = min(per_lang, max(1, rows // max(1, len(counts))))
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, quota / n))).otherwise(share)
+    usable = docs.select(*dict.fromkeys((id_col, text_col, lang_col))).where(F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
+    named = usable.withColumn("__tessera_lang", F.col(lang_col).cast("string"))
+    counts = named.groupBy("__tessera_lang").agg(F.count(F.lit(1)).alias("__tessera_n"))
+    quota = min(per_lang, max(1, rows // max(1, counts.count())))
     hashed = F.pmod(F.xxhash64(F.lit("lang"), id_col, text_col), F.lit(1_000_003)) / 1_000_003
-    sample = usable.where(hashed < share).select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(text_col, id_col).alias("h"))
-    picked = sample.orderBy("h", "l", "t").limit(rows).collect()
-    return fit([r["t"] for r in picked], [r["l"] for r in picked])
+    sample = named.join(counts, "__tessera_lang").where(hashed < F.least(F.lit(1.0), F.lit(quota) / F.col("__tessera_n")))
+    sample = sample.select(F.col(text_col).alias("t"), F.col("__tessera_lang").alias("l"), F.xxhash64(text_col, id_col).alias("h"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shares(t.as_py()) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (0, 1))], ["l", "held", "share"])
+
+    picked = sample.orderBy("h", "l", "t").limit(rows).mapInArrow(counted, "l string, held binary, share binary").collect()
+    return fit([(np.frombuffer(r["held"], dtype=np.uint16), np.frombuffer(r["share"], dtype=np.float32)) for r in picked], [r["l"] for r in picked])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

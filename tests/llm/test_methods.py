@@ -311,7 +311,7 @@ def test_language_held_out(spark):
 
 
 def test_rejection_is_calibrated():
-    model = langid.fit(["the cat and the dog " * 5] * 40 + ["der hund und die katze " * 5] * 40, ["en"] * 40 + ["de"] * 40)
+    model = langid.fit([langid.shares(t * 5) for t in ["the cat and the dog "] * 40 + ["der hund und die katze "] * 40], ["en"] * 40 + ["de"] * 40)
     assert model.predict("the dog")[0] == "en"
     assert model.predict(None) == ("und", 0.0, True)
     assert model.predict("12 34")[0] == "und"
@@ -487,3 +487,45 @@ def test_a_long_conversation(spark):
     assert [t.text for t in out.turns] == [text(i) for i in range(20_000)]
     assert out.masked == [text(i) for i in range(20_000) if i % 3]
     assert [s.start for s in out.loss] == sorted(s.start for s in out.loss)
+
+
+def test_running_sums(spark):
+    from tessera.llm import chat
+
+    for n in (1, 2, 3, 10, 100, 1000):
+        sizes = [(i * 7919) % 23 for i in range(n)]
+        df = spark.createDataFrame([(sizes,), ([],)], "x array<long>").coalesce(1)
+        got = [list(r.s) for r in df.select(chat.running(F.col("x")).alias("s")).collect()]
+        assert got == [[sum(sizes[:i]) for i in range(n)], []]
+
+
+def slow_language(model, text):
+    """The model's answer by the definition: every n-gram's embedding looked up and averaged one by one."""
+    if not model.langs or not text or not re.search(r"[^\W\d_]", text):
+        return "und", 0.0
+    data, total, n_grams = (" " + text.lower() + " ").encode("utf-8", "replace"), [0.0] * len(model.langs), 0
+    for n in range(1, 5):
+        for i in range(len(data) - n + 1):
+            value = int.from_bytes(data[i : i + n], "big")
+            bucket = ((value * 2_654_435_761 + n * 40_503) & 0xFFFFFFFF) >> 20
+            n_grams += 1
+            for k in range(len(model.langs)):
+                total[k] += model.table[bucket, k]
+    z = [(t / n_grams + b) / model.temperature for t, b in zip(total, model.bias, strict=True)]
+    e = [np.exp(v - max(z)) for v in z]
+    p = [v / sum(e) for v in e]
+    return model.langs[p.index(max(p))], max(p)
+
+
+def test_language_by_the_definition(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000")
+    model = langid.train(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in langid.identify(docs, model).collect():
+        lang, p = slow_language(model, texts[r.id])
+        assert r.lang_pred == lang and abs(r.score - p) < 1e-9
+
+
+def test_language_tie_goes_to_the_first_name():
+    model = langid.Model(["aa", "bb"], np.zeros((langid.BUCKETS, 2)), np.zeros(2), 1.0, 0.0)
+    assert model.predict("some text") == ("aa", 0.5, False)
