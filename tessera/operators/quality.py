@@ -226,14 +226,30 @@ def is_failure(name: str, content: str) -> bool:
     return name != "large_whitespace_gap" or len(content) > 20
 
 
-def failures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+#: Signs of bad character recognition: kind, name, severity, confidence, pattern; letters stand for either case.
+OCR = (
+    ("ocr_failure", "vertical_line_confusion", "medium", 0.8, "[Il1|]{3,}"), ("ocr_failure", "zero_letter_confusion", "medium", 0.7, "[O0]{4,}"), ("ocr_failure", "rn_m_confusion", "medium", 0.75, "rn[^a-z]"),
+    ("ocr_failure", "cl_d_confusion", "medium", 0.7, "[^a-z]cl[^a-z]"), ("ocr_failure", "letter_number_mix", "medium", 0.6, r"\b[a-z]{1,2}[0-9]+[a-z]*\b"), ("ocr_failure", "no_spaces_long_string", "medium", 0.8, r"[^\s]{20,}"),
+)
+#: Least number of sections by size of the file (upper bounds), and by type.
+LEAST_SECTIONS, LEAST_BY_TYPE = ((10_000, 1), (50_000, 2), (200_000, 3), (None, 5)), {"pdf": 2, "docx": 1, "doc": 1}
+#: Words of a section that is too short, the deepest level that is looked at, and its confidence.
+SHORT_WORDS, SHORT_LEVEL, SHORT_SURE = 10, 2, 0.7
+#: A text is expected to have a character for so many bytes, and so many at least; shares of that, their names, severities and confidences.
+BYTES_A_CHARACTER, LEAST_CHARACTERS = 100, 100
+INCOMPLETE = ((0.1, "severely_incomplete", "critical", 0.9), (0.5, "potentially_incomplete", "high", 0.7))
+ISSUE = ["document_id", "kind", "pattern", "severity", "position", "content", "confidence"]
+
+
+def failures(docs: DataFrame, id_col: str, text_col: str, table: tuple = FAILURES, flags: int = 0) -> DataFrame:
     """(document_id, kind, pattern, severity, position, content, confidence): every match of every failure pattern that counts."""
-    compiled = [(k, n, s, b, regex.compile(p)) for k, n, s, b, p in FAILURES]
+    compiled = [(k, n, s, b, regex.compile(p, flags)) for k, n, s, b, p in table]
+    flat = (*FLAT, *(n for k, n, *_ in table if k == "ocr_failure"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                (i, k, n, s, m.start(), m[0], base if n in FLAT else min(0.95, base * (0.5 + 0.5 * min(1.0, len(m[0]) / 10))))
+                (i, k, n, s, m.start(), m[0], base if n in flat else min(0.95, base * (0.5 + 0.5 * min(1.0, len(m[0]) / 10))))
                 for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for k, n, s, base, p in compiled for m in p.finditer(t.as_py() or "") if is_failure(n, m[0])
             ]
             columns = list(zip(*rows, strict=True)) or [()] * 7
@@ -243,6 +259,53 @@ def failures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(found, "document_id long, kind string, pattern string, severity string, position int, content string, confidence double")
 
 
+def ocr_failures(docs: DataFrame, id_col: str, text_col: str, kind: Column) -> DataFrame:
+    """Signs of bad character recognition, in the texts of PDF files alone."""
+    return failures(docs.where(F.lower(kind) == "pdf"), id_col, text_col, OCR, regex.IGNORECASE)
+
+
+def least_sections(kind: Column, size: Column) -> Column:
+    by_size = F.lit(LEAST_SECTIONS[-1][1])
+    for below, n in reversed(LEAST_SECTIONS[:-1]):
+        by_size = F.when(size < below, n).otherwise(by_size)
+    return F.greatest(by_size, pick(F.lower(kind), LEAST_BY_TYPE, 0))
+
+
+def _issue(kind: str, pattern, severity, position: Column, content: Column, confidence) -> list[Column]:
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    values = (F.lit(kind), as_column(pattern), as_column(severity), position.cast("int"), content, as_column(confidence))
+    return ["document_id", *(v.alias(n) for v, n in zip(values, ISSUE[1:], strict=True))]
+
+
+def structure_loss(files: DataFrame, secs: DataFrame) -> DataFrame:
+    """Documents with fewer sections than their file's type and size let expect. files: (document_id, kind, size)."""
+    counted = files.join(secs.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")), "document_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    found = F.concat(F.lit("Only "), F.col("n").cast("string"), F.lit(" sections found"))
+    return counted.where(F.col("n") < least_sections(F.col("kind"), F.col("size"))).select(*_issue("structure_loss", "insufficient_sections", "high", F.lit(0), found, 0.8))
+
+
+def short_sections(secs: DataFrame) -> DataFrame:
+    """Sections of the upper levels with few words."""
+    short = secs.where((F.col("words") < SHORT_WORDS) & (F.col("level") <= SHORT_LEVEL))
+    return short.select(*_issue("content_gaps", "short_section", "medium", F.col("start"), F.col("title"), SHORT_SURE))
+
+
+def incomplete(files: DataFrame) -> DataFrame:
+    """Texts that are short for the size of their file. files: (document_id, text, size); files without a size are left out."""
+    chars, wanted = F.length(T.strip(F.col("text"))), F.greatest(F.lit(LEAST_CHARACTERS), F.floor(F.col("size") / BYTES_A_CHARACTER))
+    (few, name, severity, sure), (half, name2, severity2, sure2) = INCOMPLETE
+    severe = chars < wanted * few
+    content = F.concat(F.when(severe, "Only ").otherwise(""), chars.cast("string"), F.lit(" characters extracted"))
+    either = lambda a, b: F.when(severe, a).otherwise(b)
+    return files.where((F.col("size") > 0) & (chars < wanted * half)).select(*_issue("incomplete_extraction", either(name, name2), either(severity, severity2), F.lit(0), content, either(sure, sure2)))
+
+
+def all_failures(files: DataFrame, secs: DataFrame) -> DataFrame:
+    """Failures of every kind. files: (document_id, text, kind, size); secs: their sections."""
+    parts = [failures(files, "document_id", "text"), ocr_failures(files, "document_id", "text", F.col("kind")), structure_loss(files, secs), short_sections(secs), incomplete(files)]
+    return reduce(lambda a, b: a.unionByName(b), (p.select(*ISSUE) for p in parts))
+
+
 def failure_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(document_id, pattern, n), in the JVM, for patterns that occur."""
     bars = lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit("")))

@@ -174,6 +174,19 @@ def recent_points(df: DataFrame, key: str, seconds: int, as_of: str, keep: int =
     return held.where(F.col("ts") >= at(as_of) - F.make_dt_interval(secs=F.lit(seconds)))
 
 
+LG_K = 14  # of a sketch's registers: a relative standard error of about 0.65 in 100
+
+
+def hourly_sketches(metrics: DataFrame, column: str) -> DataFrame:
+    """(hour, tenant_id, sketch): mergeable sketches of the distinct values of a column; small sets are counted exactly."""
+    return metrics.where(F.col(column).isNotNull()).groupBy(F.date_trunc("hour", "ts").alias("hour"), "tenant_id").agg(F.hll_sketch_agg(column, LG_K).alias("sketch"))
+
+
+def distinct_from(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, estimate): distinct values of any set of hours, from their sketches alone."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+
+
 def rate_limited(df: DataFrame, identity: str, limit: int) -> DataFrame:
     """Adds `allowed`: the first `limit` requests of an identity in each minute. Rejected ones use nothing up."""
     order = Window.partitionBy(identity, F.date_trunc("minute", "ts")).orderBy("ts", "id")

@@ -77,10 +77,10 @@ register("F08_key_values", lambda t: A.key_values(t.load("documents").withColumn
 
 
 def said():
-    return F.when(F.col("document_id") % 3 == 0, F.concat(F.lit("a “"), F.substring("content", 1, 30), F.lit("” b"))).when(F.col("document_id") % 3 == 1, content()).otherwise("")
+    return F.when(F.col("document_id") % 3 == 0, F.concat(F.lit("a “"), F.substring_index("content", "\n", 1), F.lit("” b"))).when(F.col("document_id") % 3 == 1, content()).otherwise("")
 
 
-register("F09_quote", lambda t: t.chunks.where("ord = 0").select("id", F.md5(A.quote(said())).alias("digest")), rf"WITH c AS (SELECT id, CASE document_id % 3 WHEN 0 THEN 'a “' || substring(content, 1, 30) || '” b' WHEN 1 THEN content ELSE '' END AS t FROM chunks WHERE ord = 0), q AS (SELECT id, {of(TRIM, "regexp_extract(t, '[“" + chr(34) + "]([^\n]*?)[”" + chr(34) + "]', 1)")} AS a, coalesce(({of(SENT, 't')})[1], '') AS b, {of(TRIM, 'substring(t, 1, 220)')} AS c FROM c) SELECT id, md5('“' || CASE WHEN a <> '' THEN a WHEN b <> '' THEN b WHEN c <> '' THEN c ELSE '{A.NO_QUOTE}' END || '”') AS digest FROM q")
+register("F09_quote", lambda t: t.chunks.select("id", F.md5(A.quote(said())).alias("digest")), rf"WITH c AS (SELECT id, CASE document_id % 3 WHEN 0 THEN 'a “' || split_part(content, chr(10), 1) || '” b' WHEN 1 THEN content ELSE '' END AS t FROM chunks), q AS (SELECT id, {of(TRIM, "regexp_extract(t, '[“" + chr(34) + "]([^\n]*?)[”" + chr(34) + "]', 1)")} AS a, coalesce(({of(SENT, 't')})[1], '') AS b, {of(TRIM, 'substring(t, 1, 220)')} AS c FROM c) SELECT id, md5('“' || CASE WHEN a <> '' THEN a WHEN b <> '' THEN b WHEN c <> '' THEN c ELSE '{A.NO_QUOTE}' END || '”') AS digest FROM q")
 register("F10_best_chunk", best, BEST)
 register("F11_list_cut", lambda t: t.load("documents").select("doc_id", *(F.size(F.slice(F.split("text", "\n"), 1, n)).alias(k) for k, n in A.LIST_ITEMS.items())), "SELECT doc_id, least(6, n)::INT AS short, least(15, n)::INT AS medium FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents)")
 

@@ -132,11 +132,23 @@ register(
 )
 register("H55_document_listing", lambda t: B.with_chunk_counts(t.docs, t.chunks).select("id", "title", "tenant_slug", "chunks"), "SELECT d.id, title, tenant_slug, coalesce(n, 0) AS chunks FROM docs d LEFT JOIN (SELECT document_id, count(*) AS n FROM chunks GROUP BY 1) c ON c.document_id = d.id")
 register("H56_preview", lambda t: t.chunks.where("document_id = 7").orderBy("ord").limit(5).select("ord", F.substring("content", 1, 600).alias("preview")), "SELECT ord, substring(content, 1, 600) AS preview FROM chunks WHERE document_id = 7 ORDER BY ord LIMIT 5")
-CONFIG = [("ai_cost_multiplier", "1.5", "float"), ("max_upload_mb", "25", "integer"), ("signup_open", "true", "boolean"), ("site_name", "Docs", "string"), ("broken", "x1", "integer")]
+
+
+def settings(t):
+    """A setting of each part: its key, its value as text and the type it was stored with."""
+    n = F.col("p_partkey")
+    values = [F.col("p_retailprice").cast("string"), F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, "Yes").otherwise("off"), F.col("p_name"), F.concat(F.lit("x"), F.col("p_size").cast("string"))]
+    kinds = [F.lit(k) for k in ("float", "integer", "boolean", "string", "integer")]
+    return t.load("part").select(n.alias("key"), F.get(F.array(*values), n % 5).alias("value"), F.get(F.array(*kinds), n % 5).alias("kind"))
+
+
+SETTINGS = """SELECT p_partkey AS key, ([p_retailprice::VARCHAR, p_size::VARCHAR, CASE WHEN p_size % 2 = 0 THEN 'Yes' ELSE 'off' END, p_name, 'x' || p_size])[p_partkey % 5 + 1] AS value,
+  (['float', 'integer', 'boolean', 'string', 'integer'])[p_partkey % 5 + 1] AS kind FROM part"""
 register(
     "H57_typed_config",
-    lambda t: t.frame(CONFIG, "key string, value string, kind string").select("key", *(B.typed_config(F.col("value"), F.col("kind"), k, d).alias(f"as_{k}") for k, d in (("float", 1.0), ("integer", -1), ("boolean", False), ("string", "")))),
-    "SELECT key, coalesce(CASE kind WHEN 'float' THEN try_cast(value AS DOUBLE) END, 1.0)::DOUBLE AS as_float, coalesce(CASE kind WHEN 'integer' THEN try_cast(value AS BIGINT) END, -1) AS as_integer, coalesce(CASE kind WHEN 'boolean' THEN lower(value) IN ('1', 'true', 'yes', 'on') END, false) AS as_boolean, coalesce(CASE kind WHEN 'string' THEN value END, '') AS as_string FROM (VALUES " + ", ".join(str(r) for r in CONFIG) + ") c(key, value, kind)",
+    lambda t: settings(t).select("key", *(B.typed_config(F.col("value"), F.col("kind"), k, d).alias(f"as_{k}") for k, d in (("float", 1.0), ("integer", -1), ("boolean", False), ("string", "")))),
+    f"""SELECT key, coalesce(CASE kind WHEN 'float' THEN try_cast(value AS DOUBLE) END, 1.0)::DOUBLE AS as_float, coalesce(CASE kind WHEN 'integer' THEN try_cast(value AS BIGINT) END, -1) AS as_integer,
+      coalesce(CASE kind WHEN 'boolean' THEN lower(value) IN ('1', 'true', 'yes', 'on') END, false) AS as_boolean, coalesce(CASE kind WHEN 'string' THEN value END, '') AS as_string FROM ({SETTINGS})""",
 )
 register("H58_usage_cost", lambda t: t.metrics.agg((F.count_if(F.col("type") == "embedding") * 0.00025 + F.count_if(F.col("type") == "generation") * 0.002).alias("cost")).select(F.round("cost", 6).alias("cost")), "SELECT round(count(*) FILTER (WHERE type = 'embedding') * 0.00025::DOUBLE + count(*) FILTER (WHERE type = 'generation') * 0.002::DOUBLE, 6) AS cost FROM rag_metrics")
 register("H59_masked_identity", lambda t: t.users.select("id", B.masked(F.concat(F.lit("rag_"), F.md5("email"))).alias("masked"), F.substring(F.sha2("email", 256), 1, 16).alias("identity")), "SELECT id, substring('rag_' || md5(email), 1, 7) || '...' || right(md5(email), 4) AS masked, substring(sha256(email), 1, 16) AS identity FROM users")

@@ -143,5 +143,5 @@ register(
 )
 register("E25_search_comparison", lambda t: t.metrics.where("type = 'query'").groupBy("query_hash").agg(F.avg(F.when(F.col("strategy") == "vector", F.col("duration_ms"))).alias("a"), F.avg("duration_ms").alias("b"), F.count_if("success").alias("n"), rows_().alias("m")).select("query_hash", E.compared(F.coalesce("a", F.lit(100.0)), F.coalesce("b", F.lit(0.0)), F.col("n"), F.lit(20)).alias("c")).select("query_hash", "c.*"), "SELECT query_hash, CASE WHEN a < b THEN 'first' WHEN b < a THEN 'second' ELSE 'tie' END AS faster, CASE WHEN n > 20 THEN 'first' WHEN 20 > n THEN 'second' ELSE 'tie' END AS more FROM (SELECT query_hash, coalesce(avg(duration_ms) FILTER (WHERE strategy = 'vector'), 100.0) AS a, avg(duration_ms) AS b, count(*) FILTER (WHERE success) AS n FROM rag_metrics WHERE type = 'query' GROUP BY 1)")
 register("E26_conversation_history", lambda t: E.history(t.load("conversations")).select("conv_id", F.md5("history").alias("digest"), "next_turn"), "SELECT conv_id, md5(string_agg(CASE role WHEN 'user' THEN 'Human: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY turn)) AS digest, count(*) FILTER (WHERE role = 'user') + 1 AS next_turn FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1")
-register("E27_response_pieces", lambda t: t.chunks.where("ord = 0").select("id", F.posexplode(E.word_pieces(E.cleaned(F.concat(F.lit("Answer: "), F.col("content"))))).alias("pos", "piece")).select("id", "pos", F.md5("piece").alias("digest")), r"SELECT id, unnest(range(len(range(1, len(w) + 1, 10))))::INT AS pos, unnest(list_transform(range(1, len(w) + 1, 10), lambda i: md5(array_to_string(w[i:i + 9], ' ') || ' '))) AS digest FROM (SELECT id, string_split(trim(replace(replace(replace(regexp_replace('Answer: ' || content, '\s+', ' ', 'g'), 'Answer:', ''), 'Response:', ''), 'Based on the context:', '')), ' ') AS w FROM chunks WHERE ord = 0)")
+register("E27_response_pieces", lambda t: t.chunks.select("id", F.posexplode(E.word_pieces(E.cleaned(F.concat(F.lit("Answer: "), F.col("content"))))).alias("pos", "piece")).select("id", "pos", F.md5("piece").alias("digest")), r"SELECT id, unnest(range(len(range(1, len(w) + 1, 10))))::INT AS pos, unnest(list_transform(range(1, len(w) + 1, 10), lambda i: md5(array_to_string(w[i:i + 9], ' ') || ' '))) AS digest FROM (SELECT id, string_split(trim(replace(replace(replace(regexp_replace('Answer: ' || content, '\s+', ' ', 'g'), 'Answer:', ''), 'Response:', ''), 'Based on the context:', '')), ' ') AS w FROM chunks)")
 register("E27b_reasoning_steps", lambda t: t.queries.select("query_id", F.posexplode(F.regexp_extract_all(F.concat(F.lit("1. first\n* second "), F.substring("query", 1, 5), F.lit("\nStep 3 third")), F.lit(r"(?im)(?:Step \d+|^\d+\.|\*)\s*([^\n]+)"), F.lit(1))).alias("pos", "step")), r"SELECT query_id, unnest([0, 1, 2])::INT AS pos, unnest(['first', 'second ' || substring(query, 1, 5), 'third']) AS step FROM search_queries")

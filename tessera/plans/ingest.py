@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tessera.operators import ingest as I
 from tessera.operators import usage as U
 from tessera.sources import formats as S
+from tessera.sources.files import read_folder
+from tessera.sources.storage import scratch, state_of
 
 from .registry import register
 
@@ -97,6 +99,39 @@ register("A19_extraction_score", lambda t: t.load("documents").select("doc_id",
 register("A20_storable_chunks", lambda t: I.storable(t.chunks).select("id"), r"SELECT id FROM chunks WHERE length(regexp_replace(content, '^\s+|\s+$', '', 'g')) > 10")
 register("A21_batch_summary", lambda t: I.batch_summary(t.load("events").select("user_id", (F.col("event_type") != "error").alias("ok"), F.when(F.col("event_type") != "error", F.col("user_id") % 7).otherwise(0).alias("chunks")), "user_id"), "SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS succeeded, count(*) FILTER (WHERE event_type = 'error') AS failed, sum(CASE WHEN event_type <> 'error' THEN user_id % 7 ELSE 0 END)::BIGINT AS chunks, round(count(*) FILTER (WHERE event_type <> 'error') * 100.0::DOUBLE / count(*), 2) AS percent FROM events GROUP BY 1")
 register("A22_merged_batch", lambda t: I.merged_text(t.load("documents").select(F.floor(F.col("doc_id") / 5).alias("batch"), "doc_id", F.concat(F.lit("f"), F.col("doc_id")).alias("name"), F.when(F.col("doc_id") % 7 != 0, text_()).alias("text")), "batch", "doc_id", "name", "text").select("batch", F.md5("text").alias("digest")), "SELECT doc_id // 5 AS batch, md5(string_agg('=== f' || doc_id || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM documents WHERE doc_id % 7 <> 0 GROUP BY 1")
+
+
+def mixed_files(t):
+    """(name, value): every page as a file of one of seven kinds; each eleventh name is cut off in its markup or braces."""
+    url, n = F.col("url"), F.col("page_id")
+    plain = F.regexp_replace("url", "[<>&]", " ")
+    kinds = [
+        ("html", F.col("html")), ("xml", F.concat(F.lit("<page><url>"), plain, F.lit("</url></page>"))), ("json", F.concat(F.lit('{"url": "'), url, F.lit('"}'))), ("csv", F.concat(F.lit("id,url\n"), n.cast("string"), F.lit(","), url)),
+        ("txt", url), ("rtf", F.concat(F.lit("{\\rtf1 "), plain, F.lit("}"))), ("pdf", F.concat(F.lit("%PDF "), url)),
+    ]
+    pick = lambda of: F.get(F.array(*of), n % len(kinds))
+    value = pick([v for _, v in kinds])
+    cut = F.when(n % 11 == 0, F.substring(value, F.lit(1), F.length(value) - 3)).otherwise(value)
+    return t.load("pages").select(F.concat(F.lit("page"), n.cast("string"), F.lit("."), pick([F.lit(k) for k, _ in kinds])).alias("name"), cut.alias("value"))
+
+
+def folder(t):
+    """A folder of these files, each in a folder of its name, as Spark's writer names the files themselves; written once."""
+    key = (t.spark.sparkContext.applicationId, *state_of(t.spark, f"{t.dir}/pages.parquet"))
+    if key not in FOLDERS:
+        FOLDERS[key] = scratch(t.spark, "files")
+        mixed_files(t).repartition("name").write.partitionBy("name").text(FOLDERS[key])
+    return read_folder(t.spark, FOLDERS[key], name=F.regexp_extract("path", r"/name=([^/]+)/", 1))
+
+
+FOLDERS: dict[tuple, str] = {}
+register(
+    "A22b_folder_of_files",
+    lambda t: folder(t).select("name", "kind", F.col("error").isNotNull().alias("failed"), F.when(F.col("kind").isin("txt", "json"), F.md5(F.rtrim(F.regexp_replace("text", "\n+$", "")))).alias("digest")),
+    """SELECT 'page' || page_id || '.' || kind AS name, kind, kind = 'pdf' OR (page_id % 11 = 0 AND kind IN ('xml', 'json')) AS failed,
+      CASE kind WHEN 'txt' THEN md5(CASE WHEN page_id % 11 = 0 THEN left(url, length(url) - 3) ELSE url END) WHEN 'json' THEN CASE WHEN page_id % 11 > 0 THEN md5('url: ' || url) END END AS digest
+      FROM (SELECT page_id, url, (['html', 'xml', 'json', 'csv', 'txt', 'rtf', 'pdf'])[page_id % 7 + 1] AS kind FROM pages)""",
+)
 register("A23_upload_status", lambda t: I.upload_status(t.docs, t.chunks.where("document_id % 4 <> 0"), F.lit(8)), "SELECT d.id, coalesce(n, 0) AS chunks, CASE WHEN n > 0 THEN 'completed' ELSE 'processing' END AS status, round(least(100.0::DOUBLE, coalesce(n, 0) * 100.0::DOUBLE / 8), 2) AS progress FROM docs d LEFT JOIN (SELECT document_id, count(*) AS n FROM chunks WHERE document_id % 4 <> 0 GROUP BY 1) c ON c.document_id = d.id")
 register("A24_csv_export", lambda t: t.metrics.select("id", I.csv_line([F.col("id").cast("string"), F.col("type"), F.col("success").cast("string"), U.performance_category(F.col("duration_ms"))], F.concat(F.lit('{"k": "'), F.col("query_hash").cast("string"), F.lit('"}'))).alias("line")), "SELECT id, id || ',' || type || ',' || success || ',' || CASE WHEN duration_ms < 100 THEN 'fast' WHEN duration_ms < 500 THEN 'medium' WHEN duration_ms < 2000 THEN 'slow' ELSE 'very_slow' END || ',\"{\"\"k\"\": \"\"' || query_hash || '\"\"}\"' AS line FROM rag_metrics")
 register("A24b_prometheus_export", lambda t: I.prometheus(t.metrics), "SELECT name, arg_max(value, (ts, id)) AS value FROM (SELECT ts, id, 'rag_' || type || '_duration_ms' AS name, duration_ms AS value FROM rag_metrics WHERE type IN ('query', 'embedding', 'generation') UNION ALL SELECT ts, id, 'rag_embedding_batch_size', batch_size::DOUBLE FROM rag_metrics WHERE type = 'embedding' UNION ALL SELECT ts, id, 'rag_generation_confidence', confidence FROM rag_metrics WHERE type = 'generation') GROUP BY 1")
@@ -126,7 +161,36 @@ def outline(t):
 register("A30_html_outline", outline)
 register("A31_csv_delimiter", lambda t: csv_files(t).select("p_brand", S.delimiter(text_()).alias("sep"), F.size(F.filter(F.split(text_(), "\n"), lambda x: x.rlike(r"[A-Za-z0-9]"))).alias("rows_with_data")), f"SELECT p_brand, CASE WHEN max(length(p_brand)) % 4 + 1 = 1 THEN ',' ELSE max({SEP}) END AS sep, count(*)::INT + 1 AS rows_with_data FROM part GROUP BY 1")
 register("A32_extraction_outcome", lambda t: t.load("documents").select("doc_id", I.outcome(F.when(F.col("doc_id") % 5 == 0, "error").otherwise("success"), F.when(F.col("doc_id") % 3 > 0, text_())).alias("ok")).groupBy("ok").agg(rows_().alias("n")), "SELECT doc_id % 5 <> 0 AND doc_id % 3 > 0 AND trim(text) <> '' AS ok, count(*) AS n FROM documents GROUP BY 1")
-URLS = ["http://a.example.com/x?y=1", "ftp://a.com", "https:///x", "https://-bad.com/", "http://10.0.0.1:80/", "nothing"]
-NAMES = ["a.txt", "", "../x", "CON.txt", "a|b", "lpt1"]
-register("A33_validators", lambda t: t.frame([(i, u, m) for i, (u, m) in enumerate(zip(URLS, NAMES, strict=True))], "i int, url string, name string").select("i", I.url_problem(F.col("url")).alias("url"), I.filename_problem(F.col("name")).alias("name"), I.window_problem(F.col("i") * 30_000).alias("seconds"), I.page_problem(F.col("i") - 1, F.col("i") * 300).alias("page"), I.metadata_problem(F.create_map(F.concat(F.lit("k "), F.col("i").cast("string")), F.lit("v"))).alias("meta")), "SELECT * FROM (VALUES (0, 'ok', 'ok', 'short', 'offset', 'odd_key'), (1, 'scheme', 'empty', 'ok', 'ok', 'odd_key'), (2, 'host', 'path', 'ok', 'ok', 'odd_key'), (3, 'domain', 'reserved', 'long', 'ok', 'odd_key'), (4, 'ok', 'characters', 'long', 'large', 'odd_key'), (5, 'scheme', 'reserved', 'long', 'large', 'odd_key')) v(i, url, name, seconds, page, meta)")
+
+
+def requests(t):
+    """Every page's address, bent in some rows, with a file name, a metadata key, a span of time and a page made from it."""
+    url, n = F.col("url"), F.col("page_id")
+    bent = [url, F.replace(url, F.lit("http"), F.lit("ftp")), F.concat(F.lit("https:///"), F.substring_index(url, "/", -1)), F.replace(url, F.lit("://"), F.lit("://-")), F.replace(url, F.lit("."), F.lit("_")), F.substring_index(url, "/", -1)]
+    tail = F.substring_index(url, "/", -1)
+    names = [F.concat(tail, F.lit(".txt")), F.lit(""), url, F.concat(F.lit("CON."), tail), F.concat(tail, F.lit("|b")), F.concat(F.lit("lpt1.x"), tail), F.repeat(tail, 200)]
+    keys = [tail, F.concat(F.lit("key_"), n.cast("string")), F.repeat(F.lit("k"), (n % 200).cast("int") + 1)]
+    pick = lambda of: F.get(F.array(*of), n % len(of))
+    return t.load("pages").select("page_id", pick(bent).alias("url"), pick(names).alias("name"), pick(keys).alias("key"), F.repeat(url, (n % 60).cast("int")).alias("value"))
+
+
+REQUESTS = """SELECT page_id, ([url, replace(url, 'http', 'ftp'), 'https:///' || tail, replace(url, '://', '://-'), replace(url, '.', '_'), tail])[page_id % 6 + 1] AS url,
+  ([tail || '.txt', '', url, 'CON.' || tail, tail || '|b', 'lpt1.x' || tail, repeat(tail, 200)])[page_id % 7 + 1] AS name,
+  ([tail, 'key_' || page_id, repeat('k', page_id % 200 + 1)])[page_id % 3 + 1] AS key, repeat(url, page_id % 60) AS value
+  FROM (SELECT page_id, url, list_last(string_split(url, '/')) AS tail FROM pages)"""
+LABEL = "[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?"
+register(
+    "A33_validators",
+    lambda t: requests(t).select(
+        "page_id", I.url_problem(F.col("url")).alias("url"), I.filename_problem(F.col("name")).alias("name"), I.window_problem(F.col("page_id") * 700).alias("seconds"),
+        I.page_problem(F.col("page_id") - 3, F.col("page_id") * 9).alias("page"), I.metadata_problem(F.create_map("key", "value")).alias("meta"),
+    ),
+    rf"""WITH r AS ({REQUESTS}), h AS (SELECT *, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1) AS host FROM r)
+      SELECT page_id, CASE WHEN scheme NOT IN ('http', 'https') THEN 'scheme' WHEN host = '' THEN 'host' WHEN NOT regexp_matches(host, '^(?:{LABEL}\.)*{LABEL}$') THEN 'domain' ELSE 'ok' END AS url,
+        CASE WHEN name = '' THEN 'empty' WHEN length(name) > 255 THEN 'long' WHEN contains(name, '/') OR contains(name, chr(92)) THEN 'path' WHEN upper(split_part(name, '.', 1)) IN ({', '.join(f"'{r}'" for r in I.RESERVED)}) THEN 'reserved'
+          WHEN regexp_matches(name, '[<>:"|?*\x00-\x1f]') THEN 'characters' ELSE 'ok' END AS name,
+        CASE WHEN page_id * 700 < 60 THEN 'short' WHEN page_id * 700 > 86400 THEN 'long' ELSE 'ok' END AS seconds,
+        CASE WHEN page_id < 3 THEN 'offset' WHEN page_id * 9 > 1000 THEN 'large' ELSE 'ok' END AS page,
+        CASE WHEN length(key) > 100 THEN 'long_key' WHEN NOT regexp_matches(key, '^[a-zA-Z0-9_.-]+$') THEN 'odd_key' WHEN length(value) > 1000 THEN 'long_value' ELSE 'ok' END AS meta FROM h""",
+)
 register("A34_input_precedence", lambda t: t.load("documents").select("doc_id", F.md5(I.chosen_input(F.when(F.col("doc_id") % 4 == 0, text_()), F.when(F.col("doc_id") % 4 == 1, F.lit("T")), text_(), F.when(F.col("doc_id") % 4 == 2, F.lit('{"a": 1}')).otherwise("raw"))).alias("digest")), "SELECT doc_id, md5(CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'T' || chr(10) || chr(10) || text WHEN 3 THEN 'raw' END) AS digest FROM documents")

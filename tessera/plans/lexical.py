@@ -23,7 +23,7 @@ def asked(t):
 
 
 def per_query(columns):
-    return lambda t: asked(t).select("query_id", *(c.alias(n) for n, c in columns().items()))
+    return lambda t: t.asked_texts().select("query_id", *(c.alias(n) for n, c in columns().items()))
 
 
 def query_():
@@ -78,11 +78,11 @@ def strategies_sql(chunks, threshold, k, queries=VALUES, scope=""):
  SELECT query_id, rank, id, score, strategy FROM r WHERE rank <= {k}"""
 
 
-register("D01_query_tokens", per_query(lambda: dict(tokens=F.array_join(T.query_tokens(query_()), "|"))), f"SELECT query_id, array_to_string({of(TOKENS)}, '|') AS tokens FROM {VALUES}")
+register("D01_query_tokens", per_query(lambda: dict(tokens=F.array_join(T.query_tokens(query_()), "|"))), f"SELECT query_id, array_to_string({of(TOKENS)}, '|') AS tokens FROM asked_texts")
 register("D02_raw_tokens", lambda t: t.load("documents").select("doc_id", F.size(T.raw_tokens(F.col("text"))).alias("n"), F.md5(F.array_join(T.raw_tokens(F.col("text")), " ")).alias("digest")), f"SELECT doc_id, len({of(RAW, 'text')})::INT AS n, md5(array_to_string({of(RAW, 'text')}, ' ')) AS digest FROM documents")
 register("D03_plain_tokens", lambda t: t.load("documents").select("doc_id", F.size(T.plain_tokens(F.col("text"))).alias("n"), F.md5(F.array_join(T.plain_tokens(F.col("text")), " ")).alias("digest")), f"SELECT doc_id, len({of(PLAIN, 'text')})::INT AS n, md5(array_to_string({of(PLAIN, 'text')}, ' ')) AS digest FROM documents")
-register("D04_search_terms", per_query(lambda: dict(terms=F.array_join(T.search_terms(query_()), "|"))), f"SELECT query_id, array_to_string({of(TERMS)}, '|') AS terms FROM {VALUES}")
-register("D05_search_keywords", per_query(lambda: dict(n=F.size(F.array_distinct(T.search_terms(query_()))))), f"SELECT query_id, len(list_distinct({of(TERMS)}))::INT AS n FROM {VALUES}")
+register("D04_search_terms", per_query(lambda: dict(terms=F.array_join(T.search_terms(query_()), "|"))), f"SELECT query_id, array_to_string({of(TERMS)}, '|') AS terms FROM asked_texts")
+register("D05_search_keywords", per_query(lambda: dict(n=F.size(F.array_distinct(T.search_terms(query_()))))), f"SELECT query_id, len(list_distinct({of(TERMS)}))::INT AS n FROM asked_texts")
 register(
     "D06_full_text",
     lambda t: P.full_text(t.index, t.queries, 5).drop("document_id"),
@@ -130,7 +130,7 @@ def clean_query():
     return T.nonempty(F.filter(T.words(F.regexp_replace(query_(), r"[^\p{L}\p{N}_\s\-'\"]", " ")), lambda w: F.length(w) >= 2))
 
 
-register("D09_clean_query", per_query(lambda: dict(clean=F.array_join(clean_query(), " "))), rf"""SELECT query_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(query, '[^\p{{L}}\p{{N}}_\s\-''"]', ' ', 'g'), '\s+'), lambda w: length(w) >= 2), ' ') AS clean FROM {VALUES}""")
+register("D09_clean_query", per_query(lambda: dict(clean=F.array_join(clean_query(), " "))), rf"""SELECT query_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(query, '[^\p{{L}}\p{{N}}_\s\-''"]', ' ', 'g'), '\s+'), lambda w: length(w) >= 2), ' ') AS clean FROM asked_texts""")
 register("D10_like_all", lambda t: L.like_all(t.chunks, asked(t), 5), f"WITH a AS (SELECT query_id, {of(TOKENS)} AS tokens FROM {VALUES}), h AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY length(content) DESC, id)::INT AS rank FROM chunks, a WHERE len(tokens) > 0 AND len(list_filter(tokens, lambda t: NOT contains(lower(content), t))) = 0) SELECT query_id, rank, id, 1.0::DOUBLE AS score FROM h WHERE rank <= 5")
 register("D11_like_some", lambda t: L.like_some(t.chunks, asked(t), F.slice(T.raw_tokens(query_()), 1, 12), 5), f"WITH a AS (SELECT query_id, {of(RAW)}[1:12] AS terms FROM {VALUES}), h AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY ord, id)::INT AS rank FROM chunks, a WHERE len(list_filter(terms, lambda t: contains(lower(content), t))) > 0), f AS (SELECT id, row_number() OVER (ORDER BY ord, id)::INT AS rank FROM chunks QUALIFY rank <= 5) SELECT query_id, rank, id FROM h WHERE rank <= 5 UNION ALL SELECT a.query_id, f.rank, f.id FROM a, f WHERE a.query_id NOT IN (SELECT query_id FROM h)")
 PHRASES = [(1, "the the"), (2, "of erst"), (3, "die die"), (4, "no such phrase here")]
@@ -142,28 +142,69 @@ register("D16_numbered", lambda t: t.load("documents").select("doc_id", F.concat
 register("D17_bypass_search", lambda t: L.advanced_search(t.embedded_chunks.where("embedding IS NULL").join(t.docs.where("source = 'bypass_upload' AND tenant_slug = 'src4'").select(F.col("id").alias("document_id")), "document_id", "left_semi"), asked(t).where("query <> ''"), 0.3, 10), strategies_sql("SELECT e.id, e.content FROM embedded_chunks e JOIN docs d ON d.id = e.document_id WHERE embedding IS NULL AND d.source = 'bypass_upload' AND d.tenant_slug = 'src4'", 0.3, 10))
 register("D18_pattern_cascade", lambda t: L.pattern_cascade(t.chunks, asked(t).where("query <> ''")), f"WITH p AS (SELECT query_id, id, ord, CASE WHEN regexp_matches(lower(query), '\\d+\\s*motivos?|lista|razões?|pontos?') AND (contains(lower(content), 'motivos') OR contains(lower(content), '1.') OR contains(lower(content), '2.') OR contains(lower(content), '3.')) THEN 1 WHEN len(k) > 0 AND len(list_filter(k, lambda w: NOT contains(lower(content), w))) = 0 THEN 2 WHEN contains(lower(content), lower(query)) THEN 3 END AS level FROM chunks, (SELECT *, {of(TERMS)} AS k FROM {VALUES} WHERE query <> '') q), b AS (SELECT *, min(level) OVER (PARTITION BY query_id) AS best FROM p WHERE level IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ord, id) AS rank FROM b WHERE level = best) SELECT query_id, id, ([0.9, 0.7, 0.5])[level]::DOUBLE AS score, (['numbered', 'keywords', 'phrase'])[level] AS method FROM r WHERE level = 1 OR (level = 2 AND rank <= 10) OR rank <= 5")
 register("D19_expanded_terms", lambda t: L.expanded_terms(asked(t), t.chunks).select("query_id", F.size("terms").alias("n"), F.array_join(F.array_sort("terms"), "|").alias("terms")), f"WITH x AS (SELECT document_id, ord, {of(PLAIN, 'content')} AS w FROM chunks WHERE ord < 5), y AS (SELECT document_id, token, count(*) AS n, min((ord, i)) AS first FROM (SELECT document_id, ord, unnest(range(len(w))) AS i, unnest(w) AS token FROM x) GROUP BY 1, 2), z AS (SELECT document_id, list(token) AS top FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY n DESC, first) AS r FROM y) WHERE r <= 8 GROUP BY 1), q AS (SELECT query_id, document_id, {of(RAW)} AS t FROM {VALUES}), e AS (SELECT query_id, list_sort(list_distinct(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) || list_transform(list_filter(t, lambda w: length(w) >= 6), lambda w: substring(w, 1, 5)) || list_transform(t, lambda w: CASE WHEN suffix(w, 's') THEN substring(w, 1, length(w) - 1) ELSE w || 's' END) || coalesce(top, []))) AS v FROM q LEFT JOIN z USING (document_id)) SELECT query_id, len(v)::INT AS n, array_to_string(v, '|') AS terms FROM e")
-register("D20_synonyms", per_query(lambda: dict(expanded=Q.with_synonyms(query_()))), "SELECT query_id, CASE WHEN len(a) > 0 THEN query || ' ' || array_to_string(a[1:3], ' ') ELSE query END AS expanded FROM (SELECT *, flatten([" + ", ".join(f"CASE WHEN contains(lower(query), '{w}') THEN {list(s)} ELSE [] END" for w, s in Q.SYNONYMS.items()) + f"]) AS a FROM {VALUES})")
-register("D21_variants", per_query(lambda: dict(variants=F.array_join(Q.variants(query_()), "|"))), "SELECT query_id, array_to_string(v[1:5], '|') AS variants FROM (SELECT query_id, CASE " + " ".join(f"WHEN contains(lower(query), '{w}') THEN [query, " + ", ".join(f"replace(lower(query), '{w}', '{o}'), query || ' {o}'" for o in os) + "]" for w, os in Q.VARIANTS.items()) + f" ELSE [query] END AS v FROM {VALUES})")
-register("D22_simplified", per_query(lambda: dict(simple=Q.simplified(query_()))), rf"WITH k AS (SELECT query_id, query, list_filter(regexp_split_to_array(lower(query), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({', '.join(repr(w) for w in Q.SIMPLE_STOP)})) AS keys FROM {VALUES}), d AS (SELECT *, list_filter(keys, lambda w: regexp_matches(w, '\d')) AS digits, list_filter(keys, lambda w, i: NOT regexp_matches(w, '\d') AND list_position(keys, w) = i) AS others FROM k), o AS (SELECT query_id, query, digits || CASE WHEN len(digits) >= 5 AND regexp_matches(keys[1], '\d') THEN [] ELSE others[1:CASE WHEN len(digits) >= 5 THEN 1 ELSE 5 - len(digits) END] END AS v FROM d) SELECT query_id, CASE WHEN len(v) > 0 THEN array_to_string(v, ' ') ELSE query END AS simple FROM o")
-register("D23_fallback_cascade", lambda t: L.fallback_levels([L.like_all(t.chunks, asked(t), 5), L.phrase_search(t.chunks, asked(t).where("query <> ''").withColumn("query", Q.simplified(query_())), 5), L.like_all(t.chunks, asked(t).withColumn("query", Q.with_synonyms(query_())), 5), L.full_text(t.chunks, asked(t), 5).select("query_id", "rank", "id"), L.like_some(t.chunks, asked(t), F.slice(T.raw_tokens(query_()), 1, 12), 5), asked(t).join(t.chunks.where("ord < 50"), "document_id").select("query_id", "id")]))
+def expanded_sql(source, more=""):
+    """SQL for (query_id, query) with synonyms, and further columns of the source."""
+    found = "flatten([" + ", ".join(f"CASE WHEN contains(lower(query), '{w}') THEN {list(s)} ELSE [] END" for w, s in Q.SYNONYMS.items()) + "])"
+    return f"SELECT query_id{more}, CASE WHEN len(a) > 0 THEN query || ' ' || array_to_string(a[1:3], ' ') ELSE query END AS query FROM (SELECT *, {found} AS a FROM {source})"
+
+
+register("D20_synonyms", per_query(lambda: dict(expanded=Q.with_synonyms(query_()))), f"SELECT query_id, query AS expanded FROM ({expanded_sql('asked_texts')})")
+register("D21_variants", per_query(lambda: dict(variants=F.array_join(Q.variants(query_()), "|"))), "SELECT query_id, array_to_string(v[1:5], '|') AS variants FROM (SELECT query_id, CASE " + " ".join(f"WHEN contains(lower(query), '{w}') THEN [query, " + ", ".join(f"replace(lower(query), '{w}', '{o}'), query || ' {o}'" for o in os) + "]" for w, os in Q.VARIANTS.items()) + f" ELSE [query] END AS v FROM asked_texts)")
+def simplified_sql(source, more=""):
+    """SQL for (query_id, query) of key words alone, and further columns of the source."""
+    return rf"""WITH k AS (SELECT query_id, query{more}, list_filter(regexp_split_to_array(lower(query), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({', '.join(repr(w) for w in Q.SIMPLE_STOP)})) AS keys FROM {source}),
+      d AS (SELECT *, list_filter(keys, lambda w: regexp_matches(w, '\d')) AS digits, list_filter(keys, lambda w, i: NOT regexp_matches(w, '\d') AND list_position(keys, w) = i) AS others FROM k),
+      o AS (SELECT query_id, query{more}, digits || CASE WHEN len(digits) >= 5 AND regexp_matches(keys[1], '\d') THEN [] ELSE others[1:CASE WHEN len(digits) >= 5 THEN 1 ELSE 5 - len(digits) END] END AS v FROM d)
+      SELECT query_id{more}, CASE WHEN len(v) > 0 THEN array_to_string(v, ' ') ELSE query END AS query FROM o"""
+
+
+register("D22_simplified", per_query(lambda: dict(simple=Q.simplified(query_()))), f"SELECT query_id, query AS simple FROM ({simplified_sql('asked_texts')})")
+
+
+def asked_of_documents(t):
+    """Each benchmark question, put to the document of its number."""
+    return t.asked_texts().where("query_id < 1000000").withColumn("document_id", F.col("query_id"))
+
+
+def fallbacks(t):
+    wordings = [query_(), Q.with_synonyms(query_()), Q.simplified(query_())]
+    return P.with_fallbacks(t.index, index_block, t.chunks, asked_of_documents(t), wordings, 5)
+
+
+OF_DOCUMENTS = "SELECT query_id, query, query_id AS document_id FROM asked_texts WHERE query_id < 1000000"
+IN_DOCUMENT = [full_text_sql("SELECT id, document_id, content FROM chunks", 5, queries=f"({source})", scope=", document_id") for source in (OF_DOCUMENTS, expanded_sql(f"({OF_DOCUMENTS})", ", document_id"), simplified_sql(f"({OF_DOCUMENTS})", ", document_id"))]
+register(
+    "D23_fallback_cascade", fallbacks,
+    "WITH " + ", ".join(f"l{n} AS (SELECT query_id, {n} AS level, id FROM ({sql}))" for n, sql in enumerate(IN_DOCUMENT, 1)) + f""",
+      l4 AS (SELECT query_id, 4 AS level, id FROM (SELECT *, count(*) OVER (PARTITION BY document_id) AS n FROM chunks) JOIN ({OF_DOCUMENTS}) USING (document_id) WHERE n <= 100 OR ord < 50),
+      levels AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l4)
+      SELECT query_id, level, id FROM levels QUALIFY level = min(level) OVER (PARTITION BY query_id)""",
+)
 
 
 def cases(table, text, default):
     return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({text}, '{p}')" for p in parts) + f" THEN '{name}'" for name, parts in table.items()) + f" ELSE '{default}' END"
 
 
-register("D24_answer_mode", per_query(lambda: dict(auto=Q.mode(F.lit("auto"), query_()), fixed=Q.mode(F.lit("Table"), query_()), unknown=Q.mode(F.lit("x"), query_()))), f"SELECT query_id, {cases(Q.MODES, 'lower(query)', 'direct')} AS auto, 'table' AS fixed, 'direct' AS unknown FROM {VALUES}")
+register("D24_answer_mode", per_query(lambda: dict(auto=Q.mode(F.lit("auto"), query_()), fixed=Q.mode(F.lit("Table"), query_()), unknown=Q.mode(F.lit("x"), query_()))), f"SELECT query_id, {cases(Q.MODES, 'lower(query)', 'direct')} AS auto, 'table' AS fixed, 'direct' AS unknown FROM asked_texts")
 CLASS = cases(Q.CLASSES, "lower(query)", "other")
-register("D25_query_class", per_query(lambda: dict(kind=Q.query_class(query_()))), f"SELECT query_id, {CLASS} AS kind FROM {VALUES}")
-register("D26_grounding", per_query(lambda: dict(grounded=Q.needs_grounding(query_()))), f"SELECT query_id, {CLASS} IN ('conceptual', 'comparative') OR " + " OR ".join(f"contains(lower(query), '{w}')" for w in Q.OUTSIDE) + f" AS grounded FROM {VALUES}")
-register("D27_complexity", lambda t: asked(t).select("query_id", Q.complexity(query_()).alias("kind")).withColumn("max_tokens", F.when(F.col("kind") == "simple", 512).when(F.col("kind") == "complex", 2048).otherwise(1024)), f"SELECT query_id, kind, CASE kind WHEN 'simple' THEN 512 WHEN 'complex' THEN 2048 ELSE 1024 END AS max_tokens FROM (SELECT query_id, CASE WHEN n <= 5 AND m <= 1 AND NOT p THEN 'simple' WHEN n > 20 OR m > 1 OR p THEN 'complex' ELSE 'moderate' END AS kind FROM (SELECT query_id, len(regexp_extract_all(query, '[A-Za-z''-]+')) AS n, length(query) - length(replace(query, '?', '')) AS m, contains(query, ' and ') OR contains(query, ' or ') AS p FROM {VALUES}))")
+register("D25_query_class", per_query(lambda: dict(kind=Q.query_class(query_()))), f"SELECT query_id, {CLASS} AS kind FROM asked_texts")
+register("D26_grounding", per_query(lambda: dict(grounded=Q.needs_grounding(query_()))), f"SELECT query_id, {CLASS} IN ('conceptual', 'comparative') OR " + " OR ".join(f"contains(lower(query), '{w}')" for w in Q.OUTSIDE) + f" AS grounded FROM asked_texts")
+register("D27_complexity", lambda t: t.asked_texts().select("query_id", Q.complexity(query_()).alias("kind")).withColumn("max_tokens", F.when(F.col("kind") == "simple", 512).when(F.col("kind") == "complex", 2048).otherwise(1024)), f"SELECT query_id, kind, CASE kind WHEN 'simple' THEN 512 WHEN 'complex' THEN 2048 ELSE 1024 END AS max_tokens FROM (SELECT query_id, CASE WHEN n <= 5 AND m <= 1 AND NOT p THEN 'simple' WHEN n > 20 OR m > 1 OR p THEN 'complex' ELSE 'moderate' END AS kind FROM (SELECT query_id, len(regexp_extract_all(query, '[A-Za-z''-]+')) AS n, length(query) - length(replace(query, '?', '')) AS m, contains(query, ' and ') OR contains(query, ' or ') AS p FROM asked_texts))")
 has = lambda parts: " OR ".join(f"contains(lower(trim(query)), '{p}')" for p in parts)
-register("D28_query_problems", per_query(lambda: dict(problems=F.array_join(Q.problems(query_()), "|"))), rf"SELECT query_id, CASE WHEN trim(query) = '' THEN 'empty' WHEN length(trim(query)) < 3 THEN 'short' ELSE concat_ws('|', CASE WHEN ({has(Q.GENERIC)}) AND len(list_filter(regexp_split_to_array(trim(query), '\s+'), lambda w: w <> '')) < 5 THEN 'generic' END, CASE WHEN {has(Q.SCOPE)} THEN 'out_of_scope' WHEN length(regexp_replace(query, '[^\p{{L}}\p{{N}}]', '', 'g')) < 3 THEN 'no_letters' END) END AS problems FROM {VALUES}")
+register("D28_query_problems", per_query(lambda: dict(problems=F.array_join(Q.problems(query_()), "|"))), rf"SELECT query_id, CASE WHEN trim(query) = '' THEN 'empty' WHEN length(trim(query)) < 3 THEN 'short' ELSE concat_ws('|', CASE WHEN ({has(Q.GENERIC)}) AND len(list_filter(regexp_split_to_array(trim(query), '\s+'), lambda w: w <> '')) < 5 THEN 'generic' END, CASE WHEN {has(Q.SCOPE)} THEN 'out_of_scope' WHEN length(regexp_replace(query, '[^\p{{L}}\p{{N}}]', '', 'g')) < 3 THEN 'no_letters' END) END AS problems FROM asked_texts")
 register("D29_document_problems", lambda t: asked(t).select(F.col("document_id") * 60).toDF("id").join(t.docs.select("id", F.lit(1).alias("there")), "id", "left").join(t.embedded_chunks.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count("embedding").alias("e")), "id", "left").select("id", F.when(F.col("there").isNull(), "missing").when(F.coalesce("n", F.lit(0)) == 0, "no_chunks").when(F.col("e") == 0, "no_embeddings").when(F.col("n") < 3, "few_chunks").otherwise("ok").alias("state")), f"SELECT q.document_id * 60 AS id, CASE WHEN d.id IS NULL THEN 'missing' WHEN coalesce(n, 0) = 0 THEN 'no_chunks' WHEN e = 0 THEN 'no_embeddings' WHEN n < 3 THEN 'few_chunks' ELSE 'ok' END AS state FROM {VALUES} LEFT JOIN docs d ON d.id = q.document_id * 60 LEFT JOIN (SELECT document_id, count(*) AS n, count(embedding) AS e FROM embedded_chunks GROUP BY 1) c ON c.document_id = d.id")
 register("D30_clamped_parameters", lambda t: t.load("part").select("p_partkey", F.least(F.greatest(F.col("p_size") - 5, F.lit(1)), F.lit(30)).alias("top_k"), F.least(F.greatest(F.col("p_size") - 20, F.lit(0)), F.lit(10)).alias("citations"), F.least(F.greatest(F.col("p_size") - 10, F.lit(0)), F.lit(3)).alias("strictness"), F.when(F.lower("p_type").isin("plain", "markdown", "html"), F.lower("p_type")).otherwise("plain").alias("format")), "SELECT p_partkey, least(greatest(p_size - 5, 1), 30) AS top_k, least(greatest(p_size - 20, 0), 10) AS citations, least(greatest(p_size - 10, 0), 3) AS strictness, CASE WHEN lower(p_type) IN ('plain', 'markdown', 'html') THEN lower(p_type) ELSE 'plain' END AS format FROM part")
-TITLES = [(1, "Bula do remédio"), (2, "Contrato 7"), (3, "Estudo de caso"), (4, "Manual de venda"), (5, "Curso livre"), (6, "Outro")]
-TVALUES = "(VALUES " + ", ".join(map(str, TITLES)) + ") d(id, title)"
-register("D31_document_type", lambda t: t.frame(TITLES, "id int, title string").join(t.chunks.where("ord = 0").select(F.col("document_id").alias("id"), F.substring("content", 1, 500).alias("sample")), "id", "left").select("id", Q.title_type(F.col("title"), F.col("sample")).alias("kind")), f"SELECT d.id, CASE WHEN t <> '' THEN t ELSE {cases({k: Q.TITLE_TYPES[k] for k in ('medical', 'legal', 'academic')}, 's', 'generic')} END AS kind FROM (SELECT *, {cases(Q.TITLE_TYPES, 'lower(title)', '')} AS t FROM {TVALUES}) d LEFT JOIN (SELECT document_id, lower(substring(content, 1, 500)) AS s FROM chunks WHERE ord = 0) c ON c.document_id = d.id".replace("WHEN t <> '' THEN t ELSE CASE", "WHEN t <> '' THEN t WHEN s IS NULL THEN 'generic' ELSE CASE"))
+TITLES = ("Bula do remédio", "Contrato 7", "Estudo de caso", "Manual de venda", "Curso livre", "Outro")
+register(
+    "D31_document_type",
+    lambda t: t.docs.select("id", F.get(F.array(*map(F.lit, TITLES)), F.col("id") % len(TITLES)).alias("title"))
+    .join(t.chunks.where("ord < 3").groupBy(F.col("document_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("ord", "content")))["content"], " ").alias("sample")), "id", "left")
+    .select("id", Q.title_type(F.col("title"), F.col("sample")).alias("kind")),
+    f"""SELECT id, CASE WHEN t <> '' THEN t WHEN s IS NULL THEN 'generic' ELSE {cases({k: Q.TITLE_TYPES[k] for k in ('medical', 'legal', 'academic')}, 's', 'generic')} END AS kind FROM (
+      SELECT id, {cases(Q.TITLE_TYPES, 'lower(title)', '')} AS t FROM (SELECT id, ({list(TITLES)})[id % {len(TITLES)} + 1] AS title FROM docs))
+      LEFT JOIN (SELECT document_id AS id, lower(string_agg(content, ' ' ORDER BY ord)) AS s FROM chunks WHERE ord < 3 GROUP BY 1) USING (id)""",
+)
 
 
 def best_language():

@@ -153,11 +153,11 @@ def quoted(pattern):
     return pattern.replace("'", "''")
 
 
-def matches(kind, name, severity, base, pattern):
+def matches(kind, name, severity, base, pattern, source=MARKED_SQL):
     """SQL for all matches of a failure pattern with their positions: the lengths of what lies before each."""
     p = quoted(pattern)
     place = "list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))"
-    return f"SELECT doc_id AS document_id, '{kind}' AS kind, '{name}' AS pattern, '{severity}' AS severity, {base}::DOUBLE AS base, unnest(m) AS content, unnest({place})::INT AS position FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS m, regexp_split_to_array(text, '{p}') AS g FROM ({MARKED_SQL})) WHERE len(m) > 0"
+    return f"SELECT doc_id AS document_id, '{kind}' AS kind, '{name}' AS pattern, '{severity}' AS severity, {base}::DOUBLE AS base, unnest(m) AS content, unnest({place})::INT AS position FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS m, regexp_split_to_array(text, '{p}') AS g FROM ({source})) WHERE len(m) > 0"
 
 
 #: Which matches of two patterns count, and how sure the patterns are that do not go by the match's length.
@@ -179,6 +179,28 @@ def counted(name, pattern):
 
 register("G11_failures", issues, f"WITH {FOUND} SELECT * FROM failures")
 register("G11b_failure_counts", lambda t: G.failure_counts(docs(t), "doc_id", "text"), f"WITH d AS ({MARKED_SQL}) SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id AS document_id, '{name}' AS pattern, {counted(name, p)} AS n FROM d" for _, name, _, _, p in G.FAILURES) + ") WHERE n > 0")
+
+
+def files(t):
+    """Documents as extracted files: their type, and a size of which the text may be a small part."""
+    return docs(t).select(F.col("doc_id").alias("document_id"), "text", kind().alias("kind"), (F.octet_length("text") * (F.col("doc_id") % 300 + 1)).alias("size"))
+
+
+FILES = f"SELECT doc_id AS document_id, text, (['pdf', 'docx', 'html', 'csv', 'txt'])[doc_id % 5 + 1] AS kind, strlen(text) * (doc_id % 300 + 1) AS size FROM ({MARKED_SQL})"
+PDF_SQL = f"SELECT * FROM ({MARKED_SQL}) WHERE doc_id % 5 = 0"
+OTHER = f"""files AS ({FILES}),
+ ocr AS (SELECT document_id, kind, pattern, severity, position, content, base AS confidence FROM ({" UNION ALL ".join(matches(k, name, sev, base, "(?i)" + p, PDF_SQL) for k, name, sev, base, p in G.OCR)})),
+ lost AS (SELECT document_id, n FROM (SELECT document_id, count(*) AS n FROM sections GROUP BY 1) JOIN files USING (document_id)
+   WHERE n < greatest(CASE WHEN size < 10000 THEN 1 WHEN size < 50000 THEN 2 WHEN size < 200000 THEN 3 ELSE 5 END, CASE kind WHEN 'pdf' THEN 2 WHEN 'docx' THEN 1 ELSE 0 END)),
+ part AS (SELECT document_id, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n, greatest(100, size // 100) AS wanted FROM files WHERE size > 0),
+ other AS (SELECT * FROM ocr
+   UNION ALL SELECT document_id, 'structure_loss', 'insufficient_sections', 'high', 0, 'Only ' || n || ' sections found', 0.8 FROM lost
+   UNION ALL SELECT document_id, 'content_gaps', 'short_section', 'medium', start, title, 0.7 FROM sections WHERE words < 10 AND level <= 2
+   UNION ALL SELECT document_id, 'incomplete_extraction', CASE WHEN n < wanted * 0.1 THEN 'severely_incomplete' ELSE 'potentially_incomplete' END, CASE WHEN n < wanted * 0.1 THEN 'critical' ELSE 'high' END, 0,
+     CASE WHEN n < wanted * 0.1 THEN 'Only ' ELSE '' END || n || ' characters extracted', CASE WHEN n < wanted * 0.1 THEN 0.9 ELSE 0.7 END FROM part WHERE n < wanted * 0.5)"""
+register("G11c_all_failures", lambda t: G.all_failures(files(t), secs(t)), f"WITH {SECTIONS}, {FOUND}, {OTHER} SELECT * FROM failures UNION ALL SELECT * FROM other")
+EVERY = f"{SECTIONS}, {FOUND.replace('failures AS (', 'matched AS (', 1)}, {OTHER}, failures AS (SELECT * FROM matched UNION ALL SELECT * FROM other)"
+register("G13b_all_classified", lambda t: G.classified(G.all_failures(files(t), secs(t))), f"WITH {EVERY}, {CLASSIFIED[len(FOUND) + 2:]} SELECT * FROM classified")
 register("G12_failure_confidence", lambda t: docs(t).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("&[a-zA-Z][a-zA-Z0-9]*;"), F.lit(0))).alias("pos", "c")).select("doc_id", "pos", F.round(G.failure_confidence(F.lit(0.85), F.col("c")), 6).alias("confidence")), f"SELECT doc_id, unnest(range(len(x)))::INT AS pos, unnest(list_transform(x, lambda c: round(least(0.95::DOUBLE, 0.85::DOUBLE * (0.5 + 0.5 * least(1.0::DOUBLE, length(c) / 10::DOUBLE))), 6))) AS confidence FROM (SELECT doc_id, regexp_extract_all(text, '&[a-zA-Z][a-zA-Z0-9]*;') AS x FROM ({MARKED_SQL}))")
 register("G13_classified_issues", lambda t: G.classified(issues(t)), f"WITH {CLASSIFIED} SELECT * FROM classified")
 register("G14_severity_and_effort", lambda t: t.load("part").select("p_partkey", G.adjusted_severity(F.element_at(F.array(*map(F.lit, G.LEVELS)), F.col("p_size") % 4 + 1), F.col("p_size") / 50).alias("severity"), G.fix_hours(F.element_at(F.array(*map(F.lit, G.HOURS)), F.col("p_size") % 5 + 1), F.lit("high"), F.lit(0.5)).alias("hours")), "SELECT p_partkey, (['low', 'medium', 'high', 'critical'])[CASE WHEN p_size / 50 > 0.8 THEN least(4, p_size % 4 + 2) WHEN p_size / 50 < 0.3 THEN greatest(1, p_size % 4) ELSE p_size % 4 + 1 END] AS severity, round(([0.5, 2.0, 8.0, 24.0, 40.0])[p_size % 5 + 1]::DOUBLE * 1.2 * 1.5, 1) AS hours FROM part")

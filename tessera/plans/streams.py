@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from tessera.operators.upserts import UpsertTable
 from tessera.operators.vectors import total
+from tessera.sources.storage import scratch
 from tessera.streaming import flows as S
 
 from .registry import register
@@ -52,3 +54,27 @@ register(
       SELECT key, ended FROM n WHERE coalesce(next >= ended, ended <= (SELECT max(ms) FROM w) - 3600000)""",
 )
 register("T09_incremental_embedding", lambda t: S.drained(S.embedded_rows(S.stream(t.spark, t.dir, "documents")), "append").select("doc_id", F.round(total(F.col("embedding")), 6).alias("total")), "SELECT doc_id, round(list_sum(list_transform(range(8), lambda i: round((('0x' || substring(sha1(text || '|' || i), 1, 8))::BIGINT % 1000000) / 500000.0::DOUBLE - 1, 6))), 6) AS total FROM documents")
+
+
+def last_actions(t):
+    """Each user's metadata after a stream of events: the last event's type and value, merged into a table by user."""
+    table = UpsertTable(t.spark, scratch(t.spark, "actions"), "user_id long, event_id long, event_type string, value double", ["user_id"], "event_id")
+    return S.upserted(events(t).select("user_id", "event_id", "event_type", "value"), table)
+
+
+register("A26b_metadata_upserts", last_actions, "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+
+
+def embeddings_by_upsert(t):
+    """The documents' embeddings after two runs, the second of which brings what the first one lacked and some rows again."""
+    table = UpsertTable(t.spark, scratch(t.spark, "embedded"), "doc_id long, version int, embedding array<double>", ["doc_id"], "version")
+    docs = S.embedded_rows(t.load("documents")).withColumn("version", F.lit(1))
+    table.merge(docs.where("doc_id % 2 = 0"))
+    table.merge(docs.where("doc_id % 2 = 1 OR doc_id % 3 = 0"))
+    return table.rows().select("doc_id", F.round(total(F.col("embedding")), 6).alias("total"))
+
+
+register(
+    "C03b_embedding_upserts", embeddings_by_upsert,
+    "SELECT doc_id, round(list_sum(list_transform(range(8), lambda i: round((('0x' || substring(sha1(text || '|' || i), 1, 8))::BIGINT % 1000000) / 500000.0::DOUBLE - 1, 6))), 6) AS total FROM documents",
+)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tessera.operators import caching as C
 from tessera.operators import usage as U
 from tessera.operators.folds import burst_limited
+from tessera.sources.storage import kept
 
 from .registry import register
 
@@ -65,6 +66,15 @@ register("H27b_histogram", lambda t: U.histogram(t.metrics.withColumn("seconds",
 register("H28_recent_points", lambda t: U.recent_points(t.metrics, "type", 86_400, B, 40).select("id", "type"), f"SELECT id, type FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY ts DESC, id DESC) AS n FROM rag_metrics) WHERE n <= 40 AND ts >= TIMESTAMP '{B}' - INTERVAL 86400 SECONDS")
 register("H29_request_metrics", lambda t: t.metrics.select("type", (F.element_at(F.array(*map(F.lit, (200, 201, 404, 500))), (F.col("query_hash") % 4 + 1))).alias("status")).groupBy(F.concat_ws(":", F.lit("http"), "type", F.col("status").cast("string")).alias("label")).agg(rows_().alias("requests"), F.count_if(F.col("status") >= 400).alias("errors")), "SELECT 'http:' || type || ':' || status AS label, count(*) AS requests, count(*) FILTER (WHERE status >= 400) AS errors FROM (SELECT type, ([200, 201, 404, 500])[query_hash % 4 + 1] AS status FROM rag_metrics) GROUP BY 1")
 register("H48_rate_limit", lambda t: U.rate_limited(t.metrics.withColumn("who", F.col("tenant_id")), "who", 1).select("id", "allowed"), "SELECT id, row_number() OVER (PARTITION BY tenant_id, date_trunc('minute', ts) ORDER BY ts, id) <= 1 AS allowed FROM rag_metrics")
+
+
+def user_sketches(t):
+    """Sketches of the users of each hour and tenant, written once as long as the events stay the same."""
+    return kept(t.spark, "user-sketches", [f"{t.dir}/events.parquet"], lambda: U.hourly_sketches(t.metrics.where("type IN ('query', 'generation')"), "user_id"))
+
+
+register("H13b_users_by_day", lambda t: U.distinct_from(user_sketches(t).withColumn("day", F.to_date("hour")), ["day"]))
+register("H20b_users_by_tenant", lambda t: U.distinct_from(user_sketches(t), ["tenant_id"]))
 #: The rule as a fold, row by row: a counter for each hour, and one that ends an hour after the last allowed request.
 BURST_SQL = """WITH RECURSIVE e AS (
       SELECT id, tenant_id AS who, epoch_us(ts) AS us, row_number() OVER (PARTITION BY tenant_id ORDER BY ts, id) AS n FROM rag_metrics),

@@ -44,6 +44,11 @@ def removed(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _files(spark, path)
+    return files.exists(place)
+
+
 def state_of(spark: SparkSession, path: str) -> tuple:
     """What a file or folder is known by: names, sizes and times of change of the files right below it."""
     files, place = _files(spark, path)

@@ -30,6 +30,14 @@ def index_block(document_id: Column) -> Column:
     return F.floor(document_id / DOCUMENTS_A_BLOCK)
 
 
+#: Ways in which people begin questions; derived queries put them before texts of the tables.
+LEADS = (
+    "Lista de 3 motivos para o contrato", "Resumo em linhas", "the and that", "O que é preço e como funciona?", "tabela de preços dos planos 2024", "", "me fale", "capital da frança", "?!", "erst thon shat nthe of it",
+    "compare versus mercado and nosso produto or 12 24 36 48 60 extra words", "cite a frase exata", "ththere ofs anand", "  Suporte ao cliente e prazo da dosagem ",
+)
+SHEET_LEADS = ("Soma de p_retailprice", "média dos preços", "quantos itens", "filtrar onde p_size maior que 10", "red widget", "valor máximo", "menor que 3")
+
+
 class Tables:
     """The tables of one folder, read when asked for."""
 
@@ -168,6 +176,15 @@ class Tables:
         """(query_id, query): all benchmark texts as search queries."""
         return self.load("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
+    def asked_texts(self, leads: tuple[str, ...] = LEADS) -> DataFrame:
+        """(query_id, query): every benchmark text and every turn of a conversation as a question, most of them after a lead."""
+        said = self.load("conversations").select((1_000_000 + F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+        both = self.load("benchmark").select(F.col("item_id").alias("query_id"), "text").unionByName(said).withColumn("text", F.coalesce("text", F.lit("")))
+        lead = F.get(F.array(*map(F.lit, leads)), F.col("query_id") % len(leads))
+        short = F.concat(lead, F.lit(" "), F.substring_index("text", " ", 3))
+        kinds = [F.col("text"), F.concat(lead, F.lit(" "), F.col("text")), short, lead]
+        return both.select("query_id", F.get(F.array(*kinds), F.floor(F.col("query_id") / len(leads)) % 4).alias("query"))
+
     @cached_property
     def hybrid_queries(self) -> DataFrame:
         """(query_id, query, qv, tenant_slug): every vector whose id is divisible by 100, asked by its document's tenant.
@@ -193,7 +210,18 @@ class Tables:
         return kept(self.spark, "postings", [f"{self.dir}/documents.parquet"], make)
 
 
+
+
+def asked_texts_sql(leads: tuple[str, ...]) -> str:
+    kinds = "text, lead || ' ' || text, lead || ' ' || array_to_string(string_split(text, ' ')[1:3], ' '), lead"
+    return f"""SELECT query_id, ([{kinds}])[(query_id // {len(leads)}) % 4 + 1] AS query FROM (
+      SELECT query_id, coalesce(text, '') AS text, ({list(leads)})[query_id % {len(leads)} + 1] AS lead FROM (
+        SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT 1000000 + conv_id * 1000 + turn, text FROM conversations))"""
+
+
 DERIVED_SQL = {
+    "asked_texts": asked_texts_sql(LEADS),
+    "sheet_questions": asked_texts_sql(SHEET_LEADS),
     "docs": "SELECT doc_id AS id, source AS tenant_slug, 'Document ' || doc_id AS title, CASE WHEN doc_id % 4 = 0 AND regexp_matches(source, '[02468]$') THEN 'bypass_upload' ELSE 'file' END AS source, lang, text AS content, TIMESTAMP '2024-01-01' + to_hours(doc_id) AS created_at FROM documents",
     "chunks": "SELECT doc_id * 1048576 + ord AS id, doc_id AS document_id, ord::INT AS ord, substring(text, (ord * 1000 + 1)::BIGINT, 1000) AS content FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 1000 + 1)) AS ord FROM documents WHERE length(text) > 0)",
     "vectors": "SELECT d.doc_id AS document_id, e.embedding::DOUBLE[] AS embedding FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id",

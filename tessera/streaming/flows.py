@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.operators.upserts import UpsertTable
 from tessera.operators.vectors import local_embedding
 from tessera.sources.storage import scratch
 
@@ -66,6 +67,14 @@ def drained(flow: DataFrame, mode: str, size: int | None = None, rocks: bool = F
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/rows")
 
 
+def upserted(flow: DataFrame, table: UpsertTable) -> DataFrame:
+    """Merges a flow's batches into a table until its source is exhausted; the table's rows. A repeated batch changes nothing."""
+    state = scratch(flow.sparkSession, "stream")
+    query = flow.writeStream.foreachBatch(lambda batch, number: table.merge(batch) and None).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return table.rows()
+
+
 def minute_counters(events: DataFrame, identity: str, delay: str = "2 minutes") -> DataFrame:
     """(identity, minute, n): tumbling one-minute counters, whose state goes two minutes after their end."""
     return events.withWatermark("ts", delay).groupBy(identity, F.window("ts", "1 minute").alias("w")).agg(rows_().alias("n")).select(identity, F.col("w.start").alias("minute"), "n")
