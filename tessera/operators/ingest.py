@@ -13,7 +13,9 @@ from tessera.functions import text as T
 def rows_():
     return F.count(F.lit(1))
 #: Names that Windows reserves.
-RESERVED = ("CON", "PRN", "AUX", "NUL", *(f"{p}{i}" for p in ("COM", "LPT") for i in range(1, 10)))
+RESERVED = (
+    "CON", "PRN", "AUX", "NUL", "COM1", "COM2", "COM3", "COM4", "COM5", "COM6", "COM7", "COM8", "COM9", "LPT1", "LPT2", "LPT3", "LPT4", "LPT5", "LPT6", "LPT7", "LPT8", "LPT9",
+)
 #: MIME types that uploads may have.
 ALLOWED = ("application/pdf", "text/plain", "text/csv", "text/html", "application/rtf", "application/xml", "image/png", "image/jpeg")
 

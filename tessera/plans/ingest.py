@@ -50,21 +50,22 @@ def table_of():
 
 
 register("A06_html_tables", lambda t: S.parsed(t.load("part").withColumn("html", table_of()), "p_partkey", "html", S.html_tables, "tables").select("id", F.explode("value").alias("v")).select("id", "v.*"), "SELECT p_partkey AS id, i::INT AS index, CASE i WHEN 0 THEN 2 ELSE 1 END::INT AS rows, CASE i WHEN 0 THEN '=== TABELA HTML 0 ===' || chr(10) || 'Name | Size' || chr(10) || '-----------' || chr(10) || p_name || ' | ' || p_size ELSE '=== TABELA HTML 1 ===' || chr(10) || 'x' || chr(10) || '-' END AS text FROM part, (SELECT unnest([0, 1]) AS i)")
-SEP = "([',', ';', chr(9), '|'])[length(p_brand) % 4 + 1]"
+BATCH = "p_partkey // 100"
+SEP = f"([',', ';', chr(9), '|'])[({BATCH}) % 4 + 1]"
 
 
 def csv_files(t):
-    """One CSV text for each brand: a header without the third name, a row for each part, an empty row at the end."""
-    p = t.load("part").withColumn("sep", F.element_at(F.array(F.lit(","), F.lit(";"), F.lit("\t"), F.lit("|")), F.length("p_brand") % 4 + 1))
+    """One CSV text for each hundred parts: a header without the third name, a row for each part, an empty row at the end."""
+    p = t.load("part").withColumn("batch", F.floor(F.col("p_partkey") / 100)).withColumn("sep", F.get(F.array(F.lit(","), F.lit(";"), F.lit("\t"), F.lit("|")), F.col("batch") % 4))
     cell = F.when(F.col("p_size") % 7 == 0, "").otherwise(F.concat(F.lit('"a'), F.col("sep"), F.lit('""b""'), F.col("p_size").cast("string"), F.lit('"')))
     line = F.concat(F.col("p_partkey").cast("string"), F.col("sep"), F.col("p_name"), F.col("sep"), cell, F.col("sep"), F.col("p_retailprice").cast("string"))
     lines = F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", line.alias("l")))), lambda x: x["l"])
     head = F.concat(F.lit("id"), F.first("sep"), F.lit("name"), F.first("sep"), F.lit(""), F.first("sep"), F.lit("price"))
-    return p.groupBy("p_brand").agg(F.concat(head, F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n"), F.first("sep"), F.first("sep")).alias("text"))
+    return p.groupBy("batch").agg(F.concat(head, F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n"), F.first("sep"), F.first("sep")).alias("text"))
 
 
 CELL = f"CASE WHEN p_size % 7 = 0 THEN NULL ELSE 'a' || {SEP} || '\"b\"' || p_size END"
-register("A07_csv_rows", lambda t: S.csv_rows(csv_files(t), "p_brand", "text").select("id", "row", F.element_at("cells", "id").alias("a"), F.element_at("cells", "name").alias("b"), F.element_at("cells", "Column_3").alias("c"), F.element_at("cells", "price").alias("d")), f"SELECT p_brand AS id, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey))::INT AS row, p_partkey::VARCHAR AS a, p_name AS b, {CELL} AS c, p_retailprice::VARCHAR AS d FROM part")
+register("A07_csv_rows", lambda t: S.csv_rows(csv_files(t), "batch", "text").select("id", "row", F.element_at("cells", "id").alias("a"), F.element_at("cells", "name").alias("b"), F.element_at("cells", "Column_3").alias("c"), F.element_at("cells", "price").alias("d")), f"SELECT {BATCH} AS id, (row_number() OVER (PARTITION BY {BATCH} ORDER BY p_partkey))::INT AS row, p_partkey::VARCHAR AS a, p_name AS b, {CELL} AS c, p_retailprice::VARCHAR AS d FROM part")
 CELLS = ["12", " 3,5 ", "4.25", "", "abc", "-7", "1e3"]
 register("A08_typed_cells", lambda t: t.load("part").select("p_partkey", S.typed_cell(F.element_at(F.array(*map(F.lit, CELLS)), (F.col("p_partkey") % 7 + 1).cast("int"))).alias("c")).select("p_partkey", "c.*"), f"SELECT p_partkey, CASE WHEN c = '' THEN NULL WHEN regexp_matches(c, '^[+-]?\\d{{1,18}}$') THEN 'int' WHEN try_cast(replace(c, ',', '.') AS DOUBLE) IS NOT NULL THEN 'float' ELSE 'text' END AS kind, try_cast(replace(nullif(c, ''), ',', '.') AS DOUBLE) AS number, nullif(c, '') AS text FROM (SELECT p_partkey, trim(({CELLS})[p_partkey % 7 + 1]) AS c FROM part)")
 register("A09_csv_text", lambda t: t.load("part").select("p_partkey", F.concat_ws(" | ", "p_name", F.when(F.col("p_size") % 7 != 0, F.col("p_type")), F.col("p_size").cast("string")).alias("line")), "SELECT p_partkey, concat_ws(' | ', p_name, CASE WHEN p_size % 7 <> 0 THEN p_type END, p_size) AS line FROM part")
@@ -159,7 +160,17 @@ def outline(t):
 
 
 register("A30_html_outline", outline)
-register("A31_csv_delimiter", lambda t: csv_files(t).select("p_brand", S.delimiter(text_()).alias("sep"), F.size(F.filter(F.split(text_(), "\n"), lambda x: x.rlike(r"[A-Za-z0-9]"))).alias("rows_with_data")), f"SELECT p_brand, CASE WHEN max(length(p_brand)) % 4 + 1 = 1 THEN ',' ELSE max({SEP}) END AS sep, count(*)::INT + 1 AS rows_with_data FROM part GROUP BY 1")
+
+
+def contents(t):
+    """The parts of every page; lists of parts as JSON."""
+    made = S.parsed(pages(t), "page_id", "html", lambda h: json.dumps(S.html_contents(h)), "string")
+    parts = made.select("id", F.from_json("value", S.CONTENTS).alias("c")).select("id", "c.*")
+    return parts.select("id", *(F.to_json(c).alias(c) if kind.startswith("array") else F.col(c) for c, kind in parts.dtypes if c != "id"))
+
+
+register("A30b_html_contents", contents)
+register("A31_csv_delimiter", lambda t: csv_files(t).select("batch", S.delimiter(text_()).alias("sep"), F.size(F.filter(F.split(text_(), "\n"), lambda x: x.rlike(r"[A-Za-z0-9]"))).alias("rows_with_data")), f"SELECT {BATCH} AS batch, max({SEP}) AS sep, count(*)::INT + 1 AS rows_with_data FROM part GROUP BY 1")
 register("A32_extraction_outcome", lambda t: t.load("documents").select("doc_id", I.outcome(F.when(F.col("doc_id") % 5 == 0, "error").otherwise("success"), F.when(F.col("doc_id") % 3 > 0, text_())).alias("ok")).groupBy("ok").agg(rows_().alias("n")), "SELECT doc_id % 5 <> 0 AND doc_id % 3 > 0 AND trim(text) <> '' AS ok, count(*) AS n FROM documents GROUP BY 1")
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import advice as D
 from tessera.operators import quality as G
 
 from .registry import register
@@ -206,6 +207,39 @@ register("G13_classified_issues", lambda t: G.classified(issues(t)), f"WITH {CLA
 register("G14_severity_and_effort", lambda t: t.load("part").select("p_partkey", G.adjusted_severity(F.element_at(F.array(*map(F.lit, G.LEVELS)), F.col("p_size") % 4 + 1), F.col("p_size") / 50).alias("severity"), G.fix_hours(F.element_at(F.array(*map(F.lit, G.HOURS)), F.col("p_size") % 5 + 1), F.lit("high"), F.lit(0.5)).alias("hours")), "SELECT p_partkey, (['low', 'medium', 'high', 'critical'])[CASE WHEN p_size / 50 > 0.8 THEN least(4, p_size % 4 + 2) WHEN p_size / 50 < 0.3 THEN greatest(1, p_size % 4) ELSE p_size % 4 + 1 END] AS severity, round(([0.5, 2.0, 8.0, 24.0, 40.0])[p_size % 5 + 1]::DOUBLE * 1.2 * 1.5, 1) AS hours FROM part")
 register("G15_prioritised_issues", lambda t: G.classified(issues(t)).orderBy(F.desc("priority"), "document_id", "position", "pattern").select("document_id", "position", "pattern", "priority"), f"WITH {CLASSIFIED} SELECT document_id, position, pattern, priority FROM classified ORDER BY priority DESC, document_id, position, pattern")
 register("G16_recommendations", lambda t: G.recommendations(issues(t)), f"WITH {FOUND}, a AS (SELECT * FROM (VALUES " + ", ".join(map(str, G.ADVICE)) + ") v(kind, action, type, priority)) SELECT document_id, lower(action) AS action, type, min(priority) AS priority, sum(n)::BIGINT AS issues FROM (SELECT document_id, kind, count(*) AS n FROM failures GROUP BY 1, 2) f JOIN a USING (kind) GROUP BY 1, 2, 3")
+
+
+def case(column, table, default):
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in table.items()) + f" ELSE {default!r} END"
+
+
+TEMPLATES = ", ".join(f"({', '.join(repr(list(v)) if isinstance(v, tuple) and v else '[]::VARCHAR[]' if v == () else repr(v) for v in row)})" for row in D.templates())
+PHASE = "CASE " + " ".join(f"WHEN action_type IN ({', '.join(map(repr, kinds))}) THEN '{name}'" for name, kinds in D.PHASES) + " END"
+ADVICE = f"""{EVERY},
+ firsts AS (SELECT document_id, kind, min({{'s': list_position({list(D.SEVERITIES)}, severity), 'p': list_position({list(D.DETECTED)}, pattern), 'position': position, 'confidence': confidence, 'severity': severity}}) AS f FROM failures GROUP BY 1, 2),
+ made AS (SELECT document_id, kind, f, nth, action_type, action, effort, tools, prerequisites,
+   CASE WHEN action_type = 'validation' THEN own WHEN f.severity = 'critical' THEN 'urgent' WHEN f.severity = 'high' AND f.position < 1000 THEN 'high' ELSE own END AS priority,
+   round(CASE WHEN action_type = 'validation' THEN chance ELSE least(0.95::DOUBLE, chance::DOUBLE * (0.5 + f.confidence * 0.5)) END::DOUBLE, 6) AS probability
+   FROM firsts JOIN (SELECT * FROM (VALUES {TEMPLATES}) v(kind, nth, action_type, action, own, chance, effort, tools, prerequisites)) USING (kind)),
+ advice AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY list_position({list(D.ACTIONS)}, action_type), list_position({list(D.PRIORITIES)}, priority), f, nth)::INT AS place, {PHASE} AS phase,
+   round({case('priority', D.WEIGHTS, 50)} + probability * {D.CHANCE} - {case('effort', D.PENALTIES, 15)}, 6) AS score FROM made)"""
+
+
+def advice(t):
+    return D.recommendations(G.all_failures(files(t), secs(t)))
+
+
+register(
+    "G16b_ordered_advice", lambda t: advice(t).drop("tools", "prerequisites"),
+    f"WITH {ADVICE} SELECT document_id, place, kind, action_type, action, priority, probability, effort, phase, score FROM advice",
+)
+NAMED = " || ".join(f"coalesce('; {name}: ' || string_agg(place, ',' ORDER BY score DESC, place) FILTER (phase = '{name}'), '')" for name, _ in D.PHASES)
+register(
+    "G16c_action_plans", lambda t: D.joined(D.action_plans(advice(t)), "tools", "prerequisites"),
+    f"""WITH {ADVICE}, p AS (SELECT document_id, count(*) AS recommendations, ({NAMED})[3:] AS phases, sum({case('effort', D.HOURS, 8)})::BIGINT AS hours,
+      array_to_string(list_sort(list_distinct(flatten(list(tools)))), ', ') AS tools, array_to_string(list_sort(list_distinct(flatten(list(prerequisites)))), ', ') AS prerequisites FROM advice GROUP BY 1)
+      SELECT *, greatest(1, hours // 8) AS days, CASE WHEN hours > 40 THEN 'high' WHEN hours > 16 THEN 'medium' ELSE 'low' END AS complexity FROM p""",
+)
 CORR = " + ".join(f"{w}::DOUBLE * log10({n(quoted(p))} + 1) / 2" for p, w in G.CORRUPTION)
 def coherence(text):
     """SQL of the coherence of a text."""
@@ -231,12 +265,12 @@ register("G18_corruption", lambda t: docs(t).select("doc_id", F.round(G.corrupti
 def tables(t):
     p = t.load("part")
     line = F.concat_ws("|", F.col("p_name"), F.when(F.col("p_size") % 7 == 0, "").otherwise(F.col("p_type")), F.when(F.col("p_size") % 11 != 0, F.col("p_size").cast("string")))
-    return p.groupBy("p_brand").agg(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", line.alias("l")))), lambda x: x["l"]).alias("lines"))
+    return p.groupBy(F.floor(F.col("p_partkey") / 100).alias("batch")).agg(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", line.alias("l")))), lambda x: x["l"]).alias("lines"))
 
 
 register(
-    "G19_table_integrity", lambda t: tables(t).select("p_brand", *(c.alias(k) for k, c in G.table_integrity(F.col("lines")).items())),
-    "WITH l AS (SELECT p_brand, list(concat_ws('|', p_name, CASE WHEN p_size % 7 = 0 THEN '' ELSE p_type END, CASE WHEN p_size % 11 <> 0 THEN p_size::VARCHAR END) ORDER BY p_partkey) AS lines FROM part GROUP BY 1), c AS (SELECT p_brand, len(lines)::INT AS rows, list_transform(lines, lambda x: len(string_split(x, '|'))) AS k, flatten(list_transform(lines, lambda x: list_transform(string_split(x, '|'), lambda s: trim(s)))) AS f FROM l) SELECT p_brand, k[1]::INT AS columns, rows, len(list_distinct(k)) <= 1 AS steady, round(len(list_filter(f, lambda s: s = ''))::DOUBLE / len(f), 6) AS empty_ratio, round(greatest(0.0::DOUBLE, 1.0 - CASE WHEN len(list_distinct(k)) <= 1 THEN 0.0 ELSE 0.3 END - CASE WHEN k[1] < 2 THEN 0.2 ELSE 0.0 END - CASE WHEN rows < 2 THEN 0.2 ELSE 0.0 END - len(list_filter(f, lambda s: s = ''))::DOUBLE / len(f) * 0.5), 6) AS score FROM c",
+    "G19_table_integrity", lambda t: tables(t).select("batch", *(c.alias(k) for k, c in G.table_integrity(F.col("lines")).items())),
+    "WITH l AS (SELECT p_partkey // 100 AS batch, list(concat_ws('|', p_name, CASE WHEN p_size % 7 = 0 THEN '' ELSE p_type END, CASE WHEN p_size % 11 <> 0 THEN p_size::VARCHAR END) ORDER BY p_partkey) AS lines FROM part GROUP BY 1), c AS (SELECT batch, len(lines)::INT AS rows, list_transform(lines, lambda x: len(string_split(x, '|'))) AS k, flatten(list_transform(lines, lambda x: list_transform(string_split(x, '|'), lambda s: trim(s)))) AS f FROM l) SELECT batch, k[1]::INT AS columns, rows, len(list_distinct(k)) <= 1 AS steady, round(len(list_filter(f, lambda s: s = ''))::DOUBLE / len(f), 6) AS empty_ratio, round(greatest(0.0::DOUBLE, 1.0 - CASE WHEN len(list_distinct(k)) <= 1 THEN 0.0 ELSE 0.3 END - CASE WHEN k[1] < 2 THEN 0.2 ELSE 0.0 END - CASE WHEN rows < 2 THEN 0.2 ELSE 0.0 END - len(list_filter(f, lambda s: s = ''))::DOUBLE / len(f) * 0.5), 6) AS score FROM c",
 )
 LANG = " + ".join(f"({n('[' + s + ']')} / greatest(length(text), 1) >= 0.1)::INT" for s in G.LANGUAGE_SETS.values())
 register("G20_language_consistency", lambda t: t.load("documents").select("doc_id", G.language_consistency(text_()).alias("score")), f"SELECT doc_id, CASE WHEN regexp_replace(text, '\\s', '', 'g') = '' THEN 0.0 WHEN {LANG} > 1 THEN 0.7 ELSE 1.0 END::DOUBLE AS score FROM documents")

@@ -78,7 +78,7 @@ class Node:
                 yield node
             stack += [c for c in reversed(node.children) if isinstance(c, Node)]
 
-    def text(self) -> str:
+    def strings(self) -> list[str]:
         out, stack = [], [self]
         while stack:
             node = stack.pop()
@@ -86,7 +86,10 @@ class Node:
                 out.append(node)
             else:
                 stack += reversed(node.children)
-        return "".join(out).strip()
+        return out
+
+    def text(self) -> str:
+        return "".join(self.strings()).strip()
 
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -98,11 +101,12 @@ class Tree(HTMLParser):
     def __init__(self, markup: str) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("", {})
-        self.open, self.skip = [self.root], 0
+        self.open, self.skip, self.elements = [self.root], 0, 0
         self.feed(markup)
         self.close()
 
     def handle_starttag(self, tag, attrs):
+        self.elements += 1
         if tag in SKIPPED:
             self.skip += 1
             return
@@ -169,6 +173,52 @@ def html_outline(markup: str) -> dict:
     }
 
 
+CONTENTS = (
+    "title string, description string, headings array<struct<level:int,text:string>>, paragraphs array<string>, links array<struct<url:string,text:string>>, images array<struct<src:string,alt:string,title:string>>, "
+    "tables array<struct<headers:array<string>,rows:array<array<string>>,columns:int>>, "
+    "forms array<struct<action:string,method:string,fields:array<struct<type:string,name:string,id:string,placeholder:string,required:boolean,input_type:string,options:array<string>>>>>, "
+    "lists array<struct<kind:string,items:array<string>>>, text string, elements int, extracted int, percent double"
+)
+
+
+def _table(node: Node) -> dict:
+    """Headers are those of the table's head or of the first row with a header cell; the other rows with cells are its rows."""
+    cells = lambda of: [c.text() for c in of.find("th", "td")]
+    head, body = next(node.find("thead"), None), next(node.find("tbody"), node)
+    headers, rows = cells(head) if head else [], []
+    for row in body.find("tr"):
+        if not headers and next(row.find("th"), None):
+            headers = cells(row)
+        elif found := cells(row):
+            rows.append(found)
+    return {"headers": headers, "rows": rows, "columns": len(headers) or (len(rows[0]) if rows else 0)}
+
+
+def _form(node: Node) -> dict:
+    fields = []
+    for f in node.find("input", "textarea", "select"):
+        given = {k: f.attrs.get(k, "") for k in ("name", "id", "placeholder")}
+        kind = f.attrs.get("type", "text") if f.tag == "input" else None
+        fields.append({"type": f.tag, **given, "required": "required" in f.attrs, "input_type": kind, "options": [o.text() for o in f.find("option")] if f.tag == "select" else None})
+    return {"action": node.attrs.get("action", ""), "method": node.attrs.get("method", "GET").upper(), "fields": fields}
+
+
+def html_contents(markup: str) -> dict:
+    """All parts of a page with their contents, as CONTENTS lists them; percent: parts that were taken among all elements."""
+    tree = Tree(markup)
+    root = tree.root
+    title = next((n.text() for n in root.find("title")), None)
+    meta = next((n.attrs.get("content", "") for n in root.find("meta") if n.attrs.get("name") == "description"), "").strip()
+    out = {
+        "title": title or "", "description": meta, "headings": [{"level": i, "text": n.text()} for i in range(1, 7) for n in root.find(f"h{i}")], "paragraphs": [t for n in root.find("p") if (t := n.text())],
+        "links": [{"url": n.attrs["href"], "text": n.text()} for n in root.find("a") if "href" in n.attrs], "images": [{k: n.attrs.get(k, "") for k in ("src", "alt", "title")} for n in root.find("img")],
+        "tables": [_table(n) for n in root.find("table")], "forms": [_form(n) for n in root.find("form")], "lists": [{"kind": n.tag, "items": [i.text() for i in n.find("li")]} for n in root.find("ul", "ol")],
+    }
+    parts = (title is not None) + bool(meta) + sum(len(out[k]) for k in ("headings", "paragraphs", "links", "images", "tables", "forms", "lists"))
+    text = " ".join(t for s in root.strings() if (t := s.strip()))
+    return out | {"text": text, "elements": tree.elements, "extracted": parts, "percent": round(100 * parts / tree.elements, 4) if tree.elements else 0.0}
+
+
 def xml_text(markup: str) -> str:
     """`tag: text` lines of leaves and `=== tag ===` of other elements with text, two spaces deeper for each level; nothing for broken XML."""
     try:
