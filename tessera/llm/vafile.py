@@ -9,7 +9,9 @@ that score, until the kth result is certain. Queries are sent to the scans in bl
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,7 @@ from .common import cut, one_thread, written
 CELLS = 64
 ROWS, ASKED = 2048, 512  # of a block of bounds
 FIRST = 2  # times as many exact vectors as results are read before the bounds are looked at again
+LARGEST, WHOLE = 1 << 55, "O"  # components under this, and whole numbers of any size
 MERGED = 64  # groups of tasks whose best bounds are merged first
 
 
@@ -74,9 +77,10 @@ def search(
 ) -> DataFrame:
     """(query, rank, id, score): the k rows of vectors with the greatest inner products with each row of queries.
 
-    Inner products are of the components floor(scale * x), and exact: components so large that one could take more than
-    53 bits raise ValueError. A row of the query's own id
-    is no result of it; ties go to the smaller id; fewer rows give fewer results. Vectors that are null or hold null or
+    Inner products are of the components floor(scale * x), and exact: where one could take more than 53 bits they are
+    worked out in longs or in whole numbers of any size, and the bounds are widened by what rounding can do to them. The
+    score is a long or, where one could take more than 63 bits, a decimal of 38 digits; only components of 2^55 and more
+    raise ValueError. A row of the query's own id is no result of it; ties go to the smaller id; fewer rows give fewer results. Vectors that are null or hold null or
     non-finite components, and null ids, take no part. Vectors of different lengths meet as if padded with zeros. Of
     equal vectors only the k + 1 smallest ids are held against a query, since no other can be among its results, and
     equal queries are asked once; repeated rows of one id are one row. Empty tables give an empty result. Other columns
@@ -85,9 +89,8 @@ def search(
     spark = vectors.sparkSession
     rows, width = integers(vectors.select(id_col, vector_col), id_col, vector_col, scale)
     asked, asked_width = integers(queries.select(id_col, vector_col), id_col, vector_col, scale)
-    empty = spark.createDataFrame([], "query long, rank int, id long, score long")
     if not width or not asked_width:
-        return empty
+        return spark.createDataFrame([], "query long, rank int, id long, score long")
     if asked_width != width:
         width = max(width, asked_width)
         rows, asked = (x.withColumn("v", F.rpad("v", 8 * width, F.lit(b"\0"))) for x in (rows, asked))
@@ -100,12 +103,13 @@ def search(
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                m = _matrix(batch.column(1), "<i8", width)
+                m = _matrix(batch.column(batch.schema.get_field_index("v")), "<i8", width)
                 yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(m.min(axis=0)), pa.array(m.max(axis=0))], ["d", "a", "b"])
 
     limits = few.mapInArrow(ranges, "d int, a long, b long").groupBy("d").agg(F.min("a").alias("a"), F.max("b").alias("b")).orderBy("d").collect()
-    if width * max((abs(x) for r in limits for x in (r["a"], r["b"])), default=0) ** 2 >= 1 << 53:
-        raise ValueError("inner products of such components can take more than 53 bits")
+    most = max((abs(x) for r in limits for x in (r["a"], r["b"])), default=0)
+    if most >= LARGEST:
+        raise ValueError("components of 2^55 and more are not served")
     grid = Grid([r["a"] for r in limits], [r["b"] for r in limits])
 
     def approximated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,14 +121,20 @@ def search(
     file = written(few.mapInArrow(approximated, "id long, v binary, cells binary"), "vafile")
     distinct = cut(asked.groupBy("v").agg(F.min("id").alias("query")))
     chunks = max(1, -(-distinct.count() // chunk))
+    in_queries = distinct.mapInArrow(ranges, "d int, a long, b long").agg(F.max(F.greatest(F.abs("a"), F.abs("b"))).alias("most")).first()["most"] or 0
+    score = "decimal(38,0)" if arithmetic(width, max(most, in_queries)) == WHOLE else "long"
     found = None
     for i in range(chunks):
         part = distinct.where(F.pmod(F.xxhash64("v"), F.lit(chunks)) == i).orderBy("query").collect()
         if part:
-            some = _search_chunk(file, grid, [r["query"] for r in part], np.array([np.frombuffer(r["v"], dtype="<i8") for r in part]), want, width)
+            asked_now = np.array([np.frombuffer(r["v"], dtype="<i8") for r in part])
+            largest = max(most, int(np.abs(asked_now).max()))
+            if largest >= LARGEST:
+                raise ValueError("components of 2^55 and more are not served")
+            some = _search_chunk(file, grid, [r["query"] for r in part], asked_now, want, width, most, arithmetic(width, largest), score)
             found = some if found is None else found.unionByName(some)
     if found is None:
-        return empty
+        return spark.createDataFrame([], f"query long, rank int, id long, score {score}")
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("n") <= want)
     copies = asked.join(distinct.withColumnRenamed("query", "like"), "v").select(F.col("id").alias("query"), "like")
     results = copies.join(best.select(F.col("query").alias("like"), "id", "score"), "like").where("id <> query")
@@ -132,9 +142,18 @@ def search(
     return ranked.where(F.col("rank") <= k).select("query", "rank", "id", "score")
 
 
-def _search_chunk(file: DataFrame, grid: Grid, names: list[int], queries: np.ndarray, want: int, width: int) -> DataFrame:
+def arithmetic(width: int, most: int) -> str:
+    """The numbers in which inner products of components up to `most` are exact."""
+    largest = width * most * most
+    return "f8" if largest < 1 << 53 else "i8" if largest < 1 << 63 else WHOLE
+
+
+def _search_chunk(file: DataFrame, grid: Grid, names: list[int], queries: np.ndarray, want: int, width: int, most: int, kind: str, score: str) -> DataFrame:
     """(query, id, score): rows among which are the `want` best of each query."""
     sent = file.sparkSession.sparkContext.broadcast(queries.astype(np.float64))
+    exact_queries = file.sparkSession.sparkContext.broadcast(queries)
+    # What rounding can add to or take from a bound: nothing where all sums are whole numbers under 2^53.
+    slack = 0.0 if kind == "f8" else (width + 8) * 2.0**-51 * most * np.abs(queries.astype(np.float64)).sum(axis=1)[None, :]
 
     def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
@@ -144,7 +163,7 @@ def _search_chunk(file: DataFrame, grid: Grid, names: list[int], queries: np.nda
             for at in range(0, batch.num_rows, ROWS):
                 low, high = grid.corners(_matrix(batch.column(0).slice(at, ROWS), "u1", width))
                 for b in range(0, len(q), ASKED):
-                    least, _ = bounds(low, high, q[b : b + ASKED])
+                    least = bounds(low, high, q[b : b + ASKED])[0] - at_queries(slack, b)
                     both = np.concatenate([top[b : b + ASKED], least.T], axis=1)
                     top[b : b + ASKED] = -np.partition(-both, want - 1, axis=1)[:, :want]
         part = [TaskContext.get().partitionId() % MERGED] * len(q)
@@ -164,33 +183,49 @@ def _search_chunk(file: DataFrame, grid: Grid, names: list[int], queries: np.nda
             for at in range(0, batch.num_rows, ROWS):
                 low, high = grid.corners(_matrix(batch.column(1).slice(at, ROWS), "u1", width))
                 for b in range(0, len(q), ASKED):
-                    _, most = bounds(low, high, q[b : b + ASKED])
-                    row, j = np.nonzero(most >= threshold[b : b + ASKED])
-                    yield pa.RecordBatch.from_arrays([pa.array((j + b).astype(np.int32)), pa.array(ids[at + row]), pa.array(most[row, j])], ["q", "id", "most"])
+                    upper = bounds(low, high, q[b : b + ASKED])[1] + at_queries(slack, b)
+                    row, j = np.nonzero(upper >= threshold[b : b + ASKED])
+                    yield pa.RecordBatch.from_arrays([pa.array((j + b).astype(np.int32)), pa.array(ids[at + row]), pa.array(upper[row, j])], ["q", "id", "most"])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = sent.value
+        q = exact_queries.value
         for batch in batches:
             if batch.num_rows:
                 asked = q[batch.column(0).to_numpy(zero_copy_only=False)]
-                score = np.einsum("ij,ij->i", _matrix(batch.column(2), "<i8", width).astype(np.float64), asked)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score.astype(np.int64))], ["q", "id", "score"])
+                v = _matrix(batch.column(2), "<i8", width)
+                if kind == WHOLE:
+                    found = [sum(map(operator.mul, x, y)) for x, y in zip(v.tolist(), asked.tolist(), strict=True)]
+                    column = pa.array(list(map(Decimal, found)), pa.decimal128(38, 0))
+                else:
+                    column = pa.array(np.einsum("ij,ij->i", v.astype(kind), asked.astype(kind)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), column if score == "long" or kind == WHOLE else column.cast(pa.decimal128(38, 0))], ["q", "id", "score"])
 
     # Exact vectors are read in the order of their bounds: the first of each query, then those that can still be among its best.
-    found = file.select("id", "cells").mapInArrow(hopeful, "q int, id long, most double")
-    found = cut(found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("most"), "id"))))
-    exact = lambda rows: rows.select("q", "id").join(file.select("id", "v"), "id").select("q", "id", "v").mapInArrow(scored, "q int, id long, score long")
-    first = cut(exact(found.where(F.col("n") <= FIRST * want)))
-    kth = first.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("n") == want).select(F.col("q").alias("asked"), "score")
-    rest = found.where(F.col("n") > FIRST * want).join(kth, (F.col("q") == F.col("asked")) & (F.col("most") >= F.col("score")), "left_semi")
+    found = cut(file.select("id", "cells").mapInArrow(hopeful, "q int, id long, most double"))
+    exact = lambda rows: rows.select("q", "id").join(file.select("id", "v"), "id").select("q", "id", "v").mapInArrow(scored, f"q int, id long, score {score}")
+    # Ranks are asked for up to a limit alone, so that tasks pass on no more rows of a query than that.
+    early = cut(top(found, F.desc("most"), FIRST * want))
+    first = cut(exact(early))
+    kth = top(first, F.desc("score"), want).groupBy("q").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") == want).select(F.col("q").alias("asked"), F.col("least").cast("double").alias("least"))
+    rest = found.join(early.select("q", "id"), ["q", "id"], "left_anti").join(kth, (F.col("q") == F.col("asked")) & (F.col("most") >= F.col("least")), "left_semi")
     known = file.sparkSession.createDataFrame(list(enumerate(names)), "asked int, query long")
     return first.unionByName(exact(rest)).join(F.broadcast(known), F.col("q") == F.col("asked")).select("query", "id", "score")
 
 
+def at_queries(slack, at: int):
+    """The part of a block of queries of a slack by queries."""
+    return slack if isinstance(slack, float) else slack[:, at : at + ASKED]
+
+
+def top(rows: DataFrame, first, most: int) -> DataFrame:
+    """The first rows of each query, ties by id."""
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(first, "id"))).where(F.col("n") <= most).drop("n")
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     found = search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
-    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), F.col("score").try_cast("long").alias("score"))
 
 
 OP9_SQL = """

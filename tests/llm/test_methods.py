@@ -529,3 +529,21 @@ def test_language_by_the_definition(spark):
 def test_language_tie_goes_to_the_first_name():
     model = langid.Model(["aa", "bb"], np.zeros((langid.BUCKETS, 2)), np.zeros(2), 1.0, 0.0)
     assert model.predict("some text") == ("aa", 0.5, False)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e5, 3e6, 1e13], ids=["floats", "longs", "whole", "large"])
+def test_topk_of_large_components(spark, scale):
+    import math
+
+    from tessera.llm import vafile
+
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.standard_normal(6) * scale).tolist()) for i in range(200)] + [(900, [scale] * 6), (901, [scale] * 6), (902, [-scale] * 6)]
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {(r["query"], r["rank"], r["id"], int(r["score"])) for r in vafile.search(df, df.where("vec_id % 50 = 0"), k=4).collect()}
+    want = set()
+    for q in (i for i in whole if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:4]
+        want |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
+    assert got == want
