@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from tessera.functions import queries as Q
 from tessera.functions import text as T
 from tessera.operators import answering as A
-from tessera.operators import business as B
 from tessera.operators import chunking as C
 from tessera.operators import fusion as E
 from tessera.operators import lexical as L
 from tessera.operators import quality as G
+from tessera.operators.folds import charged
 from tessera.sources import formats as S
 
 TEXTS = ["", "One. Two! Three? Four", "a" * 2500, "Word " * 400, "First para.\n\nSecond one here.\n\n" + "x" * 900, "Ends with space. \n\n \n\nNext."]
@@ -91,7 +91,7 @@ def test_quotes(spark):
 
 def test_quota_charges_skip_rejected(spark):
     rows = spark.createDataFrame([(1, 1, 60), (1, 2, 50), (1, 3, 40), (2, 1, 101)], "u int, id long, n long")
-    got = {r["id"]: r["accepted"] for r in B.charge_in_order(rows.where("u = 1"), 100, ("u",), ("id",), "n", "id").collect()}
+    got = {r["id"]: r["accepted"] for r in charged(rows.where("u = 1"), 100, ["u"], ["id"], "n", "id").collect()}
     assert got == {1: True, 2: False, 3: True}
 
 
