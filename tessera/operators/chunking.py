@@ -88,6 +88,7 @@ def by_paragraphs_or_size(text: Column, size: int, overlap: int) -> Column:
     return F.aggregate(paragraphs(text), start, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.array_append(a["done"], a["now"])))
 
 
+#: Numbered items and bullets with the lines that belong to them; the groups name the item and its number.
 ITEM = re.compile(r"(?:^|\n)(?P<all>(?P<n>\d+)[.)\-\s][^\n]+(?:\n(?!\d+[.)\-\s])[^\n]*)*)")
 BULLET = re.compile(r"(?:^|\n)(?P<all>[•*\-]\s+[^\n]+(?:\n(?![•*\-]\s)[^\n]*)*)")
 LEAST_BETWEEN = 50

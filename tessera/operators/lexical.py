@@ -205,6 +205,37 @@ def language_scores(text: Column) -> Column:
     return F.array(*rows)
 
 
+#: What is taken out of a text before its language is told, and what is put in its place; the least length of what is left.
+CLEANING = ((r"https?://[^\s]+", ""), (r"\S+@\S+\.\S+", ""), (r"\s+", " "), ("[0-9]+", ""), (r"[^\p{L}\p{N}_\s.,!?;:\-()]", " "))
+LEAST_SAMPLE, LEAST_SURE, MOST_SURE = 10, 0.3, 0.9
+
+
+def cleaned_sample(text: Column) -> Column:
+    """A text without addresses, numbers and marks that tell nothing of its language."""
+    for pattern, instead in CLEANING:
+        text = F.regexp_replace(text, pattern, instead)
+    return T.strip(text)
+
+
+def told_language(text: Column, clean: Column) -> Column:
+    """Struct (method, confidence, language) of a whole text by words and characters; unknown if there is too little or it isn't sure.
+
+    clean: a column with cleaned_sample() of the text, which is read once for each word and so should be worked out before.
+    """
+    best = F.array_max(F.transform(language_scores(clean), lambda x: F.struct(x["score"], x["language"])))
+    sure = F.least(F.lit(MOST_SURE), F.round(best["score"] / F.greatest(0.1 * F.size(T.words(clean)), F.lit(10.0)), 6))
+    method = F.when(T.strip(F.coalesce(text, F.lit(""))) == "", "no_text").when(F.length(clean) < LEAST_SAMPLE, "insufficient_text").otherwise("patterns")
+    return F.struct(method.alias("method"), sure.alias("sure"), best["language"].alias("best"))
+
+
+def told_languages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, method, confidence, language) of each text."""
+    clean = docs.select(id_col, text_col, cleaned_sample(F.coalesce(text_col, F.lit(""))).alias("_clean"))
+    told = clean.select(id_col, told_language(F.col(text_col), F.col("_clean")).alias("b")).select(id_col, "b.*")
+    usable = F.col("method") == "patterns"
+    return told.select(id_col, "method", F.when(usable, F.col("sure")).otherwise(0.0).alias("confidence"), F.when(usable & (F.col("sure") >= LEAST_SURE), F.col("best")).otherwise("unknown").alias("language"))
+
+
 def regional(lang: Column, text: Column) -> Column:
     low, out = F.lower(text), lang
     for base, (first, second, a, b) in REGIONS.items():

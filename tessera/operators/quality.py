@@ -36,25 +36,31 @@ def points(test: Column, n: int) -> Column:
     return F.when(test, n).otherwise(0)
 
 
+#: Signs of structure and their points, and the most they give.
+STRUCTURE, MOST_STRUCTURE = ((r"\n\s*\n", 5), (r"[.!?]\s+[A-Z]", 5), (r"(?m)^\s*\d+\.?\s+", 3), (r"(?m)^\s*[•\-*]\s+", 3), ("===.*===", 4), (r"Title:|H\d+:", 5)), 25
+#: Points of the share of letters, of common words, of words and of characters (each over a bound).
+LETTER_POINTS, COMMON_POINTS, WORD_POINTS, SIZE_POINTS = ((0.7, 8), (0.5, 5), (0.3, 2)), ((4, 7), (1, 3)), ((200, 20), (100, 15), (50, 10), (10, 5)), ((1000, 30), (500, 20), (100, 10), (0, 5))
+#: Signs of errors: control characters, odd characters (share) and question marks (share), with their points.
+CONTROL, ODD = (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", 5), (rf"[^{W}\s.,!?\-()\[\]{{}}'\"\\/:;]", 0.1, 3)
+ASKING = (0.05, 2)
+ASCII_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def quality_score(text: Column, kind: Column) -> Column:
     """0 to 100: length, words, structure, content and a bonus by type, less signs of errors."""
     n, words = F.length(text), F.size(T.words(text))
-    structure = (
-        points(text.rlike(r"\n\s*\n"), 5) + points(text.rlike(r"[.!?]\s+[A-Z]"), 5) + points(text.rlike(r"(?m)^\s*\d+\.?\s+"), 3)
-        + points(text.rlike(r"(?m)^\s*[•\-*]\s+"), 3) + points(text.rlike("===.*==="), 4) + points(text.rlike(r"Title:|H\d+:"), 5)
-    )
-    alpha = T.times(text, "[a-zA-Z]") / F.greatest(n, F.lit(1))
+    structure = reduce(lambda a, b: a + b, (points(text.rlike(p), k) for p, k in STRUCTURE))
+    alpha = (n - F.length(F.translate(text, ASCII_LETTERS, ""))) / F.greatest(n, F.lit(1))
     common = reduce(lambda a, b: a + b, (F.contains(F.lower(text), F.lit(w)).cast("int") for w in COMMON))
-    content = steps(alpha, ((0.7, 8), (0.5, 5), (0.3, 2))) + steps(common, ((4, 7), (1, 3)))
+    content = steps(alpha, LETTER_POINTS) + steps(common, COMMON_POINTS)
     marks = n - F.length(F.replace(text, F.lit("?"), F.lit("")))
-    errors = points(text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"), 5) + points(T.times(text, rf"[^{W}\s.,!?\-()\[\]{{}}'\"\\/:;]") > n * 0.1, 3) + points(marks > n * 0.05, 2)
+    errors = points(text.rlike(CONTROL[0]), CONTROL[1]) + points(T.times(text, ODD[0]) > n * ODD[1], ODD[2]) + points(marks > n * ASKING[0], ASKING[1])
     pipe, rule, heads = F.contains(text, F.lit("|")), text.rlike("===.*==="), text.rlike(r"H\d+:")
     bonus = (
         F.when(kind == "pdf", points(pipe, 3) + points(text.rlike(r"Page \d+"), 2)).when(kind.isin("docx", "doc"), points(pipe, 3) + points(rule, 2))
         .when(kind.isin("html", "htm"), points(F.contains(text, F.lit("Title:")), 3) + points(heads, 3) + points(F.contains(text, F.lit("•")), 2)).when(kind == "csv", points(pipe, 5)).otherwise(0)
     )
-    size = F.when(n > 1000, 30).when(n > 500, 20).when(n > 100, 10).when(n > 0, 5).otherwise(0)
-    score = size + steps(words, ((200, 20), (100, 15), (50, 10), (10, 5))) + F.least(structure, F.lit(25)) + F.least(content, F.lit(15)) - F.least(errors, F.lit(10)) + F.least(bonus, F.lit(10))
+    score = steps(n, SIZE_POINTS) + steps(words, WORD_POINTS) + F.least(structure, F.lit(MOST_STRUCTURE)) + F.least(content, F.lit(15)) - F.least(errors, F.lit(10)) + F.least(bonus, F.lit(10))
     return F.least(F.greatest(score, F.lit(0)), F.lit(100))
 
 
