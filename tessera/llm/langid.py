@@ -122,7 +122,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     counts = named.groupBy("__tessera_lang").agg(F.count(F.lit(1)).alias("__tessera_n"))
     quota = min(per_lang, max(1, rows // max(1, counts.count())))
     hashed = F.pmod(F.xxhash64(F.lit("lang"), id_col, text_col), F.lit(1_000_003)) / 1_000_003
-    sample = named.join(counts, "__tessera_lang").where(hashed < F.least(F.lit(1.0), F.lit(quota) / F.col("__tessera_n")))
+    # As many rows as the model has languages; texts stay where they lie.
+    sample = named.join(F.broadcast(counts), "__tessera_lang").where(hashed < F.least(F.lit(1.0), F.lit(quota) / F.col("__tessera_n")))
     sample = sample.select(F.col(text_col).alias("t"), F.col("__tessera_lang").alias("l"), F.xxhash64(text_col, id_col).alias("h"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
