@@ -68,7 +68,7 @@ def tenant_hybrid(t):
     """Hybrid search of each query within its tenant, with the beginnings of the chunks found."""
     docs = t.docs.select(F.col("id").alias("document_id"), "tenant_slug", "source")
     chunks = t.embedded_chunks.join(docs, "document_id")
-    found = E.hybrid_search(t.hybrid_queries, chunks, t.index, index_block)
+    found = E.hybrid_search(t.hybrid_queries, chunks, t.index, index_block, owners=docs.select("document_id", "tenant_slug"))
     return found.join(t.chunks.select("id", F.substring("content", 1, 200).alias("preview")), "id")
 
 
