@@ -13,6 +13,7 @@ from tessera.operators import chunking as C
 from tessera.operators import fusion as E
 from tessera.operators import lexical as L
 from tessera.operators import quality as G
+from tessera.operators import vectors as V
 from tessera.operators.folds import charged
 from tessera.sources import formats as S
 
@@ -186,3 +187,12 @@ def test_xml_rtf_json_bytes():
 def test_pattern_language(spark):
     got = column(spark, ["the cat and the dog for you with that is in of to a", "der die das und in zu den von mit auf"], lambda c: F.array_max(L.language_scores(c))["language"])
     assert got == ["en-US", "de"]
+
+
+def test_cached_vectors_are_those_of_the_whole_text(spark):
+    """Texts that differ in blanks alone share a key, but not a vector."""
+    texts = spark.createDataFrame([(1, "a b"), (2, " a b"), (3, "a b "), (4, "c")], "id long, content string")
+    embed = lambda c: V.local_embedding(c, 3)
+    cache = texts.where("id IN (1, 2)").select(F.sha2(F.btrim("content"), 256).alias("key"), F.sha2("content", 256).alias("whole"), embed(F.col("content")).alias("embedding"))
+    got = {r.id: (r.embedding, r.cached) for r in V.embed_misses(texts, cache, embed).collect()}
+    assert got == {r.id: (r.e, r.id < 4) for r in texts.select("id", embed(F.col("content")).alias("e")).collect()}
