@@ -189,6 +189,12 @@ def test_pattern_language(spark):
     assert got == ["en-US", "de"]
 
 
+def test_topic_bounds_are_those_of_sql(spark):
+    """A letter beyond ASCII ends a word, and only \n ends a line."""
+    got = column(spark, ["ámg", "5 mgé", "omg", "x_cbd", "quantidade\rindicada", "quantidade\nindicada", "İSO"], A.topic)
+    assert got == ["dosage_consistency", "dosage_consistency", "misc", "misc", "coa", "misc", "certifications"]
+
+
 def test_cached_vectors_are_those_of_the_whole_text(spark):
     """Texts that differ in blanks alone share a key, but not a vector."""
     texts = spark.createDataFrame([(1, "a b"), (2, " a b"), (3, "a b "), (4, "c")], "id long, content string")
