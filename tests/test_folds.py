@@ -121,3 +121,15 @@ def test_open_minutes_stay_and_closed_ones_go_once(spark, tmp_path):
     assert sorted(r.n for r in out.collect()) == [1, 1, 2]
     held = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
     assert held[0] == 4 and held[-1] == 1
+
+
+def test_charges_of_one_time_and_name_are_taken_in_one_order(spark, tmp_path):
+    """Whatever the order of the rows in the files."""
+    from tessera.plans import registry
+
+    rows = [(1, 1, q, datetime.datetime(2001, 7, 3)) for q in (24.0, 36.0)] + [(1, 2, 10.0, datetime.datetime(2001, 7, 4))]
+    for n, lines in enumerate((rows, [rows[1], rows[0], rows[2]])):
+        spark.createDataFrame([(*r, "A") for r in lines], "l_orderkey long, l_linenumber int, l_quantity double, l_shipdate timestamp_ntz, l_returnflag string").coalesce(1).write.parquet(f"{tmp_path}/{n}/lineitem.parquet")
+        spark.createDataFrame([(1, 7, 1.0, "F", "x", datetime.datetime(2001, 7, 1))], "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string, o_orderpriority string, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/{n}/orders.parquet")
+        got = sorted((r.charge, r.accepted) for r in registry.queries()["H44b_quota_charges"](spark, f"{tmp_path}/{n}").collect())
+        assert got == [(11, False), (11, True), (12, True)]
