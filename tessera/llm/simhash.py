@@ -219,7 +219,8 @@ def link_fingerprints(prints: DataFrame, rows_known: int | None = None) -> DataF
     pivots = (
         keys.where("index").groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count(F.lit(1)).alias("n"))
     )
-    met = keys.join(dealt_anew(pivots, "key"), "key").where((F.col("n") > 2) | ((F.col("fp") != F.col("low")) & _near("fp", "low")) | ((F.col("fp") != F.col("high")) & _near("fp", "high")))
+    # Keys are 41 rows a fingerprint, of which Spark's estimate knows nothing: unasked it would broadcast them.
+    met = keys.join(dealt_anew(pivots, "key").hint("merge"), "key").where((F.col("n") > 2) | ((F.col("fp") != F.col("low")) & _near("fp", "low")) | ((F.col("fp") != F.col("high")) & _near("fp", "high")))
     met = cut(met, rows_known and 4 * rows_known, dealt=True)
     n_met = met.count()
     stars = met.select("fp", F.explode(F.array("low", "high")).alias("v")).where((F.col("fp") != F.col("v")) & _near("fp", "v"))

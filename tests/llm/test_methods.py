@@ -547,3 +547,17 @@ def test_topk_of_large_components(spark, scale):
         best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:4]
         want |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
     assert got == want
+
+
+def test_keys_of_fingerprints_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """Spark takes 41 keys for as much as their fingerprint; sized by that, they would all go to the driver."""
+    plans, plain = [], simhash.cut
+
+    def noted(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, *args, **kwargs)
+
+    monkeypatch.setattr(simhash, "cut", noted)
+    spark.range(0, 150, 3).withColumnRenamed("id", "fp").write.parquet(f"{tmp_path}/prints")
+    simhash.link_fingerprints(spark.read.parquet(f"{tmp_path}/prints"))
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
