@@ -185,11 +185,13 @@ def balance(rows: DataFrame) -> DataFrame:
 
 
 def content_elements(text: Column) -> dict[str, Column]:
-    cites, urls, dois = T.times(text, r"\[[" + W + r"\s,.-]+\]|\([A-Za-z]+,?\s*\d{4}\)"), T.times(text, r"https?://[^\s]+"), T.times(text, r"(?i)doi:\s*[\d./]+")
+    """Counts of lists, tables, citations, code and quotes. A table row is a line of two bars (or tabs), found in one pass over the line."""
+    times = lambda p: T.times(text, T.ascii_bounds(p))
+    cites, urls, dois = times(r"\[[" + W + r"\s,.-]+\]|\([A-Za-z]+,?\s*\d{4}\)"), times(r"https?://[^\s]+"), times(r"(?i)doi:\s*[\d./]+")
     return {
-        "numbered": T.times(text, r"(?m)^\s*\d+[.)]\s+"), "bulleted": T.times(text, r"(?m)^\s*[-*•]\s+"), "lettered": T.times(text, r"(?m)^\s*[a-zA-Z][.)]\s+"),
-        "pipe_tables": T.times(text, r".*\|.*\|.*"), "tab_tables": T.times(text, r".*\t.*\t.*"), "citations": cites + urls + dois, "footnotes": F.greatest(T.times(text, r"\[\d+\]|\(\d+\)"), T.times(text, r"(?m)^\s*\d+\.\s+")),
-        "code_blocks": T.times(text, r"(?s)```.*?```"), "keywords": T.times(text, r"\b(?:def|function|class|import|return|if|else|for|while)\b"), "quotes": T.times(text, '"[^"]{10,}"') + T.times(text, "'[^']{10,}'") + T.times(text, r"(?m)^\s*>[^\n]+"),
+        "numbered": times(r"(?m)^\s*\d+[.)]\s+"), "bulleted": times(r"(?m)^\s*[-*•]\s+"), "lettered": times(r"(?m)^\s*[a-zA-Z][.)]\s+"),
+        "pipe_tables": times(r"(?m)^[^\n|]*+\|[^\n|]*+\|"), "tab_tables": times(r"(?m)^[^\n\t]*+\t[^\n\t]*+\t"), "citations": cites + urls + dois, "footnotes": F.greatest(times(r"\[\d+\]|\(\d+\)"), times(r"(?m)^\s*\d+\.\s+")),
+        "code_blocks": times(r"(?s)```.*?```"), "keywords": times(r"\b(?:def|function|class|import|return|if|else|for|while)\b"), "quotes": times('"[^"]{10,}"') + times("'[^']{10,}'") + times(r"(?m)^\s*>[^\n]+"),
     }
 
 

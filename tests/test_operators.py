@@ -1,6 +1,7 @@
 """Operators that SQL cannot express, against plain Python, and properties of those it can."""
 
 import re
+import time
 
 import numpy as np
 import pytest
@@ -202,3 +203,12 @@ def test_cached_vectors_are_those_of_the_whole_text(spark):
     cache = texts.where("id IN (1, 2)").select(F.sha2(F.btrim("content"), 256).alias("key"), F.sha2("content", 256).alias("whole"), embed(F.col("content")).alias("embedding"))
     got = {r.id: (r.embedding, r.cached) for r in V.embed_misses(texts, cache, embed).collect()}
     assert got == {r.id: (r.e, r.id < 4) for r in texts.select("id", embed(F.col("content")).alias("e")).collect()}
+
+
+def test_table_rows_of_long_lines(spark):
+    """Lines without bars and tabs took the square of their length: these took over a minute each."""
+    texts = ["a|b|c\nd|e\n|| x |\n\na\tb\tc\rd\t", "x" * 300_000 + "\n" + "| y |" + "z" * 300_000, "\t" + "w" * 300_000]
+    began = time.monotonic()
+    assert column(spark, texts, lambda c: G.content_elements(c)["pipe_tables"]) == [2, 1, 0]
+    assert column(spark, texts, lambda c: G.content_elements(c)["tab_tables"]) == [1, 0, 0]
+    assert time.monotonic() - began < 30
