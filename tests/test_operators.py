@@ -212,3 +212,11 @@ def test_table_rows_of_long_lines(spark):
     assert column(spark, texts, lambda c: G.content_elements(c)["pipe_tables"]) == [2, 1, 0]
     assert column(spark, texts, lambda c: G.content_elements(c)["tab_tables"]) == [1, 0, 0]
     assert time.monotonic() - began < 30
+
+
+def test_language_scores_look_at_each_text_once(spark):
+    """By one list of words, and not by a pattern for each; a word listed twice counts twice."""
+    plan = spark.createDataFrame([("x",)], "t string").select(L.language_scores(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "extract_all" not in plan and "regexp_count" not in plan
+    got = column(spark, ["Uma casa", "casa-da\nno mar", "", None], lambda c: F.filter(L.language_scores(c), lambda x: x["language"] == "pt-BR")[0]["score"])
+    assert got == [4.0, 2.0, 0.0, None]
